@@ -40,7 +40,7 @@ _TEXT_ROWS = "event_id % 17 <> 0 AND event_id % 5 = 1"
     FROM audit_log WHERE {_JSON_ROWS}"""))
 def s01(spark, sf_dir):
     parsed = logs.parse(raw_lines(view(spark, sf_dir, "audit_log")))
-    return (logs.records(parsed, "event_id").where("layout = 'json'")
+    return (logs.records(parsed).where("layout = 'json'")
             .select("event_id", "ts", "level", "message", "event_type", "user_id", "resource_type", "resource_id",
                     "operation_result", F.get_json_object("details", "$.k").cast("bigint").alias("k")))
 
@@ -50,13 +50,13 @@ def s01(spark, sf_dir):
     FROM audit_log WHERE {_TEXT_ROWS}"""))
 def s02(spark, sf_dir):
     parsed = logs.parse(raw_lines(view(spark, sf_dir, "audit_log")))
-    return logs.records(parsed, "event_id").where("layout = 'text'").select("event_id", "timestamp", "level", "logger", "message")
+    return logs.records(parsed).where("layout = 'text'").select("event_id", "timestamp", "level", "logger", "message")
 
 
 @REG.query("s03_rejected_lines", check_sql("audit_log", """
     SELECT event_id, concat('{unreadable ', event_id) AS line FROM audit_log WHERE event_id % 17 = 0"""))
 def s03(spark, sf_dir):
-    return logs.rejected(logs.parse(raw_lines(view(spark, sf_dir, "audit_log"))), "event_id", "line")
+    return logs.rejected(logs.parse(raw_lines(view(spark, sf_dir, "audit_log")))).select("event_id", "line")
 
 
 @REG.query("s04_table_scan", check_sql("service_instance", """

@@ -33,20 +33,21 @@ def rotated_files(lines: DataFrame) -> DataFrame:
             .orderBy(F.desc("file_time"), "file_name"))
 
 
-def parse(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Adds ``record``: a struct with the parsed fields, or null where the line is neither JSON nor text layout.
+def parse(lines: DataFrame, line: str = "line", rest: bool = False) -> DataFrame:
+    """Adds the parsed fields and ``layout``: 'json', 'text', or null where the line is neither.
 
-    JSON is parsed once per line into VARIANT; the text pattern is tried only where that fails.
+    The record is produced by a generator over a one-element array, so each line is parsed once: a
+    filter on the outcome cannot be pushed below it and repeat the parsing. With ``rest`` the whole
+    JSON object is kept as VARIANT for fields outside the fixed set.
     """
-    node = F.try_parse_json(F.trim(F.col(line)))
-    with_node = lines.withColumn("_node", F.when(F.ltrim(F.col(line)).startswith("{"), node))
-    n = F.col("_node")
-    from_json = F.struct(
-        F.lit("json").alias("layout"),
-        F.try_variant_get(n, "$.timestamp", "string").alias("timestamp"),
-        *[F.try_variant_get(n, f"$.{f}", "string").alias(f) for f in JSON_FIELDS],
-        F.to_json(F.try_variant_get(n, "$.details", "variant")).alias("details"))
     text = F.trim(F.col(line))
+    fields = ", ".join(f"{f} STRING" for f in ("timestamp", *JSON_FIELDS, "details"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    node = F.when(text.startswith("{") & text.endswith("}"), F.from_json(text, f"{fields}, _bad STRING", options))
+    with_node = lines.withColumn("_node", node)
+    n = F.col("_node")
+    from_json = F.struct(F.lit("json").alias("layout"), n["timestamp"].alias("timestamp"),
+                         *[n[f].alias(f) for f in JSON_FIELDS], n["details"].alias("details"))
     stamp = F.try_to_timestamp(F.regexp_extract(text, TEXT_LAYOUT, 1))
     group = {"level": 2, "logger": 3, "message": 4}
     from_text = F.struct(
@@ -55,19 +56,20 @@ def parse(lines: DataFrame, line: str = "line") -> DataFrame:
         *[(F.regexp_extract(text, TEXT_LAYOUT, group[f]) if f in group else F.lit(None).cast("string")).alias(f)
           for f in JSON_FIELDS],
         F.lit(None).cast("string").alias("details"))
-    record = F.when(n.isNotNull(), from_json).when(text.rlike(TEXT_LAYOUT) & stamp.isNotNull(), from_text)
-    return with_node.withColumn("record", record).drop("_node")
+    record = (F.when(n.isNotNull() & n["_bad"].isNull(), from_json)
+              .when(text.rlike(TEXT_LAYOUT) & stamp.isNotNull(), from_text))
+    parsed = with_node.select(*lines.columns, F.inline(F.array(record)))
+    return parsed.withColumn("body", F.try_parse_json(F.col(line))) if rest else parsed
 
 
-def records(parsed: DataFrame, *keep: str) -> DataFrame:
-    """The readable lines as columns, with ``ts`` next to the original timestamp text."""
-    return (parsed.where("record IS NOT NULL").select(*keep, "record.*")
-            .withColumn("ts", parse_iso(F.col("timestamp"))))
+def records(parsed: DataFrame) -> DataFrame:
+    """The readable lines, with ``ts`` next to the original timestamp text."""
+    return parsed.where("layout IS NOT NULL").withColumn("ts", parse_iso(F.col("timestamp")))
 
 
-def rejected(parsed: DataFrame, *keep: str) -> DataFrame:
+def rejected(parsed: DataFrame) -> DataFrame:
     """The lines that could not be read."""
-    return parsed.where("record IS NULL").select(*keep)
+    return parsed.where("layout IS NULL")
 
 
 def json_line(**fields: Column) -> Column:
