@@ -195,9 +195,9 @@ def episodes(grid: DataFrame, by: str = "round") -> DataFrame:
             .drop("_episode"))
 
 
-def resolved(previous: DataFrame, current: DataFrame) -> DataFrame:
+def resolved(previous: DataFrame, current: DataFrame, keys: Sequence[str] = ("name",)) -> DataFrame:
     """Alerts that fired before and do not fire now."""
-    return previous.join(current.select("name").distinct(), "name", "left_anti")
+    return previous.join(current.select(*keys), list(keys), "left_anti")
 
 
 def alert_summary(alerts: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import log_queries, monitor_queries, source_queries
+from tidewatch.plans import inventory_queries, log_queries, monitor_queries, source_queries
 from tidewatch.plans.registry import Query
 
-_MODULES = (log_queries, source_queries, monitor_queries)
+_MODULES = (log_queries, source_queries, monitor_queries, inventory_queries)
 
 
 def queries() -> dict[str, Query]:

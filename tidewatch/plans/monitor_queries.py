@@ -303,12 +303,13 @@ def w06(spark, sf_dir):
 
 
 @REG.query("u02_resolved_set", check_sql("audit_log", """
-    SELECT name FROM grid WHERE round = TIMESTAMP '2024-01-15 10:00:00' AND firing AND name NOT IN
-    (SELECT name FROM grid WHERE round = TIMESTAMP '2024-01-15 11:00:00' AND firing)""", _GRID))
+    SELECT next_round AS round, name FROM marked m WHERE firing AND next_round IS NOT NULL AND NOT EXISTS
+    (SELECT 1 FROM grid g WHERE g.name = m.name AND g.round = m.next_round AND g.firing)""", _GRID))
 def u02(spark, sf_dir):
-    firing = _grid(spark, sf_dir).where("firing")
-    at = [firing.where(F.col("round") == F.expr(f"TIMESTAMP_NTZ '2024-01-15 {h}:00:00'")) for h in (10, 11)]
-    return al.resolved(*at).select("name")
+    grid = _grid(spark, sf_dir)
+    after = F.lead("round").over(W.partitionBy("name").orderBy("round"))
+    previous = grid.withColumn("after", after).where("firing AND after IS NOT NULL").select(F.col("after").alias("round"), "name")
+    return al.resolved(previous, grid.where("firing"), ("round", "name"))
 
 
 @REG.query("w08_snapshot_delta", check_sql("metric_point", """

@@ -95,6 +95,8 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]]]] = {
         ("max_message_bytes", "CAST(p_size AS BIGINT) * 2500000"),
         ("min_insync_replicas", "1 + p_size % 3"),
         ("cluster_id", "concat('c', p_partkey % 7)"),
+        ("state", "CASE WHEN p_partkey % 6 = 0 THEN 'deleting' ELSE 'active' END"),
+        ("deleted", "p_partkey % 9 = 0"),
     ]),
     "partition_detail": ("lineitem", [
         ("topic_id", "l_partkey"),
