@@ -116,26 +116,31 @@ def masked(key: Column, value: Column) -> Column:
 def flatten_masked(documents: DataFrame, key: Sequence[str], document: str, max_depth: int = 8) -> DataFrame:
     """JSON documents as (key, path, value) leaves with sensitive branches masked, through objects and lists.
 
-    A masked branch is one leaf at its own path. Documents deeper than ``max_depth`` fail the job.
+    A masked branch is one leaf at its own path and an empty branch is a leaf holding {} or []. Each level
+    opens the branches that are left and passes finished leaves on, so the documents are read once.
+    Documents deeper than ``max_depth`` fail the job.
     """
-    spark = documents.sparkSession
-    level = documents.select(*key, F.lit("").alias("path"), F.parse_json(document).alias("node"))
-    leaves = []
-    for depth in range(max_depth + 1):
-        schema = F.schema_of_variant("node")
-        branch = schema.startswith("OBJECT") | schema.startswith("ARRAY")
-        hidden = (F.col("path") != "") & is_sensitive(F.element_at(F.split("path", r"[.\[]"), -1))
-        leaf = F.when(hidden, F.lit(MASK)).otherwise(F.try_variant_get("node", "$", "string"))
-        leaves.append(level.where(hidden | ~branch).select(*key, "path", leaf.alias("value")))
-        inner = level.where(~hidden & branch)
-        if depth == max_depth:
-            leaves.append(inner.select(*key, "path", F.raise_error(F.lit(f"document deeper than {max_depth} levels")).cast("string").alias("value")))
-            break
-        exploded = inner.lateralJoin(spark.tvf.variant_explode(F.col("node").outer()))
-        step = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(
-            F.concat(F.when(F.col("path") == "", "").otherwise("."), F.col("key")))
-        level = exploded.select(*key, F.concat("path", step).alias("path"), F.col("value").alias("node"))
-    return reduce(lambda a, b: a.unionByName(b), leaves)
+    spark, keep = documents.sparkSession, list(key)
+
+    def settled(path: Column, name: Column, node: Column) -> list[Column]:
+        hidden = F.coalesce(is_sensitive(name), F.lit(False))
+        schema = F.schema_of_variant(node)
+        branch = (schema.startswith("OBJECT") | schema.startswith("ARRAY")) & ~hidden
+        leaf = F.when(hidden, F.lit(MASK)).otherwise(F.try_variant_get(node, "$", "string"))
+        return [path.alias("_path"), F.when(branch, node).alias("_node"), F.when(~branch, leaf).alias("_leaf")]
+
+    level = documents.select(*keep, *settled(F.lit(""), F.lit(None).cast("string"), F.parse_json(document)))
+    for _ in range(max_depth):
+        opened = level.lateralJoin(spark.tvf.variant_explode_outer(F.col("_node").outer()).toDF("_pos", "_name", "_child"))
+        step = F.when(F.col("_name").isNull(), F.concat(F.lit("["), F.col("_pos").cast("string"), F.lit("]"))).otherwise(
+            F.concat(F.when(F.col("_path") == "", "").otherwise("."), F.col("_name")))
+        path, node, leaf = settled(F.concat("_path", step), F.col("_name"), F.col("_child"))
+        inside = F.col("_pos").isNotNull()
+        level = opened.select(
+            *keep, F.when(inside, path).otherwise(F.col("_path")).alias("_path"), F.when(inside, node).alias("_node"),
+            F.when(inside, leaf).otherwise(F.coalesce(F.col("_leaf"), F.to_json("_node"))).alias("_leaf"))
+    too_deep = F.raise_error(F.lit(f"document deeper than {max_depth} levels")).cast("string")
+    return level.select(*keep, F.col("_path").alias("path"), F.when(F.col("_node").isNotNull(), too_deep).otherwise(F.col("_leaf")).alias("value"))
 
 
 def route_changes(changes: DataFrame) -> DataFrame:

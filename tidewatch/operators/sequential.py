@@ -43,17 +43,22 @@ def _null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -
 
 
 def admit(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], limit: int | Column,
-          window_seconds: float, keep: Sequence[str] = (), name: str = "admitted") -> DataFrame:
+          window_seconds: float, keep: Sequence[str] = (), name: str = "admitted",
+          earlier: DataFrame | None = None) -> DataFrame:
     """Sliding-window admission per key: a row passes if fewer than ``limit`` rows passed in the window before it.
 
     Rows that are turned away do not count. The window is open at its old end, so with ``limit`` 1 this is
-    also "at most once per interval" and a debounce. ``limit`` must be constant per key. Returns the keys, ``ts``, the tie columns,
-    ``keep`` and the outcome.
+    also "at most once per interval" and a debounce. ``limit`` must be constant per key. ``earlier`` holds (keys, ts)
+    of rows known to have passed before; they count but are not returned. Returns the keys, ``ts``,
+    the tie columns, ``keep`` and the outcome.
     """
     width = int(window_seconds * 1_000_000)
     columns = list(dict.fromkeys([*keys, ts, *tie, *keep]))
     rows = _bucketed(df.withColumn("_limit", limit if isinstance(limit, Column) else F.lit(limit)), ts, width)
-    rows = rows.select(*columns, "_limit", "_at", "_bucket")
+    rows = rows.select(*columns, "_limit", "_at", "_bucket", F.lit(False).alias("_known"))
+    if earlier is not None:
+        known = _bucketed(earlier.select(*keys, ts).withColumn("_known", F.lit(True)), ts, width)
+        rows = rows.unionByName(known, allowMissingColumns=True)
 
     # A bucket is free when it and its predecessor together stay within the limit: all its rows pass.
     order = W.partitionBy(*keys).orderBy("_bucket")
@@ -67,10 +72,11 @@ def admit(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], limit
     flags = busy.withColumn("_context", F.lit(False)).unionByName(head.withColumn("_context", F.lit(True)))
     flagged = _null_safe(rows, flags, [*keys, "_bucket"], "left")
 
-    free = flagged.where(F.coalesce("_context", F.lit(True))).select(*columns, F.lit(True).alias(name))
+    free = flagged.where(~F.col("_known") & F.coalesce("_context", F.lit(True))).select(*columns, F.lit(True).alias(name))
     window = W.partitionBy(*keys, "_run").orderBy("_at", *tie)
     contended = (flagged.where("_run IS NOT NULL").withColumn("_new", F.row_number().over(window) == 1)
-                 .select(*columns, "_at", "_limit", "_context", "_new"))
+                 .select(*columns, "_at", F.coalesce("_limit", F.lit(0)).alias("_limit"),
+                         (F.col("_context") | F.col("_known")).alias("_context"), "_new"))
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         recent: deque[int] = deque()
@@ -129,19 +135,30 @@ class Breaker:
         return True
 
 
+STATE_COLUMNS = ("state", "failures", "successes", "last_failure")
+
+
 def replay_breakers(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], failed: Column,
-                    config: BreakerConfig = BreakerConfig(), keep: Sequence[str] = ()) -> DataFrame:
+                    config: BreakerConfig = BreakerConfig(), keep: Sequence[str] = (),
+                    initial: DataFrame | None = None) -> DataFrame:
     """Which calls a circuit breaker per key would have let through, and its state after each call.
 
     A bucket as long as the recovery time that is free of failures, follows one free of failures and
     holds enough successes leaves the breaker closed and reset whatever came before, so the next
-    bucket starts a run of its own. Runs without failures need no replay.
+    bucket starts a run of its own. Runs without failures need no replay. ``initial`` gives breakers
+    that do not start out closed, as (keys, state, failures, successes, last_failure).
     """
     width = int(config.recovery_seconds * 1_000_000)
     columns = list(dict.fromkeys([*keys, ts, *tie, *keep]))
     rows = _bucketed(df.withColumn("_failed", failed), ts, width).select(*columns, "_failed", "_at", "_bucket")
     order = W.partitionBy(*keys).orderBy("_bucket")
     counts = rows.groupBy(*keys, "_bucket").agg(F.count_if("_failed").alias("_f"), F.count_if(~F.col("_failed")).alias("_s"))
+    if initial is not None:
+        # A failure from before counts like a failure at its own time.
+        initial = initial.where((F.col("state") != CLOSED) | (F.col("failures") > 0))
+        earlier = initial.select(*keys, F.floor(F.col("last_failure") / F.lit(width)).cast("bigint").alias("_bucket"),
+                                 F.lit(1).cast("bigint").alias("_f"), F.lit(0).cast("bigint").alias("_s"))
+        counts = counts.unionByName(earlier).groupBy(*keys, "_bucket").agg(F.sum("_f").alias("_f"), F.sum("_s").alias("_s"))
     before = F.when(F.lag("_bucket").over(order) == F.col("_bucket") - 1, F.lag("_f").over(order)).otherwise(0)
     calm = (F.col("_f") == 0) & (before == 0) & (F.col("_s") >= config.success_threshold)
     marked = counts.withColumn("_calm", calm.cast("int"))
@@ -150,22 +167,34 @@ def replay_breakers(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[s
     runs = runs.withColumn("_faulty", F.max(F.col("_f") > 0).over(W.partitionBy(*keys, "_run"))).where("_faulty")
     flagged = _null_safe(rows, runs.select(*keys, "_bucket", "_run"), [*keys, "_bucket"], "left")
 
-    calm_rows = flagged.where("_run IS NULL").select(*columns, F.lit(True).alias("allowed"), F.lit(CLOSED).alias("state"))
+    calm_state = [F.lit(CLOSED).alias("state"), F.lit(0).alias("failures"), F.lit(0).alias("successes"), F.lit(None).cast("bigint").alias("last_failure")]
+    calm_rows = flagged.where("_run IS NULL").select(*columns, F.lit(True).alias("allowed"), *calm_state)
+    faulty = flagged.where("_run IS NOT NULL")
+    if initial is None:
+        faulty = faulty.withColumns({f"_{c}": F.lit(None).cast("string" if c == "state" else "bigint") for c in STATE_COLUMNS})
+    else:
+        given = initial.select(*keys, F.lit(0).cast("bigint").alias("_run"), *[F.col(c).alias(f"_{c}") for c in STATE_COLUMNS])
+        faulty = _null_safe(faulty, given, [*keys, "_run"], "left")
     window = W.partitionBy(*keys, "_run").orderBy("_at", *tie)
-    faulty = (flagged.where("_run IS NOT NULL").withColumn("_new", F.row_number().over(window) == 1)
-              .select(*columns, "_at", "_failed", "_new"))
+    faulty = (faulty.withColumn("_new", F.row_number().over(window) == 1)
+              .select(*columns, "_at", "_failed", "_new", "_state",
+                      *[F.coalesce(F.col(f"_{c}").cast("bigint"), F.lit(0)).alias(f"_{c}") for c in STATE_COLUMNS[1:]]))
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         breaker = Breaker(config)
         for batch in batches:
-            allowed, state = [], []
-            for at, bad, new in zip(batch["_at"].tolist(), batch["_failed"].tolist(), batch["_new"].tolist()):
+            allowed, states = [], []
+            given = zip(*[batch[f"_{c}"].tolist() for c in STATE_COLUMNS])
+            for at, bad, new, start in zip(batch["_at"].tolist(), batch["_failed"].tolist(), batch["_new"].tolist(), given):
                 if new:
-                    breaker = Breaker(config)
+                    breaker = Breaker(config, *start) if start[0] else Breaker(config)
                 allowed.append(breaker.call(at, bad))
-                state.append(breaker.state)
-            yield batch[columns].assign(allowed=allowed, state=state)
+                states.append((breaker.state, breaker.failures, breaker.successes, breaker.last_failure))
+            done = pd.DataFrame(states, columns=list(STATE_COLUMNS), index=batch.index)
+            yield batch[columns].assign(allowed=allowed, state=done["state"], failures=done["failures"].astype("int32"),
+                                        successes=done["successes"].astype("int32"), last_failure=done["last_failure"].astype("Int64"))
 
     schema = T.StructType([*[rows.schema[c] for c in columns], T.StructField("allowed", T.BooleanType()),
-                           T.StructField("state", T.StringType())])
+                           T.StructField("state", T.StringType()), T.StructField("failures", T.IntegerType()),
+                           T.StructField("successes", T.IntegerType()), T.StructField("last_failure", T.LongType())])
     return calm_rows.unionByName(faulty.mapInPandas(replay, schema))

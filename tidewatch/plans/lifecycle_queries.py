@@ -1,4 +1,4 @@
-"""Lifecycle, conflicts, streaks, task statistics and data quality (R01-R09, J07, W03, W04, A20, A21, A25, V01-V10, T06, T07, T09, T10 in batch)."""
+"""Lifecycle, conflicts, streaks, task statistics and data quality."""
 
 from __future__ import annotations
 
@@ -194,13 +194,13 @@ def _rules_sql(source, keys, rules):
     return " UNION ALL ".join(f"SELECT {keys}, '{rule}' AS rule_id FROM {source} WHERE {broken}" for rule, broken in rules.items())
 
 
-@REG.query("v01_topic_config", check_sql("", _rules_sql("t", "topic_id", {
+@REG.query("v01_topic_config", check_sql("topic", _rules_sql("t", "topic_id", {
     "name_characters": "contains(name, ' ') OR contains(name, '/')", "name_reserved": "starts_with(name, '__')",
     "max_message_bytes_range": "max_message_bytes < 1 OR max_message_bytes > 104857600",
     "retention_infinite": "retention_ms = -1", "retention_range": "retention_ms < 1 AND retention_ms <> -1",
     "insync_over_replication": "min_insync_replicas > replication_factor", "compression_type_domain": "compression_type NOT IN ('none', 'gzip', 'snappy', 'lz4', 'zstd')"}),
-    check_sql("topic", "", """t AS (SELECT * EXCLUDE (name, retention_ms), CASE topic_id % 23 WHEN 4 THEN concat(name, ' x') WHEN 5 THEN concat('a/', name) ELSE name END AS name,
-    CASE WHEN topic_id % 31 = 0 THEN -1 WHEN topic_id % 37 = 1 THEN 0 ELSE retention_ms END AS retention_ms FROM topic)""")[5:-1]))
+    """t AS (SELECT * EXCLUDE (name, retention_ms), CASE topic_id % 23 WHEN 4 THEN concat(name, ' x') WHEN 5 THEN concat('a/', name) ELSE name END AS name,
+    CASE WHEN topic_id % 31 = 0 THEN -1 WHEN topic_id % 37 = 1 THEN 0 ELSE retention_ms END AS retention_ms FROM topic)"""))
 def v01(spark, sf_dir):
     topics = view(spark, sf_dir, "topic")
     name = (F.when(F.col("topic_id") % 23 == 4, F.concat("name", F.lit(" x"))).when(F.col("topic_id") % 23 == 5, F.concat(F.lit("a/"), "name")).otherwise(F.col("name")))
