@@ -1,5 +1,5 @@
 """Operations analytics on Spark: logs, metrics, health, alerts, inventory, lifecycle, access and configuration."""
 
-from tidewatch.session import build_session, scratch_dir
+from tidewatch.session import build_session, materialize, scratch_dir
 
-__all__ = ["build_session", "scratch_dir"]
+__all__ = ["build_session", "materialize", "scratch_dir"]

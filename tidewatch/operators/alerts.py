@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewatch.operators import metrics
-
 # Severities and states.
 SEVERITIES = ("critical", "warning", "info")
 STATES = ("firing", "pending", "resolved")
@@ -59,15 +57,12 @@ def rule_array(rules: Sequence) -> Column:
     return F.array(*[F.struct(*[literal(v).alias(k) for k, v in vars(r).items()]) for r in rules])
 
 
-def metric_values(points: DataFrame) -> DataFrame:
-    """Every series as (metric, priority, value): counters first, then gauges, then histogram counts."""
-    kinds = [
-        metrics.counters(points).select(F.col("key").alias("metric"), F.lit(1).alias("priority"), "value"),
-        metrics.gauges(points).select(F.col("key").alias("metric"), F.lit(2).alias("priority"), "value"),
-        points.where("kind = 'histogram'").groupBy("key").agg(F.count("*").cast("double").alias("value"))
-              .select(F.col("key").alias("metric"), F.lit(3).alias("priority"), "value"),
-    ]
-    return reduce(lambda a, b: a.unionByName(b), kinds)
+def metric_values(totals: DataFrame) -> DataFrame:
+    """Series rows as (metric, priority, value): counters first, then gauges, then histogram counts; timers are not looked up."""
+    priority = F.when(F.col("kind") == "counter", 1).when(F.col("kind") == "gauge", 2).when(F.col("kind") == "histogram", 3)
+    value = (F.when(F.col("kind") == "counter", F.col("sum")).when(F.col("kind") == "gauge", F.col("last"))
+             .otherwise(F.col("count").cast("double")))
+    return totals.where(priority.isNotNull()).select(F.col("key").alias("metric"), priority.alias("priority"), value.alias("value"))
 
 
 def resolve_metrics(rules: Sequence[ThresholdRule], values: DataFrame) -> DataFrame:
@@ -209,11 +204,13 @@ def alert_summary(alerts: DataFrame) -> DataFrame:
 
 
 def overall_status(health: DataFrame, alerts: DataFrame) -> DataFrame:
-    """One row: the health status, or what the firing alerts make of it. Joins two one-row aggregates."""
-    firing = alerts.where("state = 'firing'").agg(F.count("*").alias("active"), F.count_if(F.col("severity") == "critical").alias("critical"))
+    """One row: the health status, or what the firing alerts make of it."""
+    fired = alerts.where("state = 'firing'").select(F.lit(None).cast("string").alias("overall_status"), F.lit(1).alias("_a"), (F.col("severity") == "critical").alias("_c"))
+    given = health.select("overall_status", F.lit(0).alias("_a"), F.lit(False).alias("_c"))
+    one = given.unionByName(fired).agg(F.max("overall_status").alias("overall_status"), F.coalesce(F.sum("_a"), F.lit(0)).alias("active"),
+                                       F.count_if("_c").alias("critical"))
     status = (F.when(F.col("overall_status").isin("unhealthy", "degraded"), F.col("overall_status"))
               .when(F.col("critical") > 0, "unhealthy").when(F.col("active") > 0, "degraded").otherwise("healthy"))
-    one = health.select("overall_status", F.lit(1).alias("_one")).join(firing.withColumn("_one", F.lit(1)), "_one")
     return one.select(status.alias("status"), "overall_status", "active", "critical")
 
 

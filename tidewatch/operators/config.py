@@ -83,19 +83,27 @@ def infer_environment(value: Column) -> Column:
             .when(value.isNotNull(), _typed("string", value)))
 
 
+_JSON_NUMBER = r"^\s*-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?\s*$"
+
+
 def infer_command(value: Column) -> Column:
-    """Type and canonical text of a command-line value: boolean words, JSON, whole number, decimal, text."""
-    node = F.try_parse_json(value)
-    schema = F.schema_of_variant(node)
-    kind = (F.when(schema == "STRING", "string").when(schema == "BIGINT", "int").when(schema == "BOOLEAN", "bool")
-            .when(schema.rlike("^(DOUBLE|FLOAT|DECIMAL)"), "float").when(schema.startswith("ARRAY"), "list")
-            .when(schema == "VOID", "null").otherwise("object"))
-    text = F.when(schema == "STRING", F.try_variant_get(node, "$", "string")).otherwise(F.to_json(node))
+    """Type and canonical text of a command-line value: boolean words, JSON, whole number, decimal, text.
+
+    Numbers and words are told by pattern; only what opens like a JSON text, list or object is parsed.
+    """
+    bare = F.trim(value)
+    node = F.try_parse_json(bare)
+    kind = F.when(bare.startswith("["), "list").when(bare.startswith("{"), "object").otherwise("string")
+    text = F.when(bare.startswith('"'), F.try_variant_get(node, "$", "string")).otherwise(F.to_json(node))
+    container = F.struct(kind.alias("type"), text.alias("value"))
     return (F.when(_words(value, TRUE_WORDS), _typed("bool", F.lit("true")))
             .when(_words(value, FALSE_WORDS), _typed("bool", F.lit("false")))
-            .when(node.isNotNull(), F.struct(kind.alias("type"), text.alias("value")))
+            .when(value.rlike(r"^\s*-?(0|[1-9][0-9]*)\s*$"), _typed("int", _whole_number(value)))
+            .when(value.rlike(_JSON_NUMBER), _typed("float", bare.try_cast("double").cast("string")))
+            .when(bare == "null", _typed("null", F.lit("null")))
+            .when(bare.rlike(r'^[\[{"]') & node.isNotNull(), container)
             .when(value.rlike(_WHOLE), _typed("int", _whole_number(value)))
-            .when(value.try_cast("double").isNotNull(), _typed("float", value.try_cast("double").cast("string")))
+            .when(bare.try_cast("double").isNotNull(), _typed("float", bare.try_cast("double").cast("string")))
             .when(value.isNotNull(), _typed("string", value)))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,69 +77,67 @@ def timer_points(runs: DataFrame, start: str, end: str, keys: Sequence[str]) ->
             .select(*keys, start, seconds_between(F.col(start), F.col(end)).alias("value")))
 
 
-def snapshot(points: DataFrame, timers: DataFrame | None = None) -> DataFrame:
-    """All kinds in long form: (kind, key, stat, value)."""
-    long = [
-        counters(points).select(F.lit("counter").alias("kind"), "key", F.lit("value").alias("stat"), "value"),
-        gauges(points).select(F.lit("gauge").alias("kind"), "key", F.lit("value").alias("stat"), "value"),
-        _stats(points.where("kind = 'histogram'"), "histogram"),
-    ]
-    if timers is not None:
-        long.append(_stats(timers, "timer"))
-    return reduce(lambda a, b: a.unionByName(b), long)
+def series(points: DataFrame, order: Sequence[str] = ("ts", "event_id"), bounds: Sequence[float] = (),
+           value: str = "value") -> DataFrame:
+    """One row per (kind, key) with everything any kind needs, in a single pass over the points."""
+    le = F.array(*[F.count_if(F.col(value) <= F.lit(float(b))) for b in bounds]) if bounds else F.array().cast("array<bigint>")
+    return points.groupBy("kind", "key").agg(
+        F.count(value).alias("count"), F.sum(value).alias("sum"), F.min(value).alias("min"), F.max(value).alias("max"),
+        F.avg(value).alias("mean"), F.max_by(value, F.struct(*order)).alias("last"), le.alias("le_counts"))
 
 
-def _stats(points: DataFrame, kind: str) -> DataFrame:
-    stats = ["count", "sum", "min", "max", "mean"]
-    pairs = F.explode(F.array(*[F.struct(F.lit(s).alias("stat"), F.col(s).cast("double").alias("value")) for s in stats]))
-    return (summary(points, ["key"]).select("key", pairs.alias("_s"))
-            .select(F.lit(kind).alias("kind"), "key", "_s.stat", "_s.value"))
+def timer_series(timers: DataFrame, start: str, bounds: Sequence[float] = ()) -> DataFrame:
+    """Timer values (key, start, value) as series of the kind 'timer'."""
+    return series(timers.withColumn("kind", F.lit("timer")), [start], bounds)
 
 
-def exposition(points: DataFrame, helps: dict[str, str], bounds: Sequence[float],
-               timers: DataFrame | None = None) -> DataFrame:
-    """Exposition lines as (block, name, place, series, value, line); sort by the first four and write ``line``.
+def snapshot(totals: DataFrame) -> DataFrame:
+    """All kinds in long form, (kind, key, stat, value), from ``series`` rows."""
+    def stat(name: str, value: Column) -> Column:
+        return F.struct(F.lit(name).alias("stat"), value.cast("double").alias("value"))
+    stats = [stat(n, F.col(n)) for n in ("count", "sum", "min", "max", "mean")]
+    rows = (F.when(F.col("kind") == "counter", F.array(stat("value", F.col("sum"))))
+            .when(F.col("kind") == "gauge", F.array(stat("value", F.col("last"))))
+            .otherwise(F.array(*stats)))
+    return totals.select("kind", "key", F.inline(rows))
 
-    One TYPE line per metric name; timers appear as histograms. HELP lines come first.
+
+# Order of the metric blocks in the exposition text.
+_BLOCKS = {"counter": 1, "gauge": 2}
+
+
+def exposition(totals: DataFrame, helps: dict[str, str], bounds: Sequence[float]) -> DataFrame:
+    """Exposition lines from ``series`` rows with the same bounds: (block, name, place, series, value, line).
+
+    Sort by the first three and write ``line``. HELP lines come first, then one TYPE line per metric
+    name before its samples; timers appear as histograms.
     """
-    label_text = split_key(F.col("key"))[1]
-    named = [split_key(F.col("key"))[0].alias("name"), label_text.alias("labels")]
-    plain = []
-    for block, (kind, rows) in enumerate([("counter", counters(points)), ("gauge", gauges(points))], start=1):
-        plain.append(rows.select(F.lit(block).alias("block"), F.lit(kind).alias("type"), *named,
-                                 F.lit("").alias("suffix"), F.lit("").alias("le"), F.lit(0.0).alias("le_value"), "value"))
-    observed = points.where("kind = 'histogram'").select("key", "value")
-    if timers is not None:
-        observed = observed.unionByName(timers.select("key", "value"))
-    sums = summary(observed, ["key"])
-    for suffix, column in (("_count", "count"), ("_sum", "sum")):
-        plain.append(sums.select(F.lit(3).alias("block"), F.lit("histogram").alias("type"), *named, F.lit(suffix).alias("suffix"),
-                                 F.lit("").alias("le"), F.lit(0.0).alias("le_value"), F.col(column).cast("double").alias("value")))
-    per_bound = buckets(observed, ["key"], bounds)
-    plain.append(per_bound.select(F.lit(3).alias("block"), F.lit("histogram").alias("type"), *named, F.lit("_bucket").alias("suffix"),
-                                  F.concat(F.lit('le="'), F.col("le").cast("string"), F.lit('"')).alias("le"),
-                                  F.col("le").alias("le_value"), F.col("count").cast("double").alias("value")))
-    samples = reduce(lambda a, b: a.unionByName(b), plain)
-    inner = F.array_join(F.array_compact(F.array(F.nullif("labels", F.lit("")), F.nullif("le", F.lit("")))), ",")
-    series = F.concat("name", "suffix", F.when(inner != "", F.concat(F.lit("{"), inner, F.lit("}"))).otherwise(""))
-    place = F.concat(F.lit("1"), F.coalesce("labels", F.lit("")), F.lit(" "),
-                     F.when(F.col("suffix") == "_count", "a").when(F.col("suffix") == "_sum", "b").otherwise("c"),
-                     F.format_string("%030.6f", F.col("le_value")))
-    whole = F.col("value") == F.floor("value")
-    number = F.when((F.col("suffix").isin("_count", "_bucket")) & whole, F.col("value").cast("bigint").cast("string")).otherwise(
-        F.col("value").cast("string"))
-    body = samples.select("block", "name", place.alias("place"), series.alias("series"), "value",
-                          F.concat(series, F.lit(" "), number).alias("line"))
-    types = samples.groupBy("block", "name", "type").agg(F.count("*").alias("_n")).select(
-        "block", "name", F.lit("0").alias("place"), F.concat(F.lit("# TYPE "), F.col("name")).alias("series"),
-        F.lit(None).cast("double").alias("value"),
-        F.concat(F.lit("# TYPE "), F.col("name"), F.lit(" "), F.col("type")).alias("line"))
+    name, labels = split_key(F.col("key"))
+    is_plain = F.col("kind").isin(list(_BLOCKS))
+    block = F.when(F.col("kind") == "counter", 1).when(F.col("kind") == "gauge", 2).otherwise(3)
+
+    def sample(suffix: str, rank: str, le: str, number: Column, whole: bool) -> Column:
+        inner = F.array_join(F.array_compact(F.array(F.nullif(labels, F.lit("")), F.lit(f'le="{le}"' if le else None))), ",")
+        text = F.concat(name, F.lit(suffix), F.when(inner != "", F.concat(F.lit("{"), inner, F.lit("}"))).otherwise(""))
+        return F.struct(F.concat(F.lit("1"), labels, F.lit(f" {rank}")).alias("place"), text.alias("series"),
+                        number.cast("double").alias("value"), (number.cast("bigint") if whole else number).cast("string").alias("number"))
+
+    single = F.when(F.col("kind") == "counter", F.col("sum")).otherwise(F.col("last"))
+    histogram = [sample("_count", "a", "", F.col("count"), True), sample("_sum", "b", "", F.col("sum"), False)]
+    histogram += [sample("_bucket", f"c{i:06d}", str(float(b)), F.col("le_counts")[i], True) for i, b in enumerate(bounds)]
+    lines = F.when(is_plain, F.array(sample("", "a", "", single, False))).otherwise(F.array(*histogram))
+    body = totals.select(block.alias("block"), name.alias("name"), F.inline(lines)).select(
+        "block", "name", "place", "series", "value", F.concat("series", F.lit(" "), "number").alias("line"))
+
+    def heading(word: str, text: Column) -> list[Column]:
+        title = F.concat(F.lit(f"# {word} "), F.col("name"))
+        return [F.lit("0").alias("place"), title.alias("series"), F.lit(None).cast("double").alias("value"), F.concat(title, F.lit(" "), text).alias("line")]
+
+    kind = F.when(is_plain, F.col("kind")).otherwise("histogram")
+    types = totals.select(block.alias("block"), name.alias("name"), kind.alias("type")).distinct().select("block", "name", *heading("TYPE", F.col("type")))
     result = body.unionByName(types)
     if helps:
         entries = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(h).alias("help")) for n, h in helps.items()])
-        heads = (points.sparkSession.range(1).select(F.explode(entries).alias("h"))
-                 .select(F.lit(0).alias("block"), F.col("h.name").alias("name"), F.lit("0").alias("place"),
-                         F.concat(F.lit("# HELP "), F.col("h.name")).alias("series"), F.lit(None).cast("double").alias("value"),
-                         F.concat(F.lit("# HELP "), F.col("h.name"), F.lit(" "), F.col("h.help")).alias("line")))
+        heads = totals.sparkSession.range(1).select(F.inline(entries)).select(F.lit(0).alias("block"), "name", *heading("HELP", F.col("help")))
         result = heads.unionByName(result)
     return result

@@ -9,78 +9,76 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewatch.session import materialize
+
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, at: dict[str, tuple[int, int]],
-                    accuracy: int = 10000, zone: int = 500) -> DataFrame:
-    """Quantile cut points i/m per group by the exclusive method: with n values, position i*(n+1)/m between
-    neighbours, clamped to the first and last pair; a single value stands for itself.
+                    totals: dict[str, Column] | None = None, margin: float = 0.002, accuracy: int = 10000) -> DataFrame:
+    """Cut points i/m per group by the exclusive method: with n values, the point i*(n+1)/m between sorted
+    neighbours, clamped to the first and last pair; a single value stands for itself; null without values.
 
-    Approximate percentiles only bracket the rank. Values are counted per (group, value), rows below
-    the bracket are reduced to a count, and only the distinct values inside it are ranked. If a bracket
-    misses, the side that holds the rank is ranked instead, so the result is exact whatever the sketch says.
+    Three passes. The first takes n and approximate percentiles around each wanted rank (and any further
+    ``totals``). These cut the values into zones; the second counts the zones, which tells exactly which
+    zones hold the wanted ranks. The third ranks the distinct values of those zones only, a fraction of
+    about ``2 * margin`` of the rows per cut point. A poor sketch costs time, never exactness.
+    Needs at least one key; groups with a null key are kept.
     """
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
-    probes = {}
-    for name, (i, m) in at.items():
-        probes[name] = [max(i / m - 1 / zone, 0.0), min(i / m + 1 / zone, 1.0)]
-    flat = [p for pair in probes.values() for p in pair]
-    sketch = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_v", flat, accuracy).alias("_cuts"))
-    distinct = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
-    on = [F.col(f"d.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys] or [F.lit(True)]
-    joined = distinct.alias("d").join(sketch.alias("s"), on).select(*[F.col(f"d.{k}").alias(k) for k in keys], "_v", "_c", "_n", "_cuts")
-    results = [_one_quantile(joined, keys, name, i, m, 2 * pos) for pos, (name, (i, m)) in enumerate(at.items())]
-    if len(results) == 1:
-        return results[0]
-    return reduce(lambda a, b: _join_keys(a, b, keys), results)
-
-
-def _join_keys(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    if not keys:
-        return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    renamed = b.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in b.columns if c not in keys])
-    return a.join(renamed, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]).drop(*[f"_r_{k}" for k in keys])
+    v = F.col(value).cast("double")
+    probes = sorted({min(max(i / m + d, 0.0), 1.0) for i, m in at.values() for d in (-margin, margin)})
+    sketch = df.groupBy(*keys).agg(F.count(v).alias("_n"), F.percentile_approx(v, probes, accuracy).alias("_cuts"),
+                                   *[c.alias(n) for n, c in (totals or {}).items()])
+    sketch = materialize(sketch, "sketch")
+    values = df.select(*keys, v.alias("_v")).where("_v IS NOT NULL")
 
+    zones = range(len(probes) + 1)
+    zone = reduce(lambda a, b: a + b, [F.when(F.col("_v") > F.col("_cuts")[p], 1).otherwise(0) for p in range(len(probes))])
+    zoned = _with(values, sketch.select(*keys, "_cuts"), keys).select(*keys, "_v", zone.alias("_zone"))
+    sizes = zoned.groupBy(*keys).agg(*[F.count_if(F.col("_zone") == z).alias(f"_z{z}") for z in zones])
+    sizes = _with(sizes, sketch.select(*keys, "_n"), keys)
 
-def _one_quantile(rows: DataFrame, keys: Sequence[str], name: str, i: int, m: int, cut: int) -> DataFrame:
     n = F.col("_n")
-    whole = F.floor(F.lit(i) * (n + 1) / F.lit(m))
-    j = F.greatest(F.lit(1), F.least(whole, n - 1))
-    delta = F.lit(i) * (n + 1) - j * F.lit(m)
-    lo, hi = F.col("_cuts")[cut], F.col("_cuts")[cut + 1]
-    side = F.when(F.col("_v") < lo, 0).when(F.col("_v") <= hi, 1).otherwise(2)
-    sided = rows.select(*keys, "_v", "_c", n, j.alias("_j"), delta.alias("_delta"), side.alias("_side"))
-    sizes = sided.groupBy(*keys).agg(*[F.sum(F.when(F.col("_side") == s, F.col("_c")).otherwise(0)).alias(f"_s{s}") for s in (0, 1)])
-    # The two ranks needed are j and j + 1: rank each side they fall into.
-    placed = _join_keys(sided, sizes, keys)
-    r1, r2 = F.col("_j"), F.least(F.col("_j") + 1, n)
-    first = [F.lit(0), F.col("_s0"), F.col("_s0") + F.col("_s1")]
-    end = [F.col("_s0"), F.col("_s0") + F.col("_s1"), n]
-    needed = reduce(lambda a, b: a | b, [
-        (F.col("_side") == s) & (((r1 > first[s]) & (r1 <= end[s])) | ((r2 > first[s]) & (r2 <= end[s]))) for s in range(3)])
-    offset = F.when(F.col("_side") == 0, first[0]).when(F.col("_side") == 1, first[1]).otherwise(first[2])
-    upto = W.partitionBy(*keys, "_side").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = placed.where(needed).withColumn("_end", offset + F.sum("_c").over(upto)).withColumn("_start", F.col("_end") - F.col("_c"))
-    pick = [F.max(F.when((r > F.col("_start")) & (r <= F.col("_end")), F.col("_v"))).alias(a) for r, a in ((r1, "_a"), (r2, "_b"))]
-    pair = ranked.groupBy(*keys).agg(*pick, F.max("_delta").alias("_d"), F.max("_n").alias("_count"))
-    point = F.when(F.col("_count") == 1, F.col("_a")).otherwise(
-        (F.col("_a") * (F.lit(m) - F.col("_d")) + F.col("_b") * F.col("_d")) / F.lit(m))
-    return pair.select(*keys, point.alias(name))
+    starts = [reduce(lambda a, b: a + b, [F.col(f"_z{y}") for y in range(z)], F.lit(0)) for z in zones]
+    ranks = {}
+    for name, (i, m) in at.items():
+        j = F.greatest(F.lit(1), F.least(F.floor(F.lit(i) * (n + 1) / F.lit(m)), n - 1))
+        ranks[name] = (j, F.least(j + 1, n), F.lit(i) * (n + 1) - j * F.lit(m))
+    wanted = [r for pair in ranks.values() for r in pair[:2]]
+    holds = [reduce(lambda a, b: a | b, [(r > starts[z]) & (r <= starts[z] + F.col(f"_z{z}")) for r in wanted]) for z in zones]
+    plan = sizes.select(*keys, "_n", F.array(*[F.when(holds[z], starts[z]) for z in zones]).alias("_starts"),
+                        *[c.alias(f"_{part}_{name}") for name, r in ranks.items() for part, c in zip(("lo", "hi", "delta"), r)])
+    plan = materialize(plan, "zones")
+
+    kept = _with(zoned, plan.select(*keys, "_starts"), keys).withColumn("_start", F.col("_starts")[F.col("_zone")]).where("_start IS NOT NULL")
+    counted = kept.groupBy(*keys, "_zone", "_start", "_v").agg(F.count("*").alias("_c"))
+    upto = W.partitionBy(*keys, "_zone").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    ranked = counted.select(*keys, "_v", (F.col("_start") + F.sum("_c").over(upto)).alias("_last"), "_c")
+    ranked = _with(ranked, plan.drop("_starts"), keys)
+    first = F.col("_last") - F.col("_c") + 1
+
+    def pick(rank: str) -> Column:
+        return F.max(F.when((F.col(rank) >= first) & (F.col(rank) <= F.col("_last")), F.col("_v")))
+
+    points = ranked.groupBy(*keys).agg(*[c for name in at for c in (
+        pick(f"_lo_{name}").alias(f"_a_{name}"), pick(f"_hi_{name}").alias(f"_b_{name}"), F.max(f"_delta_{name}").alias(f"_d_{name}"))],
+        F.max("_n").alias("_n"))
+    cuts = [F.when(F.col("_n") == 1, F.col(f"_a_{name}")).otherwise(
+        (F.col(f"_a_{name}") * (F.lit(m) - F.col(f"_d_{name}")) + F.col(f"_b_{name}") * F.col(f"_d_{name}")) / F.lit(m)).alias(name)
+        for name, (i, m) in at.items()]
+    return _with(sketch.drop("_n", "_cuts"), points.select(*keys, *cuts), keys, "left")
+
+
+def _with(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Null-safe equi-join on the keys; ``b`` has one row per key and is broadcast when its real size is small."""
+    renamed = b.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in b.columns if c not in keys])
+    return a.join(renamed, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys], how).drop(*[f"_r_{k}" for k in keys])
 
 
 def load_report(df: DataFrame, keys: Sequence[str], success: Column, duration: str, start: Column, end: Column,
                 quantiles: dict[str, tuple[int, int]]) -> DataFrame:
     """Success rate, mean and quantiles of successful durations, and successes per second, per group."""
-    marked = df.withColumn("_ok", success)
+    marked = df.withColumn("_ok", success).withColumn("_good", F.when(F.col("_ok"), F.col(duration)))
     span = (F.max(F.unix_micros(end.cast("timestamp"))) - F.min(F.unix_micros(start.cast("timestamp")))) / 1e6
-    good = F.when(F.col("_ok"), F.col(duration))
-    totals = marked.groupBy(*keys).agg(
-        F.count("*").alias("operations"), F.count_if("_ok").alias("successes"),
-        (F.count_if("_ok") / F.count("*")).alias("success_rate"), F.coalesce(F.avg(good), F.lit(0.0)).alias("mean"),
-        (F.count_if("_ok") / F.nullif(span, F.lit(0.0))).alias("throughput"), span.alias("span_s"))
-    cuts = exact_quantiles(marked.where("_ok"), keys, duration, quantiles)
-    if not keys:
-        joined = totals.withColumn("_one", F.lit(1)).join(cuts.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
-    else:
-        renamed = cuts.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in cuts.columns if c not in keys])
-        joined = totals.join(renamed, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys], "left").drop(*[f"_r_{k}" for k in keys])
-    return joined.select(*[c for c in totals.columns], *[F.coalesce(F.col(q), F.lit(0.0)).alias(q) for q in quantiles])
+    report = exact_quantiles(marked, keys, "_good", quantiles, totals={
+        "operations": F.count("*"), "successes": F.count_if("_ok"), "success_rate": F.count_if("_ok") / F.count("*"),
+        "mean": F.coalesce(F.avg("_good"), F.lit(0.0)), "throughput": F.count_if("_ok") / F.nullif(span, F.lit(0.0)), "span_s": span})
+    return report.withColumns({q: F.coalesce(q, F.lit(0.0)) for q in quantiles})

@@ -19,6 +19,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.session import materialize
+
 # Requests allowed per 60 seconds by role.
 ROLE_LIMITS = {"admin": 1000, "service_broker": 500}
 DEFAULT_LIMIT = 100
@@ -70,7 +72,8 @@ def admit(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], limit
     # The free bucket just before a run is replayed along with it: its rows all passed and may still count.
     head = busy.groupBy(*keys, "_run").agg((F.min("_bucket") - 1).alias("_bucket")).select(*keys, "_bucket", "_run")
     flags = busy.withColumn("_context", F.lit(False)).unionByName(head.withColumn("_context", F.lit(True)))
-    flagged = _null_safe(rows, flags, [*keys, "_bucket"], "left")
+    # Usually few buckets are contended; once written their size is known, and small ones are broadcast.
+    flagged = _null_safe(rows, materialize(flags, "contended"), [*keys, "_bucket"], "left")
 
     free = flagged.where(~F.col("_known") & F.coalesce("_context", F.lit(True))).select(*columns, F.lit(True).alias(name))
     window = W.partitionBy(*keys, "_run").orderBy("_at", *tie)
@@ -165,7 +168,7 @@ def replay_breakers(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[s
     run = F.coalesce(F.sum("_calm").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     runs = marked.withColumn("_run", run)
     runs = runs.withColumn("_faulty", F.max(F.col("_f") > 0).over(W.partitionBy(*keys, "_run"))).where("_faulty")
-    flagged = _null_safe(rows, runs.select(*keys, "_bucket", "_run"), [*keys, "_bucket"], "left")
+    flagged = _null_safe(rows, materialize(runs.select(*keys, "_bucket", "_run"), "faulty"), [*keys, "_bucket"], "left")
 
     calm_state = [F.lit(CLOSED).alias("state"), F.lit(0).alias("failures"), F.lit(0).alias("successes"), F.lit(None).cast("bigint").alias("last_failure")]
     calm_rows = flagged.where("_run IS NULL").select(*columns, F.lit(True).alias("allowed"), *calm_state)

@@ -10,10 +10,10 @@ from tidewatch.operators import alerts as al
 from tidewatch.operators import health as hl
 from tidewatch.operators import metrics as mx
 from tidewatch.operators.alerts import ErrorRateRule, HealthRule, ThresholdRule
-from tidewatch.operators.ranking import newest
 from tidewatch.plans.registry import Registry
 from tidewatch.plans.source_queries import metric_points
 from tidewatch.plans.views import check_sql, view
+from tidewatch.session import materialize
 
 REG = Registry()
 _KEYED = "k AS (SELECT *, concat(name, '{service=', service, ',zone=', zone, '}') AS key FROM metric_point)"
@@ -95,7 +95,8 @@ _LONG = """
     UNION ALL """ + _LONG.format(kind="histogram", rows="(SELECT * FROM k WHERE kind = 'histogram')")
     + " UNION ALL " + _LONG.format(kind="timer", rows="(SELECT run_type AS key, (epoch_us(ended_at) - epoch_us(started_at)) / 1e6 AS value FROM cleanup_run)"), _KEYED))
 def a14(spark, sf_dir):
-    return mx.snapshot(metric_points(spark, sf_dir), _timers(spark, sf_dir)).withColumn("value", F.round("value", 4))
+    totals = mx.series(metric_points(spark, sf_dir)).unionByName(mx.timer_series(_timers(spark, sf_dir), "started_at"))
+    return mx.snapshot(totals).withColumn("value", F.round("value", 4))
 
 
 _LAST = """last_result AS (SELECT * FROM health_result QUALIFY row_number() OVER (PARTITION BY name ORDER BY ts DESC, event_id DESC) = 1)"""
@@ -138,7 +139,7 @@ def j13(spark, sf_dir):
 
 def _plain_values(spark, sf_dir):
     points = view(spark, sf_dir, "metric_point").withColumn("key", F.col("name"))
-    return al.metric_values(points)
+    return al.metric_values(mx.series(points))
 
 
 THRESHOLDS = (ThresholdRule("many-requests", "warning", "requests_total", 1000.0),
@@ -225,7 +226,8 @@ def a19(spark, sf_dir):
 
 def _all_alerts(spark, sf_dir):
     rules = al.RuleSet().add_thresholds(*THRESHOLDS).add_health(*HEALTH_RULES).add_error_rates(*RATE_RULES)
-    return rules.evaluate(_plain_values(spark, sf_dir), *_health(spark, sf_dir))
+    values, results = (materialize(df, "alert-input") for df in (_plain_values(spark, sf_dir), hl.last_results(view(spark, sf_dir, "health_result"))))
+    return rules.evaluate(values, results, hl.summary(results))
 
 
 _ALL = f"""{_HEALTH_CTES}, {_RULES}, {_VALUES}, alert AS (

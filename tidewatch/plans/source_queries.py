@@ -214,7 +214,8 @@ def s14(spark, sf_dir):
                     concat(name, '{service=', service, ',zone=', zone, '}') AS key FROM metric_point)"""))
 def s15(spark, sf_dir):
     helps = {"requests_total": "Requests served", "errors_total": "Requests that failed"}
-    lines = mx.exposition(metric_points(spark, sf_dir), helps, (10, 50, 250))
+    bounds = (10, 50, 250)
+    lines = mx.exposition(mx.series(metric_points(spark, sf_dir), bounds=bounds), helps, bounds)
     return lines.select("series", F.round("value", 4).alias("value"))
 
 
