@@ -179,7 +179,9 @@ def _compare(f: _Field, op: str, value: Any) -> Column:
     else:
         number = F.when(f.text == "True", 1.0).when(f.text == "False", 0.0).otherwise(f.text.try_cast("double"))
     test = {"gt": number > bound, "lt": number < bound, "gte": number >= bound, "lte": number <= bound}[op]
-    return F.coalesce(test & ~F.isnan(number.cast("double")), F.lit(False))
+    # NaN sorts above every number here, yet must satisfy no comparison.
+    test = test & ~F.isnan(number.cast("double"))
+    return test if f.family == "number" else F.coalesce(test, F.lit(False))
 
 
 def in_range(ts: str, start: datetime | None, end: datetime | None) -> Column | None:
