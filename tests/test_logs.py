@@ -126,3 +126,13 @@ def test_filters_reach_the_scan(spark, tmp_path):
         plan = lq.where(table, LogQuery(filters=(spec,))).select("event_id")._jdf.queryExecution().executedPlan().toString()
         assert pushed in plan[plan.index("PushedFilters"):]
         assert spec.field in plan[plan.index("ReadSchema"):] and plan[plan.index("ReadSchema"):].count(":") == 3
+
+
+@pytest.mark.parametrize("limit, offset", [(7, 3), (None, 5), (500, 0), (100, 333), (None, 2000), (3, 999)])
+def test_deep_pages_equal_top_k(spark, monkeypatch, limit, offset):
+    df = spark.range(1000).select("id", (F.col("id") * 7919 % 100).alias("v")).repartition(6)
+    order = [F.desc("v"), F.asc("id")]
+    want = [r["id"] for r in df.orderBy(*order).collect()][offset:][:limit]
+    assert [r["id"] for r in lq.page(df, order, limit, offset, ["id"]).collect()] == want
+    monkeypatch.setattr(lq, "TOP_K_ROWS", 0)
+    assert [r["id"] for r in lq.page(df, order, limit, offset, ["id"]).collect()] == want

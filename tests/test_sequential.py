@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from tidewatch.operators.quantiles import exact_quantiles, load_report
 from tidewatch.operators.ranking import latest, newest
-from tidewatch.operators.segments import running_max, streak, trailing_count
+from tidewatch.operators.segments import running_max, sessions, streak, trailing_count
 from tidewatch.operators.sequential import BreakerConfig, admit, replay_breakers
 from tidewatch.streaming import jobs
 
@@ -182,3 +182,18 @@ def test_load_report(spark):
     assert (got["a"]["operations"], got["a"]["successes"], got["a"]["mean"], got["a"]["throughput"]) == (3, 2, 2.0, 0.2)
     assert got["a"]["p95"] == pytest.approx(statistics.quantiles([1.0, 3.0], n=20)[18])
     assert (got["b"]["success_rate"], got["b"]["mean"], got["b"]["p95"]) == (0.0, 0.0, 0.0)
+
+
+@pytest.mark.parametrize("gap, segment", [(30, 60), (300, 3600), (30, 5), (400, 10)])
+def test_sessions_equal_loop_and_session_window(spark, gap, segment):
+    data, df = skewed(spark, 26)
+    want, last = {}, {}
+    for i, key, ts, failed, _ in sorted(data, key=lambda d: (d[2], d[0])):
+        runs = want.setdefault(key, [])
+        if key not in last or ts - last[key] > timedelta(seconds=gap):
+            runs.append([ts, ts, 0, 0])
+        runs[-1][1:] = [ts, runs[-1][2] + 1, runs[-1][3] + failed]
+        last[key] = ts
+    expected = sorted((k, *r) for k, runs in want.items() for r in runs)
+    got = sessions(df, "key", "ts", gap, {"failures": F.col("failed")}, segment_seconds=segment)
+    assert sorted(tuple(r) for r in got.select("key", "started_at", "last_at", "events", "failures").collect()) == expected

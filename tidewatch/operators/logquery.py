@@ -10,9 +10,12 @@ from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.session import materialize
+
 OPERATORS = ("eq", "ne", "contains", "not_contains", "starts_with", "ends_with",
              "gt", "lt", "gte", "lte", "in", "not_in", "regex")
 
@@ -214,12 +217,19 @@ def _is_temporal(df: DataFrame, name: str) -> bool:
     return name in df.columns and isinstance(df.schema[name].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
 
 
+# Up to this many leading rows a page is a top-k; beyond it the rows are sorted over all tasks.
+TOP_K_ROWS = 100_000
+
+
 def page(df: DataFrame, order: list[Column], limit: int | None, offset: int, key: Sequence[str]) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` of the order; no limit (or 0) means the rest.
 
-    With a limit this is a top-k. Without one, skipping rows by position would pull the table through
-    one task, so the skipped head (at most ``offset`` rows) is found as a top-k and removed by key.
+    A shallow page is a top-k. A shallow skip without a limit finds the skipped head as a top-k and removes
+    it by key, because skipping by position would pull the table through one task. Deep pages are sliced
+    out of a range-partitioned sort.
     """
+    if max(offset, 0) + (limit or 0) > TOP_K_ROWS:
+        return _deep_page(df, order, limit, offset)
     if limit:
         return df.orderBy(*order).offset(offset).limit(limit)
     if offset:
@@ -228,6 +238,35 @@ def page(df: DataFrame, order: list[Column], limit: int | None, offset: int, key
     return df.orderBy(*order)
 
 
+def _deep_page(df: DataFrame, order: list[Column], limit: int | None, offset: int) -> DataFrame:
+    """Sort by range into partitions, count them, and number rows only in the partitions at the page's ends.
+
+    The sorted rows are written first, since a recomputed range partitioning need not cut at the same rows.
+    Only one count per partition comes to the driver.
+    """
+    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    stored = materialize(ranged, "sorted")
+    sizes = sorted((r["_part"], r["n"]) for r in stored.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    end = offset + limit if limit else None
+    before, whole, cut = 0, [], {}
+    for part, n in sizes:
+        first, last = before, before + n
+        before = last
+        if last <= offset or (end is not None and first >= end):
+            continue
+        if first >= offset and (end is None or last <= end):
+            whole.append(part)
+        else:
+            cut[part] = (offset - first, (end - first) if end is not None else n)
+    rows = stored.where(F.col("_part").isin(whole)) if whole else stored.where("false")
+    if cut:
+        number = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+        ends = stored.where(F.col("_part").isin(list(cut))).withColumn("_number", number)
+        inside = reduce(lambda a, b: a | b, [(F.col("_part") == p) & (F.col("_number") > lo) & (F.col("_number") <= hi) for p, (lo, hi) in cut.items()])
+        rows = rows.unionByName(ends.where(inside).drop("_number"))
+    return rows.drop("_part").orderBy(*order)
+
+
 def run(df: DataFrame, query: LogQuery, key: Sequence[str] = ("event_id",), ts: str = "ts") -> DataFrame:
     matched = where(df, query, ts)
     order = sort_columns(matched, query.sort_field, query.descending, key)

@@ -1,4 +1,4 @@
-"""Running values per key that are split over time segments, so that a hot key is not one task.
+"""Running values and sessions per key that are split over time segments, so that a hot key is not one task.
 
 Each (key, segment) is windowed on its own; what earlier segments contribute is computed on one row per
 (key, segment) and joined back. Results equal the plain window over the key.
@@ -72,3 +72,29 @@ def trailing_count(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, na
     window = W.partitionBy(*keys, SEGMENT).orderBy("_at").rangeBetween(-seconds * 1_000_000, 0)
     counted = spread.withColumn(name, F.count("*").over(window))
     return counted.where(F.col(SEGMENT) == F.col("_own")).drop("_at", "_own", SEGMENT)
+
+
+def sessions(df: DataFrame, key: str, ts: str, gap_seconds: float, measures: dict[str, Column],
+             segment_seconds: int = 3600) -> DataFrame:
+    """Runs of a key's rows whose pauses stay within the gap: first and last time, rows, summed measures.
+
+    Rows are first joined into runs inside each (key, segment); only those runs, not the rows, are then
+    joined across segments.
+    """
+    gap, size = F.lit(int(gap_seconds * 1_000_000)), F.lit(segment_seconds * 1_000_000)
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = df.select(key, F.col(ts).alias("_ts"), at.alias("_at"), F.floor(at / size).alias(SEGMENT), F.lit(1).alias("events"),
+                     *[c.cast("bigint").alias(n) for n, c in measures.items()])
+    inside = W.partitionBy(key, SEGMENT).orderBy("_at")
+    fresh = (F.col("_at") - F.lag("_at").over(inside) > gap).cast("int")
+    rows = rows.withColumn("_fresh", F.coalesce(fresh, F.lit(0)))
+    rows = rows.withColumn("_run", F.sum("_fresh").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    sums = ["events", *measures]
+    runs = rows.groupBy(key, SEGMENT, "_run").agg(
+        F.min("_ts").alias("started_at"), F.max("_ts").alias("last_at"), F.min("_at").alias("_first"), F.max("_at").alias("_last"),
+        *[F.sum(c).alias(c) for c in sums])
+    across = W.partitionBy(key).orderBy("_first")
+    opens = F.coalesce((F.col("_first") - F.lag("_last").over(across) > gap).cast("int"), F.lit(1))
+    runs = runs.withColumn("_opens", opens).withColumn("_session", F.sum("_opens").over(across.rowsBetween(W.unboundedPreceding, 0)))
+    return runs.groupBy(key, "_session").agg(F.min("started_at").alias("started_at"), F.max("last_at").alias("last_at"),
+                                             *[F.sum(c).alias(c) for c in sums]).drop("_session")

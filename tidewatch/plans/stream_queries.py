@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import alerts as al
 from tidewatch.operators import metrics as mx
+from tidewatch.operators.segments import sessions
 from tidewatch.plans.monitor_queries import _HEALTH, _KEYED, _ROUND, ROUND_RULES
 from tidewatch.plans.registry import Registry
 from tidewatch.plans.sequential_queries import ADMISSION_SQL, BREAKER_SQL, CONFIG, DEBOUNCE_SQL, LIMIT, THROTTLE_SQL
 from tidewatch.plans.source_queries import _JSON_ROWS, raw_lines
-from tidewatch.plans.views import apply_view, check_sql
+from tidewatch.plans.views import apply_view, check_sql, view
 from tidewatch.session import scratch_dir
 from tidewatch.streaming import jobs, stateful
 
@@ -62,14 +63,13 @@ _SESSIONS = """SELECT session_id, min(ts) AS started_at, max(ts) AS last_at, cou
 
 @REG.query("t05_sessions", check_sql("audit_log", _SESSIONS))
 def t05(spark, sf_dir):
-    from tidewatch.plans.views import view
-    rows = view(spark, sf_dir, "audit_log").withColumn("ts", F.col("ts").cast("timestamp"))
-    return jobs.sessions(rows, "session_id", "6 hours")
+    rows = view(spark, sf_dir, "audit_log")
+    return sessions(rows, "session_id", "ts", 6 * 3600, {"failures": F.col("operation_result") == "failure"}, segment_seconds=86400)
 
 
 @REG.query("t05_stream_sessions", check_sql("audit_log", _SESSIONS + " HAVING max(ts) + INTERVAL '6' HOUR <= (SELECT max(ts) FROM audit_log) - INTERVAL '10' MINUTE"))
 def t05_stream(spark, sf_dir):
-    closed = jobs.sessions(_stream(spark, sf_dir, "audit_log"), "session_id", "6 hours")
+    closed = jobs.sessions(_stream(stateful.stateful_session(spark), sf_dir, "audit_log"), "session_id", "6 hours")
     table = jobs.run_to_table(closed, scratch_dir(spark, "sessions"))
     return spark.read.parquet(table).drop("epoch")
 
