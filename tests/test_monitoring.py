@@ -9,7 +9,7 @@ from conftest import rows
 from tidewatch.operators import alerts as al
 from tidewatch.operators import health as hl
 from tidewatch.operators import metrics as mx
-from tidewatch.streaming import stateful
+from tidewatch.streaming import jobs, stateful
 
 START = datetime(2024, 1, 1)
 POINTS = "event_id LONG, ts TIMESTAMP_NTZ, kind STRING, name STRING, labels MAP<STRING, STRING>, value DOUBLE"
@@ -143,13 +143,12 @@ def test_transitions_and_episodes(spark):
 
 
 def test_alert_stream_equals_transitions(spark, tmp_path):
-    session = stateful.stateful_session(spark)
+    session = jobs.stream_session(spark, 2, rocksdb=True)
     path = str(tmp_path / "grid")
     for at in range(5):
         one = grid(spark).where(F.col("round") == F.lit(START + timedelta(hours=at)).cast("timestamp_ntz")).withColumn("round", F.col("round").cast("timestamp"))
         one.coalesce(1).write.mode("append").parquet(path)
     stream = session.readStream.schema("round TIMESTAMP, name STRING, severity STRING, firing BOOLEAN").option("maxFilesPerTrigger", 1).parquet(path)
-    from tidewatch.streaming import jobs
     table = jobs.run_to_table(stateful.alert_stream(stream), str(tmp_path / "out"))
     got = spark.read.parquet(table)
     assert rows(got, "round", "name", "state") == rows(al.transitions(grid(spark)), "round", "name", "state")

@@ -18,10 +18,18 @@ from tidewatch.streaming import jobs, stateful
 REG = Registry()
 
 
+SMALL_STATE = 32
+
+
 def _stream(spark, sf_dir, name):
     return apply_view(jobs.stream_table(spark, f"{sf_dir}/events.parquet"), name)
 
 
+def _small(spark, sf_dir, name):
+    """The stream for jobs whose state is a row per period or series."""
+    return _stream(jobs.stream_session(spark, SMALL_STATE), sf_dir, name)
+
+
 @REG.query("t01_stream_ingest", check_sql("audit_log", f"""
     SELECT event_id, CASE WHEN {_JSON_ROWS} THEN 'json' WHEN event_id % 17 = 0 THEN 'rejected' ELSE 'text' END AS layout,
            CASE WHEN event_id % 17 <> 0 THEN level END AS level, CASE WHEN event_id % 17 = 0 THEN NULL WHEN {_JSON_ROWS} THEN ts ELSE date_trunc('second', ts) END AS ts FROM audit_log"""))
@@ -35,7 +43,7 @@ def t01(spark, sf_dir):
 
 @REG.query("t02_stream_hourly_counts", check_sql("audit_log", "SELECT date_trunc('hour', ts) AS period_start, level, count(*) AS n FROM audit_log GROUP BY 1, 2"))
 def t02(spark, sf_dir):
-    counts = jobs.period_counts(_stream(spark, sf_dir, "audit_log"), "1 hour", ["level"])
+    counts = jobs.period_counts(_small(spark, sf_dir, "audit_log"), "1 hour", ["level"])
     table = jobs.run_to_table(counts, scratch_dir(spark, "hourly"), "update")
     return jobs.read_latest(spark, table, ["period_start", "level"])
 
@@ -45,14 +53,14 @@ _RATE = "count(*) AS requests, count(CASE WHEN operation_result = 'failure' THEN
 
 @REG.query("t03_stream_error_rate", check_sql("audit_log", f"SELECT time_bucket(INTERVAL '5' MINUTE, ts) AS window_start, {_RATE} FROM audit_log GROUP BY 1"))
 def t03(spark, sf_dir):
-    rates = jobs.error_rates(_stream(spark, sf_dir, "audit_log"), F.col("operation_result") == "failure", "5 minutes")
+    rates = jobs.error_rates(_small(spark, sf_dir, "audit_log"), F.col("operation_result") == "failure", "5 minutes")
     return jobs.read_latest(spark, jobs.run_to_table(rates, scratch_dir(spark, "rates"), "update"), ["window_start"])
 
 
 @REG.query("t04_stream_sliding_rate", check_sql("audit_log", f"""
     SELECT time_bucket(INTERVAL '1' MINUTE, ts) - m * INTERVAL '1' MINUTE AS window_start, {_RATE} FROM audit_log, (SELECT unnest(generate_series(0, 4)) AS m) GROUP BY 1"""))
 def t04(spark, sf_dir):
-    rates = jobs.error_rates(_stream(spark, sf_dir, "audit_log"), F.col("operation_result") == "failure", "5 minutes", "1 minute")
+    rates = jobs.error_rates(_small(spark, sf_dir, "audit_log"), F.col("operation_result") == "failure", "5 minutes", "1 minute")
     return jobs.read_latest(spark, jobs.run_to_table(rates, scratch_dir(spark, "sliding"), "update"), ["window_start"])
 
 
@@ -69,7 +77,7 @@ def t05(spark, sf_dir):
 
 @REG.query("t05_stream_sessions", check_sql("audit_log", _SESSIONS + " HAVING max(ts) + INTERVAL '6' HOUR <= (SELECT max(ts) FROM audit_log) - INTERVAL '10' MINUTE"))
 def t05_stream(spark, sf_dir):
-    closed = jobs.sessions(_stream(stateful.stateful_session(spark), sf_dir, "audit_log"), "session_id", "6 hours")
+    closed = jobs.sessions(_stream(jobs.stream_session(spark, rocksdb=True), sf_dir, "audit_log"), "session_id", "6 hours")
     table = jobs.run_to_table(closed, scratch_dir(spark, "sessions"))
     return spark.read.parquet(table).drop("epoch")
 
@@ -97,7 +105,7 @@ def t07(spark, sf_dir):
     grid AS (SELECT round, 'error-share' AS name, 'critical' AS severity, rate > 0.3 AS firing FROM rounds UNION ALL
       SELECT round, 'busy', 'warning', n > 16 FROM rounds UNION ALL SELECT round, 'quiet', 'info', n < 9 FROM rounds)"""))
 def t08(spark, sf_dir):
-    session = stateful.stateful_session(spark)
+    session = jobs.stream_session(spark, SMALL_STATE, rocksdb=True)
     rates = (_stream(session, sf_dir, "audit_log").withWatermark("ts", jobs.WATERMARK).groupBy(F.window("ts", "1 hour").alias("w"))
              .agg(F.count("*").alias("n"), F.avg((F.col("operation_result") == "failure").cast("double")).alias("rate")))
     grid = al.firing_grid(rates.select(F.col("w.start").alias("round"), "n", "rate"), ROUND_RULES, ["n", "rate"])
@@ -124,12 +132,12 @@ def t10(spark, sf_dir):
     SELECT kind, key, count(*) AS count, round(sum(value), 4) AS sum, min(value) AS min, max(value) AS max, arg_max(value, event_id) AS last FROM k GROUP BY 1, 2""", _KEYED))
 def t11(spark, sf_dir):
     labels = F.create_map(F.lit("zone"), F.col("zone"), F.lit("service"), F.col("service"))
-    points = mx.with_key(_stream(spark, sf_dir, "metric_point").withColumn("labels", labels))
+    points = mx.with_key(_small(spark, sf_dir, "metric_point").withColumn("labels", labels))
     table = jobs.run_to_table(jobs.running_metrics(points), scratch_dir(spark, "metrics"), "update")
     return jobs.read_latest(spark, table, ["kind", "key"]).withColumn("sum", F.round("sum", 4))
 
 
 @REG.query("t12_stream_health_rounds", check_sql("health_result", f"SELECT round, {_HEALTH} FROM round_result GROUP BY 1", _ROUND))
 def t12(spark, sf_dir):
-    results = jobs.latest_per_round(_stream(spark, sf_dir, "health_result"), "1 hour")
+    results = jobs.latest_per_round(_small(spark, sf_dir, "health_result"), "1 hour")
     return jobs.round_summaries(spark, jobs.run_to_table(results, scratch_dir(spark, "rounds"), "update"))

@@ -19,6 +19,27 @@ WATERMARK = "10 minutes"
 MAX_BYTES = 1 << 40
 
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stream_session(spark: SparkSession, most_partitions: int | None = None, rocksdb: bool = False) -> SparkSession:
+    """A sibling session for keyed streams; the caller's settings stay as they are.
+
+    A stream keeps its number of state partitions for life and each one costs a commit per batch, so
+    jobs whose state is small (a row per period or rule, pre-aggregated before the shuffle) cap it.
+    Large state goes to RocksDB, off the heap, which transformWithState needs in any case. Session
+    windows are merged within each input partition, so that a busy key arrives pre-aggregated.
+    """
+    sibling = spark.newSession()
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sibling.conf.set("spark.sql.shuffle.partitions", str(min(partitions, most_partitions or partitions)))
+    sibling.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    sibling.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    if rocksdb:
+        sibling.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    return sibling
+
+
 def stream_table(spark: SparkSession, path: str, schema: T.StructType | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
     """A table folder or file as a stream; ``max_bytes`` bounds each micro-batch. Times become zoned, as watermarks need."""
     schema = schema or spark.read.parquet(path).schema

@@ -4,27 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def stateful_session(spark: SparkSession) -> SparkSession:
-    """A sibling session for keyed streams; the caller's settings stay as they are.
-
-    State is kept in RocksDB, off the heap, which transformWithState needs. Session windows are merged
-    within each input partition before the shuffle, so that a busy session key arrives pre-aggregated.
-    """
-    sibling = spark.newSession()
-    for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
-        sibling.conf.set(key, spark.conf.get(key))
-    sibling.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    sibling.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
-    return sibling
-
-
 class AlertProcessor(StatefulProcessor):
     """Emits a row when a rule starts or stops firing, with the episode's start and, once over, its end."""
 
