@@ -38,23 +38,24 @@ def running_max(df: DataFrame, keys: Sequence[str], order: Sequence[str], segmen
 
 def streak(df: DataFrame, keys: Sequence[str], order: Sequence[str], segment: Column, failed: Column,
            name: str = "streak") -> DataFrame:
-    """Adds the number of consecutive failures up to and including the row; a success resets it to 0."""
+    """Adds the number of consecutive failures up to and including the row; a success resets it to 0.
+
+    With the failures so far counted, a streak is that count less its value at the last success.
+    """
     df = df.withColumn(SEGMENT, segment).withColumn("_fail", failed.cast("int"))
     upto = W.partitionBy(*keys, SEGMENT).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    local = df.withColumn("_island", F.sum(1 - F.col("_fail")).over(upto))
-    inside = W.partitionBy(*keys, SEGMENT, "_island").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    local = local.withColumn("_local", F.sum("_fail").over(inside))
-    # Per segment: does it hold a success, and how many failures follow the last one.
-    ends = local.groupBy(*keys, SEGMENT).agg(
-        F.max("_island").alias("_successes"), F.max(F.struct("_island", "_local")).alias("_tail"))
+    local = df.withColumn("_count", F.sum("_fail").over(upto))
+    local = local.withColumn("_base", F.max(F.when(F.col("_fail") == 0, F.col("_count"))).over(upto))
+    # Per segment: does it hold a success (a base), and how many failures follow the last one.
+    ends = local.groupBy(*keys, SEGMENT).agg(F.max("_base").alias("_base"), F.max("_count").alias("_count"))
     before = W.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(W.unboundedPreceding, 0)
-    ends = (ends.withColumn("_reset", F.sum((F.col("_successes") > 0).cast("int")).over(before))
-            .withColumn("_trail", F.sum(F.col("_tail._local")).over(
+    ends = (ends.withColumn("_reset", F.count("_base").over(before))
+            .withColumn("_trail", F.sum(F.col("_count") - F.coalesce("_base", F.lit(0))).over(
                 W.partitionBy(*keys, "_reset").orderBy(SEGMENT).rowsBetween(W.unboundedPreceding, 0))))
     carry = ends.select(*keys, SEGMENT, F.lag("_trail").over(W.partitionBy(*keys).orderBy(SEGMENT)).alias("_carried"))
     joined = _carry_join(local, carry, keys)
-    total = F.col("_local") + F.when(F.col("_island") == 0, F.coalesce("_carried", F.lit(0))).otherwise(0)
-    return joined.withColumn(name, total).drop(SEGMENT, "_fail", "_island", "_local", "_carried")
+    total = F.col("_count") - F.coalesce("_base", -F.coalesce("_carried", F.lit(0)))
+    return joined.withColumn(name, total).drop(SEGMENT, "_fail", "_count", "_base", "_carried")
 
 
 def trailing_count(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, name: str = "recent",

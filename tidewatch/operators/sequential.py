@@ -44,6 +44,33 @@ def _null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -
     return left.join(right, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in on], how).drop(*[f"_r_{k}" for k in on])
 
 
+def _stretches(new: np.ndarray) -> Iterator[tuple[int, int, bool]]:
+    """The parts of a batch that belong to one run, and whether the run begins there."""
+    starts = np.flatnonzero(new)
+    bounds = sorted({0, *starts.tolist(), len(new)})
+    for first, last in zip(bounds, bounds[1:]):
+        yield first, last, bool(new[first])
+
+
+def _pass_rows(recent: deque[int], at: np.ndarray, context: np.ndarray, passed: np.ndarray,
+               first: int, last: int, limit: int, width: int) -> None:
+    """Mark the rows of one stretch that pass. While the window is full, jump to where its oldest entry leaves."""
+    known = np.flatnonzero(context[first:last]) + first
+    i = first
+    while i < last:
+        t = int(at[i])
+        while recent and recent[0] <= t - width:
+            recent.popleft()
+        if context[i] or len(recent) < limit:
+            recent.append(t)
+            passed[i] = True
+            i += 1
+            continue
+        free = i + int(np.searchsorted(at[i:last], recent[0] + width)) if recent else last
+        ahead = np.searchsorted(known, i)
+        i = min(free, int(known[ahead])) if ahead < len(known) else free
+
+
 def admit(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], limit: int | Column,
           window_seconds: float, keep: Sequence[str] = (), name: str = "admitted",
           earlier: DataFrame | None = None) -> DataFrame:
@@ -84,17 +111,13 @@ def admit(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], limit
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         recent: deque[int] = deque()
         for batch in batches:
-            at, new, context = batch["_at"].to_numpy(), batch["_new"].to_numpy(), batch["_context"].to_numpy()
+            at, context = batch["_at"].to_numpy(), batch["_context"].to_numpy().astype(bool)
             allowed, passed = batch["_limit"].to_numpy(), np.zeros(len(batch), dtype=bool)
-            for i in range(len(batch)):
-                if new[i]:
+            for first, last, new in _stretches(batch["_new"].to_numpy()):
+                if new:
                     recent.clear()
-                while recent and recent[0] <= at[i] - width:
-                    recent.popleft()
-                if context[i] or len(recent) < allowed[i]:
-                    recent.append(at[i])
-                    passed[i] = True
-            yield batch[columns].assign(**{name: passed})[~context.astype(bool)]
+                _pass_rows(recent, at, context, passed, first, last, int(allowed[first:last].max()), width)
+            yield batch[columns].assign(**{name: passed})[~context]
 
     schema = T.StructType([*[rows.schema[c] for c in columns], T.StructField(name, T.BooleanType())])
     return free.unionByName(contended.mapInPandas(replay, schema))
@@ -111,31 +134,39 @@ CLOSED, OPEN, HALF_OPEN = "closed", "open", "half_open"
 
 
 class Breaker:
-    """State of one circuit breaker; ``call`` replays one outcome and says whether the call was let through."""
+    """State of one circuit breaker, replayed over calls in time order."""
 
-    __slots__ = ("config", "state", "failures", "successes", "last_failure")
-
-    def __init__(self, config: BreakerConfig, state: str = CLOSED, failures: int = 0, successes: int = 0,
-                 last_failure: int | None = None) -> None:
+    def __init__(self, config: BreakerConfig, state: str = CLOSED, failures: int = 0, successes: int = 0, last_failure: int = 0) -> None:
         self.config, self.state, self.failures = config, state, failures
         self.successes, self.last_failure = successes, last_failure
 
-    def call(self, at: int, failed: bool) -> bool:
+    def snapshot(self) -> tuple[str, int, int, int]:
+        return self.state, self.failures, self.successes, self.last_failure
+
+    def step(self, at: np.ndarray, failed: np.ndarray, faults: np.ndarray, i: int, last: int) -> tuple[int, bool]:
+        """Handle calls from ``i`` on that share one outcome and one resulting state: where they end, and if they were let through.
+
+        ``faults`` are the positions of failed calls. A closed breaker jumps over successes, an open one over all
+        calls before it may try again.
+        """
         if self.state == OPEN:
-            if at - self.last_failure < self.config.recovery_seconds * 1_000_000:
-                return False
+            retry = i + int(np.searchsorted(at[i:last], self.last_failure + int(self.config.recovery_seconds * 1_000_000)))
+            if retry > i:
+                return retry, False
             self.state, self.successes = HALF_OPEN, 0
-        if failed:
-            self.last_failure, self.failures = at, self.failures + 1
+        if failed[i]:
+            self.last_failure, self.failures = int(at[i]), self.failures + 1
             if self.state == HALF_OPEN or self.failures >= self.config.failure_threshold:
                 self.state = OPEN
-        elif self.state == CLOSED:
+            return i + 1, True
+        if self.state == CLOSED:
             self.failures = 0
-        else:
-            self.successes += 1
-            if self.successes >= self.config.success_threshold:
-                self.state, self.failures = CLOSED, 0
-        return True
+            ahead = int(np.searchsorted(faults, i))
+            return (min(int(faults[ahead]), last) if ahead < len(faults) else last), True
+        self.successes += 1
+        if self.successes >= self.config.success_threshold:
+            self.state, self.failures = CLOSED, 0
+        return i + 1, True
 
 
 STATE_COLUMNS = ("state", "failures", "successes", "last_failure")
@@ -186,16 +217,23 @@ def replay_breakers(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[s
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         breaker = Breaker(config)
         for batch in batches:
-            allowed, states = [], []
-            given = zip(*[batch[f"_{c}"].tolist() for c in STATE_COLUMNS])
-            for at, bad, new, start in zip(batch["_at"].tolist(), batch["_failed"].tolist(), batch["_new"].tolist(), given):
+            at, bad = batch["_at"].to_numpy(), batch["_failed"].to_numpy().astype(bool)
+            faults, given = np.flatnonzero(bad), batch[[f"_{c}" for c in STATE_COLUMNS]]
+            lengths, allowed, states = [], [], []
+            for first, last, new in _stretches(batch["_new"].to_numpy()):
                 if new:
-                    breaker = Breaker(config, *start) if start[0] else Breaker(config)
-                allowed.append(breaker.call(at, bad))
-                states.append((breaker.state, breaker.failures, breaker.successes, breaker.last_failure))
-            done = pd.DataFrame(states, columns=list(STATE_COLUMNS), index=batch.index)
-            yield batch[columns].assign(allowed=allowed, state=done["state"], failures=done["failures"].astype("int32"),
-                                        successes=done["successes"].astype("int32"), last_failure=done["last_failure"].astype("Int64"))
+                    start = given.iloc[first].tolist()
+                    breaker = Breaker(config, start[0], *[int(v) for v in start[1:]]) if start[0] else Breaker(config)
+                while first < last:
+                    end, through = breaker.step(at, bad, faults, first, last)
+                    lengths.append(end - first)
+                    allowed.append(through)
+                    states.append(breaker.snapshot())
+                    first = end
+            spread = np.repeat(np.arange(len(lengths)), lengths)
+            done = pd.DataFrame(states, columns=list(STATE_COLUMNS)).iloc[spread].set_index(batch.index)
+            yield batch[columns].assign(allowed=np.array(allowed, dtype=bool)[spread], state=done["state"], failures=done["failures"].astype("int32"),
+                                        successes=done["successes"].astype("int32"), last_failure=done["last_failure"].astype("int64"))
 
     schema = T.StructType([*[rows.schema[c] for c in columns], T.StructField("allowed", T.BooleanType()),
                            T.StructField("state", T.StringType()), T.StructField("failures", T.IntegerType()),
