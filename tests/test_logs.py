@@ -31,6 +31,21 @@ def log(parsed):
     return logs.records(parsed)
 
 
+@pytest.mark.parametrize("line", ['{"a": 1} {"b": 2}', '{"a": 1}, {"b": 2}', '{"a": 1} tail }', "{'a': 1}", '{"a": 1,}', "{}", "{ }", '"text"', "12", "null"])
+def test_not_one_json_object(spark, line):
+    parsed = logs.parse(spark.createDataFrame([(line,)], "line STRING"))
+    assert logs.records(parsed).count() == 0 and rows(logs.rejected(parsed), "line") == [(line,)]
+
+
+def test_whole_object_is_kept_on_request(spark):
+    parsed = logs.parse(spark.createDataFrame([('{"level": "INFO", "extra": {"x": 7}}',)], "line STRING"), rest=True)
+    assert ids_of(lq.where(parsed, LogQuery(filters=(LogFilter("body.extra.x", "gt", 6),)))) == ["INFO"]
+
+
+def ids_of(df):
+    return [r["level"] for r in df.select("level").collect()]
+
+
 def ids(df):
     return sorted(r["id"] for r in df.select("id").collect())
 

@@ -134,13 +134,16 @@ def pending_operations(operations: DataFrame) -> DataFrame:
     return operations.where("state = 'in_progress'")
 
 
-def recent_audit(audit: DataFrame, as_of: datetime, ts: str = "ts") -> DataFrame:
+def recent_audit(audit: DataFrame, as_of: datetime, ts: str = "ts", tie: Sequence[str] = ()) -> DataFrame:
+    """The last 24 hours, newest first. ``tie`` orders rows of one time and lets the sort split them."""
     start = F.lit(as_of).cast("timestamp_ntz") - F.expr("INTERVAL '24' HOUR")
-    return audit.where(F.col(ts) >= start).orderBy(F.desc(ts))
+    return audit.where(F.col(ts) >= start).orderBy(F.desc(ts), *tie)
 
 
-def due_jobs(jobs: DataFrame, as_of: datetime) -> DataFrame:
-    return jobs.where((F.col("state") == "scheduled") & (F.col("scheduled_at") <= F.lit(as_of).cast("timestamp_ntz"))).orderBy("scheduled_at")
+def due_jobs(jobs: DataFrame, as_of: datetime, tie: Sequence[str] = ()) -> DataFrame:
+    """Scheduled jobs whose time has come, oldest first."""
+    due = (F.col("state") == "scheduled") & (F.col("scheduled_at") <= F.lit(as_of).cast("timestamp_ntz"))
+    return jobs.where(due).orderBy("scheduled_at", *tie)
 
 
 def register_views(instances: DataFrame, topics: DataFrame, operations: DataFrame, audit: DataFrame, jobs: DataFrame,

@@ -13,7 +13,7 @@ from tidewatch.session import materialize
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, at: dict[str, tuple[int, int]],
-                    totals: dict[str, Column] | None = None, margin: float = 0.002, accuracy: int = 10000) -> DataFrame:
+                    totals: dict[str, Column] | None = None, margin: float = 0.0005, accuracy: int = 10000) -> DataFrame:
     """Cut points i/m per group by the exclusive method: with n values, the point i*(n+1)/m between sorted
     neighbours, clamped to the first and last pair; a single value stands for itself; null without values.
 

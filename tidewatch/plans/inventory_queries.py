@@ -191,7 +191,7 @@ def f29(spark, sf_dir):
 @REG.query("f30_recent_audit", check_sql("audit_log", """
     SELECT event_id, ts, event_type FROM audit_log WHERE ts >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL '24' HOUR ORDER BY ts DESC"""))
 def f30(spark, sf_dir):
-    return inv.recent_audit(view(spark, sf_dir, "audit_log"), AS_OF).select("event_id", "ts", "event_type")
+    return inv.recent_audit(view(spark, sf_dir, "audit_log"), AS_OF, tie=["event_id"]).select("event_id", "ts", "event_type")
 
 
 @REG.query("f31_due_cleanup_jobs", check_sql("cleanup_run", """
@@ -199,7 +199,7 @@ def f30(spark, sf_dir):
 def f31(spark, sf_dir):
     jobs = view(spark, sf_dir, "cleanup_run").select("task_id", "line_id", "price", F.col("started_at").alias("scheduled_at"),
                                                      F.when(F.col("status") == "running", "scheduled").otherwise(F.col("status")).alias("state"))
-    return inv.due_jobs(jobs, datetime(1998, 6, 1)).drop("state")
+    return inv.due_jobs(jobs, datetime(1998, 6, 1), tie=["task_id", "line_id", "price"]).drop("state")
 
 
 @REG.query("l04_executions_newest", check_sql("cleanup_run", """

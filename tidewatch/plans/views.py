@@ -160,7 +160,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def apply_view(source: DataFrame, name: str) -> DataFrame:
     """The view's projection over any batch or streaming DataFrame with the table's columns."""
-    return source.selectExpr(*[f"{_fill(e, _SPARK)} AS {c}" for c, e in VIEWS[name][1]])
+    columns = VIEWS[name][1]
+    if any("{K}" in e for _, e in columns):
+        source = source.selectExpr("*", f"{_SPARK['K']} AS _k")
+    return source.selectExpr(*[f"{_fill(e, {'K': '_k'})} AS {c}" for c, e in columns])
 
 
 def check_sql(views: str, body: str, ctes: str = "") -> str:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.functions.texttime import parse_iso
 
 # Fixed value: the text log layout, time [LEVEL] logger: message.
 TEXT_LAYOUT = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}) \[(\w+)\] ([^:]+): (.+)"
 
+EMPTY_OBJECT = r"^\{\s*\}$"
+
 JSON_FIELDS = ("level", "logger", "message", "event_type", "user_id", "session_id",
                "resource_type", "resource_id", "operation_result")
 
@@ -41,11 +44,11 @@ def parse(lines: DataFrame, line: str = "line", rest: bool = False) -> DataFrame
     JSON object is kept as VARIANT for fields outside the fixed set.
     """
     text = F.trim(F.col(line))
-    fields = ", ".join(f"{f} STRING" for f in ("timestamp", *JSON_FIELDS, "details"))
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
-    node = F.when(text.startswith("{") & text.endswith("}"), F.from_json(text, f"{fields}, _bad STRING", options))
-    with_node = lines.withColumn("_node", node)
-    n = F.col("_node")
+    # Read as the only element of an array, so that anything after the object makes the line malformed.
+    fields = T.StructType([T.StructField(f, T.StringType()) for f in ("timestamp", *JSON_FIELDS, "details")])
+    wrapped = F.from_json(F.concat(F.lit("["), text, F.lit("]")), T.ArrayType(fields), {"allowSingleQuotes": "false"})
+    with_node = lines.withColumn("_node", F.when(text.startswith("{") & text.endswith("}") & ~text.rlike(EMPTY_OBJECT), wrapped))
+    n = F.col("_node")[0]
     from_json = F.struct(F.lit("json").alias("layout"), n["timestamp"].alias("timestamp"),
                          *[n[f].alias(f) for f in JSON_FIELDS], n["details"].alias("details"))
     stamp = F.try_to_timestamp(F.regexp_extract(text, TEXT_LAYOUT, 1))
@@ -56,7 +59,7 @@ def parse(lines: DataFrame, line: str = "line", rest: bool = False) -> DataFrame
         *[(F.regexp_extract(text, TEXT_LAYOUT, group[f]) if f in group else F.lit(None).cast("string")).alias(f)
           for f in JSON_FIELDS],
         F.lit(None).cast("string").alias("details"))
-    record = (F.when(n.isNotNull() & n["_bad"].isNull(), from_json)
+    record = (F.when(F.size("_node") == 1, from_json)
               .when(text.rlike(TEXT_LAYOUT) & stamp.isNotNull(), from_text))
     parsed = with_node.select(*lines.columns, F.inline(F.array(record)))
     return parsed.withColumn("body", F.try_parse_json(F.col(line))) if rest else parsed
