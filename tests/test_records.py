@@ -66,6 +66,24 @@ def test_merge_and_cascade(spark):
     assert rows(left["parent"], "id") == [(1,), (3,)] and rows(left["audit"], "op") == [("x",), ("z",)]
 
 
+def test_upsert_rewrites_touched_buckets_only(spark, tmp_path):
+    path, buckets = str(tmp_path / "t"), 8
+    base = spark.range(100).selectExpr("id", "concat('p', id) AS plan", "0 AS updated")
+    tables.create_bucketed(base, path, ["id"], buckets)
+    files = {f: f.stat().st_mtime_ns for f in (tmp_path / "t").rglob("*.parquet")}
+    in_bucket = [r["id"] for r in base.where(F.pmod(F.xxhash64("id"), F.lit(buckets)) == F.pmod(F.xxhash64(F.lit(7).cast("long")), F.lit(buckets))).collect()]
+    assert 7 in in_bucket and len(in_bucket) < 50
+    gone = spark.createDataFrame([(i, "delete", None, 1) for i in in_bucket], "id LONG, op STRING, plan STRING, version INT")
+    for _ in range(2):
+        tables.upsert(path, gone, ["id"], "version", buckets, touch="updated")
+        assert sorted(r["id"] for r in tables.read_bucketed(spark, path).collect()) == [i for i in range(100) if i not in in_bucket]
+    kept = [f for f, at in files.items() if f.exists() and f.stat().st_mtime_ns == at]
+    assert len(kept) == len(files) - 1
+    tables.upsert(path, spark.createDataFrame([(7, "upsert", "new", 2)], "id LONG, op STRING, plan STRING, version INT"), ["id"], "version", buckets, touch="updated")
+    assert rows(tables.read_bucketed(spark, path).where("id = 7")) == [(7, "new", 2)]
+    assert tables.read_bucketed(spark, path).count() == 100 - len(in_bucket) + 1
+
+
 def test_partition_rewrite_and_rollup_files(spark, tmp_path):
     path = str(tmp_path / "t")
     table = spark.createDataFrame([(1, "a"), (2, "b")], "v INT, day STRING")
@@ -118,6 +136,12 @@ def test_conflicts(spark):
         assert got == {1: "", 2: "topic_cleanup", 3: "", 4: "topic_cleanup,metadata_cleanup", 5: "", 6: "", 7: "metadata_cleanup"}
 
 
+def test_role_limits(spark):
+    from tidewatch.operators.sequential import role_limit
+    df = spark.createDataFrame([("admin",), ("service_broker",), ("viewer",), (None,)], "role STRING")
+    assert [r["n"] for r in df.select(role_limit(F.col("role")).alias("n")).collect()] == [1000, 500, 100, 100]
+
+
 def test_due_and_statistics(spark):
     tasks = spark.createDataFrame([("a", True, False, 0, 3, NOW), ("b", False, False, 0, 3, NOW), ("c", True, False, 3, 3, NOW), ("d", True, True, 0, 3, NOW), ("e", True, False, 0, 3, NOW + timedelta(hours=1))],
                                   "task_id STRING, enabled BOOLEAN, running BOOLEAN, failure_count INT, max_failures INT, next_run TIMESTAMP_NTZ")

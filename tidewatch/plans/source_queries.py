@@ -147,16 +147,36 @@ _LAST_CHANGE = """last_change AS (SELECT instance_id,
 _TIE = ("seq", "part_id", "supplier_id", "price")
 
 
-@REG.query("s10_merge_instances", check_sql("service_instance, operation", """
+_MERGED = check_sql("service_instance, operation", """
     SELECT coalesce(c.instance_id, b.instance_id) AS instance_id, b.plan_id, coalesce(c.status, b.status) AS status,
            coalesce(c.version, b.updated_at) AS updated_at
     FROM service_instance b FULL OUTER JOIN last_change c ON b.instance_id = c.instance_id
-    WHERE c.op IS NULL OR c.op <> 'delete'""", _LAST_CHANGE))
+    WHERE c.op IS NULL OR c.op <> 'delete'""", _LAST_CHANGE)
+
+
+@REG.query("s10_merge_instances", _MERGED)
 def s10(spark, sf_dir):
     base = view(spark, sf_dir, "service_instance").select("instance_id", "plan_id", "status", "updated_at")
     return tables.merge(base, _changes(spark, sf_dir), ["instance_id"], "version", touch="updated_at", tie=_TIE)
 
 
+@REG.query("s10_upsert_buckets", _MERGED)
+def s10_buckets(spark, sf_dir):
+    path = scratch_dir(spark, "instances")
+    base = view(spark, sf_dir, "service_instance").select("instance_id", "plan_id", "status", "updated_at")
+    tables.create_bucketed(base, path, ["instance_id"], 16)
+    tables.upsert(path, _changes(spark, sf_dir), ["instance_id"], "version", 16, touch="updated_at", tie=_TIE)
+    return tables.read_bucketed(spark, path)
+
+
+@REG.query("s10_unmatched_deletes", check_sql("service_instance, operation", """
+    SELECT instance_id, seq, price FROM operation o WHERE type = 'deprovision' AND NOT EXISTS
+    (SELECT 1 FROM service_instance s WHERE s.instance_id = o.instance_id AND s.deleted_at IS NULL)"""))
+def s10_unmatched(spark, sf_dir):
+    live = view(spark, sf_dir, "service_instance").where("deleted_at IS NULL")
+    return tables.unmatched(live, _changes(spark, sf_dir), ["instance_id"]).select("instance_id", "seq", "price")
+
+
 @REG.query("s11_cascade_delete", check_sql("service_instance, operation", """
     SELECT 'instance' AS kind, instance_id, count(*) AS n FROM service_instance WHERE deleted_at IS NULL GROUP BY 2
     UNION ALL SELECT 'operation', o.instance_id, count(*) FROM operation o

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.operators.ranking import latest
+from tidewatch.session import materialize
 
 TOPIC_SCHEMA = T.StructType([
     T.StructField("name", T.StringType()),
@@ -56,6 +57,41 @@ def merge(base: DataFrame, changes: DataFrame, keys: Sequence[str], version: str
     return joined.select(*columns)
 
 
+def _bucket(keys: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def create_bucketed(rows: DataFrame, path: str, keys: Sequence[str], buckets: int) -> None:
+    """Store a keyed table in one folder per hash bucket of its key, ready for ``upsert``."""
+    stored = rows.withColumn("_deleted", F.lit(False)).withColumn("_bucket", _bucket(keys, buckets))
+    stored.repartition(buckets, "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(path)
+
+
+def read_bucketed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).where(~F.col("_deleted")).drop("_deleted", "_bucket")
+
+
+def upsert(path: str, changes: DataFrame, keys: Sequence[str], version: str, buckets: int, op: str = "op",
+           touch: str | None = None, tie: Sequence[str] = ()) -> None:
+    """Merge a batch of changes into a bucketed table, reading and rewriting only the buckets it touches.
+
+    A deleted key leaves a mark in its bucket until the bucket is next rewritten, so a touched bucket is
+    never empty and always replaced. The merged rows are written aside first: a failure before the final
+    write leaves the table as it was, and repeating a batch gives the same table.
+    """
+    spark = changes.sparkSession
+    keep = [c for c in changes.columns if c not in keys]
+    last = materialize(latest(changes, keys, [version, *tie], keep=keep).withColumn("_bucket", _bucket(keys, buckets)), "changes")
+    touched = [r["_bucket"] for r in last.select("_bucket").distinct().collect()]
+    stored = spark.read.parquet(path)
+    base = stored.where(F.col("_bucket").isin(touched) & ~F.col("_deleted"))
+    merged = merge(base.drop("_deleted", "_bucket"), last.drop("_bucket"), keys, version, op, touch)
+    merged = merged.withColumn("_deleted", F.lit(False)).withColumn("_bucket", _bucket(keys, buckets))
+    marks = last.where(F.col(op) == "delete").select(*keys, F.lit(True).alias("_deleted"), "_bucket")
+    rows = materialize(merged.unionByName(marks, allowMissingColumns=True).select(*stored.columns), "merged")
+    rewrite_partitions(rows.repartition(buckets, "_bucket"), path, "_bucket")
+
+
 def unmatched(base: DataFrame, changes: DataFrame, keys: Sequence[str], op: str = "op") -> DataFrame:
     """Deletes whose key is not in the table."""
     return changes.where(F.col(op) == "delete").join(base.select(*keys), list(keys), "left_anti")
