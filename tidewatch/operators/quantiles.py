@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewatch.operators.joins import null_safe
 from tidewatch.session import materialize
 
 
@@ -32,9 +33,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, at: dict[str
 
     zones = range(len(probes) + 1)
     zone = reduce(lambda a, b: a + b, [F.when(F.col("_v") > F.col("_cuts")[p], 1).otherwise(0) for p in range(len(probes))])
-    zoned = _with(values, sketch.select(*keys, "_cuts"), keys).select(*keys, "_v", zone.alias("_zone"))
+    zoned = null_safe(values, sketch.select(*keys, "_cuts"), keys).select(*keys, "_v", zone.alias("_zone"))
     sizes = zoned.groupBy(*keys).agg(*[F.count_if(F.col("_zone") == z).alias(f"_z{z}") for z in zones])
-    sizes = _with(sizes, sketch.select(*keys, "_n"), keys)
+    sizes = null_safe(sizes, sketch.select(*keys, "_n"), keys)
 
     n = F.col("_n")
     starts = [reduce(lambda a, b: a + b, [F.col(f"_z{y}") for y in range(z)], F.lit(0)) for z in zones]
@@ -48,11 +49,11 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, at: dict[str
                         *[c.alias(f"_{part}_{name}") for name, r in ranks.items() for part, c in zip(("lo", "hi", "delta"), r)])
     plan = materialize(plan, "zones")
 
-    kept = _with(zoned, plan.select(*keys, "_starts"), keys).withColumn("_start", F.col("_starts")[F.col("_zone")]).where("_start IS NOT NULL")
+    kept = null_safe(zoned, plan.select(*keys, "_starts"), keys).withColumn("_start", F.col("_starts")[F.col("_zone")]).where("_start IS NOT NULL")
     counted = kept.groupBy(*keys, "_zone", "_start", "_v").agg(F.count("*").alias("_c"))
     upto = W.partitionBy(*keys, "_zone").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     ranked = counted.select(*keys, "_v", (F.col("_start") + F.sum("_c").over(upto)).alias("_last"), "_c")
-    ranked = _with(ranked, plan.drop("_starts"), keys)
+    ranked = null_safe(ranked, plan.drop("_starts"), keys)
     first = F.col("_last") - F.col("_c") + 1
 
     def pick(rank: str) -> Column:
@@ -64,13 +65,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, at: dict[str
     cuts = [F.when(F.col("_n") == 1, F.col(f"_a_{name}")).otherwise(
         (F.col(f"_a_{name}") * (F.lit(m) - F.col(f"_d_{name}")) + F.col(f"_b_{name}") * F.col(f"_d_{name}")) / F.lit(m)).alias(name)
         for name, (i, m) in at.items()]
-    return _with(sketch.drop("_n", "_cuts"), points.select(*keys, *cuts), keys, "left")
-
-
-def _with(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Null-safe equi-join on the keys; ``b`` has one row per key and is broadcast when its real size is small."""
-    renamed = b.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in b.columns if c not in keys])
-    return a.join(renamed, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys], how).drop(*[f"_r_{k}" for k in keys])
+    return null_safe(sketch.drop("_n", "_cuts"), points.select(*keys, *cuts), keys, "left")
 
 
 def load_report(df: DataFrame, keys: Sequence[str], success: Column, duration: str, start: Column, end: Column,

@@ -12,14 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SEGMENT = "_segment"
-
+from tidewatch.operators.joins import null_safe
 
-def _carry_join(local: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    on = [*keys, SEGMENT]
-    carry = carry.select(*[F.col(k).alias(f"_c_{k}") for k in on], *[c for c in carry.columns if c not in on])
-    condition = [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in on]
-    return local.join(carry, condition, "left").drop(*[f"_c_{k}" for k in on])
+SEGMENT = "_segment"
 
 
 def running_max(df: DataFrame, keys: Sequence[str], order: Sequence[str], segment: Column,
@@ -31,7 +26,7 @@ def running_max(df: DataFrame, keys: Sequence[str], order: Sequence[str], segmen
     totals = df.groupBy(*keys, SEGMENT).agg(*[F.max(v).alias(f"_t_{n}") for n, v in values.items()])
     carry = totals.select(*keys, SEGMENT, *[F.max(f"_t_{n}").over(earlier).alias(f"_p_{n}") for n in values])
     local = df.select("*", *[F.max(v).over(upto).alias(f"_l_{n}") for n, v in values.items()])
-    joined = _carry_join(local, carry, keys)
+    joined = null_safe(local, carry, [*keys, SEGMENT], "left")
     return joined.select(*[c for c in df.columns if c != SEGMENT],
                          *[F.greatest(f"_l_{n}", f"_p_{n}").alias(n) for n in values])
 
@@ -53,7 +48,7 @@ def streak(df: DataFrame, keys: Sequence[str], order: Sequence[str], segment: Co
             .withColumn("_trail", F.sum(F.col("_count") - F.coalesce("_base", F.lit(0))).over(
                 W.partitionBy(*keys, "_reset").orderBy(SEGMENT).rowsBetween(W.unboundedPreceding, 0))))
     carry = ends.select(*keys, SEGMENT, F.lag("_trail").over(W.partitionBy(*keys).orderBy(SEGMENT)).alias("_carried"))
-    joined = _carry_join(local, carry, keys)
+    joined = null_safe(local, carry, [*keys, SEGMENT], "left")
     total = F.col("_count") - F.coalesce("_base", -F.coalesce("_carried", F.lit(0)))
     return joined.withColumn(name, total).drop(SEGMENT, "_fail", "_count", "_base", "_carried")
 

@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.operators.joins import null_safe
 from tidewatch.session import materialize
 
 # Requests allowed per 60 seconds by role.
@@ -39,11 +40,6 @@ def _bucketed(df: DataFrame, ts: str, width: int) -> DataFrame:
     return df.withColumn("_at", at).withColumn("_bucket", F.floor(at / F.lit(width)).cast("bigint"))
 
 
-def _null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
-    right = right.select(*[F.col(k).alias(f"_r_{k}") for k in on], *[c for c in right.columns if c not in on])
-    return left.join(right, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in on], how).drop(*[f"_r_{k}" for k in on])
-
-
 def _stretches(new: np.ndarray) -> Iterator[tuple[int, int, bool]]:
     """The parts of a batch that belong to one run, and whether the run begins there."""
     starts = np.flatnonzero(new)
@@ -100,7 +96,7 @@ def admit(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], limit
     head = busy.groupBy(*keys, "_run").agg((F.min("_bucket") - 1).alias("_bucket")).select(*keys, "_bucket", "_run")
     flags = busy.withColumn("_context", F.lit(False)).unionByName(head.withColumn("_context", F.lit(True)))
     # Usually few buckets are contended; once written their size is known, and small ones are broadcast.
-    flagged = _null_safe(rows, materialize(flags, "contended"), [*keys, "_bucket"], "left")
+    flagged = null_safe(rows, materialize(flags, "contended"), [*keys, "_bucket"], "left")
 
     free = flagged.where(~F.col("_known") & F.coalesce("_context", F.lit(True))).select(*columns, F.lit(True).alias(name))
     window = W.partitionBy(*keys, "_run").orderBy("_at", *tie)
@@ -199,7 +195,7 @@ def replay_breakers(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[s
     run = F.coalesce(F.sum("_calm").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     runs = marked.withColumn("_run", run)
     runs = runs.withColumn("_faulty", F.max(F.col("_f") > 0).over(W.partitionBy(*keys, "_run"))).where("_faulty")
-    flagged = _null_safe(rows, materialize(runs.select(*keys, "_bucket", "_run"), "faulty"), [*keys, "_bucket"], "left")
+    flagged = null_safe(rows, materialize(runs.select(*keys, "_bucket", "_run"), "faulty"), [*keys, "_bucket"], "left")
 
     calm_state = [F.lit(CLOSED).alias("state"), F.lit(0).alias("failures"), F.lit(0).alias("successes"), F.lit(None).cast("bigint").alias("last_failure")]
     calm_rows = flagged.where("_run IS NULL").select(*columns, F.lit(True).alias("allowed"), *calm_state)
@@ -208,7 +204,7 @@ def replay_breakers(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[s
         faulty = faulty.withColumns({f"_{c}": F.lit(None).cast("string" if c == "state" else "bigint") for c in STATE_COLUMNS})
     else:
         given = initial.select(*keys, F.lit(0).cast("bigint").alias("_run"), *[F.col(c).alias(f"_{c}") for c in STATE_COLUMNS])
-        faulty = _null_safe(faulty, given, [*keys, "_run"], "left")
+        faulty = null_safe(faulty, given, [*keys, "_run"], "left")
     window = W.partitionBy(*keys, "_run").orderBy("_at", *tie)
     faulty = (faulty.withColumn("_new", F.row_number().over(window) == 1)
               .select(*columns, "_at", "_failed", "_new", "_state",
