@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewatch.functions import texttime as tt
 from tidewatch.operators import alerts as al
 from tidewatch.operators import health as hl
 from tidewatch.operators import metrics as mx
