@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tidewatch.plans import catalog
 from tools.check_queries import TABLES, compare
 
 SF = "/root/testdata/sf0.001"
@@ -17,14 +18,14 @@ def connection():
     return con
 
 
-@pytest.mark.parametrize("key", list(entry.queries()))
+@pytest.mark.parametrize("key", list(catalog.queries()))
 def test_matches_check_sql(spark, connection, key):
     message, _, good = compare(spark, connection, key, SF)
     assert good, message
 
 
 def test_every_query_has_check_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.queries()) == set(catalog.oracles())
 
 
 def test_flagship_runs(spark):
@@ -32,7 +33,7 @@ def test_flagship_runs(spark):
     assert result.columns == ["hour", "level", "resource_type", "n"] and result.count() > 0
 
 
-@pytest.mark.parametrize("key", [k for k in entry.queries() if "stream" not in k])
+@pytest.mark.parametrize("key", [k for k in catalog.queries() if "stream" not in k])
 def test_no_cross_join(spark, key):
-    plan = entry.queries()[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = catalog.queries()[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
