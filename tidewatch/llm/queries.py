@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, host_rules
-from tidewatch.llm.common import documents, table
+from tidewatch.llm import chat, host_rules, token_files
+from tidewatch.llm.common import documents, scratch_dir, table
 from tidewatch.plans.registry import Registry
 
 REG = Registry()
@@ -88,3 +89,11 @@ FROM ruled JOIN verdicts ON ruled.source IS NOT DISTINCT FROM verdicts.source
 def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and host verdicts over all documents; a document's host is its source."""
     return host_rules.apply_rules(documents(spark, sf_dir)).drop("host_rate")
+
+
+@REG.query("op1_token_files")
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as token files in the shared folder and read back."""
+    path = scratch_dir(spark, "token-files")
+    token_files.write(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.read(spark, path, ids=False)
