@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, host_rules, token_files
+from tidewatch.llm import chat, host_rules, packing, token_files
 from tidewatch.llm.common import documents, scratch_dir, table
 from tidewatch.plans.registry import Registry
 
@@ -97,3 +97,9 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "token-files")
     token_files.write(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return token_files.read(spark, path, ids=False)
+
+
+@REG.query("op6_packing")
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
