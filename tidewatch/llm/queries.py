@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, host_rules, packing, token_files
+from tidewatch.llm import bpe, chat, host_rules, packing, token_files
 from tidewatch.llm.common import documents, scratch_dir, table
 from tidewatch.plans.registry import Registry
 
@@ -103,3 +103,12 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+@REG.query("op4_bpe")
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded, with digests of both."""
+    coded = bpe.encode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), decoded=True)
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        sha(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"))
