@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, chat, host_rules, packing, token_files
-from tidewatch.llm.common import documents, scratch_dir, table
+from tidewatch.llm import bpe, chat, host_rules, packing, quality, token_files, toxicity
+from tidewatch.llm.common import crc_bucket, documents, scratch_dir, table
 from tidewatch.plans.registry import Registry
 
 REG = Registry()
@@ -112,3 +112,21 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     sha = lambda c: F.sha2(c.cast("binary"), 256)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                         sha(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"))
+
+
+@REG.query("op2_quality")
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents; a quarter of the keys is kept out of training."""
+    docs, held_out = documents(spark, sf_dir), crc_bucket("doc_id", 4) == 2
+    model = quality.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@REG.query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents; a quarter of the keys is kept out of training."""
+    docs, held_out = documents(spark, sf_dir), crc_bucket("doc_id", 4) == 2
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
