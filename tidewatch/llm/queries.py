@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, chat, host_rules, packing, quality, token_files, toxicity
+from tidewatch.llm import bpe, chat, host_rules, langid, packing, quality, token_files, toxicity
 from tidewatch.llm.common import crc_bucket, documents, scratch_dir, table
 from tidewatch.plans.registry import Registry
 
@@ -130,3 +130,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
     scored = toxicity.score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@REG.query("op3_language")
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents; a third of the keys is kept out of training."""
+    docs, held_out = documents(spark, sf_dir), crc_bucket("doc_id", 3) == 1
+    model = langid.train(docs, ~held_out)
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

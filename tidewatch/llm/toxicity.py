@@ -30,7 +30,7 @@ from tidewatch.llm.quality import feature_rows, labelled_documents
 #: Labelled documents in the sample; entries of the lexicon; toxic documents an entry needs; how many times likelier it
 #: must be in a toxic document than in another.
 SAMPLE, ENTRIES, LEAST, RATIO = 16_000, 600, 6, 8.0
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 _BREAK = bytes(i if 97 <= i <= 122 or i >= 128 or i == 39 else 32 for i in range(256))
 _PLAIN = bytes.maketrans(b"0134578@$!", b"oieastbasi")
 _JOINTS = b"*.-_+~^`|#%&"
@@ -60,7 +60,10 @@ class Lexicon:
         own, stems = self.words, self.stems
         if not stems:
             return [i for i, w in enumerate(words) if w in own]
-        suspects = {w for w in set(words) if w in own or w[:4] in stems or w[:5] in stems or w[:6] in stems}
+        distinct = set(words)
+        suspects = distinct & own
+        for k in STEMS:
+            suspects.update([w for w in distinct if w[:k] in stems])
         return [i for i, w in enumerate(words) if w in suspects] if suspects else []
 
     def features(self, text: str | None) -> list[float]:
@@ -103,8 +106,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     chosen = counts.where((F.col("toxic") >= LEAST) & (ratio >= RATIO)).orderBy((F.col("toxic") * F.log(ratio)).desc(), "entry").limit(ENTRIES)
     entries = [bytes(r["entry"]) for r in chosen.select("entry").collect()]
     stems = frozenset(e[:-1] for e in entries if e.endswith(b"*"))
-    words = frozenset(e for e in entries if not e.endswith(b"*") and not any(e[:k] in stems for k in STEMS))
-    return Lexicon(words | frozenset(e for e in entries if not e.endswith(b"*")), stems)
+    return Lexicon(frozenset(e for e in entries if not e.endswith(b"*")), stems)
 
 
 @dataclass(frozen=True)
