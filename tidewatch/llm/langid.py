@@ -168,9 +168,10 @@ def predict(docs: DataFrame, model: ByteNetwork, text: str = "text") -> DataFram
             known = block.column("_letters").to_pylist()
             names = [model.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
             scores = np.where(known, p[np.arange(len(p)), best], 0.0)
-            yield pa.RecordBatch.from_arrays([*(block.column(c) for c in docs.columns), pa.array(names, pa.string()), pa.array(scores)],
-                                             [*docs.columns, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(block.column(c) for c in columns), pa.array(names, pa.string()), pa.array(scores)],
+                                             [*columns, "lang_pred", "score"])
 
+    columns = docs.columns
     if not model.languages:
         return docs.select("*", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     marked = docs.withColumn("_letters", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
