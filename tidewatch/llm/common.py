@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.session import materialize, scratch_dir
 
-__all__ = ["crc_bucket", "documents", "labelled_sample", "materialize", "row_blocks", "scratch_dir", "table"]
+__all__ = ["bounded_sample", "crc_bucket", "documents", "materialize", "row_blocks", "scratch_dir", "smallest_hashes", "table"]
 
 #: Text bytes that a Python worker holds of one Arrow batch at a time.
 BLOCK_BYTES = 4 << 20
@@ -35,11 +35,17 @@ def crc_bucket_of(value: object, modulus: int) -> int:
     return zlib.crc32(("" if value is None else str(value)).encode()) % modulus
 
 
-def labelled_sample(rows: DataFrame, key: str, bound: int) -> DataFrame:
-    """At most ``bound`` rows, the ones with the smallest hash of ``key``: the bounded training sample of a model."""
+def smallest_hashes(rows: DataFrame, key: str, bound: int) -> DataFrame:
+    """At most ``bound`` rows, the ones with the smallest hash of ``key``. Meant for narrow rows: a task hands on that many."""
     return rows.orderBy(F.xxhash64(key), key).limit(bound)
 
 
+def bounded_sample(rows: DataFrame, key: str, bound: int) -> DataFrame:
+    """At most ``bound`` wide rows: keys are chosen by hash from the key column alone, and only their rows travel."""
+    keys = smallest_hashes(rows.select(key), key, bound).distinct()
+    return rows.join(F.broadcast(keys), key, "left_semi").limit(bound)
+
+
 def row_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into slices of about ``limit`` bytes of ``column`` (one row at least), so that memory does not
     depend on how long the texts of a batch are."""

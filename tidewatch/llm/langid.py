@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import labelled_sample, row_blocks
+from tidewatch.llm.common import bounded_sample, row_blocks
 
 WINDOW = 256
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 16, 12
@@ -140,9 +140,9 @@ def train(docs: DataFrame, learn: Column, bound: int = SAMPLE, key: str = "doc_i
                     found.append(rows[i].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary())], ["lang", "bytes"])
 
-    letters = docs.where(learn & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
+    known = docs.where(learn & F.col(lang).isNotNull()).select(
         F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).cast("string").alias("text"))
-    sample = labelled_sample(letters, "key", bound)
+    sample = bounded_sample(known, "key", bound).where(F.col("text").rlike(r"\p{L}"))
     rows = sorted((r["lang"], bytes(r["bytes"])) for r in sample.select("lang", "text").mapInArrow(cut, "lang string, bytes binary").collect())
     languages = sorted({lang for lang, _ in rows})
     windows = np.frombuffer(b"".join(b for _, b in rows), np.uint8).reshape(-1, WINDOW)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.boosting import Trees, train_trees
-from tidewatch.llm.common import crc_bucket, labelled_sample, materialize, row_blocks
+from tidewatch.llm.common import crc_bucket, materialize, row_blocks, smallest_hashes
 
 #: The model is trained on at most so many labelled documents.
 SAMPLE = 12_000
@@ -46,7 +46,7 @@ def statistics(text: str | None) -> list[float]:
 
 def labelled_documents(docs: DataFrame, labels: DataFrame, label: str, learn: Column, bound: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A written sample of at most ``bound`` labelled rows for which ``learn`` holds: key, label, text."""
-    chosen = labelled_sample(labels.where(learn & F.col(label).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")), "key", bound)
+    chosen = smallest_hashes(labels.where(learn & F.col(label).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")), "key", bound)
     return materialize(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "key"), "labelled")
 
 

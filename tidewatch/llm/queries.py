@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, chat, host_rules, langid, packing, quality, token_files, toxicity
+from tidewatch.llm import bpe, chat, host_rules, langid, packing, quality, simhash, token_files, toxicity
 from tidewatch.llm.common import crc_bucket, documents, scratch_dir, table
 from tidewatch.plans.registry import Registry
 
@@ -138,3 +138,9 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = documents(spark, sf_dir), crc_bucket("doc_id", 3) == 1
     model = langid.train(docs, ~held_out)
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@REG.query("op5_simhash")
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents."""
+    return simhash.near_duplicates(documents(spark, sf_dir))
