@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, chat, host_rules, langid, packing, quality, simhash, token_files, toxicity
+from tidewatch.llm import ann, bpe, chat, host_rules, langid, packing, quality, simhash, token_files, toxicity
 from tidewatch.llm.common import crc_bucket, documents, scratch_dir, table
 from tidewatch.plans.registry import Registry
 
@@ -144,3 +144,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+@REG.query("op9_nearest")
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
