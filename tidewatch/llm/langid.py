@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tidewatch.llm.common import bounded_sample, row_blocks
 
@@ -150,7 +151,7 @@ def train(docs: DataFrame, learn: Column, bound: int = SAMPLE, key: str = "doc_i
 
 
 def predict(docs: DataFrame, model: ByteNetwork, text: str = "text") -> DataFrame:
-    """The rows with lang_pred and score, its probability."""
+    """The rows with lang_pred and score, its probability; columns of these names are replaced."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, letter = model.tables(), np.zeros(256, np.float64)
         letter[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
@@ -165,14 +166,15 @@ def predict(docs: DataFrame, model: ByteNetwork, text: str = "text") -> DataFram
             p = np.exp(mean - mean.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             best = p.argmax(axis=1)
-            known = block.column("_letters").to_pylist()
+            known = block.column(len(columns)).to_pylist()
             names = [model.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
             scores = np.where(known, p[np.arange(len(p)), best], 0.0)
-            yield pa.RecordBatch.from_arrays([*(block.column(c) for c in columns), pa.array(names, pa.string()), pa.array(scores)],
+            yield pa.RecordBatch.from_arrays([*block.columns[:-1], pa.array(names, pa.string()), pa.array(scores)],
                                              [*columns, "lang_pred", "score"])
 
-    columns = docs.columns
+    rows = docs.drop("lang_pred", "score")
+    columns = rows.columns
     if not model.languages:
-        return docs.select("*", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    marked = docs.withColumn("_letters", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
-    return marked.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", lang_pred string, score double")
+        return rows.select("*", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    marked = rows.select("*", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_has_letters"))
+    return marked.mapInArrow(run, StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidewatch.llm.boosting import Trees, train_trees
 from tidewatch.llm.common import crc_bucket, materialize, row_blocks, smallest_hashes
@@ -72,10 +73,11 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, bound: int = SAMPLE
 
 
 def score(docs: DataFrame, model: Trees, text: str = "text", name: str = "score") -> DataFrame:
-    """The rows with a score from 0 to 1; higher means better."""
+    """The rows with a score from 0 to 1; higher means better. A column of that name is replaced."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in row_blocks(batches, text):
             x = np.array([statistics(v) for v in block.column(text).to_pylist()])
             yield pa.RecordBatch.from_arrays([*block.columns, pa.array(model.probability(x))], [*block.schema.names, name])
 
-    return docs.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", `{name}` double")
+    rows = docs.drop(name)
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(name, DoubleType())]))

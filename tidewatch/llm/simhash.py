@@ -25,8 +25,9 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidewatch.llm.common import materialize, row_blocks
 from tidewatch.llm.components import connected_components
@@ -277,11 +278,39 @@ def links(nodes: DataFrame, layout: Layout, distance: int = DISTANCE) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """One row per input row: key, fingerprint (16 hexadecimal digits) and component_id, the smallest key reachable."""
+    """One row per input row: key, fingerprint (16 hexadecimal digits), component_id, the smallest key reachable, and
+    component, a fingerprint that names the group."""
     prints = materialize(fingerprints(docs, key, text), "fingerprints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("key").alias("least")), "distinct-fingerprints")
     roots = connected_components(links(nodes, choose_layout(nodes, distance), distance))
     rooted = materialize(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = materialize(rooted.join(ids, "root").select("fp", "component_id"), "component-ids")
-    return prints.join(by_print, "fp").select(F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    by_print = materialize(rooted.join(ids, "root").select("fp", "component_id", "root"), "component-ids")
+    digits = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
+    return prints.join(by_print, "fp").select(F.col("key").alias(key), digits("fp").alias("fingerprint"), "component_id", digits("root").alias("component"))
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """The rows of ``docs`` that stand for their group: one of each, that with the smallest key. Texts are not shuffled,
+    but for rows whose key repeats or is null; of those that could stand for the same group one is taken."""
+    near = materialize(near_duplicates(docs, key, text, distance).withColumnRenamed(key, "key"), "near-duplicates")
+    times = near.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("key") == F.col("component_id")).alias("stands"))
+    chosen = materialize(times.where((F.col("n") == 1) & F.col("stands")).select(F.col("key").alias(key)), "representatives")
+    again = materialize(times.where((F.col("n") > 1) | F.col("key").isNull()).select("key"), "repeated-keys")
+    plain = docs.join(chosen, key, "left_semi")
+    if again.isEmpty():
+        return plain
+    # A repeated key does not tell which of its rows stands for a group; their fingerprints do.
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    rows = rows.join(again.withColumnRenamed("key", "twice"), F.col("key").eqNullSafe(F.col("twice")), "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in row_blocks(batches):
+            prints = [format(x, "016x") for x in fingerprints_of(block.column("text").to_pylist()).tolist()]
+            yield pa.RecordBatch.from_arrays([*block.columns, pa.array(prints, pa.string())], [*block.schema.names, "print"])
+
+    printed = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("print", StringType())]))
+    standing = near.where(F.col("key").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("k"), "fingerprint", "component").distinct()
+    found = printed.join(standing, printed["key"].eqNullSafe(standing["k"]) & (printed["print"] == standing["fingerprint"]))
+    first = Window.partitionBy("component").orderBy("print", "text")
+    return plain.unionByName(found.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("row.*"))
