@@ -91,7 +91,7 @@ def train_network(windows: np.ndarray, target: np.ndarray, languages: list[str],
                         np.zeros(total), rng.normal(0, (2 / total) ** 0.5, (total, len(languages))), np.zeros(len(languages)))
     values = [model.embedding, *model.filters, model.bias, model.out, model.out_bias]
     first, second, step = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values], 0
-    for _ in range(EPOCHS):
+    for _ in range(EPOCHS if len(windows) else 0):
         for rows in np.array_split(rng.permutation(len(windows)), max(len(windows) // BATCH, 1)):
             x = windows[rows].astype(np.int64)
             e = model.embedding[x]
