@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from tests.conftest import rows
 from tidewatch.operators import logquery as lq
 from tidewatch.operators.logquery import LogFilter, LogQuery
 from tidewatch.sources import logs

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from tests.conftest import rows
 from tidewatch.operators import alerts as al
 from tidewatch.operators import health as hl
 from tidewatch.operators import metrics as mx
@@ -143,7 +143,7 @@ def test_transitions_and_episodes(spark):
 
 
 def test_alert_stream_equals_transitions(spark, tmp_path):
-    session = jobs.stream_session(spark, 2, rocksdb=True)
+    session = jobs.stream_session(spark)
     path = str(tmp_path / "grid")
     for at in range(5):
         one = grid(spark).where(F.col("round") == F.lit(START + timedelta(hours=at)).cast("timestamp_ntz")).withColumn("round", F.col("round").cast("timestamp"))

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from tests.conftest import rows
 from tidewatch.functions import policy as po
 from tidewatch.functions import texttime as tt
 from tidewatch.operators import access as ac

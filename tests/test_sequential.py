@@ -8,10 +8,10 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from conftest import rows
+from tests.conftest import rows
 from tidewatch.operators.quantiles import exact_quantiles, load_report
 from tidewatch.operators.ranking import latest, newest
-from tidewatch.operators.segments import running_max, sessions, streak, trailing_count
+from tidewatch.operators.segments import ordered_events, running_max, sessions, streak, trailing_count
 from tidewatch.operators.sequential import BreakerConfig, admit, replay_breakers
 from tidewatch.streaming import jobs
 
@@ -79,44 +79,70 @@ def test_breaker_equals_loop(spark, seed, config):
     assert got == breaker_loop(data, config)
 
 
-def _in_files(spark, data, path, parts=4):
-    """The events in time order over several files, so that a stream sees several micro-batches."""
-    ordered = sorted(data, key=lambda d: (d[2], d[0]))
-    size = len(ordered) // parts + 1
-    for p in range(parts):
-        chunk = ordered[p * size:(p + 1) * size]
-        frame = spark.createDataFrame(chunk, "id LONG, key STRING, ts TIMESTAMP_NTZ, failed BOOLEAN, value DOUBLE")
-        frame.coalesce(1).write.mode("append").parquet(path)
+def _one_file_at_a_time(spark, data, path, files):
+    """The events in files that are not in time order, one micro-batch each."""
+    schema = "id LONG, key STRING, ts TIMESTAMP_NTZ, failed BOOLEAN, value DOUBLE"
+    for chunk in files(sorted(data, key=lambda d: (d[2], d[0]))):
+        spark.createDataFrame(chunk, schema).coalesce(1).write.mode("append").parquet(path)
+    return lambda: jobs.stream_table(spark, path, max_bytes=1)
 
 
-def test_streamed_replays_equal_loops(spark, tmp_path):
-    data, _ = skewed(spark, 11, n=600)
-    path = str(tmp_path / "events")
-    _in_files(spark, data, path)
+def _shuffled(rows, size=200):
+    chunks = [rows[i:i + size] for i in range(0, len(rows), size)]
+    return [chunks[1], *chunks[3:], chunks[0], chunks[2]]
 
-    def one_file_at_a_time():
-        return jobs.stream_table(spark, path, max_bytes=1)
-
-    jobs.admission(one_file_at_a_time(), str(tmp_path / "a"), ["key"], "ts", ["id"], 3, 60).awaitTermination()
-    outcomes = spark.read.parquet(str(tmp_path / "a" / "outcomes"))
-    assert outcomes.select("epoch").distinct().count() == 4
-    assert {r["id"]: r["admitted"] for r in outcomes.collect()} == admit_loop(data, 3, 60)
 
+@pytest.mark.parametrize("lateness", [None, 10 ** 7])
+def test_streamed_replays_equal_loops(spark, tmp_path, lateness):
+    data, _ = skewed(spark, 11, n=800)
+    stream = _one_file_at_a_time(spark, data, str(tmp_path / "events"), _shuffled)
+    admitted = jobs.admission(str(tmp_path / "a"), ["key"], "ts", ["id"], 3, 60, lateness=lateness).run(stream())
+    assert {r["id"]: r["admitted"] for r in admitted.collect()} == admit_loop(data, 3, 60)
     config = BreakerConfig(2, 60, 2)
-    jobs.breakers(one_file_at_a_time(), str(tmp_path / "b"), "key", "ts", ["id"], F.col("failed"), config).awaitTermination()
-    outcomes = spark.read.parquet(str(tmp_path / "b" / "outcomes"))
-    assert {r["id"]: (r["allowed"], r["state"]) for r in outcomes.collect()} == breaker_loop(data, config)
-
-
-def test_streamed_counts_equal_batch_over_several_batches(spark, tmp_path):
-    data, df = skewed(spark, 12, n=600)
-    path = str(tmp_path / "events")
-    _in_files(spark, data, path)
-    stream = jobs.period_counts(jobs.stream_table(spark, path, max_bytes=1), "1 hour", ["key"])
-    table = jobs.run_to_table(stream, str(tmp_path / "c"), "update")
-    want = df.groupBy(F.window("ts", "1 hour").getField("start").alias("period_start"), "key").agg(F.count("*").alias("n"))
-    got = jobs.read_latest(spark, table, ["period_start", "key"])
-    assert rows(got, "period_start", "key", "n") == rows(want, "period_start", "key", "n")
+    calls = jobs.breakers(str(tmp_path / "b"), "key", "ts", ["id"], F.col("failed"), config, lateness=lateness).run(stream())
+    assert {r["id"]: (r["allowed"], r["state"]) for r in calls.collect()} == breaker_loop(data, config)
+
+
+def test_replay_decides_as_time_passes(spark, tmp_path):
+    data, _ = skewed(spark, 13, n=800)
+    stream = _one_file_at_a_time(spark, data, str(tmp_path / "events"), lambda rows: [rows[i:i + 200] for i in range(0, 800, 200)])
+    replay = jobs.admission(str(tmp_path / "a"), ["key"], "ts", ["id"], 3, 60, lateness=30)
+    replay.start(stream()).awaitTermination()
+    assert 600 < replay.outcomes(spark).count() < 800
+    replay.finish(spark)
+    assert {r["id"]: r["admitted"] for r in replay.outcomes(spark).collect()} == admit_loop(data, 3, 60)
+    assert replay.late(spark).count() == 0
+
+
+def test_late_rows_are_kept_apart(spark, tmp_path):
+    data = [(i, "k", START + timedelta(hours=h), False, 0.0) for i, h in enumerate((0, 10, 5, 20))]
+    stream = _one_file_at_a_time(spark, data, str(tmp_path / "events"), lambda rows: [[data[0]], [data[1]], [data[2]], [data[3]]])
+    replay = jobs.admission(str(tmp_path / "a"), ["key"], "ts", ["id"], 1, 60, lateness=60)
+    assert {r["id"] for r in replay.run(stream()).collect()} == {0, 1, 3}
+    assert [r["id"] for r in replay.late(spark).collect()] == [2]
+
+
+def test_standing_results_do_not_depend_on_batches(spark, tmp_path):
+    data, df = skewed(spark, 12, n=800)
+    stream = _one_file_at_a_time(spark, data, str(tmp_path / "events"), _shuffled)
+    counts = df.groupBy(F.window("ts", "1 hour").getField("start").alias("period_start"), "key").agg(F.count("*").alias("n"))
+    runs = sessions(df, "key", "ts", 300, {"failures": F.col("failed")})
+    for name, job, want in (("c", jobs.period_counts("1 hour", ["key"]), counts), ("s", jobs.sessions("key", 300, {"failures": F.col("failed")}), runs)):
+        folder = str(tmp_path / name)
+        jobs.keep_standing(stream(), folder, job).awaitTermination()
+        before = rows(jobs.read_standing(spark, folder, job), *want.columns)
+        assert before == rows(want, *want.columns)
+        jobs.compact(spark, folder, job)
+        jobs.compact(spark, folder, job)
+        assert rows(jobs.read_standing(spark, folder, job), *want.columns) == before
+
+
+def test_positions_of_a_hot_key(spark):
+    data, df = skewed(spark, 27)
+    df = df.withColumn("key", F.lit("only"))
+    got = ordered_events(df, "key", ["ts", "id"], ["value"], parts=6)
+    assert [r["id"] for r in got.orderBy("position").collect()] == [d[0] for d in sorted(data, key=lambda d: (d[2], d[0]))]
+    assert got.agg(F.max("position")).first()[0] == len(data)
 
 
 def test_streak_equals_plain_window(spark):

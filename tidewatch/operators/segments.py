@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.operators.joins import null_safe
+from tidewatch.session import materialize
 
 SEGMENT = "_segment"
 
@@ -94,3 +95,20 @@ def sessions(df: DataFrame, key: str, ts: str, gap_seconds: float, measures: dic
     runs = runs.withColumn("_opens", opens).withColumn("_session", F.sum("_opens").over(across.rowsBetween(W.unboundedPreceding, 0)))
     return runs.groupBy(key, "_session").agg(F.min("started_at").alias("started_at"), F.max("last_at").alias("last_at"),
                                              *[F.sum(c).alias(c) for c in sums]).drop("_session")
+
+
+def ordered_events(df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str] = (), parts: int = 0) -> DataFrame:
+    """Every row of a key with its position (from 1) in the key's order, as rows and not as a list.
+
+    Rows are sorted by (key, order) over all tasks; a position is the row's number in its task plus the key's rows in
+    the tasks before, so a key that holds most rows is not one task.
+    """
+    rows = df.select(key, *order, *columns)
+    ranged = rows.repartitionByRange(parts, key, *order) if parts else rows.repartitionByRange(key, *order)
+    stored = materialize(ranged.withColumn("_part", F.spark_partition_id()), "ordered")
+    sizes = stored.groupBy(key, "_part").agg(F.count("*").alias("_n"))
+    earlier = W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = sizes.select(key, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    local = stored.withColumn("_nth", F.row_number().over(W.partitionBy("_part", key).orderBy(*order)))
+    joined = null_safe(local, before, [key, "_part"], "left")
+    return joined.select(key, (F.col("_nth") + F.col("_before")).cast("long").alias("position"), *order, *columns)

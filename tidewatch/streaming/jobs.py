@@ -1,42 +1,40 @@
-"""Stream sources, windowed jobs and exactly-once table sinks."""
+"""Stream sources and exactly-once sinks; standing aggregates and replays whose results do not depend on how the input
+was cut into micro-batches or in which order its files arrived."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tidewatch.operators import segments
 from tidewatch.operators.health import summary
 from tidewatch.operators.inventory import first_wins
 from tidewatch.operators.ranking import latest
 from tidewatch.operators.sequential import STATE_COLUMNS, BreakerConfig, admit, replay_breakers
+from tidewatch.session import exists, remove
 from tidewatch.sources import logs
 
-WATERMARK = "10 minutes"
-MAX_BYTES = 1 << 40
+#: Bounds what one micro-batch reads; results are the same for any value.
+MAX_BYTES = 8 << 30
 
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_session(spark: SparkSession, most_partitions: int | None = None, rocksdb: bool = False) -> SparkSession:
-    """A sibling session for keyed streams; the caller's settings stay as they are.
-
-    A stream keeps its number of state partitions for life and each one costs a commit per batch, so
-    jobs whose state is small (a row per period or rule, pre-aggregated before the shuffle) cap it.
-    Large state goes to RocksDB, off the heap, which transformWithState needs in any case. Session
-    windows are merged within each input partition, so that a busy key arrives pre-aggregated.
-    """
+def stream_session(spark: SparkSession) -> SparkSession:
+    """A sibling session for streams with keyed state, which goes to RocksDB, off the heap; the caller's settings stay
+    as they are. A stream keeps its number of state partitions for life: set ``spark.sql.shuffle.partitions`` for the
+    keys it will have."""
     sibling = spark.newSession()
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sibling.conf.set("spark.sql.shuffle.partitions", str(min(partitions, most_partitions or partitions)))
-    sibling.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
-    sibling.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
-    if rocksdb:
-        sibling.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        sibling.conf.set(name, spark.conf.get(name))
+    sibling.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return sibling
 
 
@@ -77,105 +75,252 @@ def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> str:
     return f"{folder}/table"
 
 
-def read_latest(spark: SparkSession, table: str, keys: Sequence[str]) -> DataFrame:
-    """The state of an ``update`` mode table: the row of the last epoch per key."""
-    return latest(spark.read.parquet(table), keys, ["epoch"]).drop("epoch")
-
-
 # --- ingest -------------------------------------------------------------------------------------
 
-def ingest(lines: DataFrame, folder: str, keep: Sequence[str] = ("line",)) -> StreamingQuery:
-    """Parse a stream of lines into ``folder``/records and the unreadable ones into ``folder``/rejected."""
+def ingest(lines: DataFrame, folder: str) -> StreamingQuery:
+    """Parse a stream of lines, each micro-batch once and in one write; ``ingested`` and ``rejected`` read the parts."""
     def write(batch: DataFrame, epoch: int) -> None:
-        parsed = logs.parse(batch).persist()
-        logs.records(parsed).drop("line").write.mode("overwrite").parquet(f"{folder}/records/epoch={epoch}")
-        logs.rejected(parsed).select(*keep).write.mode("overwrite").parquet(f"{folder}/rejected/epoch={epoch}")
-        parsed.unpersist()
+        good = F.col("layout").isNotNull()
+        parsed = logs.parse(batch).withColumn("line", F.when(~good, F.col("line")))
+        outcome = F.when(good, "records").otherwise("rejected").alias("outcome")
+        parsed.select("*", outcome).write.mode("overwrite").partitionBy("outcome").parquet(f"{folder}/lines/epoch={epoch}")
 
     return start(lines, write, f"{folder}/checkpoint")
 
 
-# --- windowed jobs; all take a stream or a batch -------------------------------------------------
+def ingested(spark: SparkSession, folder: str) -> DataFrame:
+    return logs.records(spark.read.parquet(f"{folder}/lines").where("outcome = 'records'")).drop("line", "outcome", "epoch")
+
+
+def rejected(spark: SparkSession, folder: str, keep: Sequence[str] = ("line",)) -> DataFrame:
+    return spark.read.parquet(f"{folder}/lines").where("outcome = 'rejected'").select(*keep)
+
+
+# --- standing aggregates ------------------------------------------------------------------------
+
+@dataclass(frozen=True)
+class Standing:
+    """An aggregate kept up to date by a stream: ``partial`` reduces a micro-batch, ``merge`` reduces partial results to
+    rows of the same columns, ``result`` finishes them. No row is ever too late."""
+
+    partial: Callable[[DataFrame], DataFrame]
+    merge: Callable[[DataFrame], DataFrame]
+    result: Callable[[DataFrame], DataFrame] = lambda rows: rows
+
+
+def keep_standing(stream: DataFrame, folder: str, job: Standing, every: str | None = None) -> StreamingQuery:
+    def write(batch: DataFrame, epoch: int) -> None:
+        job.partial(batch).write.mode("overwrite").parquet(f"{folder}/partials/epoch={epoch}")
+
+    return start(stream, write, f"{folder}/checkpoint", every=every)
+
+
+def _partials(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
+    """The newest compacted rows with the partial rows after them, and the epoch they reach (-1: none is compacted)."""
+    rows, upto = spark.read.parquet(f"{folder}/partials"), -1
+    if exists(spark, f"{folder}/compacted"):
+        done = spark.read.parquet(f"{folder}/compacted")
+        upto = done.agg(F.max("upto")).first()[0]
+        upto = -1 if upto is None else upto
+        rows = rows.where(F.col("epoch") > upto).drop("epoch").unionByName(done.where(F.col("upto") == upto).drop("upto"))
+    else:
+        rows = rows.drop("epoch")
+    return rows, upto
+
+
+def read_standing(spark: SparkSession, folder: str, job: Standing) -> DataFrame:
+    rows, _ = _partials(spark, folder)
+    return job.result(job.merge(rows))
+
+
+def compact(spark: SparkSession, folder: str, job: Standing) -> None:
+    """Merge all partial rows so far into one compacted table and drop what it replaces. Run it between micro-batches or
+    beside them: later epochs stay as they are."""
+    rows, before = _partials(spark, folder)
+    upto = spark.read.parquet(f"{folder}/partials").agg(F.max("epoch")).first()[0]
+    if upto is None or upto <= before:
+        return
+    job.merge(rows).write.mode("overwrite").parquet(f"{folder}/compacted/upto={upto}")
+    # The newest epoch stays, so that the table keeps its schema; it is not read again.
+    for epoch in range(before, upto):
+        remove(spark, f"{folder}/partials/epoch={epoch}")
+    remove(spark, f"{folder}/compacted/upto={before}")
+
 
 def _local(window: str | Column) -> Column:
     return F.col(f"{window}.start").cast("timestamp_ntz")
 
 
-def period_counts(rows: DataFrame, period: str, by: Sequence[str], ts: str = "ts", late: str = WATERMARK) -> DataFrame:
-    counted = rows.withWatermark(ts, late).groupBy(F.window(ts, period).alias("w"), *by).agg(F.count("*").alias("n"))
-    return counted.select(_local("w").alias("period_start"), *by, "n")
+def period_counts(period: str, by: Sequence[str], ts: str = "ts") -> Standing:
+    def partial(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(F.window(ts, period).alias("w"), *by).agg(F.count("*").alias("n")).select(_local("w").alias("period_start"), *by, "n")
+
+    return Standing(partial, lambda rows: rows.groupBy("period_start", *by).agg(F.sum("n").alias("n")))
 
 
-def error_rates(rows: DataFrame, failed: Column, size: str, slide: str | None = None, ts: str = "ts", late: str = WATERMARK) -> DataFrame:
+def error_rates(failed: Column, size: str, slide: str | None = None, ts: str = "ts") -> Standing:
     """Rows, failures and their rate per tumbling or sliding window."""
     window = (F.window(ts, size, slide) if slide else F.window(ts, size)).alias("w")
-    counted = rows.withWatermark(ts, late).groupBy(window).agg(F.count("*").alias("requests"), F.count_if(failed).alias("errors"))
-    return counted.select(_local("w").alias("window_start"), "requests", "errors", (F.col("errors") / F.col("requests")).alias("rate"))
 
+    def partial(rows: DataFrame) -> DataFrame:
+        counted = rows.groupBy(window).agg(F.count("*").alias("requests"), F.count_if(failed).alias("errors"))
+        return counted.select(_local("w").alias("window_start"), "requests", "errors")
+
+    return Standing(partial, lambda rows: rows.groupBy("window_start").agg(F.sum("requests").alias("requests"), F.sum("errors").alias("errors")),
+                    lambda rows: rows.withColumn("rate", F.col("errors") / F.col("requests")))
+
+
+def sessions(key: str, gap_seconds: float, measures: dict[str, Column], ts: str = "ts", segment_seconds: int = 86400) -> Standing:
+    """Runs of a key's rows without a longer pause than the gap, open ones included: first and last time, rows, sums."""
+    sums, gap = ["events", *measures], F.lit(int(gap_seconds * 1_000_000))
+
+    def partial(rows: DataFrame) -> DataFrame:
+        local = rows.withColumn(ts, F.col(ts).cast("timestamp_ntz"))
+        return segments.sessions(local, key, ts, gap_seconds, measures, segment_seconds)
 
-def sessions(rows: DataFrame, key: str, gap: str = "30 minutes", ts: str = "ts", late: str = WATERMARK) -> DataFrame:
-    """Runs of a key's rows without a pause of ``gap``: first and last time, rows, failures."""
-    grouped = rows.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), key).agg(
-        F.count("*").alias("events"), F.count_if(F.col("operation_result") == "failure").alias("failures"), F.max(ts).alias("last_ts"))
-    return grouped.select(key, _local("w").alias("started_at"), F.col("last_ts").cast("timestamp_ntz").alias("last_at"), "events", "failures")
+    def merge(rows: DataFrame) -> DataFrame:
+        order = W.partitionBy(key).orderBy("started_at", "last_at")
+        micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+        before = F.max(micros("last_at")).over(order.rowsBetween(W.unboundedPreceding, -1))
+        marked = rows.withColumn("_opens", F.coalesce((micros("started_at") - before > gap).cast("int"), F.lit(1)))
+        marked = marked.withColumn("_session", F.sum("_opens").over(order.rowsBetween(W.unboundedPreceding, 0)))
+        return marked.groupBy(key, "_session").agg(F.min("started_at").alias("started_at"), F.max("last_at").alias("last_at"),
+                                                   *[F.sum(c).alias(c) for c in sums]).drop("_session")
 
+    return Standing(partial, merge)
 
-def running_metrics(points: DataFrame) -> DataFrame:
-    """Running count, sum, extremes and last value per series, for ``update`` mode."""
-    return points.groupBy("kind", "key").agg(
-        F.count("*").alias("count"), F.sum("value").alias("sum"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.max_by("value", F.struct("ts", "event_id")).alias("last"))
 
+def running_metrics() -> Standing:
+    """Running count, sum, extremes and last value per series."""
+    def partial(points: DataFrame) -> DataFrame:
+        return points.groupBy("kind", "key").agg(
+            F.count("*").alias("count"), F.sum("value").alias("sum"), F.min("value").alias("min"), F.max("value").alias("max"),
+            F.max(F.struct("ts", "event_id", "value")).alias("newest"))
 
-def latest_per_round(results: DataFrame, every: str, ts: str = "ts", late: str = WATERMARK) -> DataFrame:
+    def merge(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("kind", "key").agg(F.sum("count").alias("count"), F.sum("sum").alias("sum"), F.min("min").alias("min"),
+                                               F.max("max").alias("max"), F.max("newest").alias("newest"))
+
+    return Standing(partial, merge, lambda rows: rows.select("kind", "key", "count", "sum", "min", "max", F.col("newest.value").alias("last")))
+
+
+def latest_per_round(every: str, ts: str = "ts") -> Standing:
     """The last status of each check in each round."""
-    grouped = results.withWatermark(ts, late).groupBy(F.window(ts, every).alias("w"), "name").agg(
-        F.max_by("status", F.struct(ts, "event_id")).alias("status"))
-    return grouped.select(_local("w").alias("round"), "name", "status")
+    def partial(results: DataFrame) -> DataFrame:
+        grouped = results.groupBy(F.window(ts, every).alias("w"), "name").agg(F.max(F.struct(ts, "event_id", "status")).alias("newest"))
+        return grouped.select(_local("w").alias("round"), "name", "newest")
+
+    return Standing(partial, lambda rows: rows.groupBy("round", "name").agg(F.max("newest").alias("newest")),
+                    lambda rows: rows.select("round", "name", F.col("newest.status").alias("status")))
 
 
-def round_summaries(spark: SparkSession, table: str) -> DataFrame:
-    """Health summary per round from the ``update`` table that ``latest_per_round`` feeds."""
-    return summary(read_latest(spark, table, ["round", "name"]), "round")
+def round_summaries(spark: SparkSession, folder: str, job: Standing) -> DataFrame:
+    """Health summary per round from what ``latest_per_round`` keeps."""
+    return summary(read_standing(spark, folder, job), "round")
 
 
-# --- replays over micro-batches -----------------------------------------------------------------
+# --- replays ------------------------------------------------------------------------------------
 
-def admission(stream: DataFrame, folder: str, keys: Sequence[str], ts: str, tie: Sequence[str], limit: int | Column,
-              window_seconds: float, keep: Sequence[str] = (), lateness_seconds: float = 0.0) -> StreamingQuery:
-    """Sliding-window admission over a stream, into ``folder``/outcomes.
+@dataclass(frozen=True)
+class Replay:
+    """A replay in time order over a stream whose rows may come out of order.
 
-    Each micro-batch runs the batch operator, so a busy key spreads over tasks as it does there. What it
-    hands on are the passed rows that can still count: those of the last window, plus the lateness.
+    A row is decided once all rows before it must have come: when a row has been seen that is later by ``lateness``
+    seconds. Until then it is held. Rows that come after their time was decided go to ``late``. Without a lateness all
+    rows are held until ``finish``. ``finish`` ends a bounded run and decides what is held; a run that goes on
+    afterwards takes its answers back and decides those rows in their turn.
+
+    ``decide`` gets rows in any order and the carried state, and returns outcomes; ``carry`` gets the outcomes, the
+    state before and the decided time (microseconds), and returns the next state.
     """
-    def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        earlier = spark.read.parquet(f"{folder}/state/epoch={epoch - 1}") if epoch else None
-        outcome = admit(batch, keys, ts, tie, limit, window_seconds, keep, earlier=earlier)
-        outcome.write.mode("overwrite").parquet(f"{folder}/outcomes/epoch={epoch}")
-        passed = spark.read.parquet(f"{folder}/outcomes/epoch={epoch}").where("admitted").select(*keys, ts)
-        if earlier is not None:
-            passed = passed.unionByName(earlier)
-        high = passed.agg(F.max(ts)).first()[0]
-        if high is not None:
-            reach = F.make_dt_interval(secs=F.lit(float(window_seconds + lateness_seconds)))
-            passed = passed.where(F.col(ts) > F.lit(high) - reach)
-        passed.write.mode("overwrite").parquet(f"{folder}/state/epoch={epoch}")
-
-    return start(stream, write, f"{folder}/checkpoint")
-
-
-def breakers(stream: DataFrame, folder: str, key: str, ts: str, tie: Sequence[str], failed: Column,
-             config: BreakerConfig = BreakerConfig()) -> StreamingQuery:
-    """Circuit breakers over a stream, into ``folder``/outcomes; what is handed on is one row per circuit."""
-    def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        earlier = spark.read.parquet(f"{folder}/state/epoch={epoch - 1}") if epoch else None
-        outcome = replay_breakers(batch, [key], ts, tie, failed, config, initial=earlier)
-        outcome.write.mode("overwrite").parquet(f"{folder}/outcomes/epoch={epoch}")
-        now = latest(spark.read.parquet(f"{folder}/outcomes/epoch={epoch}"), [key], [ts, *tie], keep=STATE_COLUMNS)
-        if earlier is not None:
-            now = first_wins(now, earlier, key)
-        now.write.mode("overwrite").parquet(f"{folder}/state/epoch={epoch}")
-
-    return start(stream, write, f"{folder}/checkpoint")
+
+    folder: str
+    ts: str
+    decide: Callable[[DataFrame, DataFrame | None], DataFrame]
+    carry: Callable[[DataFrame, DataFrame | None, int], DataFrame]
+    lateness: float | None = None
+
+    def _state(self, spark: SparkSession, epoch: int) -> tuple[DataFrame | None, DataFrame | None, int | None]:
+        """Held rows, carried state and the time up to which all is decided, after an epoch."""
+        at = f"{self.folder}/state/epoch={epoch}"
+        if epoch < 0:
+            return None, None, None
+        upto = spark.read.parquet(f"{at}/upto").first()["upto"]
+        carried = spark.read.parquet(f"{at}/carried") if upto is not None else None
+        return spark.read.parquet(f"{at}/held"), carried, upto
+
+    def start(self, stream: DataFrame, every: str | None = None) -> StreamingQuery:
+        remove(stream.sparkSession, f"{self.folder}/closing")
+        return start(stream, self._write, f"{self.folder}/checkpoint", every=every)
+
+    def _write(self, batch: DataFrame, epoch: int) -> None:
+        spark, micros = batch.sparkSession, F.unix_micros(F.col(self.ts).cast("timestamp"))
+        if self.lateness is None:
+            batch.write.mode("overwrite").parquet(f"{self.folder}/held/epoch={epoch}")
+            return
+        held, carried, upto = self._state(spark, epoch - 1)
+        fresh = batch
+        if upto is not None:
+            fresh = batch.where(micros > upto)
+            batch.where(micros <= upto).write.mode("overwrite").parquet(f"{self.folder}/late/epoch={epoch}")
+        rows = fresh if held is None else fresh.unionByName(held)
+        newest = rows.agg(F.max(micros)).first()[0]
+        reached = None if newest is None else newest - int(self.lateness * 1_000_000)
+        reached = upto if reached is None else reached if upto is None else max(reached, upto)
+        at = f"{self.folder}/state/epoch={epoch}"
+        if reached is not None:
+            self.decide(rows.where(micros <= reached), carried).write.mode("overwrite").parquet(f"{self.folder}/outcomes/epoch={epoch}")
+            done = spark.read.parquet(f"{self.folder}/outcomes/epoch={epoch}")
+            self.carry(done, carried, reached).write.mode("overwrite").parquet(f"{at}/carried")
+            rows = rows.where(micros > reached)
+        rows.write.mode("overwrite").parquet(f"{at}/held")
+        spark.createDataFrame([(reached,)], "upto LONG").coalesce(1).write.mode("overwrite").parquet(f"{at}/upto")
+        remove(spark, f"{self.folder}/state/epoch={epoch - 2}")  # a repeated batch needs the one before only
+
+    def finish(self, spark: SparkSession) -> None:
+        held, carried = None, None
+        if self.lateness is None:
+            if exists(spark, f"{self.folder}/held"):
+                held = spark.read.parquet(f"{self.folder}/held").drop("epoch")
+        elif exists(spark, f"{self.folder}/state"):
+            last = spark.read.option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", False)
+            epochs = [int(p.split("epoch=")[1].split("/")[0]) for p in last.parquet(f"{self.folder}/state/epoch=*/upto").inputFiles()]
+            held, carried, _ = self._state(spark, max(epochs))
+        if held is not None:
+            self.decide(held, carried).write.mode("overwrite").parquet(f"{self.folder}/closing")
+
+    def run(self, stream: DataFrame) -> DataFrame:
+        """Process everything available to the end; the outcomes."""
+        self.start(stream).awaitTermination()
+        self.finish(stream.sparkSession)
+        return self.outcomes(stream.sparkSession)
+
+    def outcomes(self, spark: SparkSession) -> DataFrame:
+        found = [spark.read.parquet(f"{self.folder}/{part}") for part in ("outcomes", "closing") if exists(spark, f"{self.folder}/{part}")]
+        rows = [f.drop("epoch") for f in found]
+        return rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
+
+    def late(self, spark: SparkSession) -> DataFrame | None:
+        """Rows that came too late to be decided, or None if there never was one."""
+        return spark.read.parquet(f"{self.folder}/late").drop("epoch") if exists(spark, f"{self.folder}/late") else None
+
+
+def admission(folder: str, keys: Sequence[str], ts: str, tie: Sequence[str], limit: int | Column, window_seconds: float,
+              keep: Sequence[str] = (), lateness: float | None = None) -> Replay:
+    """Sliding-window admission; what is carried are the passed rows that can still count."""
+    def carry(outcome: DataFrame, earlier: DataFrame | None, upto: int) -> DataFrame:
+        passed = outcome.where("admitted").select(*keys, ts)
+        passed = passed if earlier is None else passed.unionByName(earlier)
+        return passed.where(F.unix_micros(F.col(ts).cast("timestamp")) > upto - int(window_seconds * 1_000_000))
+
+    return Replay(folder, ts, lambda rows, earlier: admit(rows, keys, ts, tie, limit, window_seconds, keep, earlier=earlier), carry, lateness)
+
+
+def breakers(folder: str, key: str, ts: str, tie: Sequence[str], failed: Column, config: BreakerConfig = BreakerConfig(),
+             lateness: float | None = None) -> Replay:
+    """Circuit breakers; what is carried is one row per circuit."""
+    def carry(outcome: DataFrame, earlier: DataFrame | None, upto: int) -> DataFrame:
+        now = latest(outcome, [key], [ts, *tie], keep=STATE_COLUMNS)
+        return now if earlier is None else first_wins(now, earlier, key)
+
+    return Replay(folder, ts, lambda rows, earlier: replay_breakers(rows, [key], ts, tie, failed, config, initial=earlier), carry, lateness)
