@@ -2,6 +2,8 @@
 
 from datetime import datetime
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,10 +146,32 @@ def test_filters_reach_the_scan(spark, tmp_path):
 
 
 @pytest.mark.parametrize("limit, offset", [(7, 3), (None, 5), (500, 0), (100, 333), (None, 2000), (3, 999)])
-def test_deep_pages_equal_top_k(spark, monkeypatch, limit, offset):
+def test_pages_equal_a_full_sort(spark, limit, offset):
     df = spark.range(1000).select("id", (F.col("id") * 7919 % 100).alias("v")).repartition(6)
     order = [F.desc("v"), F.asc("id")]
     want = [r["id"] for r in df.orderBy(*order).collect()][offset:][:limit]
-    assert [r["id"] for r in lq.page(df, order, limit, offset, ["id"]).collect()] == want
-    monkeypatch.setattr(lq, "TOP_K_ROWS", 0)
-    assert [r["id"] for r in lq.page(df, order, limit, offset, ["id"]).collect()] == want
+    assert [r["id"] for r in lq.page(df, order, limit, offset).collect()] == want
+
+
+def test_pages_by_repeated_and_null_keys(spark):
+    df = spark.createDataFrame([(None if i % 3 == 0 else i // 10, i) for i in range(100)], "k INT, id INT").repartition(5)
+    want = [tuple(r) for r in lq.page(df, [F.asc("k")], None, 0).collect()]
+    assert len(set(want)) == 100
+    for limit, offset in ((None, 2), (None, 60), (7, 30), (5, 98)):
+        assert [tuple(r) for r in lq.page(df, [F.asc("k")], limit, offset).collect()] == want[offset:][:limit]
+    assert [tuple(r) for part in range(0, 100, 25) for r in lq.page(df, [F.asc("k")], 25, part).collect()] == want
+
+
+@pytest.mark.parametrize("pattern", ["{", "a{b", "a{2}", "a{,2}b", "[[]", "[]x]", "[^]x]", "(?P<user_id>z)", "(?P<a_b>z)(?P=a_b)", "[a&&b]", "(z)\\1", "\\w+é", "^b$", "b\\Z", "x.y",
+                                     "(?i)Z+", "(bad", "*", "\\{a\\}", "(?P<x>a)(?P<y>z)(?P=y)", "a|", "[\\]a]"])
+@pytest.mark.parametrize("fold", [False, True])
+def test_patterns_mean_the_same(spark, pattern, fold):
+    texts = ["{", "a{b", "aab", "b", "b\n", "[", "]", "z", "zz", "azz", "&", "a&b", "éa", "x\ny", "x\ry", "ZZ", "{a}", "", "\x85"]
+    try:
+        test = re.compile(pattern, re.IGNORECASE if fold else 0)
+        want = [bool(test.search(t)) for t in texts]
+    except re.error:
+        want = [False] * len(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "id INT, message STRING")
+    got = {r["id"] for r in df.where(lq.predicate(df, LogFilter("message", "regex", pattern, not fold))).collect()}
+    assert [i in got for i in range(len(texts))] == want

@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.operators.logquery import LogQuery, where
 from tests.conftest import rows
 from tidewatch.functions import policy as po
 from tidewatch.functions import texttime as tt
@@ -66,22 +67,40 @@ def test_merge_and_cascade(spark):
     assert rows(left["parent"], "id") == [(1,), (3,)] and rows(left["audit"], "op") == [("x",), ("z",)]
 
 
-def test_upsert_rewrites_touched_buckets_only(spark, tmp_path):
-    path, buckets = str(tmp_path / "t"), 8
-    base = spark.range(100).selectExpr("id", "concat('p', id) AS plan", "0 AS updated")
-    tables.create_bucketed(base, path, ["id"], buckets)
+def test_merge_clears_columns(spark):
+    base = spark.createDataFrame([(1, "a", "bad"), (2, "b", "bad")], "id INT, plan STRING, error STRING")
+    changes = spark.createDataFrame([(1, "upsert", None, 5)], "id LONG, op STRING, error STRING, version INT")
+    assert rows(tables.merge(base, changes, ["id"], "version")) == [(1, "a", None), (2, "b", "bad")]
+    assert rows(tables.merge(base, changes, ["id"], "version", null_keeps=True)) == [(1, "a", "bad"), (2, "b", "bad")]
+
+
+def test_merge_rewrites_named_partitions_only(spark, tmp_path):
+    path, part = str(tmp_path / "t"), F.floor(F.col("id") / 10).cast("int").alias("part")
+    spark.range(100).select("id", F.concat(F.lit("p"), "id").alias("plan"), F.lit(0).alias("updated"), part).repartition(1).write.partitionBy("part").parquet(path)
     files = {f: f.stat().st_mtime_ns for f in (tmp_path / "t").rglob("*.parquet")}
-    in_bucket = [r["id"] for r in base.where(F.pmod(F.xxhash64("id"), F.lit(buckets)) == F.pmod(F.xxhash64(F.lit(7).cast("long")), F.lit(buckets))).collect()]
-    assert 7 in in_bucket and len(in_bucket) < 50
-    gone = spark.createDataFrame([(i, "delete", None, 1) for i in in_bucket], "id LONG, op STRING, plan STRING, version INT")
+    schema = "id INT, op STRING, plan STRING, version INT"  # keys of another integer type
+    gone = spark.createDataFrame([(i, "delete", None, 1) for i in range(20, 30)] + [(35, "delete", None, 1)], schema).select("*", part)
     for _ in range(2):
-        tables.upsert(path, gone, ["id"], "version", buckets, touch="updated")
-        assert sorted(r["id"] for r in tables.read_bucketed(spark, path).collect()) == [i for i in range(100) if i not in in_bucket]
-    kept = [f for f, at in files.items() if f.exists() and f.stat().st_mtime_ns == at]
-    assert len(kept) == len(files) - 1
-    tables.upsert(path, spark.createDataFrame([(7, "upsert", "new", 2)], "id LONG, op STRING, plan STRING, version INT"), ["id"], "version", buckets, touch="updated")
-    assert rows(tables.read_bucketed(spark, path).where("id = 7")) == [(7, "new", 2)]
-    assert tables.read_bucketed(spark, path).count() == 100 - len(in_bucket) + 1
+        tables.merge_partitions(spark, path, gone, ["id"], "part", "version", touch="updated")
+        assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [i for i in range(100) if not 20 <= i < 30 and i != 35]
+    assert sum(f.exists() and f.stat().st_mtime_ns == at for f, at in files.items()) == len(files) - 2
+    tables.merge_partitions(spark, path, spark.createDataFrame([(25, "upsert", "new", 2)], schema).select("*", part), ["id"], "part", "version", touch="updated")
+    assert rows(spark.read.parquet(path).where("id = 25"), "id", "plan", "updated") == [(25, "new", 2)]
+
+
+def test_audit_days(spark, tmp_path):
+    path = str(tmp_path / "audit")
+    events = spark.range(400).select(F.col("id").alias("event_id"), F.expr("CASE WHEN id % 100 > 0 THEN timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, id div 100) END").alias("ts"))
+    writers.append_audit(events.repartition(40), path)
+    assert len(list((tmp_path / "audit").rglob("*.parquet"))) <= 8
+    query = LogQuery(start=datetime(2024, 1, 2), end=datetime(2024, 1, 3))
+    found = where(spark.read.parquet(path), query)
+    assert found.count() == 4 + 99 + 99
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    pruned = plan[plan.index("PartitionFilters"):plan.index("PushedFilters")]
+    assert "event_date" in pruned and ">=" in pruned and "<=" in pruned
+    assert writers.drop_partitions(spark, path, "event_date", "2024-01-03") == ["2024-01-01", "2024-01-02"]
+    assert spark.read.parquet(path).count() == 4 + 99 + 99
 
 
 def test_partition_rewrite_and_rollup_files(spark, tmp_path):
@@ -218,8 +237,12 @@ def test_masking(spark):
     frame = spark.createDataFrame([(1, json.dumps(doc))], "id INT, d STRING")
     got = {r["path"]: r["value"] for r in cf.flatten_masked(frame, ["id"], "d").collect()}
     assert got == {"db.Password": cf.MASK, "db.host": "h", "list[0].api_key": cf.MASK, "list[1][0]": "2", "list[1][1]": "{}", "tokens": cf.MASK, "n": None, "e": "[]"}
-    with pytest.raises(Exception, match="deeper than 1"):
-        cf.flatten_masked(frame, ["id"], "d", max_depth=1).collect()
+    deep = {"leaf": 1}
+    for i in range(25):
+        deep = {"a": deep} if i % 2 else {"l": [deep, i]}
+    got = {r["path"]: r["value"] for r in cf.flatten_masked(spark.createDataFrame([(1, json.dumps(deep)), (2, '"x"')], "id INT, d STRING"), ["id"], "d").collect()}
+    assert len(got) == 15 and got[""] == "x" and sum(p.endswith(".leaf") for p in got) == 1
+
 
 
 # --- policy -------------------------------------------------------------------------------------

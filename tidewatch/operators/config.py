@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.session import materialize
+
 # Layers from weakest to strongest, words in sensitive keys, boolean words, mask text.
 LAYERS = ("default", "file", "cli", "env")
 SENSITIVE = ("password", "secret", "key", "token", "credential", "sasl_password", "ssl_key_password")
@@ -121,12 +123,15 @@ def masked(key: Column, value: Column) -> Column:
     return F.when(is_sensitive(key), F.lit(MASK)).otherwise(value)
 
 
-def flatten_masked(documents: DataFrame, key: Sequence[str], document: str, max_depth: int = 8) -> DataFrame:
-    """JSON documents as (key, path, value) leaves with sensitive branches masked, through objects and lists.
+#: Levels that are opened in one pass; documents that go deeper are taken up again where they were left.
+LEVELS = 4
+
+
+def flatten_masked(documents: DataFrame, key: Sequence[str], document: str) -> DataFrame:
+    """JSON documents of any depth as (key, path, value) leaves with sensitive branches masked, through objects and lists.
 
-    A masked branch is one leaf at its own path and an empty branch is a leaf holding {} or []. Each level
-    opens the branches that are left and passes finished leaves on, so the documents are read once.
-    Documents deeper than ``max_depth`` fail the job.
+    A masked branch is one leaf at its own path and an empty branch is a leaf holding {} or []. A pass opens several
+    levels and is written; only branches that are still open go into the next, so leaves are never carried on.
     """
     spark, keep = documents.sparkSession, list(key)
 
@@ -137,18 +142,28 @@ def flatten_masked(documents: DataFrame, key: Sequence[str], document: str, max_
         leaf = F.when(hidden, F.lit(MASK)).otherwise(F.try_variant_get(node, "$", "string"))
         return [path.alias("_path"), F.when(branch, node).alias("_node"), F.when(~branch, leaf).alias("_leaf")]
 
-    level = documents.select(*keep, *settled(F.lit(""), F.lit(None).cast("string"), F.parse_json(document)))
-    for _ in range(max_depth):
-        opened = level.lateralJoin(spark.tvf.variant_explode_outer(F.col("_node").outer()).toDF("_pos", "_name", "_child"))
+    def opened(level: DataFrame) -> DataFrame:
+        inner = level.lateralJoin(spark.tvf.variant_explode_outer(F.col("_node").outer()).toDF("_pos", "_name", "_child"))
         step = F.when(F.col("_name").isNull(), F.concat(F.lit("["), F.col("_pos").cast("string"), F.lit("]"))).otherwise(
             F.concat(F.when(F.col("_path") == "", "").otherwise("."), F.col("_name")))
         path, node, leaf = settled(F.concat("_path", step), F.col("_name"), F.col("_child"))
         inside = F.col("_pos").isNotNull()
-        level = opened.select(
+        return inner.select(
             *keep, F.when(inside, path).otherwise(F.col("_path")).alias("_path"), F.when(inside, node).alias("_node"),
             F.when(inside, leaf).otherwise(F.coalesce(F.col("_leaf"), F.to_json("_node"))).alias("_leaf"))
-    too_deep = F.raise_error(F.lit(f"document deeper than {max_depth} levels")).cast("string")
-    return level.select(*keep, F.col("_path").alias("path"), F.when(F.col("_node").isNotNull(), too_deep).otherwise(F.col("_leaf")).alias("value"))
+
+    level = documents.select(*keep, *settled(F.lit(""), F.lit(None).cast("string"), F.parse_json(document)))
+    done: DataFrame | None = None
+    while True:
+        for _ in range(LEVELS):
+            level = opened(level)
+        stored = materialize(level.select(*keep, "_path", F.to_json("_node").alias("_open"), "_leaf"), "leaves")
+        leaves = stored.where("_open IS NULL").select(*keep, F.col("_path").alias("path"), F.col("_leaf").alias("value"))
+        done = leaves if done is None else done.unionByName(leaves)
+        left = stored.where("_open IS NOT NULL")
+        if left.isEmpty():
+            return done
+        level = left.select(*keep, "_path", F.parse_json("_open").alias("_node"), F.lit(None).cast("string").alias("_leaf"))
 
 
 def route_changes(changes: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,14 +113,58 @@ def _equals(f: _Field, value: Any, fold: bool) -> Column:
     return F.lit(False)
 
 
-def _java_pattern(pattern: str, fold: bool) -> str | None:
-    """The pattern in Java syntax, or None where it does not compile (a bad rlike fails the whole query)."""
+_QUANTIFIER = re.compile(r"\{(\d*)(,?)(\d*)\}")
+
+
+def _java_class(pattern: str, i: int) -> tuple[str, int]:
+    """A character class that starts at ``i``, in Java syntax, and where it ends: brackets and ``&&`` inside are text."""
+    out, i = "[", i + 1
+    if pattern[i] == "^":
+        out, i = "[^", i + 1
+    first = i
+    while pattern[i] != "]" or i == first:
+        if pattern[i] == "\\":
+            out, i = out + pattern[i:i + 2], i + 2
+            continue
+        out, i = out + ("\\" + pattern[i] if pattern[i] in "[]&" else pattern[i]), i + 1
+    return out + "]", i + 1
+
+
+def java_pattern(pattern: str, fold: bool, spark: SparkSession | None = None) -> str | None:
+    """A Python pattern in Java syntax with the same meaning, or None where either language cannot compile it (a bad
+    rlike fails the whole query)."""
+    try:
+        names = re.compile(pattern).groupindex
+    except (re.error, OverflowError, RecursionError):
+        return None
+    out, i = [], 0
+    while i < len(pattern):
+        named = re.match(r"\(\?P([<=])(\w+)[>)]", pattern[i:])
+        count = _QUANTIFIER.match(pattern, i)
+        if pattern[i] == "\\":
+            out.append("\\z" if pattern[i:i + 2] == "\\Z" else pattern[i:i + 2])
+            i += 2
+        elif pattern[i] == "[":
+            text, i = _java_class(pattern, i)
+            out.append(text)
+        elif named:
+            group = f"g{names[named[2]]}"
+            out.append(f"(?<{group}>" if named[1] == "<" else f"\\k<{group}>")
+            i += named.end()
+        elif pattern[i] == "{" and count and (count[1] or count[3]) and (count[2] or not count[3]):
+            out.append(f"{{{count[1] or 0}{count[2]}{count[3]}}}")
+            i = count.end()
+        else:
+            out.append("\\{" if pattern[i] == "{" else pattern[i])
+            i += 1
+    # Only a line feed ends a line, and classes such as \\w know all letters.
+    java = f"(?{'iu' if fold else ''}dU)" + "".join(out)
+    spark = spark or SparkSession.getActiveSession()
     try:
-        re.compile(pattern)
-    except re.error:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(java)
+    except Exception:  # any complaint of the Java compiler
         return None
-    pattern = pattern.replace("(?P<", "(?<")
-    return f"(?iu){pattern}" if fold else pattern
+    return java
 
 
 def predicate(df: DataFrame, spec: LogFilter) -> Column:
@@ -152,7 +196,7 @@ def predicate(df: DataFrame, spec: LogFilter) -> Column:
             member = _member(f, list(value))
             test = member if spec.op == "in" else ~member
     else:
-        pattern = _java_pattern(str(value), fold)
+        pattern = java_pattern(str(value), fold, df.sparkSession)
         test = f.text.rlike(pattern) if pattern is not None else F.lit(False)
     if isinstance(test, Column):
         return f.text.isNotNull() & test
@@ -197,12 +241,25 @@ def in_range(ts: str, start: datetime | None, end: datetime | None) -> Column |
     return F.col(ts).isNull() | reduce(lambda a, b: a & b, tests) if tests else None
 
 
-def where(df: DataFrame, query: LogQuery, ts: str = "ts") -> DataFrame:
-    """The matching rows, unordered. Every test sits in one conjunction so that Catalyst can push parts down."""
+def in_days(day: str, start: datetime | None, end: datetime | None) -> Column | None:
+    """The days that a time range touches, and the folder of rows without a time."""
+    tests = []
+    if start is not None:
+        tests.append(F.col(day) >= F.lit(start.date()))
+    if end is not None:
+        tests.append(F.col(day) <= F.lit(end.date()))
+    return F.col(day).isNull() | reduce(lambda a, b: a & b, tests) if tests else None
+
+
+def where(df: DataFrame, query: LogQuery, ts: str = "ts", day: str = "event_date") -> DataFrame:
+    """The matching rows, unordered. Every test sits in one conjunction so that Catalyst can push parts down; a table with
+    one folder per ``day`` opens only the days of the time range."""
     tests = [predicate(df, f) for f in query.filters]
     span = in_range(ts, query.start, query.end)
     if span is not None:
         tests.insert(0, span)
+        if day in df.columns and isinstance(df.schema[day].dataType, T.DateType):
+            tests.insert(0, in_days(day, query.start, query.end))
     return df.where(reduce(lambda a, b: a & b, tests)) if tests else df
 
 
@@ -217,28 +274,19 @@ def _is_temporal(df: DataFrame, name: str) -> bool:
     return name in df.columns and isinstance(df.schema[name].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
 
 
-# Up to this many leading rows a page is a top-k; beyond it the rows are sorted over all tasks.
-TOP_K_ROWS = 100_000
-
-
-def page(df: DataFrame, order: list[Column], limit: int | None, offset: int, key: Sequence[str]) -> DataFrame:
+def page(df: DataFrame, order: list[Column], limit: int | None, offset: int) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` of the order; no limit (or 0) means the rest.
 
-    A shallow page is a top-k. A shallow skip without a limit finds the skipped head as a top-k and removes
-    it by key, because skipping by position would pull the table through one task. Deep pages are sliced
-    out of a range-partitioned sort.
+    A first page is a top-k. Skipping goes by position in a range-partitioned sort, whatever the depth. Rows that the
+    order leaves equal follow the rest of their plain columns, so pages neither repeat nor lose rows.
     """
-    if max(offset, 0) + (limit or 0) > TOP_K_ROWS:
-        return _deep_page(df, order, limit, offset)
-    if limit:
-        return df.orderBy(*order).offset(offset).limit(limit)
-    if offset:
-        head = df.orderBy(*order).limit(offset).select(*key)
-        df = df.join(head, list(key), "left_anti")
-    return df.orderBy(*order)
+    order = [*order, *[F.col(f"`{f.name}`").asc() for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]]
+    if offset > 0:
+        return _skipped(df, order, limit, offset)
+    return df.orderBy(*order).limit(limit) if limit else df.orderBy(*order)
 
 
-def _deep_page(df: DataFrame, order: list[Column], limit: int | None, offset: int) -> DataFrame:
+def _skipped(df: DataFrame, order: list[Column], limit: int | None, offset: int) -> DataFrame:
     """Sort by range into partitions, count them, and number rows only in the partitions at the page's ends.
 
     The sorted rows are written first, since a recomputed range partitioning need not cut at the same rows.
@@ -270,7 +318,7 @@ def _deep_page(df: DataFrame, order: list[Column], limit: int | None, offset: in
 def run(df: DataFrame, query: LogQuery, key: Sequence[str] = ("event_id",), ts: str = "ts") -> DataFrame:
     matched = where(df, query, ts)
     order = sort_columns(matched, query.sort_field, query.descending, key)
-    return page(matched, order, query.limit, query.offset, key)
+    return page(matched, order, query.limit, query.offset)
 
 
 def search(df: DataFrame, term: str, fields: Sequence[str] = SEARCH_FIELDS, case_sensitive: bool = False,
@@ -278,7 +326,7 @@ def search(df: DataFrame, term: str, fields: Sequence[str] = SEARCH_FIELDS, case
     """Newest rows in which any of the fields matches. Rows are matched first and limited afterwards."""
     tests = [predicate(df, LogFilter(f, "regex" if regex else "contains", term, case_sensitive)) for f in fields]
     matched = df.where(reduce(lambda a, b: a | b, tests))
-    return page(matched, sort_columns(matched, ts, True, key), limit, 0, key)
+    return page(matched, sort_columns(matched, ts, True, key), limit, 0)
 
 
 def last_hours(hours: float, as_of: datetime, *filters: LogFilter, limit: int | None = None) -> LogQuery:

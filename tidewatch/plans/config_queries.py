@@ -88,7 +88,20 @@ def x12_documents(spark, sf_dir):
     text = F.expr("""concat('{"auth": {"api_key": "k', event_id, '", "user": ', user_id, '}, "items": [{"token": "t", "n": ', event_id, '}, "', event_type,
         '"], "Secrets": {"a": 1, "b": [2]}, "level": "INFO"}')""")
     documents = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", text.alias("document"))
-    return cf.flatten_masked(documents, ["event_id"], "document", max_depth=3)
+    return cf.flatten_masked(documents, ["event_id"], "document")
+
+
+_DEEP = 12
+
+
+@REG.query("x12_masked_deep_documents", f"""
+    SELECT event_id, '{'.'.join(['a'] * _DEEP)}' AS path, event_type AS value FROM events
+    UNION ALL SELECT event_id, '{'.'.join(['a'] * (_DEEP - 1))}.token', '***MASKED***' FROM events""")
+def x12_deep(spark, sf_dir):
+    inner = """concat('{"token": [1, {"x": 2}], "a": "', event_type, '"}')"""
+    text = F.expr(f"""concat('{'{"a": ' * (_DEEP - 1)}', {inner}, '{'}' * (_DEEP - 1)}')""")
+    documents = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", text.alias("document"))
+    return cf.flatten_masked(documents, ["event_id"], "document")
 
 
 @REG.query("j09_config_diff", check_sql("config_entry", """

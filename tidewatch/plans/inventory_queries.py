@@ -156,7 +156,7 @@ def f23(spark, sf_dir):
     SELECT event_id, ts, event_type, resource_id FROM audit_log WHERE event_type = 'topic.create' AND resource_id = 'c2/topic2' ORDER BY ts DESC, event_id LIMIT 100"""))
 def f24(spark, sf_dir):
     rows = inv.select(view(spark, sf_dir, "audit_log"), ["event_type", "resource_id"], event_type="topic.create", resource_id="c2/topic2")
-    return lq.page(rows, [F.desc("ts"), F.asc("event_id")], 100, 0, ["event_id"]).select("event_id", "ts", "event_type", "resource_id")
+    return lq.page(rows, [F.desc("ts"), F.asc("event_id")], 100, 0).select("event_id", "ts", "event_type", "resource_id")
 
 
 @REG.query("f25_without_internal", check_sql("topic", "SELECT name, partitions FROM topic WHERE NOT starts_with(name, '__')"))
@@ -207,7 +207,7 @@ def f31(spark, sf_dir):
 def l04(spark, sf_dir):
     rows = inv.select(view(spark, sf_dir, "cleanup_run"), ["cluster_id"], cluster_id="c5")
     key = ["order_id", "line_id", "part_id", "price"]
-    return lq.page(rows, [F.desc("started_at"), *[F.asc(c) for c in key]], 50, 0, key).select("task_id", "started_at", "status")
+    return lq.page(rows, [F.desc("started_at"), *[F.asc(c) for c in key]], 50, 0).select("task_id", "started_at", "status")
 
 
 @REG.query("l05_instances_newest", check_sql("service_instance", "SELECT instance_id, status, created_at FROM service_instance ORDER BY created_at DESC, instance_id"))

@@ -135,20 +135,21 @@ def s09(spark, sf_dir):
 def _changes(spark, sf_dir):
     return view(spark, sf_dir, "operation").select(
         "instance_id", F.when(F.col("type") == "deprovision", "delete").otherwise("upsert").alias("op"),
-        F.when(F.col("state") == "failed", "error").when(F.col("state") == "succeeded", "running").otherwise("creating").alias("status"),
+        F.when(F.col("seq") == 3, None).when(F.col("state") == "failed", "error").when(F.col("state") == "succeeded", "running").otherwise("creating").alias("status"),
         F.col("started_at").alias("version"), "seq", "part_id", "supplier_id", "price")
 
 
 _LAST_CHANGE = """last_change AS (SELECT instance_id,
       CASE WHEN type = 'deprovision' THEN 'delete' ELSE 'upsert' END AS op,
-      CASE state WHEN 'failed' THEN 'error' WHEN 'succeeded' THEN 'running' ELSE 'creating' END AS status, started_at AS version
+      CASE WHEN seq = 3 THEN NULL WHEN state = 'failed' THEN 'error' WHEN state = 'succeeded' THEN 'running' ELSE 'creating' END AS status, started_at AS version
     FROM operation QUALIFY row_number() OVER (PARTITION BY instance_id
       ORDER BY started_at DESC, seq DESC, part_id DESC, supplier_id DESC, price DESC) = 1)"""
 _TIE = ("seq", "part_id", "supplier_id", "price")
 
 
 _MERGED = check_sql("service_instance, operation", """
-    SELECT coalesce(c.instance_id, b.instance_id) AS instance_id, b.plan_id, coalesce(c.status, b.status) AS status,
+    SELECT coalesce(c.instance_id, b.instance_id) AS instance_id, b.plan_id,
+           CASE WHEN c.instance_id IS NOT NULL THEN c.status ELSE b.status END AS status,
            coalesce(c.version, b.updated_at) AS updated_at
     FROM service_instance b FULL OUTER JOIN last_change c ON b.instance_id = c.instance_id
     WHERE c.op IS NULL OR c.op <> 'delete'""", _LAST_CHANGE)
@@ -161,12 +162,12 @@ def s10(spark, sf_dir):
 
 
 @REG.query("s10_upsert_buckets", _MERGED)
-def s10_buckets(spark, sf_dir):
-    path = scratch_dir(spark, "instances")
-    base = view(spark, sf_dir, "service_instance").select("instance_id", "plan_id", "status", "updated_at")
-    tables.create_bucketed(base, path, ["instance_id"], 16)
-    tables.upsert(path, _changes(spark, sf_dir), ["instance_id"], "version", 16, touch="updated_at", tie=_TIE)
-    return tables.read_bucketed(spark, path)
+def s10_partitions(spark, sf_dir):
+    """The same merge into a table stored in parts, of which only those with changes are rewritten."""
+    path, part = scratch_dir(spark, "instances"), F.pmod("instance_id", F.lit(16)).cast("int").alias("part")
+    view(spark, sf_dir, "service_instance").select("instance_id", "plan_id", "status", "updated_at", part).write.partitionBy("part").parquet(path)
+    tables.merge_partitions(spark, path, _changes(spark, sf_dir).select("*", part), ["instance_id"], "part", "version", touch="updated_at", tie=_TIE)
+    return spark.read.parquet(path).drop("part")
 
 
 @REG.query("s10_unmatched_deletes", check_sql("service_instance, operation", """

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.operators.ranking import latest
-from tidewatch.session import materialize
+from tidewatch.session import materialize, remove
 
 TOPIC_SCHEMA = T.StructType([
     T.StructField("name", T.StringType()),
@@ -35,13 +35,13 @@ def read_topic_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def merge(base: DataFrame, changes: DataFrame, keys: Sequence[str], version: str, op: str = "op",
-          touch: str | None = None, tie: Sequence[str] = ()) -> DataFrame:
+          touch: str | None = None, tie: Sequence[str] = (), null_keeps: bool = False) -> DataFrame:
     """The table after a batch of ``upsert`` / ``delete`` changes; the latest change of each key wins.
 
-    One shuffle join on the keys; ``tie`` orders changes of equal version. Upserts supply every non-key column they carry and keep the base
-    value of columns they leave null; ``touch`` names the column set to the change's version.
+    One shuffle join on the keys; ``tie`` orders changes of equal version. An upsert sets every column it carries, to
+    null as well, unless ``null_keeps``; ``touch`` names the column set to the change's version.
     """
-    last = latest(changes, keys, [version, *tie], keep=[c for c in changes.columns if c not in keys])
+    last = latest(changes, keys, [version, *tie], keep=[c for c in changes.columns if c not in keys]).withColumn("_given", F.lit(True))
     c, b = last.alias("c"), base.alias("b")
     condition = [F.col(f"b.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
     joined = b.join(c, condition, "full_outer")
@@ -50,46 +50,28 @@ def merge(base: DataFrame, changes: DataFrame, keys: Sequence[str], version: str
     for name in base.columns:
         if name == touch:
             columns.append(F.coalesce(F.col(f"c.{version}"), F.col(f"b.{name}")).alias(name))
-        elif name in last.columns:
+        elif name in keys or (name in last.columns and null_keeps):
             columns.append(F.coalesce(F.col(f"c.{name}"), F.col(f"b.{name}")).alias(name))
+        elif name in last.columns:
+            columns.append(F.when(F.col("c._given"), F.col(f"c.{name}")).otherwise(F.col(f"b.{name}")).alias(name))
         else:
             columns.append(F.col(f"b.{name}").alias(name))
     return joined.select(*columns)
 
 
-def _bucket(keys: Sequence[str], buckets: int) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-
-
-def create_bucketed(rows: DataFrame, path: str, keys: Sequence[str], buckets: int) -> None:
-    """Store a keyed table in one folder per hash bucket of its key, ready for ``upsert``."""
-    stored = rows.withColumn("_deleted", F.lit(False)).withColumn("_bucket", _bucket(keys, buckets))
-    stored.repartition(buckets, "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(path)
-
-
-def read_bucketed(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).where(~F.col("_deleted")).drop("_deleted", "_bucket")
-
-
-def upsert(path: str, changes: DataFrame, keys: Sequence[str], version: str, buckets: int, op: str = "op",
-           touch: str | None = None, tie: Sequence[str] = ()) -> None:
-    """Merge a batch of changes into a bucketed table, reading and rewriting only the buckets it touches.
-
-    A deleted key leaves a mark in its bucket until the bucket is next rewritten, so a touched bucket is
-    never empty and always replaced. The merged rows are written aside first: a failure before the final
-    write leaves the table as it was, and repeating a batch gives the same table.
-    """
-    spark = changes.sparkSession
-    keep = [c for c in changes.columns if c not in keys]
-    last = materialize(latest(changes, keys, [version, *tie], keep=keep).withColumn("_bucket", _bucket(keys, buckets)), "changes")
-    touched = [r["_bucket"] for r in last.select("_bucket").distinct().collect()]
-    stored = spark.read.parquet(path)
-    base = stored.where(F.col("_bucket").isin(touched) & ~F.col("_deleted"))
-    merged = merge(base.drop("_deleted", "_bucket"), last.drop("_bucket"), keys, version, op, touch)
-    merged = merged.withColumn("_deleted", F.lit(False)).withColumn("_bucket", _bucket(keys, buckets))
-    marks = last.where(F.col(op) == "delete").select(*keys, F.lit(True).alias("_deleted"), "_bucket")
-    rows = materialize(merged.unionByName(marks, allowMissingColumns=True).select(*stored.columns), "merged")
-    rewrite_partitions(rows.repartition(buckets, "_bucket"), path, "_bucket")
+def merge_partitions(spark: SparkSession, path: str, changes: DataFrame, keys: Sequence[str], partition: str, version: str,
+                     op: str = "op", touch: str | None = None, tie: Sequence[str] = ()) -> None:
+    """Merge changes into a stored table, reading and rewriting only the partitions that they name. ``changes`` carry the
+    partition column, which a key never changes. Merged rows are written aside first, so a failure leaves the table
+    as it was; a partition whose last row was deleted goes."""
+    touched = [r[0] for r in changes.select(partition).distinct().collect()]  # at most the table's number of partitions
+    base = spark.read.parquet(path).where(F.col(partition).isin(touched))
+    rows = materialize(merge(base, changes, [*keys, partition], version, op, touch, tie), "merged")
+    left = {r[0] for r in rows.select(partition).distinct().collect()}
+    rewrite_partitions(rows, path, partition)
+    for value in touched:
+        if value not in left:
+            remove(spark, f"{path}/{partition}={value}")
 
 
 def unmatched(base: DataFrame, changes: DataFrame, keys: Sequence[str], op: str = "op") -> DataFrame:
@@ -109,5 +91,5 @@ def cascade_delete(parent: DataFrame, children: dict[str, tuple[DataFrame, str]]
 
 def rewrite_partitions(table: DataFrame, path: str, partition: str) -> None:
     """Replace only the partitions present in ``table``."""
-    (table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (table.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(partition).parquet(path))

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.session import remove
+
 
 def append_audit(events: DataFrame, path: str, ts: str = "ts") -> None:
-    """Append audit events, one folder per day."""
-    (events.withColumn("event_date", F.to_date(ts)).write.mode("append")
+    """Append audit events, one folder per day. Rows are gathered by day first, big days in several files."""
+    (events.withColumn("event_date", F.to_date(ts)).hint("rebalance", "event_date").write.mode("append")
      .partitionBy("event_date").parquet(path))
 
 
@@ -18,7 +20,7 @@ def write_rollup_json(rollup: DataFrame, path: str, kind: str) -> None:
     """One folder per period; a re-run replaces only the periods it covers."""
     (rollup.withColumn("period_kind", F.lit(kind))
      .withColumn("period_start", F.date_format("period_start", "yyyyMMdd_HH"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .hint("rebalance", "period_kind", "period_start").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("period_kind", "period_start").json(path))
 
 
@@ -46,3 +48,16 @@ def export_topics(details: DataFrame, configs: str = "configs") -> DataFrame:
 def write_lines(lines: DataFrame, path: str, order: Sequence[str], text: str = "line") -> None:
     """Text files whose concatenation in file order follows ``order`` (a range-partitioned sort)."""
     lines.orderBy(*order).select(text).write.mode("overwrite").text(path)
+
+
+def drop_partitions(spark: SparkSession, path: str, partition: str, before: str) -> list[str]:
+    """Remove the folders ``partition=value`` right under ``path`` whose value is less than ``before``; days and period
+    labels sort as text. Only folder names are read; rows without a value stay. Returns the values that went."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)
+    names = [f.getPath().getName() for f in found if f.isDirectory()]
+    values = [n.partition("=")[2] for n in names if n.startswith(f"{partition}=")]
+    old = sorted(v for v in values if v < before and v != "__HIVE_DEFAULT_PARTITION__")
+    for value in old:
+        remove(spark, f"{path.rstrip('/')}/{partition}={value}")
+    return old
