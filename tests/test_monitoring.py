@@ -64,10 +64,10 @@ def test_exposition_text(metrics, tmp_path, spark):
     assert text == [
         "# HELP latency Time taken",
         "# TYPE errors_total counter", "errors_total 10.0",
-        "# TYPE labeled_counter counter", "labeled_counter{service=api} 1.0", "labeled_counter{service=api,zone=b} 2.0",
+        "# TYPE labeled_counter counter", 'labeled_counter{service="api"} 1.0', 'labeled_counter{service="api",zone="b"} 2.0',
         "# TYPE requests_total counter", "requests_total 100.0",
         "# TYPE temperature gauge", "temperature 18.5",
-        "# TYPE latency histogram", "latency_count 3", "latency_sum 6.0", 'latency_bucket{le="2.0"} 2']
+        "# TYPE latency histogram", "latency_count 3", "latency_sum 6.0", 'latency_bucket{le="2.0"} 2', 'latency_bucket{le="+Inf"} 3']
     from tidewatch.sources.writers import write_lines
     write_lines(lines, str(tmp_path / "text"), ["block", "name", "place"])
     assert spark.read.text(str(tmp_path / "text")).count() == len(text)

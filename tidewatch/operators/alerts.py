@@ -112,15 +112,18 @@ def error_rate(values: DataFrame, errors: str, requests: str) -> DataFrame:
 
 
 def error_rate_alerts(rules: Sequence[ErrorRateRule], values: DataFrame) -> DataFrame:
-    alerts = []
-    for rule in rules:
-        rows = (error_rate(values, rule.errors, rule.requests).where(F.col("rate") > rule.threshold)
-                .select("*", F.lit(rule.name).alias("name"), F.lit(rule.severity).alias("severity")))
-        rate, limit = F.format_string("%.2f%%", F.col("rate") * 100), f"{rule.threshold:.2%}"
-        alerts.append(_alert(rows, F.concat(F.lit("High error rate: "), rate, F.lit(f" (threshold: {limit})")), "error_rate",
-                             error_rate=rate, error_count=F.col("errors").cast("string"),
-                             request_count=F.col("requests").cast("string"), threshold=F.lit(limit)))
-    return reduce(lambda a, b: a.unionByName(b), alerts)
+    """All rules over one aggregate of the counters they name; a rule without requests does not fire."""
+    names = sorted({n for r in rules for n in (r.errors, r.requests)})
+    totals = values.where((F.col("priority") == 1) & F.col("metric").isin(names)).agg(
+        F.create_map(*[c for n in names for c in (F.lit(n), F.coalesce(F.sum(F.when(F.col("metric") == n, F.col("value"))), F.lit(0.0)))]).alias("_totals"))
+    listed = F.array(*[F.struct(F.lit(r.name).alias("name"), F.lit(r.severity).alias("severity"), F.lit(r.errors).alias("e"), F.lit(r.requests).alias("q"),
+                                F.lit(float(r.threshold)).alias("limit"), F.lit(f"{r.threshold:.2%}").alias("limit_text")) for r in rules])
+    rows = totals.select("_totals", F.inline(listed)).select("name", "severity", "limit", "limit_text", F.col("_totals")[F.col("e")].alias("errors"),
+                                                             F.col("_totals")[F.col("q")].alias("requests"))
+    rows = rows.where("requests <> 0").withColumn("rate", F.col("errors") / F.col("requests")).where("rate > limit")
+    rate = F.format_string("%.2f%%", F.col("rate") * 100)
+    return _alert(rows, F.concat(F.lit("High error rate: "), rate, F.lit(" (threshold: "), F.col("limit_text"), F.lit(")")), "error_rate",
+                  error_rate=rate, error_count=F.col("errors").cast("string"), request_count=F.col("requests").cast("string"), threshold=F.col("limit_text"))
 
 
 def _alert(rows: DataFrame, message: Column, kind: str, **annotations: Column) -> DataFrame:
@@ -218,3 +221,14 @@ def route(alerts: DataFrame) -> DataFrame:
     """Log level and text line of each alert, as written to the alert table."""
     return alerts.select("*", F.when(F.col("severity") == "critical", "ERROR").otherwise("WARNING").alias("log_level"),
                          F.concat(F.lit("ALERT ["), F.upper("severity"), F.lit("] "), F.col("name"), F.lit(": "), F.col("message")).alias("line"))
+
+
+def append_alerts(alerts: DataFrame, path: str) -> None:
+    """Append alerts with their log level and line to an alert table, one folder per log level."""
+    route(alerts).write.mode("append").partitionBy("log_level").parquet(path)
+
+
+def alert_history(changes: DataFrame, last: int = 1000, by: str = "round") -> DataFrame:
+    """The newest ``last`` state changes over all rules, numbered from the newest."""
+    top = changes.orderBy(F.desc(by), "name").limit(last)  # bounded by ``last``
+    return top.withColumn("rn", F.row_number().over(W.orderBy(F.desc(by), "name")))

@@ -28,27 +28,31 @@ def is_test_name(name: Column) -> Column:
 
 def topic_candidates(topics: DataFrame, pattern: str, max_age_hours: int = 24) -> DataFrame:
     """User topics that a clean-up with the pattern 'expired', 'test' or 'all' selects."""
-    topics = user_topics(topics)
-    if pattern == "expired":
-        return topics.where(expired(F.col("retention_ms"), max_age_hours))
-    if pattern == "test":
-        return topics.where(is_test_name(F.col("name")))
-    if pattern == "all":
-        return topics
-    raise ValueError(f"unknown pattern {pattern!r}")
-
-
-def topic_report(topics: DataFrame, pattern: str, max_age_hours: int, failed: DataFrame | None, dry_run: bool) -> DataFrame:
-    """Evaluated, identified, cleaned and failed counts; a dry run cleans nothing. ``failed`` names the deletes that failed."""
-    names = topic_candidates(topics, pattern, max_age_hours).select("name", F.lit(1).alias("_hit"))
-    marked = user_topics(topics).select("name").join(names, "name", "left")
-    bad = (failed.select("name").distinct() if failed is not None else topics.select("name").limit(0)).withColumn("_bad", F.lit(1))
-    marked = marked.join(bad, "name", "left")
-    hit, lost = F.col("_hit").isNotNull(), F.col("_bad").isNotNull()
-    return marked.agg(F.count("*").alias("topics_evaluated"), F.count_if(hit).alias("topics_identified"),
-                      (F.lit(0).cast("bigint") if dry_run else F.count_if(hit & ~lost)).alias("topics_cleaned"),
-                      (F.lit(0).cast("bigint") if dry_run else F.count_if(hit & lost)).alias("topics_failed"),
-                      F.lit(dry_run).alias("dry_run"))
+    return user_topics(topics).where(selected(pattern, max_age_hours))
+
+
+def selected(pattern: str, max_age_hours: int) -> Column:
+    """Whether a clean-up pattern selects a user topic; never null."""
+    tests = {"expired": lambda: F.coalesce(expired(F.col("retention_ms"), max_age_hours), F.lit(False)),
+             "test": lambda: F.coalesce(is_test_name(F.col("name")), F.lit(False)), "all": lambda: F.lit(True)}
+    if pattern not in tests:
+        raise ValueError(f"unknown pattern {pattern!r}")
+    return tests[pattern]()
+
+
+def topic_report(topics: DataFrame, pattern: str, max_age_hours: int, failed: DataFrame | None, dry_run: bool, keys: Sequence[str] = ("name",)) -> DataFrame:
+    """Evaluated, identified, cleaned and failed counts in one pass; a dry run cleans nothing. ``failed`` lists the deletes
+    that failed by ``keys``, which should name a topic fully: its cluster and name."""
+    rows = user_topics(topics).select(*keys, selected(pattern, max_age_hours).alias("_hit"))
+    if failed is None:
+        rows = rows.withColumn("_bad", F.lit(False))
+    else:
+        rows = rows.join(failed.select(*keys).distinct().withColumn("_bad", F.lit(True)), list(keys), "left")
+    hit, lost = F.col("_hit"), F.coalesce("_bad", F.lit(False))
+    return rows.agg(F.count("*").alias("topics_evaluated"), F.count_if(hit).alias("topics_identified"),
+                    (F.lit(0).cast("bigint") if dry_run else F.count_if(hit & ~lost)).alias("topics_cleaned"),
+                    (F.lit(0).cast("bigint") if dry_run else F.count_if(hit & lost)).alias("topics_failed"),
+                    F.lit(dry_run).alias("dry_run"))
 
 
 def stale_failed(instances: DataFrame, as_of: datetime, hours: float) -> DataFrame:

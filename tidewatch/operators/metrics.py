@@ -102,6 +102,23 @@ def snapshot(totals: DataFrame) -> DataFrame:
     return totals.select("kind", "key", F.inline(rows))
 
 
+def distributions(points: DataFrame, totals: DataFrame, bounds: Sequence[float], order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
+    """What a snapshot adds for histograms and timers: percentiles of the newest values and cumulative buckets up to
+    +Inf, as (kind, key, stat, value). ``totals`` are the points' ``series`` with the same bounds."""
+    spread = totals.where(~F.col("kind").isin("counter", "gauge"))
+    counts = [F.struct(F.lit(f"le_{float(b)}").alias("stat"), F.col("le_counts")[i].cast("double").alias("value")) for i, b in enumerate(bounds)]
+    counts.append(F.struct(F.lit("le_+Inf").alias("stat"), F.col("count").cast("double").alias("value")))
+    le = spread.select("kind", "key", F.inline(F.array(*counts)))
+    recent = recent_percentiles(points.where(~F.col("kind").isin("counter", "gauge")), ["kind", "key"], [F.desc(c) for c in order], [order[-1]])
+    cuts = [F.struct(F.lit(f"p{p}").alias("stat"), F.col(f"p{p}").cast("double").alias("value")) for p in PERCENTILES]
+    return recent.select("kind", "key", F.inline(F.array(*cuts))).unionByName(le)
+
+
+def metric_history(points: DataFrame, last: int = RECENT_VALUES) -> DataFrame:
+    """The newest ``last`` points of each series, numbered from the newest."""
+    return newest(points, ["key"], [F.desc("ts"), F.desc("event_id")], last, ["event_id"])
+
+
 # Order of the metric blocks in the exposition text.
 _BLOCKS = {"counter": 1, "gauge": 2}
 
@@ -112,7 +129,9 @@ def exposition(totals: DataFrame, helps: dict[str, str], bounds: Sequence[float]
     Sort by the first three and write ``line``. HELP lines come first, then one TYPE line per metric
     name before its samples; timers appear as histograms.
     """
-    name, labels = split_key(F.col("key"))
+    name, bare = split_key(F.col("key"))
+    escaped = F.replace(F.replace(bare, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    labels = F.regexp_replace(escaped, "(^|,)([A-Za-z_][A-Za-z0-9_]*)=([^,]*)", '$1$2="$3"')
     is_plain = F.col("kind").isin(list(_BLOCKS))
     block = F.when(F.col("kind") == "counter", 1).when(F.col("kind") == "gauge", 2).otherwise(3)
 
@@ -125,6 +144,7 @@ def exposition(totals: DataFrame, helps: dict[str, str], bounds: Sequence[float]
     single = F.when(F.col("kind") == "counter", F.col("sum")).otherwise(F.col("last"))
     histogram = [sample("_count", "a", "", F.col("count"), True), sample("_sum", "b", "", F.col("sum"), False)]
     histogram += [sample("_bucket", f"c{i:06d}", str(float(b)), F.col("le_counts")[i], True) for i, b in enumerate(bounds)]
+    histogram.append(sample("_bucket", "d", "+Inf", F.col("count"), True))
     lines = F.when(is_plain, F.array(sample("", "a", "", single, False))).otherwise(F.array(*histogram))
     body = totals.select(block.alias("block"), name.alias("name"), F.inline(lines)).select(
         "block", "name", "place", "series", "value", F.concat("series", F.lit(" "), "number").alias("line"))

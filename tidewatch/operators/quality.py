@@ -65,6 +65,17 @@ def not_in(name: str, domain: Sequence[str], rule: str | None = None) -> Rule:
     return Rule(rule or f"{name}_domain", ~F.col(name).isin(list(domain)), f"{name} must be one of: {', '.join(domain)}")
 
 
+#: The listed value domains by what they describe.
+DOMAINS = {"status": CLUSTER_STATUSES, "provider": RUNTIME_PROVIDERS, "cleanup_policy": CLEANUP_POLICIES, "compression_type": COMPRESSION_TYPES,
+           "operation_state": OPERATION_STATES, "instance_state": INSTANCE_STATES, "operation_type": OPERATION_TYPES, "severity": ALERT_SEVERITIES,
+           "event_type": EVENT_TYPES}
+
+
+def domain_rules(**columns: str) -> list[Rule]:
+    """A rule per column that must hold a value of a listed domain: ``domain_rules(state="operation_state")``."""
+    return [not_in(column, DOMAINS[domain]) for column, domain in columns.items()]
+
+
 def topic_rules() -> list[Rule]:
     name = F.col("name")
     return [

@@ -88,7 +88,7 @@ _A25 = """SELECT count(*) AS topics_evaluated, count(CASE WHEN hit THEN 1 END) A
 def _report(spark, sf_dir, dry):
     topics = view(spark, sf_dir, "topic")
     lost = view(spark, sf_dir, "partition_detail").where("leader = -1 AND isr_count = 0").select("topic_id").distinct()
-    return lc.topic_report(topics, "test", 24, topics.join(lost, "topic_id", "left_semi"), dry)
+    return lc.topic_report(topics, "test", 24, topics.join(lost, "topic_id", "left_semi"), dry, ["cluster_id", "name"])
 
 
 @REG.query("a25_cleanup_report", check_sql("topic, partition_detail", _A25.format(
@@ -284,6 +284,25 @@ def v08(spark, sf_dir):
     return ql.violations(rows, ["instance_id"], [ql.not_in("status", ql.CLUSTER_STATUSES), ql.not_in("runtime_provider", ql.RUNTIME_PROVIDERS)]).select("instance_id", "rule_id")
 
 
+@REG.query("v08_operation_domains", check_sql("operation", _rules_sql("o", "instance_id, seq, price", {
+    "state_domain": "state NOT IN ('in_progress', 'succeeded', 'failed')", "type_domain": "type NOT IN ('provision', 'deprovision', 'update', 'backup', 'restore')"}),
+    "o AS (SELECT instance_id, seq, price, CASE WHEN instance_id % 13 = 0 THEN 'stuck' ELSE state END AS state, CASE WHEN instance_id % 11 = 0 THEN 'migrate' ELSE type END AS type FROM operation)"))
+def v08_operations(spark, sf_dir):
+    rows = view(spark, sf_dir, "operation").select("instance_id", "seq", "price", F.when(F.col("instance_id") % 13 == 0, "stuck").otherwise(F.col("state")).alias("state"),
+                                                   F.when(F.col("instance_id") % 11 == 0, "migrate").otherwise(F.col("type")).alias("type"))
+    return ql.violations(rows, ["instance_id", "seq", "price"], ql.domain_rules(state="instance_state", type="operation_type")).select("instance_id", "seq", "price", "rule_id")
+
+
+@REG.query("v08_event_domains", check_sql("audit_log", _rules_sql("a", "event_id", {
+    "event_type_domain": "event_id % 23 = 0", "severity_domain": "severity NOT IN ('critical', 'warning', 'info')", "state_domain": "event_id % 7 = 0"}),
+    "a AS (SELECT event_id, lower(level) AS severity FROM audit_log)"))
+def v08_events(spark, sf_dir):
+    rows = view(spark, sf_dir, "audit_log").select(
+        "event_id", F.when(F.col("event_id") % 23 == 0, "topic.rename").otherwise(F.col("event_type")).alias("event_type"), F.lower("level").alias("severity"),
+        F.when(F.col("event_id") % 7 == 0, "in_progress").otherwise("in progress").alias("state"))
+    return ql.violations(rows, ["event_id"], ql.domain_rules(event_type="event_type", severity="severity", state="operation_state")).select("event_id", "rule_id")
+
+
 @REG.query("v09_cleanup_request", _rules_sql("part", "p_partkey AS request_id", {
     "max_age_hours": "p_size - 3 <= 0", "max_age_days": "p_size % 10 <= 0", "retention_pattern": "p_size % 4 = 3"}))
 def v09(spark, sf_dir):

@@ -12,7 +12,7 @@ from tidewatch.operators.alerts import ErrorRateRule, HealthRule, ThresholdRule
 from tidewatch.plans.registry import Registry
 from tidewatch.plans.source_queries import metric_points
 from tidewatch.plans.views import check_sql, view
-from tidewatch.session import materialize
+from tidewatch.session import materialize, scratch_dir
 
 REG = Registry()
 _KEYED = "k AS (SELECT *, concat(name, '{service=', service, ',zone=', zone, '}') AS key FROM metric_point)"
@@ -98,6 +98,18 @@ def a14(spark, sf_dir):
     return mx.snapshot(totals).withColumn("value", F.round("value", 4))
 
 
+@REG.query("a14_snapshot_distributions", check_sql("metric_point", """
+    SELECT 'histogram' AS kind, key, concat('p', p) AS stat, v[1 + least(CAST(floor(p * len(v) / 100.0) AS BIGINT), len(v) - 1)] AS value FROM cut, (VALUES (50), (95), (99)) AS q(p)
+    UNION ALL SELECT 'histogram', key, concat('le_', le), CAST(count(CASE WHEN value <= CAST(le AS DOUBLE) THEN 1 END) AS DOUBLE)
+      FROM k, (VALUES ('10.0'), ('50.0'), ('250.0')) AS b(le) WHERE kind = 'histogram' GROUP BY 2, 3
+    UNION ALL SELECT 'histogram', key, 'le_+Inf', CAST(count(*) AS DOUBLE) FROM k WHERE kind = 'histogram' GROUP BY 2""",
+    _KEYED + """, cut AS (SELECT key, list_sort(list(value)) AS v FROM (SELECT key, value FROM k WHERE kind = 'histogram'
+      QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, event_id DESC) <= 1000) GROUP BY 1)"""))
+def a14_distributions(spark, sf_dir):
+    points, bounds = metric_points(spark, sf_dir), (10, 50, 250)
+    return mx.distributions(points, mx.series(points, bounds=bounds), bounds).where("kind = 'histogram'")
+
+
 _LAST = """last_result AS (SELECT * FROM health_result QUALIFY row_number() OVER (PARTITION BY name ORDER BY ts DESC, event_id DESC) = 1)"""
 _HEALTH = """count(CASE WHEN status = 'unhealthy' THEN 1 END) AS unhealthy_count, count(CASE WHEN status = 'degraded' THEN 1 END) AS degraded_count,
     count(CASE WHEN status = 'unknown' THEN 1 END) AS unknown_count, count(CASE WHEN status = 'healthy' THEN 1 END) AS healthy_count,
@@ -129,6 +141,12 @@ def w02_summary(spark, sf_dir):
     return hl.history(view(spark, sf_dir, "health_result"), "1 hour")
 
 
+@REG.query("w02_metric_history", check_sql("metric_point", """
+    SELECT key, event_id, value, rn FROM (SELECT *, CAST(row_number() OVER (PARTITION BY key ORDER BY ts DESC, event_id DESC) AS INTEGER) AS rn FROM k) WHERE rn <= 20""", _KEYED))
+def w02_metrics(spark, sf_dir):
+    return mx.metric_history(metric_points(spark, sf_dir), 20).select("key", "event_id", "value", "rn")
+
+
 @REG.query("j13_registered_checks", check_sql("health_result", """
     SELECT r.name, l.status, l.ts FROM (SELECT DISTINCT concat('check_', p_size % 8) AS name FROM part) r LEFT JOIN last_result l ON r.name = l.name""", _LAST))
 def j13(spark, sf_dir):
@@ -166,8 +184,9 @@ def j11(spark, sf_dir):
 @REG.query("x25_comparison", check_sql("metric_point", f"""
     SELECT event_id, r.name, {_HIT} AS triggered FROM metric_point m JOIN (SELECT name, metric, threshold / 20 AS threshold, comparison FROM rules) r ON m.name = r.metric""", _RULES))
 def x25(spark, sf_dir):
-    points = view(spark, sf_dir, "metric_point").select("event_id", F.col("name").alias("metric"), "value", F.explode(al.rule_array(THRESHOLDS)).alias("r"))
-    return points.where(F.col("metric") == F.col("r.metric")).select(
+    points = view(spark, sf_dir, "metric_point").select("event_id", F.col("name").alias("metric"), "value")
+    own = F.filter(al.rule_array(THRESHOLDS), lambda r: r["metric"] == F.col("metric"))  # before the rows multiply
+    return points.select("*", F.explode(own).alias("r")).select(
         "event_id", "r.name", al.compare(F.col("value"), F.col("r.comparison"), F.col("r.threshold") / 20).alias("triggered"))
 
 
@@ -263,6 +282,14 @@ def e03(spark, sf_dir):
     return al.route(_all_alerts(spark, sf_dir)).select("name", "log_level", F.concat(F.substring_index("line", ": ", 1), F.lit(":")).alias("head"))
 
 
+@REG.query("e03_alert_table", check_sql("health_result, metric_point", """
+    SELECT name, severity, CASE WHEN severity = 'critical' THEN 'ERROR' ELSE 'WARNING' END AS log_level, count(*) AS n FROM alert GROUP BY 1, 2""", _ALL))
+def e03_table(spark, sf_dir):
+    path = scratch_dir(spark, "alerts")
+    al.append_alerts(_all_alerts(spark, sf_dir), path)
+    return spark.read.parquet(path).groupBy("name", "severity", "log_level").agg(F.count("*").alias("n"))
+
+
 @REG.query("e02_probe_status", check_sql("request_log", """
     SELECT event_id, CASE WHEN duration_ms > 300 THEN 'unhealthy' WHEN duration_ms >= 180 THEN 'unhealthy'
            WHEN duration_ms >= 90 THEN 'degraded' ELSE 'healthy' END AS status FROM request_log"""))

@@ -224,15 +224,15 @@ def s14(spark, sf_dir):
     SELECT '# HELP requests_total' AS series, CAST(NULL AS DOUBLE) AS value
     UNION ALL SELECT '# HELP errors_total', NULL
     UNION ALL SELECT DISTINCT concat('# TYPE ', name), CAST(NULL AS DOUBLE) FROM metric_point
-    UNION ALL SELECT key, round(sum(value), 4) FROM k WHERE kind = 'counter' GROUP BY 1
-    UNION ALL SELECT key, round(arg_max(value, event_id), 4) FROM k WHERE kind = 'gauge' GROUP BY 1
+    UNION ALL SELECT concat(name, labels), round(sum(value), 4) FROM k WHERE kind = 'counter' GROUP BY 1
+    UNION ALL SELECT concat(name, labels), round(arg_max(value, event_id), 4) FROM k WHERE kind = 'gauge' GROUP BY 1
     UNION ALL SELECT concat(name, '_count', labels), CAST(count(*) AS DOUBLE) FROM k WHERE kind = 'histogram' GROUP BY 1
     UNION ALL SELECT concat(name, '_sum', labels), round(sum(value), 4) FROM k WHERE kind = 'histogram' GROUP BY 1
     UNION ALL SELECT concat(name, '_bucket', left(labels, length(labels) - 1), ',le="', le, '"}'),
                      CAST(count(CASE WHEN value <= CAST(le AS DOUBLE) THEN 1 END) AS DOUBLE)
-              FROM k, (VALUES ('10.0'), ('50.0'), ('250.0')) AS b(le) WHERE kind = 'histogram' GROUP BY 1""",
-    """k AS (SELECT *, concat('{service=', service, ',zone=', zone, '}') AS labels,
-                    concat(name, '{service=', service, ',zone=', zone, '}') AS key FROM metric_point)"""))
+              FROM k, (VALUES ('10.0'), ('50.0'), ('250.0')) AS b(le) WHERE kind = 'histogram' GROUP BY 1
+    UNION ALL SELECT concat(name, '_bucket', left(labels, length(labels) - 1), ',le="+Inf"}'), CAST(count(*) AS DOUBLE) FROM k WHERE kind = 'histogram' GROUP BY 1""",
+    """k AS (SELECT *, concat('{service="', service, '",zone="', zone, '"}') AS labels FROM metric_point)"""))
 def s15(spark, sf_dir):
     helps = {"requests_total": "Requests served", "errors_total": "Requests that failed"}
     bounds = (10, 50, 250)
