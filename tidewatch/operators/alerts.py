@@ -126,6 +126,7 @@ def error_rate_alerts(rules: Sequence[ErrorRateRule], values: DataFrame) -> Data
                   error_rate=rate, error_count=F.col("errors").cast("string"), request_count=F.col("requests").cast("string"), threshold=F.col("limit_text"))
 
 
+# Fixed wording: alert messages are matched on by those who receive them, so their sentences stay as they are.
 def _alert(rows: DataFrame, message: Column, kind: str, **annotations: Column) -> DataFrame:
     notes = F.create_map(*[c for k, v in annotations.items() for c in (F.lit(k), v)])
     return rows.select("name", "severity", F.lit("firing").alias("state"), message.alias("message"),
