@@ -226,6 +226,17 @@ def test_layers_and_drift(spark):
     assert rows(cf.sections(changed)) == [("e", "api", '{"port":"80"}')]
 
 
+def test_drift_in_one_pass(spark, tmp_path):
+    data = [("e", "a", "1", "file", 1), ("e", "a", "2", "file", 5), ("e", "a", "0", "env", 3), ("e", "b", "x", "file", 1), ("e", "c", "n", "cli", 9), ("f", "a", "1", "file", 2), ("f", "a", "7", "cli", 8)]
+    spark.createDataFrame(data, "entity STRING, key STRING, value STRING, source STRING, v INT").write.parquet(str(tmp_path / "t"))
+    entries = spark.read.parquet(str(tmp_path / "t"))
+    got = cf.drift(entries, F.col("v") < 4, newest=["v"])
+    want = cf.diff(cf.resolve(entries.where("v < 4"), newest=["v"]), cf.resolve(entries, newest=["v"]))
+    assert rows(got) == rows(want) == [("e", "c", None, "n"), ("f", "a", "1", "7")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
+
+
 def test_merge_maps(spark):
     base, override = F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")), F.create_map(F.lit("b"), F.lit("3"))
     assert one(spark, cf.merge_maps(base, override)) == {"a": "1", "b": "3"}

@@ -61,6 +61,14 @@ def diff(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("entity", "key")
     return joined.where(~F.col("old_value").eqNullSafe(F.col("new_value")))
 
 
+def drift(entries: DataFrame, before: Column, keys: Sequence[str] = ("entity", "key"), newest: Sequence[str] = ()) -> DataFrame:
+    """The ``diff`` between what the entries for which ``before`` holds resolve to and what all of them do, in one pass."""
+    order = F.struct("_rank", *newest)
+    both = entries.withColumn("_rank", layer_rank(F.col("source"))).groupBy(*keys).agg(
+        F.max_by("value", F.when(before, order)).alias("old_value"), F.max_by("value", order).alias("new_value"))
+    return both.where(~F.col("old_value").eqNullSafe(F.col("new_value")))
+
+
 def _words(value: Column, words: Sequence[str]) -> Column:
     return F.lower(value).isin(list(words))
 

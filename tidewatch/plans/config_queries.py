@@ -15,11 +15,12 @@ REG = Registry()
 _OLD = _RESOLVED.replace("resolved AS (SELECT entity, key, value, source FROM config_entry", "old AS (SELECT entity, key, value, source FROM config_entry WHERE version < TIMESTAMP '2000-01-01 00:00:00'")
 
 
-def _resolved(spark, sf_dir, before=None):
-    entries = view(spark, sf_dir, "config_entry")
-    if before:
-        entries = entries.where(F.col("version") < F.expr(f"TIMESTAMP_NTZ '{before}'"))
-    return cf.resolve(entries, newest=NEWEST)
+def _resolved(spark, sf_dir):
+    return cf.resolve(view(spark, sf_dir, "config_entry"), newest=NEWEST)
+
+
+def _drift(spark, sf_dir):
+    return cf.drift(view(spark, sf_dir, "config_entry"), F.col("version") < F.expr("TIMESTAMP_NTZ '2000-01-01 00:00:00'"), newest=NEWEST)
 
 
 @REG.query("x09_layered_config", check_sql("config_entry", "SELECT entity, key, value, source FROM resolved", _RESOLVED))
@@ -108,7 +109,7 @@ def x12_deep(spark, sf_dir):
     SELECT coalesce(o.entity, n.entity) AS entity, coalesce(o.key, n.key) AS key, o.value AS old_value, n.value AS new_value
     FROM old o FULL OUTER JOIN resolved n ON o.entity = n.entity AND o.key = n.key WHERE o.value IS DISTINCT FROM n.value""", f"{_OLD}, {_RESOLVED}"))
 def j09(spark, sf_dir):
-    return cf.diff(_resolved(spark, sf_dir, "2000-01-01 00:00:00"), _resolved(spark, sf_dir))
+    return _drift(spark, sf_dir)
 
 
 @REG.query("e04_change_routing", check_sql("config_entry", """
@@ -116,8 +117,7 @@ def j09(spark, sf_dir):
     FROM old o FULL OUTER JOIN resolved n ON o.entity = n.entity AND o.key = n.key WHERE o.value IS DISTINCT FROM n.value
     AND (n.key = 'logging.level' OR starts_with(n.key, 'database.') OR starts_with(n.key, 'api.'))""", f"{_OLD}, {_RESOLVED}"))
 def e04(spark, sf_dir):
-    changes = cf.diff(_resolved(spark, sf_dir, "2000-01-01 00:00:00"), _resolved(spark, sf_dir))
-    return cf.route_changes(changes).select("entity", "key", "action")
+    return cf.route_changes(_drift(spark, sf_dir)).select("entity", "key", "action")
 
 
 _SCHEDULE = "CASE event_id % 6 WHEN 0 THEN '0 * * * *' WHEN 1 THEN '0 0 * * *' WHEN 2 THEN '*/15 * * * *' WHEN 3 THEN '*/5 * * * *' WHEN 4 THEN '0 2 * * *' ELSE ' 5 4  * *' END"
