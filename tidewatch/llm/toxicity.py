@@ -1,7 +1,7 @@
 """A toxicity classifier: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
-The lexicon is learned from the labelled sample: words, and stems (the first bytes of words), that stand in toxic
-documents far more often than in others. A document's features are how densely those occur, how many of them only
+The lexicon is learned from the labelled sample, copies counted once: words, and stems (the first bytes of words), that
+stand in toxic documents far more often than in others. A document's features are how densely those occur, how many of them only
 show after common letter substitutions and inserted marks are undone, how close they stand to a second-person word,
 and its rates of capitals, punctuation and marked words. Three quarters of the sample train the trees, one quarter
 the calibration.
@@ -25,12 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidewatch.llm.boosting import Isotonic, Trees, fit_isotonic, train_trees
-from tidewatch.llm.common import row_blocks
+from tidewatch.llm.common import materialize, row_blocks
 from tidewatch.llm.quality import feature_rows, labelled_documents
+from tidewatch.llm.simhash import shingle_hashes
 
-#: Labelled documents in the sample; entries of the lexicon; toxic documents an entry needs; how many times likelier it
-#: must be in a toxic document than in another.
-SAMPLE, ENTRIES, LEAST, RATIO = 16_000, 600, 6, 8.0
+#: Labelled documents in the sample; entries of the lexicon; how many times likelier an entry must be in a toxic document
+#: than in another; and its least evidence (toxic documents times the logarithm of that), which chance does not reach
+#: among a million candidates.
+SAMPLE, ENTRIES, RATIO, EVIDENCE = 16_000, 600, 5.0, 25.0
 STEMS = (4, 5, 6, 7, 8)
 _BREAK = bytes(i if 97 <= i <= 122 or i >= 128 or i == 39 else 32 for i in range(256))
 _PLAIN = bytes.maketrans(b"0134578@$!", b"oieastbasi")
@@ -85,8 +87,22 @@ class Lexicon:
                 upper / size, digit / size, shouts / size, asks / size, marks / size, marked / n]
 
 
+def _one_of_each(sample: DataFrame) -> DataFrame:
+    """The sample with one row for texts that share the smallest shingle hash, as copies and most near copies do: a
+    passage that is copied often must not make its words look toxic."""
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in row_blocks(batches):
+            least = np.array([min(shingle_hashes(t), default=0) for t in block.column("text").to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([block.column("label"), block.column("text"), pa.array(least.view(np.int64))], ["label", "text", "mark"])
+
+    rows = sample.select("label", "text").mapInArrow(mark, "label int, text string, mark long")
+    return rows.groupBy("label", "mark").agg(F.min("text").alias("text"))
+
+
 def learn_lexicon(sample: DataFrame) -> Lexicon:
     """From a bounded sample (label, text): partial counts per task, summed; at most ``ENTRIES`` entries come back."""
+    sample = materialize(_one_of_each(sample), "lexicon-sample")
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: tuple[Counter, Counter] = (Counter(), Counter())
         for block in row_blocks(batches):
@@ -104,7 +120,8 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
     counts = sample.coalesce(8).select("label", "text").mapInArrow(count, "entry binary, toxic long, other long").groupBy("entry").agg(
         F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     ratio = ((F.col("toxic") + 0.5) / (toxic + 1)) / ((F.col("other") + 0.5) / (other + 1))
-    chosen = counts.where((F.col("toxic") >= LEAST) & (ratio >= RATIO)).orderBy((F.col("toxic") * F.log(ratio)).desc(), "entry").limit(ENTRIES)
+    evidence = F.col("toxic") * F.log(ratio)
+    chosen = counts.where((ratio >= RATIO) & (evidence >= EVIDENCE)).orderBy(evidence.desc(), "entry").limit(ENTRIES)
     entries = [bytes(r["entry"]) for r in chosen.select("entry").collect()]
     stems = frozenset(e[:-1] for e in entries if e.endswith(b"*"))
     return Lexicon(frozenset(e for e in entries if not e.endswith(b"*")), stems)
