@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from tidewatch.llm import langid, packing, quality, simhash
 from tidewatch.llm.common import crc_bucket, documents, scratch_dir, table
 
-#: A document is kept from this quality score, and from this probability of its language, on.
-MIN_QUALITY, MIN_LANGUAGE = 0.5, 0.5
+#: A document is kept from this quality score, and from this probability of its language, on. A text in two languages
+#: has about one half for each and stays.
+MIN_QUALITY, MIN_LANGUAGE = 0.5, 0.35
 
 
 def _carried(docs: DataFrame) -> DataFrame:
