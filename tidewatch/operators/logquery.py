@@ -277,17 +277,18 @@ def _is_temporal(df: DataFrame, name: str) -> bool:
 def page(df: DataFrame, order: list[Column], limit: int | None, offset: int) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` of the order; no limit (or 0) means the rest.
 
-    A first page is a top-k. Skipping goes by position in a range-partitioned sort, whatever the depth. Rows that the
-    order leaves equal follow the rest of their plain columns, so pages neither repeat nor lose rows.
+    A page is a top-k of ``offset + limit`` rows. Skipping without a limit goes by position in a range-partitioned sort,
+    as it would otherwise pull the table through one task. Rows that the order leaves equal follow the rest of their
+    plain columns, so that pages of any depth neither repeat nor lose rows.
     """
     order = [*order, *[F.col(f"`{f.name}`").asc() for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]]
-    if offset > 0:
-        return _skipped(df, order, limit, offset)
-    return df.orderBy(*order).limit(limit) if limit else df.orderBy(*order)
+    if limit:
+        return df.orderBy(*order).offset(max(offset, 0)).limit(limit)
+    return _skipped(df, order, offset) if offset > 0 else df.orderBy(*order)
 
 
-def _skipped(df: DataFrame, order: list[Column], limit: int | None, offset: int) -> DataFrame:
-    """Sort by range into partitions, count them, and number rows only in the partitions at the page's ends.
+def _skipped(df: DataFrame, order: list[Column], offset: int) -> DataFrame:
+    """Sort by range into partitions, count them, and number rows only in the partition in which the skip ends.
 
     The sorted rows are written first, since a recomputed range partitioning need not cut at the same rows.
     Only one count per partition comes to the driver.
@@ -295,23 +296,18 @@ def _skipped(df: DataFrame, order: list[Column], limit: int | None, offset: int)
     ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
     stored = materialize(ranged, "sorted")
     sizes = sorted((r["_part"], r["n"]) for r in stored.groupBy("_part").agg(F.count("*").alias("n")).collect())
-    end = offset + limit if limit else None
-    before, whole, cut = 0, [], {}
+    whole, cut, left = [], None, offset
     for part, n in sizes:
-        first, last = before, before + n
-        before = last
-        if last <= offset or (end is not None and first >= end):
-            continue
-        if first >= offset and (end is None or last <= end):
+        if left <= 0:
             whole.append(part)
-        else:
-            cut[part] = (offset - first, (end - first) if end is not None else n)
+        elif left < n:
+            cut = (part, left)
+        left -= n
     rows = stored.where(F.col("_part").isin(whole)) if whole else stored.where("false")
     if cut:
         number = F.row_number().over(W.partitionBy("_part").orderBy(*order))
-        ends = stored.where(F.col("_part").isin(list(cut))).withColumn("_number", number)
-        inside = reduce(lambda a, b: a | b, [(F.col("_part") == p) & (F.col("_number") > lo) & (F.col("_number") <= hi) for p, (lo, hi) in cut.items()])
-        rows = rows.unionByName(ends.where(inside).drop("_number"))
+        end = stored.where(F.col("_part") == cut[0]).withColumn("_number", number)
+        rows = rows.unionByName(end.where(F.col("_number") > cut[1]).drop("_number"))
     return rows.drop("_part").orderBy(*order)
 
 
