@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
 
@@ -15,7 +16,7 @@ from tidewatch.session import materialize, scratch_dir
 __all__ = ["bounded_sample", "crc_bucket", "documents", "materialize", "row_blocks", "scratch_dir", "smallest_hashes", "table"]
 
 #: Text bytes that a Python worker holds of one Arrow batch at a time.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,3 +61,12 @@ def row_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: i
             held += int(lengths[i])
         if begin < total:
             yield batch.slice(begin, total - begin)
+    release_memory()
+
+
+def release_memory() -> None:
+    """Give freed memory back at the end of a task, as workers stay for later stages."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 import regex
@@ -20,13 +22,15 @@ from tokenizers import Tokenizer  # noqa: E402
 
 #: A space that does not stand right before a visible character.
 _ODD_SPACE = re.compile(r" (?:\s|$)")
+_MARKS = frozenset(".,;:!?")
+_LITTLE = sys.byteorder == "little"
 _CUT = re.compile(r"(?= \S)")
 _PLAIN = re.compile(r"[\t\n\x20-\x7e¡-¬®-ÿ]*")
 #: The split patterns of the two vocabularies' pre-tokenizers.
 _SPACED = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Pieces that a memo keeps before it starts again.
-MEMO_ENTRIES = 700_000
+#: Pieces that a memo keeps before it starts again: of words, and of everything else.
+MEMO_WORDS, MEMO_REST = 250_000, 50_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -38,14 +42,15 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Memo(dict):
-    def __init__(self, make):
+    def __init__(self, make, entries):
         super().__init__()
-        self._make = make
+        self._make, self._entries = make, entries
 
     def __missing__(self, key):
-        if len(self) >= MEMO_ENTRIES:
+        value = self._make(key)
+        if len(self) >= self._entries:
             self.clear()
-        value = self[key] = self._make(key)
+        self[key] = value
         return value
 
 
@@ -62,16 +67,19 @@ class Encoder:
         self.words = words
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._letters = _byte_letters()
-        self._tokens = _Memo(self._token)
-        self._spaced = _Memo(lambda piece: self._piece(" " + piece))
-        self._exact = _Memo(self._piece)
+        self._tokens = _Memo(self._token, MEMO_REST)
+        self._spaced = _Memo(self._spaced_piece, MEMO_WORDS)
+        self._exact = _Memo(self._bare_piece if words else self._piece, MEMO_WORDS if words else MEMO_REST)
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return array("H" if self.dtype.itemsize == 2 else "I", ids).tobytes() if _LITTLE else np.array(ids, self.dtype).tobytes()
 
     def _token(self, token: str) -> bytes:
         mapped = token.encode().decode("latin-1").translate(self._letters)
-        return np.array([t.id for t in self.model.tokenize(mapped)], self.dtype).tobytes()
+        return self._pack([t.id for t in self.model.tokenize(mapped)])
 
     def full(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _piece(self, piece: str) -> bytes:
         if _PLAIN.fullmatch(piece) is None or any(s in piece for s in self.specials):
@@ -79,6 +87,23 @@ class Encoder:
         found = _WORDS.findall(piece.lower()) if self.words else _SPACED.findall(piece)
         return b"".join(map(self._tokens.__getitem__, found))
 
+    def _spaced_piece(self, piece: str) -> bytes:
+        """A piece with its space before it; letters alone, or letters and one mark, need no pattern."""
+        if piece.isalpha() and (piece.isascii() or _PLAIN.fullmatch(piece)):
+            return self._token(" " + piece)
+        word = piece[:-1]
+        if piece[-1:] in _MARKS and word.isalpha() and (word.isascii() or _PLAIN.fullmatch(word)):
+            return self._spaced[word] + self._tokens[piece[-1]]
+        return self._piece(" " + piece)
+
+    def _bare_piece(self, piece: str) -> bytes:
+        if piece.isalpha() and (piece.isascii() or _PLAIN.fullmatch(piece)):
+            return self._token(piece.lower())
+        word = piece[:-1]
+        if piece[-1:] in _MARKS and word.isalpha() and (word.isascii() or _PLAIN.fullmatch(word)):
+            return self._exact[word] + self._tokens[piece[-1]]
+        return self._piece(piece)
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
