@@ -291,13 +291,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", di
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs`` that stand for their group: one of each, that with the smallest key. Texts are not shuffled,
-    but for rows whose key repeats or is null; of those that could stand for the same group one is taken."""
+    """The rows of ``docs`` that stand for their group: one of each, that with the smallest key. The rows are shuffled once,
+    by key, to meet the chosen keys; they are not sorted."""
     near = materialize(near_duplicates(docs, key, text, distance).withColumnRenamed(key, "key"), "near-duplicates")
     times = near.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("key") == F.col("component_id")).alias("stands"))
     chosen = materialize(times.where((F.col("n") == 1) & F.col("stands")).select(F.col("key").alias(key)), "representatives")
     again = materialize(times.where((F.col("n") > 1) | F.col("key").isNull()).select("key"), "repeated-keys")
-    plain = docs.join(chosen, key, "left_semi")
+    plain = docs.join(chosen.hint("shuffle_hash"), key, "left_semi")
     if again.isEmpty():
         return plain
     # A repeated key does not tell which of its rows stands for a group; their fingerprints do.
