@@ -30,7 +30,7 @@ _PLAIN = re.compile(r"[\t\n\x20-\x7e¡-¬®-ÿ]*")
 _SPACED = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Pieces that a memo keeps before it starts again: of words, and of everything else.
-MEMO_WORDS, MEMO_REST = 250_000, 50_000
+MEMO_WORDS, MEMO_REST = 500_000, 50_000
 
 
 def _byte_letters() -> dict[int, str]:
