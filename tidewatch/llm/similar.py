@@ -1,0 +1,135 @@
+"""Near-duplicates by the Jaccard similarity of word shingles: texts of similarity 0.8 or more are linked.
+
+A text is the set of its five-word shingles. Candidates come from min-hashing: a text has ``BANDS`` x ``ROWS`` minima,
+and two texts meet in the bucket of a band in which all ``ROWS`` agree. What meets is compared by the share of equal
+minima first, and then exactly, on the shingles' 32-bit hashes; no link is made by an estimate. A pair of similarity 0.8
+meets with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.99995 and passes the first comparison with 0.9998; a more
+similar one is more certain.
+
+Only one row of each set takes part, so exact copies cost nothing. A bucket of any size is cut into blocks, and pairs of
+blocks are compared in tasks of bounded size; the pairs of a unit are taken from the most similar on, and those that are
+connected already are left out, so that a unit hands on a spanning forest of its links.
+
+Defined cases: a null text is an empty one; a text without words is linked to none; a text of fewer than five words is
+one shingle; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidewatch.llm.ann import grouped
+from tidewatch.llm.common import materialize, row_blocks
+from tidewatch.llm.simhash import fingerprints_of, groups, shingle_hashes
+
+SHINGLE, SIMILARITY = 5, 0.8
+BANDS, ROWS, SEED = 25, 5, 42
+#: How far below the wanted similarity the share of equal minima may be: 3.6 standard deviations.
+MARGIN = 0.13
+#: Texts of a block, and bytes of their shingles.
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.random.default_rng(SEED + 1).integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The least of the hashes under each of the ``BANDS`` x ``ROWS`` multiplications."""
+    out = np.full(len(_FACTORS), (1 << 64) - 1, np.uint64)
+    for begin in range(0, len(hashes), 4096):
+        np.minimum(out, (_FACTORS[:, None] * hashes[None, begin:begin + 4096]).min(axis=1), out=out)
+    return out
+
+
+def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: key, fp (as of ``simhash``), same (a hash of the set of shingles), bands (a bucket each; null without
+    words), minima (a byte each), shingles (sorted 32-bit hashes), and rid, a number of its own once it is written."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in row_blocks(batches):
+            texts = block.column("text").to_pylist()
+            same, bands, least, shingles = [], [], [], []
+            for x in texts:
+                hashes = np.unique(np.array(shingle_hashes(x, SHINGLE), np.uint64))
+                held = np.unique(hashes.astype(np.uint32)).astype("<u4").tobytes()
+                low = minima(hashes)
+                same.append(xxhash.xxh64_intdigest(held, SEED) - (1 << 63))
+                bands.append((low.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64).view(np.int64) if len(hashes) else None)
+                least.append((low >> np.uint64(8)).astype(np.uint8).tobytes())
+                shingles.append(held)
+            yield pa.RecordBatch.from_arrays(
+                [block.column("key"), pa.array(fingerprints_of(texts).view(np.int64)), pa.array(same, pa.int64()), pa.array(bands, pa.list_(pa.int64())),
+                 pa.array(least, pa.binary()), pa.array(shingles, pa.binary())], ["key", "fp", "same", "bands", "minima", "shingles"])
+
+    kind = dict(docs.dtypes)[key]
+    found = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(
+        run, f"key {kind}, fp long, same long, bands array<long>, minima binary, shingles binary")
+    return found.withColumn("rid", F.monotonically_increasing_id())
+
+
+def unit_links(minima: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """A spanning forest of the links between the texts of a unit."""
+    total, sizes = len(sets), np.array([len(x) for x in sets])
+    found: tuple[list, list, list] = ([], [], [])
+    step = max((1 << 24) // (total * minima.shape[1]), 1)
+    for begin in range(0, total, step):
+        alike = (minima[begin:begin + step, None, :] == minima[None, begin:, :]).mean(axis=2, dtype=np.float32)
+        own, other = sizes[begin:begin + step, None], sizes[None, begin:]
+        left, right = np.nonzero(np.triu((alike >= similarity - MARGIN) & (np.minimum(own, other) >= similarity * np.maximum(own, other) - 1e-9), 1))
+        for column, values in zip(found, (left + begin, right + begin, alike[left, right]), strict=True):
+            column.append(values)
+    left, right, alike = map(np.concatenate, found)
+    order = np.argsort(-alike, kind="stable")
+    left, right, label, out = left[order], right[order], np.arange(total), []
+    while len(left):
+        part = max(256, len(left) // 8)
+        for a, b in zip(left[:part].tolist(), right[:part].tolist(), strict=True):
+            if label[a] != label[b]:
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if both >= similarity * (sizes[a] + sizes[b] - both) - 1e-9:
+                    out.append((a, b))
+                    label[label == label[b]] = label[a]
+        left, right = left[part:], right[part:]
+        apart = label[left] != label[right]
+        left, right = left[apart], right[apart]
+    return out
+
+
+def links(sketched: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(u, v): fingerprints of linked texts, enough to connect all that are connected. ``sketched`` must be written."""
+    known = sketched.where("bands IS NOT NULL")
+    one = materialize(known.groupBy("same").agg(F.min("rid").alias("rid"), F.min("fp").alias("least")), "distinct-shingle-sets")
+    copies = known.select("same", "fp").distinct().join(one.select("same", "least"), "same").where("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
+    rows = materialize(known.select("rid", "bands", F.length("shingles").alias("bytes")).join(one.select("rid"), "rid", "left_semi").select(
+        "rid", "bytes", F.posexplode("bands").alias("band", "bucket")), "bands")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int")
+    shared = rows.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), blocks.alias("blocks")).where("n > 1").drop("n")
+    met = rows.join(shared, ["band", "bucket"]).groupBy("rid").agg(F.collect_list(F.struct("band", "bucket", "blocks")).alias("met"))  # BANDS at most
+    dealt = known.select("rid", "fp", "minima", "shingles").join(met, "rid").select("rid", "fp", "minima", "shingles", F.explode("met").alias("m")).select(
+        "rid", "fp", "minima", "shingles", "m.*")
+    block = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")
+    units = dealt.select("band", "bucket", "fp", "minima", "shingles", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "band", "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "fp", "minima", "shingles")
+    names = ["band", "bucket", "low", "high"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in grouped(batches, names):
+            if unit.num_rows > 1:
+                least = np.frombuffer(b"".join(unit.column("minima").to_pylist()), np.uint8).reshape(unit.num_rows, -1)
+                pairs = unit_links(least, [np.frombuffer(x, "<u4") for x in unit.column("shingles").to_pylist()], similarity)
+                if pairs:
+                    fp = unit.column("fp").to_numpy()
+                    yield pa.RecordBatch.from_arrays([pa.array(fp[list(side)]) for side in zip(*pairs, strict=True)], ["u", "v"])
+
+    near = units.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "u long, v long").where("u <> v").distinct()
+    return near.unionByName(copies)
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """As ``simhash.near_duplicates``, with the links of similar texts besides those of near fingerprints."""
+    sketched = materialize(sketches(docs, key, text), "sketches")
+    return groups(sketched.select("key", "fp"), key, more=materialize(links(sketched, similarity), "similar"))
