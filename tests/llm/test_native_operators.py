@@ -92,3 +92,18 @@ def test_hosts_are_judged_together(spark):
     kept = {r["doc_id"]: r["kept"] for r in host_rules.apply_rules(frame).collect()}
     assert all(kept[i] == (i % 10 > 0) for i in range(200)) and not any(kept[1000 + i] for i in range(200))
     assert kept[5000] and not kept[5001]  # one document is not enough to judge a host by
+
+
+def test_turn_order_query_matches_check_sql(spark, tmp_path):
+    import __spark_entry__ as entry
+    orders = ["ua", "suau", "a", "uu", "s", "us", "uatu", "", "u-a", "sua"]
+    names = {"u": "user", "a": "assistant", "s": "system", "t": "tool", "-": None}
+    rows = [(c, t, names[x], "t") for c, order in enumerate(orders) for t, x in enumerate(order)] + [(None, 0, "user", None), (0, None, "system", "s")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    for folder, path in ((str(tmp_path), f"{tmp_path}/conversations.parquet/*.parquet"), (SF, f"{SF}/conversations.parquet")):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{path}'")
+        message, _, good = compare(spark, con, "op8_turn_order", folder)
+        assert good, message
+    got = {r["conv_id"]: (r["valid"], r["first_bad_turn"]) for r in entry.queries()["op8_turn_order"](spark, str(tmp_path)).collect()}
+    assert got[0] == (True, None) and got[2] == (False, 0) and got[4] == (False, None) and got[6] == (False, 2) and got[8] == (False, 1)

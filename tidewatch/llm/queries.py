@@ -49,6 +49,26 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+_OP8_ORDER_SQL = r"""
+WITH ordered AS (
+  SELECT conv_id, role, row_number() OVER w - 1 AS i, coalesce(lag(role) OVER w, 'begin') AS before, lead(role) OVER w IS NULL AS last
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations)
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), judged AS (
+  SELECT *, (before, role) NOT IN (('begin', 'system'), ('begin', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user')) AS bad
+  FROM ordered
+)
+SELECT conv_id, NOT bool_or(bad) AND bool_or(last AND role IN ('user', 'assistant')) AS valid, CAST(min(i) FILTER (bad) AS INTEGER) AS first_bad_turn
+FROM judged GROUP BY conv_id
+"""
+
+
+@REG.query("op8_turn_order", _OP8_ORDER_SQL)
+def op8_turn_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turn order of all conversations against the template's machine, which ``op8_chat_format`` does not ask for."""
+    return chat.format_conversations(table(spark, sf_dir, "conversations")).select("conv_id", "valid", "first_bad_turn")
+
+
 _OP10_SQL = r"""
 WITH w AS (
   SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text,
