@@ -114,3 +114,13 @@ def test_obfuscation_and_address_count():
     plain, hidden = lexicon.features("you are an idiot"), lexicon.features("you are an 1d.i0t")
     assert plain[1] == 1 and plain[8] == 1 and hidden[1] == 0 and hidden[6] == 1
     assert lexicon.features("le vequoir est")[1] == 1 and lexicon.features("le vequoir est")[3] == 0
+
+
+def test_sample_is_bounded_for_a_repeated_key(spark, labels):
+    rows = [(1, f"text {i % 300}") for i in range(900)] + [(i, f"own {i}") for i in range(2, 10)] + [(1, None), (1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sample = [tuple(r) for r in quality.labelled_documents(docs, labels, "quality", F.lit(True), 50).collect()]
+    assert len(sample) == len(set(sample)) == 50
+    every = [tuple(r) for r in quality.labelled_documents(docs, labels, "quality", F.lit(True), 1000).collect()]
+    want = {(k, int(k % 3 > 0), t) for k, t in rows}
+    assert len(every) == len(want) and set(every) == want and set(sample) <= want
