@@ -15,8 +15,10 @@ all vectors share nor a far ascent gathers anything in one place. Queries that f
 vectors, chunk by chunk.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, and those whose length is not the
-most common one, take no part; equal scores go to the smaller id; equal vectors and repeated ids are candidates each,
-but a query never finds rows of its own id; an empty table gives an empty result; other columns are ignored.
+most common one, take no part; equal scores go to the smaller id; equal vectors of different ids are candidates each; rows
+of a repeated id are candidates each if their scores differ, and one candidate if they are equal; a query never finds rows
+of its own id, and of the vectors of a repeated query id only the smallest, as bytes, is asked; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
