@@ -4,6 +4,9 @@ Pre-tokens never reach across the start of a white-space run of one space and a
 ids of a text are the ids of the pieces between such places, one after the other. Pieces repeat; the memo keeps the
 ids of those a worker has met, and the library's BPE model encodes only new words. Anything unusual (special-token
 strings, letters outside Latin) goes through the library's full ``encode``.
+
+``BlockEncoder`` does the same for a block of texts at once: the texts are split in Arrow, each distinct word of the
+block is looked up once, new words go to the library together, and the ids are gathered in numpy.
 """
 
 from __future__ import annotations
@@ -13,7 +16,11 @@ import re
 import sys
 from array import array
 
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -29,6 +36,12 @@ _PLAIN = re.compile(r"[\t\n\x20-\x7e¡-¬®-ÿ]*")
 #: The split patterns of the two vocabularies' pre-tokenizers.
 _SPACED = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Texts whose pieces can not be told apart by single spaces; the second also holds those that begin with one.
+_ODD = r" (?:[^\p{L}\p{N}\p{P}\p{S}]|$)"
+_ODD_OR_BLANK = _ODD + r"|^$|^[^\p{L}\p{N}\p{P}\p{S}]"
+_VISIBLE = re.compile(r"[!-~¡-¬®-ÿ]+")
+#: Words that go to the library together, and entries of each generation of a block encoder's memo.
+_TOGETHER, GENERATION = 500, 600_000
 #: Pieces that a memo keeps before it starts again: of words, and of everything else.
 MEMO_WORDS, MEMO_REST = 500_000, 50_000
 
@@ -57,16 +70,21 @@ class _Memo(dict):
 class Encoder:
     """Encodes texts to little-endian id bytes (``dtype``), as ``encode(text, add_special_tokens=False)`` does."""
 
-    def __init__(self, path: str, words: bool = False):
-        """``words``: the vocabulary lower-cases and drops white space, instead of keeping it."""
+    def __init__(self, path: str, words: bool = False, plain: bool = False):
+        """``words``: the vocabulary lower-cases and drops white space, instead of keeping it. ``plain``: the strings of
+        special tokens are ordinary text."""
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.tokenizer.encode_special_tokens = plain
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.words = words
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.specials = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._letters = _byte_letters()
+        self._opens = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        space = self._letters[ord(" ")]
+        self._opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(space)]] = True
         self._tokens = _Memo(self._token, MEMO_REST)
         self._spaced = _Memo(self._spaced_piece, MEMO_WORDS)
         self._exact = _Memo(self._bare_piece if words else self._piece, MEMO_WORDS if words else MEMO_REST)
@@ -118,13 +136,98 @@ class Encoder:
         return np.frombuffer(self.encode(text), self.dtype)
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
-
-
-def encoder(path: str, words: bool = False) -> Encoder:
+    def spaced_words(self, found: list[str]) -> list[bytes]:
+        """The ids of each of these pieces with its space before it. Plain ones are encoded together; their ids are told
+        apart by the tokens that begin with the space."""
+        out: list[bytes | None] = [None] * len(found)
+        plain = [i for i, x in enumerate(found) if _VISIBLE.fullmatch(x) and not any(s in x for s in self.specials)]
+        runs = [plain[i:i + _TOGETHER] for i in range(0, len(plain), _TOGETHER)]
+        texts = [" " + " ".join([found[i] for i in run]) for run in runs]
+        for run, coded in zip(runs, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(coded.ids, self.dtype)
+            begins = np.flatnonzero(self._opens[ids])
+            if len(begins) == len(run):
+                raw, edges = ids.tobytes(), (np.append(begins, len(ids)) * self.dtype.itemsize).tolist()
+                for i, a, b in zip(run, edges, edges[1:]):
+                    out[i] = raw[a:b]
+        return [self._piece(" " + x) if ids is None else ids for x, ids in zip(found, out, strict=True)]
+
+
+class BlockEncoder:
+    """Ids of whole blocks of texts. ``words`` gives the ids of pieces with a space before them, ``whole`` those of a
+    text; a text's ids must be those of its pieces between single spaces, the first one without its space."""
+
+    def __init__(self, words: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes], dtype: np.dtype, entries: int = GENERATION):
+        self._words, self._whole, self.dtype, self._entries = words, whole, dtype, entries
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+
+    def _lookup(self, found: list[str]) -> list[bytes]:
+        """Ids by the memo. It has two generations, so that common words outlive the many that come once."""
+        if len(self._young) > self._entries:
+            self._young, self._old = {}, self._young
+        young, old = self._young, self._old
+        out = list(map(young.get, found))
+        missing = []
+        for i, ids in enumerate(out):
+            if ids is None:
+                if (ids := old.get(found[i])) is None:
+                    missing.append(i)
+                else:
+                    out[i] = young[found[i]] = ids
+        for i, ids in zip(missing, self._words([found[i] for i in missing]), strict=True):
+            out[i] = young[found[i]] = ids
+        return out
+
+    def encode(self, texts: pa.Array, first_spaced: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an array of texts (null: empty), one text after the other, and where each text begins and the last
+        one ends. ``first_spaced``: a space goes before each text."""
+        if not len(texts):
+            return np.zeros(0, self.dtype), np.zeros(1, np.int64)
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, _ODD_OR_BLANK if first_spaced else _ODD)
+        split = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+        bounds, words = split.offsets.to_numpy(), split.flatten()
+        coded = words.dictionary_encode()
+        slots = coded.indices.to_numpy().astype(np.int64)
+        entries = coded.dictionary.to_pylist()
+        blank = entries.index("") if "" in entries else -1
+        if blank >= 0:
+            entries[blank] = "x"  # stands for nothing: firsts are replaced below
+        pool = self._lookup(entries)
+        firsts, odd_rows = bounds[:-1], odd.to_numpy(zero_copy_only=False)
+        # A text's first piece has no space before it; an odd text is encoded as one piece.
+        bare = np.flatnonzero(odd_rows) if first_spaced else np.arange(len(texts))
+        opening = words.take(pa.array(firsts[bare])).to_pylist()
+        for row, piece in zip(bare.tolist(), opening, strict=True):
+            slots[firsts[row]] = len(pool)
+            pool.append(self._whole((" " if first_spaced else "") + texts[row].as_py()) if odd_rows[row] else self._whole(piece) if piece else b"")
+        size = self.dtype.itemsize
+        lengths = np.fromiter(map(len, pool), np.int64, len(pool)) // size
+        begins, each = np.cumsum(lengths) - lengths, lengths[slots]
+        ends = np.cumsum(each)
+        index = np.repeat(begins[slots] - (ends - each), each) + np.arange(ends[-1])
+        return np.frombuffer(b"".join(pool), self.dtype)[index], np.append(0, ends)[bounds]
+
+
+_ENCODERS: dict[tuple[str, bool, bool], Encoder] = {}
+_BLOCKS: dict[tuple[str, bool], BlockEncoder] = {}
+
+
+def encoder(path: str, words: bool = False, plain: bool = False) -> Encoder:
     """One encoder per worker process and file, so that its memo outlives a task."""
-    key = (path, words)
+    key = (path, words, plain)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(path, words)
+        _ENCODERS[key] = Encoder(path, words, plain)
     return _ENCODERS[key]
+
+
+def block_encoder(path: str, plain: bool = False) -> BlockEncoder:
+    """One block encoder of a byte-level vocabulary that keeps white space per worker process and file."""
+    key = (path, plain)
+    if key not in _BLOCKS:
+        _BLOCKS.clear()
+        single = encoder(path, plain=plain)
+        _BLOCKS[key] = BlockEncoder(single.spaced_words, single.encode, single.dtype)
+    return _BLOCKS[key]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import ann, bpe, chat, host_rules, langid, packing, quality, simhash, token_files, toxicity
+from tidewatch.llm import alignment, ann, bpe, chat, host_rules, langid, packing, quality, simhash, token_files, toxicity
 from tidewatch.llm.common import crc_bucket, documents, scratch_dir, table
 from tidewatch.plans.registry import Registry
 
@@ -171,3 +171,9 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every vector whose id is divisible by 20."""
     vectors = table(spark, sf_dir, "embeddings")
     return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+@REG.query("op13_alignment")
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two vocabularies aligned in all documents, with corpus-wide counts of the id pairs that share bytes."""
+    return alignment.align_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
