@@ -16,7 +16,7 @@ from tests.conftest import rows
 from tests.llm.conftest import wide
 from tidewatch.llm import alignment, queries
 from tidewatch.llm.common import documents
-from tidewatch.llm.encoding import Encoder, block_encoder
+from tidewatch.llm.encoding import Encoder, Words, block_encoder
 
 BYTE, PIECE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 LIBRARY = Tokenizer.from_file(BYTE)
@@ -82,10 +82,10 @@ def test_links_and_groups_of_a_block(texts):
 @given(st.lists(st.one_of(PARTS, st.none()), max_size=5))
 def test_block_encoders_equal_the_libraries(texts):
     special = Tokenizer.from_file(BYTE)
-    ids, bounds = block_encoder(BYTE).encode(pa.array(texts, pa.string()))
+    ids, bounds = block_encoder(BYTE).encode(Words(pa.array(texts, pa.string())))
     assert [ids[x:y].tolist() for x, y in zip(bounds, bounds[1:])] == [special.encode(t or "", add_special_tokens=False).ids for t in texts]
     for side, library in zip(alignment.sides(BYTE, PIECE), (lambda t: LIBRARY.encode(t, add_special_tokens=False).ids, lambda t: MODEL.encode(t[1:]))):
-        ids, bounds = side.coder.encode(pa.array(texts, pa.string()), first_spaced=True)
+        ids, bounds = side.coder.encode(Words(pa.array(texts, pa.string()), first_spaced=True))
         for t, x, y in zip(texts, bounds, bounds[1:]):
             if t:
                 assert ids[x:y].tolist() == library(" " + t)
@@ -96,7 +96,7 @@ def test_memo_generations():
     coder = alignment.BlockEncoder(plain.spaced_words, plain.encode, plain.dtype, entries=5)
     texts = [" ".join(f"word{i % k}" for i in range(30)) for k in range(1, 12)]
     for text in texts * 2:
-        assert coder.encode(pa.array([text]))[0].tolist() == plain.tokenizer.encode(text, add_special_tokens=False).ids
+        assert coder.encode(Words(pa.array([text])))[0].tolist() == plain.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("counted", [1, 8 << 20])

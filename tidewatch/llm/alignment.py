@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import materialize, row_blocks
-from tidewatch.llm.encoding import BlockEncoder, block_encoder, encoder
+from tidewatch.llm.encoding import BlockEncoder, Words, block_encoder, encoder
 
 #: Text bytes of the documents whose pairs are counted together. A block is one row of the written table.
 COUNTED_BYTES = 8 << 20
@@ -80,8 +80,8 @@ class _WholeTexts(BlockEncoder):
     def __init__(self, whole, dtype: np.dtype):
         super().__init__(lambda found: [], whole, dtype)
 
-    def encode(self, texts: pa.Array, first_spaced: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        found = [np.frombuffer(self._whole(" " + t) if t else b"", self.dtype) for t in texts.to_pylist()]
+    def encode(self, block: Words) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.frombuffer(self._whole(" " + t) if t else b"", self.dtype) for t in block.texts.to_pylist()]
         return np.concatenate([np.zeros(0, self.dtype), *found]), np.append(0, np.cumsum([len(x) for x in found])).astype(np.int64)
 
 
@@ -98,13 +98,14 @@ class Aligned:
     cut_b: np.ndarray
 
 
-def _kept(side: _Side, texts: pa.Array, spaced: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _kept(side: _Side, words: Words, spaced: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids, the number of each one's text, and which texts have exactly their own bytes in their tokens."""
-    ids, bounds = side.coder.encode(texts, first_spaced=True)
+    texts = words.texts
+    ids, bounds = side.coder.encode(words)
     doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
     want = pc.binary_length(spaced).to_numpy().astype(np.int64)
     size = np.bincount(doc, side.sizes[ids], len(texts)).astype(np.int64)
-    right = (size == want) & (pc.binary_length(pc.fill_null(texts, "")).to_numpy() > 0)
+    right = (size == want) & (pc.binary_length(texts).to_numpy() > 0)
     some = right[doc]
     got = side.joined(ids[some])
     chosen = spaced.filter(pa.array(right))
@@ -118,9 +119,10 @@ def _kept(side: _Side, texts: pa.Array, spaced: pa.Array) -> tuple[np.ndarray, n
 
 def align(texts: pa.Array, side_a: _Side, side_b: _Side) -> Aligned:
     """All overlaps of a block's texts."""
-    spaced = pc.binary_join_element_wise("", pc.fill_null(texts, ""), " ")
-    ids_a, doc_a, right_a = _kept(side_a, texts, spaced)
-    ids_b, doc_b, right_b = _kept(side_b, texts, spaced)
+    words = Words(texts, first_spaced=True)
+    spaced = pc.binary_join_element_wise("", words.texts, " ")
+    ids_a, doc_a, right_a = _kept(side_a, words, spaced)
+    ids_b, doc_b, right_b = _kept(side_b, words, spaced)
     right = right_a & right_b
     if not right.all():
         ids_a, doc_a = ids_a[right[doc_a]], doc_a[right[doc_a]]

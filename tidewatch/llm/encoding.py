@@ -153,6 +153,23 @@ class Encoder:
         return [self._piece(" " + x) if ids is None else ids for x, ids in zip(found, out, strict=True)]
 
 
+class Words:
+    """A block of texts (null: empty) cut at single spaces, each distinct piece once. ``first_spaced``: a space goes before
+    each text, so that its first piece is like any other. Odd texts, whose pieces can not be told apart, stay whole."""
+
+    def __init__(self, texts: pa.Array, first_spaced: bool = False):
+        self.texts, self.first_spaced = pc.fill_null(texts, ""), first_spaced
+        odd = pc.match_substring_regex(self.texts, _ODD_OR_BLANK if first_spaced else _ODD)
+        split = pc.split_pattern(pc.if_else(odd, "", self.texts), " ")
+        self.odd = odd.to_numpy(zero_copy_only=False)
+        self.bounds, words = split.offsets.to_numpy(), split.flatten()
+        coded = words.dictionary_encode()
+        self.slots, self.entries = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        # These texts' first pieces are encoded by themselves: an odd text is one piece.
+        bare = np.flatnonzero(self.odd) if first_spaced else np.arange(len(self.texts))
+        self.bare, self.opening = bare, words.take(pa.array(self.bounds[:-1][bare])).to_pylist()
+
+
 class BlockEncoder:
     """Ids of whole blocks of texts. ``words`` gives the ids of pieces with a space before them, ``whole`` those of a
     text; a text's ids must be those of its pieces between single spaces, the first one without its space."""
@@ -179,35 +196,22 @@ class BlockEncoder:
             out[i] = young[found[i]] = ids
         return out
 
-    def encode(self, texts: pa.Array, first_spaced: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of an array of texts (null: empty), one text after the other, and where each text begins and the last
-        one ends. ``first_spaced``: a space goes before each text."""
-        if not len(texts):
+    def encode(self, block: Words) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a block, one text after the other, and where each text begins and the last one ends."""
+        if not len(block.texts):
             return np.zeros(0, self.dtype), np.zeros(1, np.int64)
-        texts = pc.fill_null(texts, "")
-        odd = pc.match_substring_regex(texts, _ODD_OR_BLANK if first_spaced else _ODD)
-        split = pc.split_pattern(pc.if_else(odd, "", texts), " ")
-        bounds, words = split.offsets.to_numpy(), split.flatten()
-        coded = words.dictionary_encode()
-        slots = coded.indices.to_numpy().astype(np.int64)
-        entries = coded.dictionary.to_pylist()
-        blank = entries.index("") if "" in entries else -1
-        if blank >= 0:
-            entries[blank] = "x"  # stands for nothing: firsts are replaced below
-        pool = self._lookup(entries)
-        firsts, odd_rows = bounds[:-1], odd.to_numpy(zero_copy_only=False)
-        # A text's first piece has no space before it; an odd text is encoded as one piece.
-        bare = np.flatnonzero(odd_rows) if first_spaced else np.arange(len(texts))
-        opening = words.take(pa.array(firsts[bare])).to_pylist()
-        for row, piece in zip(bare.tolist(), opening, strict=True):
-            slots[firsts[row]] = len(pool)
-            pool.append(self._whole((" " if first_spaced else "") + texts[row].as_py()) if odd_rows[row] else self._whole(piece) if piece else b"")
-        size = self.dtype.itemsize
-        lengths = np.fromiter(map(len, pool), np.int64, len(pool)) // size
+        slots, begin = block.slots.copy(), " " if block.first_spaced else ""
+        # An empty piece stands for nothing: it only opens a text, and what opens one is put in its place below.
+        pool = self._lookup([x or "x" for x in block.entries])
+        for row, piece in zip(block.bare.tolist(), block.opening, strict=True):
+            slots[block.bounds[row]] = len(pool)
+            text = begin + block.texts[row].as_py() if block.odd[row] else piece
+            pool.append(self._whole(text) if text else b"")
+        lengths = np.fromiter(map(len, pool), np.int64, len(pool)) // self.dtype.itemsize
         begins, each = np.cumsum(lengths) - lengths, lengths[slots]
         ends = np.cumsum(each)
         index = np.repeat(begins[slots] - (ends - each), each) + np.arange(ends[-1])
-        return np.frombuffer(b"".join(pool), self.dtype)[index], np.append(0, ends)[bounds]
+        return np.frombuffer(b"".join(pool), self.dtype)[index], np.append(0, ends)[block.bounds]
 
 
 _ENCODERS: dict[tuple[str, bool, bool], Encoder] = {}
