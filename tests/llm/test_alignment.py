@@ -21,6 +21,7 @@ from tidewatch.llm.encoding import Encoder, Words, block_encoder
 BYTE, PIECE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 LIBRARY = Tokenizer.from_file(BYTE)
 LIBRARY.encode_special_tokens = True
+SPECIAL = Tokenizer.from_file(BYTE)
 MODEL = sentencepiece.SentencePieceProcessor(model_file=PIECE)
 LETTERS = {letter: byte for byte, letter in Encoder(BYTE)._letters.items()}
 PARTS = st.lists(st.sampled_from([" ", "  ", "\n", "\t", "a", "Bc", "é", "中", "'s", "12", "½", "<|endoftext|>", "<0x41>", "<s>", "▁", "</s>", "́", "\x1c", "\x85",
@@ -81,9 +82,8 @@ def test_links_and_groups_of_a_block(texts):
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.one_of(PARTS, st.none()), max_size=5))
 def test_block_encoders_equal_the_libraries(texts):
-    special = Tokenizer.from_file(BYTE)
     ids, bounds = block_encoder(BYTE).encode(Words(pa.array(texts, pa.string())))
-    assert [ids[x:y].tolist() for x, y in zip(bounds, bounds[1:])] == [special.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [ids[x:y].tolist() for x, y in zip(bounds, bounds[1:])] == [SPECIAL.encode(t or "", add_special_tokens=False).ids for t in texts]
     for side, library in zip(alignment.sides(BYTE, PIECE), (lambda t: LIBRARY.encode(t, add_special_tokens=False).ids, lambda t: MODEL.encode(t[1:]))):
         ids, bounds = side.coder.encode(Words(pa.array(texts, pa.string()), first_spaced=True))
         for t, x, y in zip(texts, bounds, bounds[1:]):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import materialize, row_blocks
-from tidewatch.llm.encoding import BlockEncoder, Words, block_encoder, encoder
+from tidewatch.llm.encoding import BlockEncoder, TextEncoder, Words, block_encoder, encoder
 
 #: Text bytes of the documents whose pairs are counted together. A block is one row of the written table.
 COUNTED_BYTES = 8 << 20
@@ -71,18 +71,7 @@ def sentencepiece_side(path: str) -> _Side:
     whole = lambda text: pack(model.encode(text[1:], num_threads=1))  # the model adds the first space itself
     words = lambda found: [pack(ids) for ids in model.encode(found, num_threads=1)]
     apart = not any(_SPACE in p.lstrip(_SPACE) for p in pieces)
-    return _Side(BlockEncoder(words, whole, dtype) if apart else _WholeTexts(whole, dtype), tokens)
-
-
-class _WholeTexts(BlockEncoder):
-    """Encodes text by text, for models whose pieces hold several words."""
-
-    def __init__(self, whole, dtype: np.dtype):
-        super().__init__(lambda found: [], whole, dtype)
-
-    def encode(self, block: Words) -> tuple[np.ndarray, np.ndarray]:
-        found = [np.frombuffer(self._whole(" " + t) if t else b"", self.dtype) for t in block.texts.to_pylist()]
-        return np.concatenate([np.zeros(0, self.dtype), *found]), np.append(0, np.cumsum([len(x) for x in found])).astype(np.int64)
+    return _Side(BlockEncoder(words, whole, dtype) if apart else TextEncoder(whole, dtype), tokens)
 
 
 @dataclass

@@ -214,8 +214,20 @@ class BlockEncoder:
         return np.frombuffer(b"".join(pool), self.dtype)[index], np.append(0, ends)[block.bounds]
 
 
+class TextEncoder(BlockEncoder):
+    """The same, text by text, for vocabularies whose ids depend on more than one word."""
+
+    def __init__(self, whole: Callable[[str], bytes], dtype: np.dtype):
+        super().__init__(lambda found: [], whole, dtype)
+
+    def encode(self, block: Words) -> tuple[np.ndarray, np.ndarray]:
+        begin = " " if block.first_spaced else ""
+        found = [np.frombuffer(self._whole(begin + t) if t else b"", self.dtype) for t in block.texts.to_pylist()]
+        return np.concatenate([np.zeros(0, self.dtype), *found]), np.append(0, np.cumsum([len(x) for x in found])).astype(np.int64)
+
+
 _ENCODERS: dict[tuple[str, bool, bool], Encoder] = {}
-_BLOCKS: dict[tuple[str, bool], BlockEncoder] = {}
+_BLOCKS: dict[tuple[str, bool, bool], BlockEncoder] = {}
 
 
 def encoder(path: str, words: bool = False, plain: bool = False) -> Encoder:
@@ -227,11 +239,11 @@ def encoder(path: str, words: bool = False, plain: bool = False) -> Encoder:
     return _ENCODERS[key]
 
 
-def block_encoder(path: str, plain: bool = False) -> BlockEncoder:
-    """One block encoder of a byte-level vocabulary that keeps white space per worker process and file."""
-    key = (path, plain)
+def block_encoder(path: str, words: bool = False, plain: bool = False) -> BlockEncoder:
+    """One block encoder per worker process and file."""
+    key = (path, words, plain)
     if key not in _BLOCKS:
         _BLOCKS.clear()
-        single = encoder(path, plain=plain)
-        _BLOCKS[key] = BlockEncoder(single.spaced_words, single.encode, single.dtype)
+        single = encoder(path, words, plain)
+        _BLOCKS[key] = TextEncoder(single.encode, single.dtype) if words else BlockEncoder(single.spaced_words, single.encode, single.dtype)
     return _BLOCKS[key]

@@ -28,9 +28,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import row_blocks, scratch_dir
-from tidewatch.llm.encoding import encoder
+from tidewatch.llm.encoding import Words, block_encoder
 
 CAPACITY = 2048
+#: Text bytes that a worker encodes together.
+ENCODED_BYTES = 2 << 20
 #: Rounds of multiplicative weights, fillings added in each, the weight's learning rate, and how far below the best
 #: filling's value an added one may be.
 ROUNDS, COLUMNS, RATE, SLACK = 120, 300, 6.0, 0.01
@@ -168,12 +170,13 @@ def write_pieces(docs: DataFrame, path: str, vocabulary: str, *, end_id: int, wo
     """Encode, cut and write: doc_id, piece, start, length, ids (little-endian 32-bit), and (part, nth): the piece's
     number among those of its length that its task made."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, made = encoder(vocabulary, words), TaskContext.get().partitionId(), defaultdict(int)
+        coder, part, made = block_encoder(vocabulary, words), TaskContext.get().partitionId(), defaultdict(int)
         end = np.array([end_id], "<u4")
-        for block in row_blocks(batches):
+        for block in row_blocks(batches, limit=ENCODED_BYTES):
             keys, pieces, starts, lengths, nth, ids = [], [], [], [], [], []
-            for row_key, row_text in zip(block.column("key").to_pylist(), block.column("text").to_pylist(), strict=True):
-                found = np.concatenate([coder.ids(row_text).astype("<u4"), end])
+            coded, bounds = coder.encode(Words(block.column("text")))
+            for row_key, first, after in zip(block.column("key").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                found = np.append(coded[first:after].astype("<u4"), end)
                 edges = [0, *range(len(found) % capacity or capacity, len(found) + 1, capacity)] if len(found) > capacity else [0, len(found)]
                 for i, (begin, stop) in enumerate(zip(edges, edges[1:])):
                     keys.append(row_key)

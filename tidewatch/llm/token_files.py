@@ -27,13 +27,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import bounded_sample, materialize, row_blocks
-from tidewatch.llm.encoding import encoder
+from tidewatch.llm.encoding import Words, block_encoder, encoder
 
 MAGIC = b"TWTOK1\x00\x00"
 _HEAD = np.dtype([("magic", "S8"), ("dictionary", "V32"), ("width", "<u4"), ("documents", "<u4")])
 _ENTRY = np.dtype([("key", "<i8"), ("known", "u1"), ("offset", "<u8"), ("size", "<u4"), ("tokens", "<u4")])
 #: A shard is closed at so many bytes of frames or documents.
 SHARD_BYTES, SHARD_DOCUMENTS = 1 << 20, 4096
+#: Text bytes that a worker encodes together.
+ENCODED_BYTES = 2 << 20
 #: The dictionary is trained on at most so many documents and serialized bytes.
 SAMPLE_DOCUMENTS, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 1000, 8 << 20, 64 << 10, 3
 
@@ -117,7 +119,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, *, end_id: int, words: bo
     spark.createDataFrame([(bytearray(dictionary), hashlib.sha256(dictionary).hexdigest())], "data binary, sha256 string").coalesce(1).write.parquet(f"{path}/dictionary")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, seq = encoder(vocabulary, words), TaskContext.get().partitionId(), 0
+        coder, part, seq = block_encoder(vocabulary, words), TaskContext.get().partitionId(), 0
         shared = _codec_dictionary(dictionary)
         codec = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared) if shared else zstandard.ZstdCompressor(level=LEVEL)
         end = np.array([end_id], coder.dtype).tobytes()
@@ -129,9 +131,10 @@ def write(docs: DataFrame, path: str, vocabulary: str, *, end_id: int, words: bo
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
                                               ["part", "seq", "documents", "tokens", "shard"])
 
-        for block in row_blocks(batches):
-            for row_key, row_text in zip(block.column("key").to_pylist(), block.column("text").to_pylist(), strict=True):
-                raw = coder.encode(row_text) + end
+        for block in row_blocks(batches, limit=ENCODED_BYTES):
+            ids, bounds = coder.encode(Words(block.column("text")))
+            for row_key, begin, stop in zip(block.column("key").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                raw = ids[begin:stop].tobytes() + end
                 frame = codec.compress(raw)
                 open_rows.append((row_key, len(raw) // coder.dtype.itemsize, frame))
                 held += len(frame)
