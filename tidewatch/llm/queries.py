@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import alignment, ann, bpe, chat, host_rules, langid, packing, quality, simhash, token_files, toxicity
+from tidewatch.llm import alignment, ann, bpe, chat, host_rules, langid, merkle, packing, quality, simhash, token_files, toxicity, warc
 from tidewatch.llm.common import crc_bucket, documents, scratch_dir, table
 from tidewatch.plans.registry import Registry
 
@@ -173,6 +173,85 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
+_OP11_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h FROM pages
+), g AS (
+  SELECT page_id, h, CASE WHEN strlen(h) >= 100 AND page_id IS DISTINCT FROM min(page_id) OVER (PARTITION BY h) THEN min(page_id) OVER (PARTITION BY h) END AS refers_to FROM p
+)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest,
+       CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
+FROM g
+"""
+
+
+@REG.query("op11_warc", _OP11_SQL)
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to an archive and read back: responses with their payloads, revisits by their headers alone."""
+    path = scratch_dir(spark, "warc")
+    warc.write(warc.page_records(table(spark, sf_dir, "pages")), path)
+    whole = warc.read(spark, path).where("record_type = 'response'").select(
+        "record_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", "refers_to")
+    again = warc.read(spark, path, payload=False).where("record_type = 'revisit'").select(whole.columns)
+    return whole.unionByName(again).select(warc.key_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                                           warc.key_of(F.col("refers_to")).alias("refers_to"))
+
+
+_OP12_SQL = """
+WITH RECURSIVE crc AS (
+  SELECT *, CASE WHEN doc_id IS NULL THEN FALSE ELSE (4294967295 - list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))) % 7 = 0 END AS flagged
+  FROM documents
+), texts AS (
+  SELECT doc_id, lang, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         n_chars, flagged, coalesce(strlen(text) || ':' || text, '-') AS tail FROM crc
+), hashed AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+         sha256(head || coalesce(strlen((n_chars + flagged::INT)::VARCHAR) || ':' || (n_chars + flagged::INT), '-') || tail) AS claim FROM texts
+), leaves AS (
+  SELECT *, row_number() OVER () AS rid, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS m FROM hashed
+), levels AS (
+  SELECT lang, 0 AS h, i, m, leaf AS d FROM leaves
+  UNION ALL
+  SELECT lang, h + 1, i // 2, (m + 1) // 2, sha256(string_agg(d, '' ORDER BY i)) FROM levels WHERE m > 1 GROUP BY lang, h, i // 2, m
+), subroots AS (
+  SELECT lang, d, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS m FROM levels WHERE m = 1
+), upper AS (
+  SELECT 0 AS h, i, m, d FROM subroots
+  UNION ALL
+  SELECT h + 1, i // 2, (m + 1) // 2, sha256(string_agg(d, '' ORDER BY i)) FROM upper WHERE m > 1 GROUP BY h, i // 2, m
+), lower_fold AS (
+  SELECT rid, lang, claim AS d, 0 AS h, i, m, '' AS proof FROM leaves
+  UNION ALL
+  SELECT f.rid, f.lang, CASE WHEN s.d IS NULL THEN sha256(f.d) WHEN f.i % 2 = 1 THEN sha256(s.d || f.d) ELSE sha256(f.d || s.d) END, f.h + 1, f.i // 2, (f.m + 1) // 2, f.proof || coalesce(s.d, '')
+  FROM lower_fold f LEFT JOIN levels s ON s.lang IS NOT DISTINCT FROM f.lang AND s.h = f.h AND s.i = xor(f.i, 1) WHERE f.m > 1
+), upper_fold AS (
+  SELECT f.rid, f.d, 0 AS h, s.i, s.m, f.proof FROM lower_fold f JOIN subroots s ON s.lang IS NOT DISTINCT FROM f.lang WHERE f.m = 1
+  UNION ALL
+  SELECT f.rid, CASE WHEN s.d IS NULL THEN sha256(f.d) WHEN f.i % 2 = 1 THEN sha256(s.d || f.d) ELSE sha256(f.d || s.d) END, f.h + 1, f.i // 2, (f.m + 1) // 2, f.proof || coalesce(s.d, '')
+  FROM upper_fold f LEFT JOIN upper s ON s.h = f.h AND s.i = xor(f.i, 1) WHERE f.m > 1
+)
+SELECT l.doc_id, l.leaf, s.d AS subroot, r.d AS root, sha256(f.proof) AS proof_sha256, f.d AS folded_root, f.d = r.d AS verified
+FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang JOIN upper_fold f ON f.rid = l.rid AND f.m = 1 CROSS JOIN (SELECT d FROM upper WHERE m = 1) r
+"""
+
+
+@REG.query("op12_merkle", _OP12_SQL)
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents with a witness each, verified against tampered leaves."""
+    docs = documents(spark, sf_dir)
+    flagged = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    own, tampered = (merkle.leaf_digest([F.col("doc_id"), F.col("source"), F.col("lang"), n, F.col("text")])
+                     for n in (F.col("n_chars"), F.col("n_chars").cast("decimal(20,0)") + 1))
+    rows = docs.select(F.col("lang").alias("tree"), F.col("doc_id").cast("long").alias("key"), own.alias("leaf"),
+                       F.when(flagged & F.col("n_chars").isNotNull(), tampered).alias("claim"))
+    text = lambda c: F.lower(F.hex(c))
+    found = merkle.verify(merkle.prove(rows))
+    return found.select(F.col("key").alias("doc_id"), *[text(a).alias(b) for a, b in (
+        ("leaf", "leaf"), ("subroot", "subroot"), ("root", "root"), ("proof", "proof_sha256"), ("folded", "folded_root"))], "verified")
+
+
 @REG.query("op13_alignment")
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of two vocabularies aligned in all documents, with corpus-wide counts of the id pairs that share bytes."""
