@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import langid, packing, quality, similar, simhash
+from tidewatch.llm import langid, packing, quality, simhash
 from tidewatch.llm.common import crc_bucket, documents, scratch_dir, table
 
 #: A document is kept from this quality score, and from this probability of its language, on. A text in two languages
@@ -37,9 +37,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: texts whose five-word shingles have a Jaccard similarity of 0.8 or
-    more, or whose fingerprints are near by the contract of op5, are linked, and groups are the components."""
-    return simhash.representatives(docs, near=similar.near_duplicates(docs))
+    """Keeps one document of each group of near-duplicates: texts whose fingerprints of three-word shingles differ in at most
+    three bits, directly or through others, as the SimHash operator's contract says."""
+    return simhash.representatives(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
