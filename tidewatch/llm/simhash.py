@@ -283,11 +283,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", di
     return groups(materialize(fingerprints(docs, key, text), "fingerprints"), key, distance)
 
 
-def groups(prints: DataFrame, key: str = "doc_id", distance: int = DISTANCE, more: DataFrame | None = None) -> DataFrame:
-    """``near_duplicates`` from written fingerprints (key, fp); ``more`` has further links (u, v) between fingerprints."""
+def groups(prints: DataFrame, key: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
+    """``near_duplicates`` from written fingerprints (key, fp)."""
     nodes = materialize(prints.groupBy("fp").agg(F.min("key").alias("least")), "distinct-fingerprints")
     near = links(nodes, choose_layout(nodes, distance), distance)
-    roots = connected_components(near if more is None else near.unionByName(more))
+    roots = connected_components(near)
     rooted = materialize(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = materialize(rooted.join(ids, "root").select("fp", "component_id", "root"), "component-ids")
@@ -295,11 +295,10 @@ def groups(prints: DataFrame, key: str = "doc_id", distance: int = DISTANCE, mor
     return prints.join(by_print, "fp").select(F.col("key").alias(key), digits("fp").alias("fingerprint"), "component_id", digits("root").alias("component"))
 
 
-def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE, near: DataFrame | None = None) -> DataFrame:
-    """The rows of ``docs`` that stand for their group: one of each, that with the smallest key. ``near`` has the groups, if
-    they are not to be made from fingerprints alone. The rows are shuffled once, by key, to meet the chosen keys; they are
-    not sorted."""
-    near = near_duplicates(docs, key, text, distance) if near is None else near
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """The rows of ``docs`` that stand for their group: one of each, that with the smallest key. The rows are shuffled once, by
+    key, to meet the chosen keys; they are not sorted."""
+    near = near_duplicates(docs, key, text, distance)
     near = materialize(near.withColumnRenamed(key, "key"), "near-duplicates")
     times = near.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("key") == F.col("component_id")).alias("stands"))
     chosen = materialize(times.where((F.col("n") == 1) & F.col("stands")).select(F.col("key").alias(key)), "representatives")
