@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.conftest import EN, SCHEMA, wide
-from tidewatch.llm import ann, similar, simhash
+from tidewatch.llm import ann, simhash
 from tidewatch.llm.components import connected_components
 
 
@@ -181,31 +181,16 @@ def test_texts_stay_whole(spark):
     assert got[1] == format(plain_print(long_text), "016x")
 
 
-def five_word_shingles(text):
-    words = (text or "").lower().split()
-    return {tuple(words[i:i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
-
-
-@pytest.mark.parametrize("block", [1024, 3])
-def test_near_duplicate_stage_groups_similar_texts(spark, monkeypatch, block):
-    """Copies with a share of changed words, in one large family and many small ones, against all pairs."""
-    monkeypatch.setattr(similar, "BLOCK", block)
-    rng = np.random.default_rng(block)
-    texts = [None, "", "one two", "one two", "One  two"]
-    for family in range(30):
-        base = [f"f{family}w{i}" for i in range(int(rng.integers(60, 300)))]
-        texts.append(" ".join(base))
-        for share in rng.uniform(0.002, 0.04, 40 if family == 0 else 3):
-            texts.append(" ".join(f"x{rng.integers(1 << 30)}" if rng.random() < share else w for w in base))
-    prints, sets = [plain_print(t) for t in texts], [five_word_shingles(t) for t in texts]
-    label = plain_groups(prints)
-    before = len(set(label))
-    for i in range(len(texts)):
-        for j in range(i):
-            both = len(sets[i] & sets[j])
-            if both and both >= 0.8 * len(sets[i] | sets[j]) - 1e-9 and label[i] != label[j]:
-                low, high = sorted((label[i], label[j]))
-                label = [low if x == high else x for x in label]
-    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA).repartition(3)
-    got = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()}
-    assert got == {label.index(x) for x in set(label)} and len(got) < before - 20
+def test_nearest_of_mixed_lengths(spark):
+    """The length is that of the vectors, also where most queries have another one."""
+    rows = [(0, [1.0, 0.0, 2.0]), (20, [1.0, 1.0, 1.0]), (40, [3.0, 1.0]), (1, [2.0, 0.0]), (2, [0.0, 2.0]), (3, [1.0, 1.0]), (4, [5.0, 1.0])]
+    assert search(spark, rows, k=2) == {40: [(1, 4, 16.0), (2, 1, 6.0)]}
+
+
+def test_nearest_equal_rows_however_dealt(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CHUNK", 64)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=8).round(1).tolist()) for i in range(900)] + [(i % 7 * 20, rng.normal(size=8).tolist()) for i in range(60)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = [sorted(map(tuple, ann.search(frame.repartition(n), frame.where("vec_id % 20 = 0")).collect())) for n in (1, 5)]
+    assert found[0] == found[1] and len(found[0]) == 45 * 20

@@ -10,12 +10,13 @@ candidates are enough is fitted: for a bounded sample of queries the true neighb
 all vectors, and the smallest share of the vectors that reaches ``recall`` is taken.
 
 The sorted strings are kept in buckets of one tree and one short prefix, cut into chunks of bounded size; a query visits
-the buckets below its prefix, in blocks. Only the best few candidates leave a task, so neither a prefix that a third of
-all vectors share nor a far ascent gathers anything in one place. Queries that find too few are compared with all
-vectors, chunk by chunk.
+the buckets below its prefix, in blocks. It visits its own bucket of each tree first; the score of its ``k``-th best
+candidate there is a bound that later candidates have to reach, and a pair is handed on only from the first bucket in
+which it meets. So neither a prefix that a third of all vectors share nor a far ascent gathers anything in one place.
+Queries that find too few are compared with all vectors, chunk by chunk.
 
-Defined cases: vectors that are null, zero, or hold null or non-finite components, and those whose length is not the
-most common one, take no part; equal scores go to the smaller id; equal vectors of different ids are candidates each; rows
+Defined cases: vectors that are null, zero, or hold null or non-finite components, and those (of vectors and queries
+alike) whose length is not the most common one among the vectors, take no part; equal scores go to the smaller id; equal vectors of different ids are candidates each; rows
 of a repeated id are candidates each if their scores differ, and one candidate if they are equal; a query never finds rows
 of its own id, and of the vectors of a repeated query id only the smallest, as bytes, is asked; an empty table gives an
 empty result; other columns are ignored.
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import bounded_sample, materialize
+from tidewatch.llm.common import materialize
 
 TREES, LENGTH, SEED = 16, 48, 20
 #: Wanted recall of the fitted share, and queries it is fitted on.
@@ -61,20 +62,30 @@ def make_forest(dimension: int, norm: float) -> Forest:
     return Forest(np.random.default_rng(SEED).standard_normal((TREES * LENGTH, dimension + 1)), norm)
 
 
-def usable(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
-    """(id, v: components as little-endian doubles) of the vectors that take part, written to the shared folder."""
+def _components(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
+    """(id, x) of the vectors that are whole."""
     values = F.col(embedding).cast("array<double>")
     bad = F.exists(values, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.select(F.col(key).cast("long").alias("id"), values.alias("x")).where(
+    return vectors.select(F.col(key).cast("long").alias("id"), values.alias("x")).where(
         F.col("id").isNotNull() & F.col("x").isNotNull() & ~bad & F.exists("x", lambda x: x != 0))
-    sizes = rows.groupBy(F.size("x").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "size").first()
 
+
+def common_length(vectors: DataFrame, key: str, embedding: str) -> int:
+    """The most common length of the whole vectors, the smaller one of a tie; 0 without any."""
+    sizes = _components(vectors, key, embedding).groupBy(F.size("x").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    found = sizes.orderBy(F.desc("n"), "size").first()
+    return found["size"] if found else 0
+
+
+def usable(vectors: DataFrame, key: str, embedding: str, length: int) -> DataFrame:
+    """(id, v: components as little-endian doubles) of the whole vectors of one length, written to the shared folder."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = batch.column("x").flatten().to_numpy().astype("<f8").reshape(batch.num_rows, -1)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in flat], pa.binary())], ["id", "v"])
 
-    return materialize(rows.where(F.size("x") == (sizes["size"] if sizes else 0)).mapInArrow(pack, "id long, v binary"), "vectors")
+    rows = _components(vectors, key, embedding).where(F.size("x") == length)
+    return materialize(rows.mapInArrow(pack, "id long, v binary"), "vectors")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -153,11 +164,14 @@ def hashed(vectors: DataFrame, forest: Forest, query: bool) -> DataFrame:
 def fit_candidates(index: DataFrame, queries: DataFrame, forest: Forest, total: int, k: int) -> int:
     """How many prefix matches over all trees a query needs; fitted on a bounded sample of the queries (id, v)."""
     least = TREES * (k + 1)  # as a vector matches once per tree at most, more than k different ones
-    sample = [(r["id"], bytes(r["v"])) for r in bounded_sample(queries, "id", FIT_QUERIES).collect()]
+    sample = [(r["id"], bytes(r["v"])) for r in queries.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(FIT_QUERIES).collect()]
     if not sample or total * TREES <= least:
         return least
     near = rank(brute_force(sample, index, k), k)
-    pairs = near.join(index.select(F.col("id").alias("vec_id"), "v"), "vec_id").select("query_id", "v").limit(4 * k * FIT_QUERIES).collect()
+    # Of a repeated id one vector is enough to tell where it is met.
+    ids_near = F.broadcast(near.select("vec_id").distinct())
+    held = index.select(F.col("id").alias("vec_id"), "v").join(ids_near, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("v").alias("v"))
+    pairs = near.join(held, "vec_id").select("query_id", "v").collect()  # k for each sampled query at most
     ids = {own: i for i, (own, _) in enumerate(sample)}
     strings = forest.strings(np.frombuffer(b"".join(v for _, v in sample), "<f8").reshape(len(sample), -1), True)
     which = np.array([ids[r["query_id"]] for r in pairs], np.int64)
@@ -258,31 +272,70 @@ def query_depths(index: DataFrame, queries: DataFrame, bits: int, wanted: int) -
     return fine.unionByName(coarse).where(F.col("n") >= wanted).groupBy("id").agg(F.max("depth").alias("depth"))
 
 
+def _strings(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy().reshape(len(column), TREES)
+
+
+def at_home(index: DataFrame, queries: DataFrame, bits: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best of each query's (id, v, strings) own bucket in every tree."""
+    bucket = F.shiftrightunsigned("string", LENGTH - bits).alias("bucket")
+    stored = per_tree(index, "v").select("id", "v", "tree", "string", bucket)
+    asked = per_tree(queries, "v").select("id", "v", "tree", "string", bucket)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in grouped(batches, _UNIT):
+            asks, ids, x = unit.column("asks").to_numpy() == 1, unit.column("id").to_numpy(), _matrix(unit.column("v"))
+            yield _found_batch(best_of(ids[asks], x[asks], ids[~asks], x[~asks], k))
+
+    return units(stored, asked, ["id", "v", "string"]).mapInArrow(meet, _FOUND)
+
+
 def candidates(index: DataFrame, queries: DataFrame, bits: int, k: int) -> DataFrame:
-    """(query_id, vec_id, score): the k best of every unit a query (id, v, strings, depth) visits. At depth 0 one tree
-    holds all vectors."""
-    stored = per_tree(index, "v").select("id", "v", "tree", "string", F.shiftrightunsigned("string", LENGTH - bits).alias("bucket"), F.lit(0).alias("depth"))
+    """(query_id, vec_id, score): the candidates of every other bucket below the prefix of a query (id, v, strings, depth,
+    bound) whose score is at least its bound; the k best of each unit. A query without a bound visits its own
+    buckets too. At depth 0 one tree holds all vectors."""
+    stored = per_tree(index, "v", "strings").select("id", "v", "strings", "tree", "string", F.shiftrightunsigned("string", LENGTH - bits).alias("bucket"),
+                                                    F.lit(0).alias("depth"), F.lit(None).cast("double").alias("bound"))
     spread = F.expr(f"CASE WHEN depth >= {bits} THEN array(shiftrightunsigned(string, {LENGTH - bits})) ELSE "
                     f"sequence(shiftleft(shiftrightunsigned(string, {LENGTH} - depth), {bits} - depth), "
                     f"shiftleft(shiftrightunsigned(string, {LENGTH} - depth) + 1, {bits} - depth) - 1) END")
-    asked = per_tree(queries, "v", "depth").where("depth > 0 OR tree = 0").select("id", "v", "tree", "string", "depth", F.explode(spread).alias("bucket"))
+    asked = per_tree(queries, "v", "strings", "depth", "bound").where("depth > 0 OR tree = 0").select(
+        "id", "v", "strings", "tree", "string", "depth", "bound", F.explode(spread).alias("bucket"))
+    asked = asked.where(F.col("bound").isNull() | (F.col("bucket") != F.shiftrightunsigned("string", LENGTH - bits)))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in grouped(batches, _UNIT):
-            asks = unit.column("asks").to_numpy() == 1
-            ids, strings, x = unit.column("id").to_numpy(), unit.column("string").to_numpy(), _matrix(unit.column("v"))
-            shift = (LENGTH - unit.column("depth").to_numpy()[asks]).astype(np.int64)[:, None]
-            same = (strings[asks][:, None] ^ strings[~asks][None, :]) >> shift == 0
-            yield _found_batch(best_of(ids[asks], x[asks], ids[~asks], x[~asks], k, same))
-
-    return units(stored, asked, ["id", "v", "string", "depth"]).mapInArrow(compare, _FOUND)
+            asks, tree = unit.column("asks").to_numpy() == 1, unit.column("tree")[0].as_py()
+            ids, own, x, every = unit.column("id").to_numpy(), unit.column("string").to_numpy(), _matrix(unit.column("v")), _strings(unit.column("strings"))
+            depth = unit.column("depth").to_numpy()[asks]
+            bound = unit.column("bound").to_numpy()[asks].astype(float)
+            same = (own[asks][:, None] ^ own[~asks][None, :]) >> (LENGTH - depth).astype(np.int64)[:, None] == 0
+            bounded = np.flatnonzero(~np.isnan(bound))
+            rough = x[asks][bounded] @ x[~asks].T
+            least = bound[bounded] - 1e-9 * (1 + np.abs(bound[bounded]))
+            row, at = np.nonzero((rough >= least[:, None]) & same[bounded] & (ids[asks][bounded][:, None] != ids[~asks][None, :]))
+            # Pairs that met at home, or in an earlier tree, have been handed on there.
+            prefix = common_prefix(every[asks][bounded][row], every[~asks][at])
+            first = ~((prefix >= bits).any(axis=1) | (prefix[:, :tree] >= depth[bounded][row][:, None]).any(axis=1))
+            row, at = bounded[row[first]], at[first]
+            score = exact_scores(x[asks][row], x[~asks][at])
+            order = np.lexsort((ids[~asks][at], -score, row))
+            row, at, score = row[order], at[order], score[order]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+            yield _found_batch((ids[asks][row[kept]], ids[~asks][at[kept]], score[kept]))
+            if len(bounded) < len(bound):
+                free = np.isnan(bound)
+                yield _found_batch(best_of(ids[asks][free], x[asks][free], ids[~asks], x[~asks], k, same[free]))
+
+    return units(stored, asked, ["id", "v", "strings", "string", "depth", "bound"]).mapInArrow(compare, _FOUND)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found among ``vectors`` for every row of ``queries`` (whose ids are
     theirs among the vectors)."""
-    index = usable(vectors, key, embedding)
-    own = materialize(usable(queries, key, embedding).groupBy("id").agg(F.min("v").alias("v")), "queries")
+    length = common_length(vectors, key, embedding)
+    index = usable(vectors, key, embedding, length)
+    own = materialize(usable(queries, key, embedding, length).groupBy("id").agg(F.min("v").alias("v")), "queries")
 
     def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,11 +351,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
     wanted = min(fit_candidates(index, own, forest, total, k), total * TREES)
     bits = min(max(int(np.ceil(np.log2(max(total, 1) / CHUNK))), 0), LENGTH - 1)
     depths = query_depths(index, own, bits, wanted)
-    asked = materialize(own.join(depths, "id", "left").withColumn("depth", F.coalesce("depth", F.lit(0))), "query-depths")
-    found = materialize(rank(candidates(index, asked, bits, k), k), "nearest")
+    near = materialize(rank(at_home(index, own, bits, k), k), "at-home")
+    bounds = near.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
+    asked = own.join(depths, "id", "left").join(bounds, "id", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+    asked = materialize(asked, "query-depths")
+    found = materialize(rank(near.drop("rank").unionByName(candidates(index, asked, bits, k)), k), "nearest")
     # Where repeated ids left a query short, the root of one tree offers everything.
     short = asked.join(found.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("n")), "id", "left").where((F.coalesce("n", F.lit(0)) < k) & (F.col("depth") > 0)).drop("n")
     if not short.isEmpty():
-        more = candidates(index, short.withColumn("depth", F.lit(0)), bits, k)
+        more = candidates(index, short.withColumns({"depth": F.lit(0), "bound": F.lit(None).cast("double")}), bits, k)
         found = rank(found.drop("rank").unionByName(more), k)
     return found

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.session import materialize, scratch_dir
 
-__all__ = ["bounded_sample", "crc_bucket", "documents", "materialize", "row_blocks", "scratch_dir", "smallest_hashes", "table"]
+__all__ = ["crc_bucket", "distinct_sample", "documents", "materialize", "row_blocks", "scratch_dir", "table"]
 
 #: Text bytes that a Python worker holds of one Arrow batch at a time.
 BLOCK_BYTES = 1 << 20
@@ -36,15 +36,13 @@ def crc_bucket_of(value: object, modulus: int) -> int:
     return zlib.crc32(("" if value is None else str(value)).encode()) % modulus
 
 
-def smallest_hashes(rows: DataFrame, key: str, bound: int) -> DataFrame:
-    """At most ``bound`` rows, the ones with the smallest hash of ``key``. Meant for narrow rows: a task hands on that many."""
-    return rows.orderBy(F.xxhash64(key), key).limit(bound)
-
-
-def bounded_sample(rows: DataFrame, key: str, bound: int) -> DataFrame:
-    """At most ``bound`` wide rows: keys are chosen by hash from the key column alone, and only their rows travel."""
-    keys = smallest_hashes(rows.select(key), key, bound).distinct()
-    return rows.join(F.broadcast(keys), key, "left_semi").limit(bound)
+def distinct_sample(rows: DataFrame, bound: int) -> DataFrame:
+    """At most ``bound`` different rows, those with the smallest hashes of all their columns. Only hashes are gathered, each
+    once, and only the chosen rows travel; the sample depends neither on how the rows are dealt nor on repeated ones."""
+    marked = rows.withColumn("_pick", F.xxhash64(*rows.columns))
+    picks = materialize(marked.select("_pick").distinct().orderBy("_pick").limit(bound), "sample")
+    chosen = marked.join(F.broadcast(picks), "_pick").groupBy("_pick").agg(F.min(F.struct(*rows.columns)).alias("row"))
+    return chosen.select("row.*")
 
 
 def row_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
