@@ -124,3 +124,32 @@ def test_sample_is_bounded_for_a_repeated_key(spark, labels):
     every = [tuple(r) for r in quality.labelled_documents(docs, labels, "quality", F.lit(True), 1000).collect()]
     want = {(k, int(k % 3 > 0), t) for k, t in rows}
     assert len(every) == len(want) and set(every) == want and set(sample) <= want
+
+
+def samples_of(spark, rows, labels, bound, parts=3):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    return sorted(tuple(r) for r in quality.labelled_documents(docs, marks, "quality", F.lit(True), bound).collect())
+
+
+def test_labels_that_repeat_or_have_no_document(spark):
+    rows = [(i, f"text {i}") for i in range(1000)]
+    once = [(i, i % 2) for i in range(1000)]
+    want = samples_of(spark, rows, once, 300)
+    assert len(want) == 300 and len({k for k, _, _ in want}) == 300
+    assert samples_of(spark, rows, once + [(922, 0)] * 20_000, 300, parts=5) == want
+    assert samples_of(spark, rows, once + [(i, 1) for i in range(1000, 100_000)], 300) == want
+
+
+def test_language_sample_with_a_hot_key(spark):
+    """One key holds most rows: the sample holds the other languages as well, and is the same however the rows are dealt."""
+    from tidewatch.llm.common import distinct_sample
+    rows = [(7, "de", f"der text nummer {i % 50}") for i in range(9000)] + [(i, ("en", "fr", "es")[i % 3], f"one text {i}") for i in range(100, 1100)]
+    frame = spark.createDataFrame(rows, "key long, lang string, text string")
+    got = [sorted(tuple(r) for r in distinct_sample(frame.repartition(n), 300).collect()) for n in (1, 4)]
+    assert got[0] == got[1] and len(got[0]) == 300 == len(set(got[0]))
+    assert {lang for _, lang, _ in got[0]} == {"de", "en", "fr", "es"} and sum(lang == "de" for _, lang, _ in got[0]) <= 50
+    docs = frame.withColumnRenamed("key", "doc_id")
+    models = [langid.train(docs.repartition(n), F.lit(True), bound=200) for n in (1, 4)]
+    assert models[0].languages == models[1].languages == ["de", "en", "es", "fr"]
+    assert all(np.array_equal(a, b) for a, b in zip(models[0].filters, models[1].filters, strict=True))

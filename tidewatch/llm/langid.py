@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tidewatch.llm.common import bounded_sample, row_blocks
+from tidewatch.llm.common import distinct_sample, row_blocks
 
 WINDOW = 256
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 16, 12
@@ -129,8 +129,8 @@ def train_network(windows: np.ndarray, target: np.ndarray, languages: list[str],
 
 
 def train(docs: DataFrame, learn: Column, bound: int = SAMPLE, key: str = "doc_id", text: str = "text", lang: str = "lang") -> ByteNetwork:
-    """A network from the documents for which ``learn`` holds and the language is known; at most ``bound`` of them, and
-    a few windows of each, spread over the text."""
+    """A network from the documents for which ``learn`` holds and the language is known; at most ``bound`` of them,
+    rows that repeat key, language and text counted once, and a few windows of each, spread over the text."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in row_blocks(batches):
             langs, found = [], []
@@ -143,7 +143,7 @@ def train(docs: DataFrame, learn: Column, bound: int = SAMPLE, key: str = "doc_i
 
     known = docs.where(learn & F.col(lang).isNotNull()).select(
         F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).cast("string").alias("text"))
-    sample = bounded_sample(known, "key", bound).where(F.col("text").rlike(r"\p{L}"))
+    sample = distinct_sample(known.where(F.col("text").rlike(r"\p{L}")), bound)
     rows = sorted((r["lang"], bytes(r["bytes"])) for r in sample.select("lang", "text").mapInArrow(cut, "lang string, bytes binary").collect())
     languages = sorted({lang for lang, _ in rows})
     windows = np.frombuffer(b"".join(b for _, b in rows), np.uint8).reshape(-1, WINDOW)

@@ -4,8 +4,8 @@ The statistics come from the text alone. Trees are trained on a bounded sample o
 Arrow batches; documents are neither shuffled nor shortened.
 
 Defined cases: a null text counts as empty, and an empty text gets the score of its statistics; null labels are left
-out; a document with several labels counts once for each; in training, equal texts of one key count once; repeated rows are scored each; with no labels at all every
-score is one half; an empty table gives an empty result; other columns are ignored.
+out; a document with several labels counts once for each, a repeated label once; in training, equal texts of one key count
+once; repeated rows are scored each; with no labels at all every score is one half; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidewatch.llm.boosting import Trees, train_trees
-from tidewatch.llm.common import crc_bucket, materialize, row_blocks, smallest_hashes
+from tidewatch.llm.common import crc_bucket, materialize, row_blocks
 
 #: The model is trained on at most so many labelled documents, copies of a text under one key counted once.
 SAMPLE = 12_000
@@ -46,13 +46,12 @@ def statistics(text: str | None) -> list[float]:
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame, label: str, learn: Column, bound: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A written sample of at most ``bound`` rows for which ``learn`` holds: key, label, text. Of a key that many rows have, each
-    text counts once; if there are more than ``bound``, those with the smallest hashes of key and text are taken."""
-    chosen = smallest_hashes(labels.where(learn & F.col(label).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")), "key", bound)
-    chosen = materialize(chosen, "chosen-labels")
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    rows = rows.join(F.broadcast(chosen.select("key").distinct()), "key", "left_semi").withColumn("print", F.xxhash64("text"))
-    narrow = rows.select("key", "print").distinct().join(F.broadcast(chosen), "key")
+    """A written sample of at most ``bound`` different rows (key, label, text) for which ``learn`` holds, those with the smallest
+    hashes of key and text. Labels of keys without a document don't count; of a key that many rows have, each text counts
+    once. Keys and hashes of texts meet the labels; only chosen texts travel."""
+    wanted = labels.where(learn & F.col(label).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).distinct()
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).withColumn("print", F.xxhash64("text"))
+    narrow = rows.where(F.col("key").isNotNull()).select("key", "print").distinct().join(materialize(wanted, "wanted-labels"), "key")
     taken = materialize(narrow.orderBy(F.xxhash64("key", "print"), "key", "print", "label").limit(bound), "taken-labels")
     texts = rows.join(F.broadcast(taken.select("key", "print").distinct()), ["key", "print"], "left_semi").groupBy("key", "print").agg(F.min("text").alias("text"))
     return materialize(texts.join(F.broadcast(taken), ["key", "print"]).select("key", "label", "text"), "labelled")

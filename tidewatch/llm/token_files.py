@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import bounded_sample, materialize, row_blocks
+from tidewatch.llm.common import distinct_sample, materialize, row_blocks
 from tidewatch.llm.encoding import Words, block_encoder, encoder
 
 MAGIC = b"TWTOK1\x00\x00"
@@ -107,7 +107,7 @@ def _sample_dictionary(docs: DataFrame, vocabulary: str, words: bool, end_id: in
                     held += len(samples[-1])
         yield pa.RecordBatch.from_arrays([pa.array([train_dictionary(samples)], pa.binary())], ["data"])
 
-    found = bounded_sample(docs, "key", SAMPLE_DOCUMENTS).coalesce(1).mapInArrow(train, "data binary").first()
+    found = distinct_sample(docs, SAMPLE_DOCUMENTS).coalesce(1).mapInArrow(train, "data binary").first()
     return bytes(found["data"]) if found else b""
 
 
