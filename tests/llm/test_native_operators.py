@@ -1,6 +1,8 @@
 """Chat formatting and quality rules against plain loops and their check SQL."""
 
+import hashlib
 import re
+import time
 from collections import defaultdict
 
 import duckdb
@@ -96,14 +98,34 @@ def test_hosts_are_judged_together(spark):
 
 def test_turn_order_query_matches_check_sql(spark, tmp_path):
     import __spark_entry__ as entry
-    orders = ["ua", "suau", "a", "uu", "s", "us", "uatu", "", "u-a", "sua"]
+    orders = ["ua", "suau", "a", "uu", "s", "us", "uatu", "", "u-a", "sua", "ua" * 700, "ua" * 400 + "a" + "ua" * 300]
     names = {"u": "user", "a": "assistant", "s": "system", "t": "tool", "-": None}
     rows = [(c, t, names[x], "t") for c, order in enumerate(orders) for t, x in enumerate(order)] + [(None, 0, "user", None), (0, None, "system", "s")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
-    for folder, path in ((str(tmp_path), f"{tmp_path}/conversations.parquet/*.parquet"), (SF, f"{SF}/conversations.parquet")):
-        con = duckdb.connect()
-        con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{path}'")
-        message, _, good = compare(spark, con, "op8_turn_order", folder)
-        assert good, message
-    got = {r["conv_id"]: (r["valid"], r["first_bad_turn"]) for r in entry.queries()["op8_turn_order"](spark, str(tmp_path)).collect()}
-    assert got[0] == (True, None) and got[2] == (False, 0) and got[4] == (False, None) and got[6] == (False, 2) and got[8] == (False, 1)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    message, _, good = compare(spark, con, "op8_chat_format", str(tmp_path))
+    assert good, message
+    got = {r["conv_id"]: (r["valid"], r["first_bad_turn"]) for r in entry.queries()["op8_chat_format"](spark, str(tmp_path)).collect()}
+    assert got[-1] == got[0] == got[10] == (True, None) and got[2] == (False, 0) and got[4] == (False, None) and got[6] == (False, 2) and got[8] == (False, 1)
+    assert got[11] == (False, 800)
+
+
+def test_the_machine_is_in_the_plan(spark):
+    import __spark_entry__ as entry
+    columns = ["loss_chars", "loss_sha256"]  # the flags alone need its transitions
+    plan = entry.queries()["op8_chat_format"](spark, SF).select(*columns)._jdf.queryExecution().optimizedPlan().toString()
+    assert "begin\x00system" in plan or "begin\x00user" in plan
+
+
+def test_a_very_long_conversation(spark):
+    n = 50_000
+    frame = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+                                  F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    begin = time.time()
+    out = chat.format_conversations(frame)
+    row = out.select("valid", "first_bad_turn", F.size("segments").alias("n"), F.length("formatted").alias("size"), F.element_at("segments", -1).alias("end"),
+                     F.sha2(chat.loss_text(F.col("formatted"), F.slice("segments", 1, 2000)).cast("binary"), 256).alias("loss")).first()
+    assert time.time() - begin < 30
+    assert row["valid"] and row["first_bad_turn"] is None and row["n"] == 2 * n + 1 and row["end"]["start"] + row["end"]["length"] == row["size"]
+    assert row["loss"] == hashlib.sha256("".join(f"t{i}" for i in range(1, 1000, 2)).encode()).hexdigest()
