@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tests.conftest import rows
 from tidewatch.operators.quantiles import exact_quantiles, load_report
 from tidewatch.operators.ranking import latest, newest
-from tidewatch.operators.segments import ordered_events, running_max, sessions, streak, trailing_count
+from tidewatch.operators.segments import PART, ordered_events, ordered_parts, running_max, sessions, streak, trailing_count
 from tidewatch.operators.sequential import BreakerConfig, admit, replay_breakers
 from tidewatch.streaming import jobs
 
@@ -151,7 +151,7 @@ def test_streak_equals_plain_window(spark):
     for i, key, ts, failed, _ in sorted(data, key=lambda d: (d[2], d[0])):
         run[key] = run.get(key, 0) + 1 if failed else 0
         want[i] = run[key]
-    got = streak(df, ["key"], ["ts", "id"], F.date_trunc("minute", "ts"), F.col("failed"))
+    got = streak(df, ["key"], ["ts", "id"], F.col("failed"), parts=7)
     assert {r["id"]: r["streak"] for r in got.collect()} == want
 
 
@@ -160,16 +160,16 @@ def test_running_max_equals_plain_window(spark, current):
     _, df = skewed(spark, 22)
     window = W.partitionBy("key").orderBy("ts", "id").rowsBetween(W.unboundedPreceding, 0 if current else -1)
     want = df.withColumn("top", F.max("value").over(window))
-    got = running_max(df, ["key"], ["ts", "id"], F.date_trunc("hour", "ts"), {"top": F.col("value")}, current)
+    got = running_max(df, ["key"], ["ts", "id"], {"top": F.col("value")}, current, parts=7)
     assert rows(got, "id", "top") == rows(want, "id", "top")
 
 
-@pytest.mark.parametrize("seconds, segment", [(60, 60), (60, 3600), (7200, 60)])
-def test_trailing_count_equals_plain_window(spark, seconds, segment):
+@pytest.mark.parametrize("seconds, parts", [(60, 7), (60, 0), (7200, 7)])
+def test_trailing_count_equals_plain_window(spark, seconds, parts):
     _, df = skewed(spark, 23)
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     want = df.withColumn("recent", F.count("*").over(W.partitionBy("key").orderBy(at).rangeBetween(-seconds * 1_000_000, 0)))
-    got = trailing_count(df, ["key"], "ts", seconds, segment_seconds=segment)
+    got = trailing_count(df, ["key"], "ts", seconds, parts=parts)
     assert rows(got, "id", "recent") == rows(want, "id", "recent")
 
 
@@ -210,8 +210,8 @@ def test_load_report(spark):
     assert (got["b"]["success_rate"], got["b"]["mean"], got["b"]["p95"]) == (0.0, 0.0, 0.0)
 
 
-@pytest.mark.parametrize("gap, segment", [(30, 60), (300, 3600), (30, 5), (400, 10)])
-def test_sessions_equal_loop_and_session_window(spark, gap, segment):
+@pytest.mark.parametrize("gap, parts", [(30, 0), (300, 9), (30, 9), (400, 9), (10 ** 6, 5)])
+def test_sessions_equal_loop_and_session_window(spark, gap, parts):
     data, df = skewed(spark, 26)
     want, last = {}, {}
     for i, key, ts, failed, _ in sorted(data, key=lambda d: (d[2], d[0])):
@@ -221,5 +221,26 @@ def test_sessions_equal_loop_and_session_window(spark, gap, segment):
         runs[-1][1:] = [ts, runs[-1][2] + 1, runs[-1][3] + failed]
         last[key] = ts
     expected = sorted((k, *r) for k, runs in want.items() for r in runs)
-    got = sessions(df, "key", "ts", gap, {"failures": F.col("failed")}, segment_seconds=segment)
+    got = sessions(df, "key", "ts", gap, {"failures": F.col("failed")}, parts=parts)
     assert sorted(tuple(r) for r in got.select("key", "started_at", "last_at", "events", "failures").collect()) == expected
+
+
+def test_one_key_in_one_day_is_several_parts(spark):
+    """All rows under one key and within minutes: every scan works in more than one part and equals the plain window."""
+    n = 3000
+    data = [(i, "only", START + timedelta(seconds=i // 3 * 0.2), i % 7 in (0, 3, 4), float(i * 37 % 101)) for i in range(n)]
+    df = spark.createDataFrame(data, "id LONG, key STRING, ts TIMESTAMP_NTZ, failed BOOLEAN, value DOUBLE").repartition(4)
+    sizes = ordered_parts(df, ["key", "ts", "id"], 8).groupBy(PART).count().collect()
+    assert len(sizes) >= 6 and max(r["count"] for r in sizes) < n / 3
+    run, want = 0, {}
+    for i, _, _, failed, _ in data:
+        run = run + 1 if failed else 0
+        want[i] = run
+    assert {r["id"]: r["streak"] for r in streak(df, ["key"], ["ts", "id"], F.col("failed"), parts=8).collect()} == want
+    top = running_max(df, ["key"], ["ts", "id"], {"top": F.col("value")}, parts=8)
+    assert {r["id"]: r["top"] for r in top.collect()} == {i: max(d[4] for d in data[:i + 1]) for i in range(n)}
+    seconds = 60
+    counted = trailing_count(df, ["key"], "ts", seconds, parts=8)
+    assert {r["id"]: r["recent"] for r in counted.collect()} == {i: sum(d[2] <= t and d[2] >= t - timedelta(seconds=seconds) for d in data) for i, _, t, *_ in data}
+    got = sessions(df, "key", "ts", 0.5, {"failures": F.col("failed")}, parts=8).collect()
+    assert [(r["events"], r["failures"], r["started_at"], r["last_at"]) for r in got] == [(n, sum(d[3] for d in data), data[0][2], data[-1][2])]

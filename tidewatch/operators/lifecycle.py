@@ -82,15 +82,15 @@ def failed_instance_plan(instances: DataFrame, providers: DataFrame) -> DataFram
             .withColumn("release", F.coalesce("_known", F.lit(False))).drop("_known"))
 
 
-def conflicts(runs: DataFrame, order: Sequence[str], segment: Column, cluster: str = "cluster_id", kind: str = "run_type",
-              start: str = "started_at", end: str = "ended_at") -> DataFrame:
+def conflicts(runs: DataFrame, order: Sequence[str], cluster: str = "cluster_id", kind: str = "run_type",
+              start: str = "started_at", end: str = "ended_at", parts: int = 0) -> DataFrame:
     """Each run with the kinds of clean-up still active on its cluster when it starts and that exclude it.
 
     Same kind always conflicts; topic against cluster; cluster against any. Instead of pairing runs, the
     latest end seen so far is carried per kind, so the work stays linear however many runs overlap.
     """
     ends = {f"_end_{k}": F.when(F.col(kind) == k, F.col(end)) for k in CLEANUP_KINDS}
-    seen = running_max(runs, [cluster], [start, *order], segment, ends, include_current=False)
+    seen = running_max(runs, [cluster], [start, *order], ends, include_current=False, parts=parts)
     active = {k: F.coalesce(F.col(f"_end_{k}") > F.col(start), F.lit(False)) for k in CLEANUP_KINDS}
     topic, whole, metadata = CLEANUP_KINDS
     rivals = {topic: (F.col(kind) == topic) | (F.col(kind) == whole),
@@ -123,8 +123,7 @@ def run_totals(executions: DataFrame, keys: Sequence[str], at: str) -> DataFrame
     return executions.groupBy(*keys).agg(F.count("*").alias("run_count"), F.max(at).alias("last_run"))
 
 
-def due(tasks: DataFrame, running: DataFrame, as_of: datetime) -> DataFrame:
+def due(tasks: DataFrame, as_of: datetime) -> DataFrame:
     """Enabled tasks whose next run has come, that are not running and have not failed too often in a row."""
-    ready = tasks.where(F.col("enabled") & (F.col("next_run") <= F.lit(as_of).cast("timestamp_ntz"))
-                        & (F.col("failure_count") < F.col("max_failures")))
-    return ready.join(running.select("task_id"), "task_id", "left_anti")
+    return tasks.where(F.col("enabled") & (F.col("next_run") <= F.lit(as_of).cast("timestamp_ntz"))
+                       & (F.col("failure_count") < F.col("max_failures")) & ~F.coalesce(F.col("running"), F.lit(False)))

@@ -310,7 +310,7 @@ def a29(spark, sf_dir):
     SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '21600' SECOND PRECEDING AND CURRENT ROW) AS recent
     FROM request_log"""))
 def w09(spark, sf_dir):
-    return trailing_count(view(spark, sf_dir, "request_log"), ["user_id"], "ts", 21600, segment_seconds=86400).select("event_id", "user_id", "recent")
+    return trailing_count(view(spark, sf_dir, "request_log"), ["user_id"], "ts", 21600).select("event_id", "user_id", "recent")
 
 
 @REG.query("u04_not_updatable", check_sql("topic", """

@@ -117,7 +117,7 @@ def _active(kind, rivals):
       {_active('cluster_cleanup', "'topic_cleanup', 'cluster_cleanup'")}, {_active('metadata_cleanup', "'metadata_cleanup', 'cluster_cleanup'")}) AS conflicts_with
     FROM cleanup_run r"""))
 def j07(spark, sf_dir):
-    rows = lc.conflicts(view(spark, sf_dir, "cleanup_run"), ["order_id", "line_id", "part_id", "price"], F.date_trunc("month", "started_at"))
+    rows = lc.conflicts(view(spark, sf_dir, "cleanup_run"), ["order_id", "line_id", "part_id", "price"])
     return rows.select("order_id", "line_id", "part_id", "run_type", "conflicts_with")
 
 
@@ -129,7 +129,7 @@ _RUN_ORDER = ["started_at", "seq", "part_id", "instance_id", "price"]
 
 
 def _streaks(spark, sf_dir):
-    return streak(view(spark, sf_dir, "operation"), ["supplier_id"], _RUN_ORDER, F.date_trunc("quarter", "started_at"), F.col("state") == "failed")
+    return streak(view(spark, sf_dir, "operation"), ["supplier_id"], _RUN_ORDER, F.col("state") == "failed")
 
 
 @REG.query("w03_failure_streak", check_sql("operation", "SELECT supplier_id, instance_id, seq, part_id, streak, streak >= 2 AS blocked FROM streaks", _STREAK))
@@ -177,7 +177,7 @@ def a20(spark, sf_dir):
     SELECT task_id, {_NEXT} AS next_run, failure_count FROM task WHERE enabled AND {_NEXT} <= {_AS_OF} AND failure_count < max_failures AND NOT running""", _TASKS))
 def r08(spark, sf_dir):
     tasks = _tasks(spark, sf_dir)
-    return lc.due(tasks, tasks.where("running"), AS_OF).select("task_id", "next_run", "failure_count")
+    return lc.due(tasks, AS_OF).select("task_id", "next_run", "failure_count")
 
 
 @REG.query("a21_cleanup_statistics", check_sql("cleanup_run", """

@@ -68,7 +68,7 @@ _SESSIONS = """SELECT session_id, min(ts) AS started_at, max(ts) AS last_at, cou
 @REG.query("t05_sessions", check_sql("audit_log", _SESSIONS))
 def t05(spark, sf_dir):
     rows = view(spark, sf_dir, "audit_log")
-    return sessions(rows, "session_id", "ts", 6 * 3600, {"failures": F.col("operation_result") == "failure"}, segment_seconds=86400)
+    return sessions(rows, "session_id", "ts", 6 * 3600, {"failures": F.col("operation_result") == "failure"})
 
 
 @REG.query("t05_stream_sessions", check_sql("audit_log", _SESSIONS))

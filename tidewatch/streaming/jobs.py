@@ -170,24 +170,12 @@ def error_rates(failed: Column, size: str, slide: str | None = None, ts: str = "
                     lambda rows: rows.withColumn("rate", F.col("errors") / F.col("requests")))
 
 
-def sessions(key: str, gap_seconds: float, measures: dict[str, Column], ts: str = "ts", segment_seconds: int = 86400) -> Standing:
+def sessions(key: str, gap_seconds: float, measures: dict[str, Column], ts: str = "ts") -> Standing:
     """Runs of a key's rows without a longer pause than the gap, open ones included: first and last time, rows, sums."""
-    sums, gap = ["events", *measures], F.lit(int(gap_seconds * 1_000_000))
-
     def partial(rows: DataFrame) -> DataFrame:
-        local = rows.withColumn(ts, F.col(ts).cast("timestamp_ntz"))
-        return segments.sessions(local, key, ts, gap_seconds, measures, segment_seconds)
+        return segments.sessions(rows.withColumn(ts, F.col(ts).cast("timestamp_ntz")), key, ts, gap_seconds, measures)
 
-    def merge(rows: DataFrame) -> DataFrame:
-        order = W.partitionBy(key).orderBy("started_at", "last_at")
-        micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-        before = F.max(micros("last_at")).over(order.rowsBetween(W.unboundedPreceding, -1))
-        marked = rows.withColumn("_opens", F.coalesce((micros("started_at") - before > gap).cast("int"), F.lit(1)))
-        marked = marked.withColumn("_session", F.sum("_opens").over(order.rowsBetween(W.unboundedPreceding, 0)))
-        return marked.groupBy(key, "_session").agg(F.min("started_at").alias("started_at"), F.max("last_at").alias("last_at"),
-                                                   *[F.sum(c).alias(c) for c in sums]).drop("_session")
-
-    return Standing(partial, merge)
+    return Standing(partial, lambda rows: segments.merge_spans(rows, key, "started_at", "last_at", gap_seconds, ["events", *measures]))
 
 
 def running_metrics() -> Standing:
