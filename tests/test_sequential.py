@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
+from tidewatch.operators import sequential
 from tidewatch.operators.quantiles import exact_quantiles, load_report
 from tidewatch.operators.ranking import latest, newest
 from tidewatch.operators.segments import PART, ordered_events, ordered_parts, running_max, sessions, streak, trailing_count
@@ -41,7 +42,7 @@ def admit_loop(data, limit, window):
 @pytest.mark.parametrize("seed, limit, window", [(1, 3, 60), (2, 1, 10), (3, 10, 300), (4, 2, 1), (5, 1000, 60)])
 def test_admission_equals_loop(spark, seed, limit, window):
     data, df = skewed(spark, seed)
-    got = {r["id"]: r["admitted"] for r in admit(df, ["key"], "ts", ["id"], limit, window).collect()}
+    got = {r["id"]: r["admitted"] for r in admit(df, ["key"], "ts", ["id"], limit, window, parts=seed % 2 * 9).collect()}
     assert got == admit_loop(data, limit, window)
 
 
@@ -75,7 +76,7 @@ def breaker_loop(data, config):
 @pytest.mark.parametrize("seed, config", [(1, BreakerConfig(2, 60, 2)), (2, BreakerConfig(3, 5, 1)), (3, BreakerConfig(1, 600, 3)), (4, BreakerConfig())])
 def test_breaker_equals_loop(spark, seed, config):
     data, df = skewed(spark, seed)
-    got = {r["id"]: (r["allowed"], r["state"]) for r in replay_breakers(df, ["key"], "ts", ["id"], F.col("failed"), config).collect()}
+    got = {r["id"]: (r["allowed"], r["state"]) for r in replay_breakers(df, ["key"], "ts", ["id"], F.col("failed"), config, parts=seed % 2 * 9).collect()}
     assert got == breaker_loop(data, config)
 
 
@@ -244,3 +245,41 @@ def test_one_key_in_one_day_is_several_parts(spark):
     assert {r["id"]: r["recent"] for r in counted.collect()} == {i: sum(d[2] <= t and d[2] >= t - timedelta(seconds=seconds) for d in data) for i, _, t, *_ in data}
     got = sessions(df, "key", "ts", 0.5, {"failures": F.col("failed")}, parts=8).collect()
     assert [(r["events"], r["failures"], r["started_at"], r["last_at"]) for r in got] == [(n, sum(d[3] for d in data), data[0][2], data[-1][2])]
+
+
+def one_key(spark, n, seconds, seed=5):
+    r = random.Random(seed)
+    data = [(i, "only", START + timedelta(seconds=round(i * seconds, 3)), r.random() < 0.5, 0.0) for i in range(n)]
+    return data, spark.createDataFrame(data, "id LONG, key STRING, ts TIMESTAMP_NTZ, failed BOOLEAN, value DOUBLE").repartition(5)
+
+
+def tasks_of(spark, monkeypatch, run):
+    """The result of ``run`` and how many segments its contended rows were replayed in."""
+    seen = []
+    real = sequential.entries
+    monkeypatch.setattr(sequential, "entries", lambda *a: seen.append(real(*a)) or seen[-1])
+    out = run()
+    return out, seen[0].select(sequential.PART).distinct().count()
+
+
+@pytest.mark.parametrize("limit, rounds", [(1, 6), (3, 6), (3, 0), (40, 1)])
+def test_one_key_that_is_always_contended_is_replayed_in_segments(spark, monkeypatch, limit, rounds):
+    """Evenly spaced rows, so that a wrong state never comes right by itself; also with no rounds to spare."""
+    monkeypatch.setattr(sequential, "ROUNDS", rounds)
+    data, df = one_key(spark, 1500, 0.7)
+    got, segments = tasks_of(spark, monkeypatch, lambda: admit(df, ["key"], "ts", ["id"], limit, 60, parts=8))
+    assert {r["id"]: r["admitted"] for r in got.collect()} == admit_loop(data, limit, 60)
+    assert segments >= 6
+
+
+@pytest.mark.parametrize("rounds", [6, 0])
+@pytest.mark.parametrize("config", [BreakerConfig(2, 60, 2), BreakerConfig(3, 5, 1), BreakerConfig(1, 600, 3), BreakerConfig()])
+def test_one_breaker_that_keeps_failing_is_replayed_in_segments(spark, monkeypatch, config, rounds):
+    monkeypatch.setattr(sequential, "ROUNDS", rounds)
+    data, df = one_key(spark, 1200, 0.4)
+    got, segments = tasks_of(spark, monkeypatch, lambda: replay_breakers(df, ["key"], "ts", ["id"], F.col("failed"), config, parts=8))
+    assert {r["id"]: (r["allowed"], r["state"]) for r in got.collect()} == breaker_loop(data, config)
+    assert segments >= 6
+    whole = replay_breakers(df, ["key"], "ts", ["id"], F.col("failed"), config, parts=1)
+    columns = ["id", "allowed", "state", "failures", "successes", "last_failure"]
+    assert rows(got, *columns) == rows(whole, *columns)
