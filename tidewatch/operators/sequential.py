@@ -188,9 +188,14 @@ def _replayed(rows: DataFrame, keys: Sequence[str], kernel: Any, through: bool =
 
 
 def entries(rows: DataFrame, keys: Sequence[str], order: Sequence[str], kernel: Any) -> DataFrame:
-    """(keys, run, part, _entry): the state in which each segment of ``rows`` begins. ``rows`` has ``_entry`` where a state is
-    known or assumed."""
+    """(keys, run, part, _entry): the state in which each segment begins, of the runs that have more than one. ``rows`` has
+    ``_entry`` where a state is known. As rows are sorted by run, fewer runs than parts have several segments."""
     names = [*keys, "_run", PART]
+    spans = rows.groupBy(*keys, "_run").agg(F.min(PART).alias("_a"), F.max(PART).alias("_b")).where("_a < _b").select(*keys, "_run")
+    spans = materialize(spans, "spanning-runs")
+    if spans.isEmpty():
+        return rows.select(*names, "_entry").limit(0)
+    rows = null_safe(rows, spans, [*keys, "_run"], "inner")
     results = _replayed(_marked(rows, keys, order), keys, kernel)
     schema = T.StructType([*results.schema.fields, T.StructField("_entry", T.ArrayType(T.LongType())), T.StructField("_wrong", T.BooleanType())])
 
@@ -256,7 +261,7 @@ def admit(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], limit
     contended = flagged.where("_run IS NOT NULL").select(
         *columns, *[c for c in ("_run", "_at") if c not in columns], F.coalesce("_limit", F.lit(0)).alias("_limit"), (F.col("_context") | F.col("_known")).alias("_context"))
     stored, order = _segmented(contended, keys, ["_at", *tie], parts), ["_at", *tie]
-    kernel = _Chains(width) if limit == 1 and not isinstance(limit, Column) else _Windows(width)
+    kernel = _Chains(width) if not isinstance(limit, Column) and limit == 1 else _Windows(width)
     begun = entries(stored.withColumn("_entry", F.lit(None).cast("array<bigint>")), keys, order, kernel)
     segments = _marked(null_safe(stored, begun, [*keys, "_run", PART], "left"), keys, order)
 
@@ -267,7 +272,7 @@ def admit(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], limit
             allowed, passed = batch["_limit"].to_numpy(), np.zeros(len(batch), dtype=bool)
             for first, last, new in _stretches(batch["_new"].to_numpy()):
                 if new:
-                    recent = deque(int(t) for t in batch["_entry"].iloc[first])
+                    recent = deque([] if batch["_entry"].iloc[first] is None else map(int, batch["_entry"].iloc[first]))
                 _pass_rows(recent, at, context, passed, first, last, int(allowed[first:last].max()), width)
             yield batch[columns].assign(**{name: passed})[~context]
 
@@ -406,7 +411,8 @@ def replay_breakers(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[s
         begins = null_safe(heads, initial.select(*keys, given.alias("_entry")), keys, "inner")
         known = null_safe(stored, materialize(begins, "given"), [*keys, "_run", PART], "left")
     begun = entries(known, keys, order, _Calls(config))
-    segments = _marked(null_safe(stored, begun, [*keys, "_run", PART], "left"), keys, order)
+    carried = null_safe(known.withColumnRenamed("_entry", "_given"), begun, [*keys, "_run", PART], "left")
+    segments = _marked(carried.withColumn("_entry", F.coalesce("_entry", "_given")), keys, order)
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         breaker = Breaker(config)
@@ -416,7 +422,8 @@ def replay_breakers(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[s
             lengths, allowed, states = [], [], []
             for first, last, new in _stretches(batch["_new"].to_numpy()):
                 if new:
-                    state, *numbers = [int(v) for v in batch["_entry"].iloc[first]]
+                    given = batch["_entry"].iloc[first]
+                    state, *numbers = (0, 0, 0, 0) if given is None else map(int, given)
                     breaker = Breaker(config, _STATES[state], *numbers)
                 while first < last:
                     end, through = breaker.step(at, bad, faults, first, last)
