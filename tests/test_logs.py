@@ -1,8 +1,8 @@
 """Log parsing, filters, search and statistics on small hand-made rows."""
 
-from datetime import datetime
-
+import json
 import re
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -175,3 +175,30 @@ def test_patterns_mean_the_same(spark, pattern, fold):
     df = spark.createDataFrame(list(enumerate(texts)), "id INT, message STRING")
     got = {r["id"] for r in df.where(lq.predicate(df, LogFilter("message", "regex", pattern, not fold))).collect()}
     assert [i in got for i in range(len(texts))] == want
+
+
+def test_long_lists_mean_the_same_as_short_ones(spark, monkeypatch):
+    """Typed membership on plain and nested fields, by join and in the plan, against a plain loop."""
+    nested = ['{"k": 1}', '{"k": "1"}', '{"k": 1.0}', '{"k": 2.5}', '{"k": true}', '{"k": "true"}', '{"k": null}', "{}", "no json", None, '{"k": 9007199254740993}', '{"k": "a"}']
+    data = [(i, i % 5, float(i) / 2, ("a", "b", None)[i % 3], i % 2 == 0, d) for i, d in enumerate(nested)]
+    df = spark.createDataFrame(data, "id LONG, n INT, x DOUBLE, s STRING, b BOOLEAN, details STRING")
+    mixed = [1, "1", 2.5, True, "a", 4, "zzz", 0.5]
+    plain = {"n": lambda r: r[1], "x": lambda r: r[2], "s": lambda r: r[3], "b": lambda r: r[4]}
+
+    def nested_value(row):
+        try:
+            return json.loads(row[5]).get("k")
+        except (ValueError, TypeError):
+            return None
+
+    same = lambda a, b: type(a) is type(b) and a == b if isinstance(a, (str, bool)) or isinstance(b, (str, bool)) else a == b
+    for path, value in [*plain.items(), ("details.k", nested_value)]:
+        for op in ("in", "not_in"):
+            want = {r[0] for r in data if value(r) is not None and any(same(value(r), v) for v in mixed) == (op == "in")}
+            for bound in (0, 200):
+                monkeypatch.setattr(lq, "LONG_LIST", bound)
+                got = {r["id"] for r in lq.where(df, LogQuery(filters=(LogFilter(path, op, mixed),))).collect()}
+                assert got == want, (path, op, bound)
+    many = lq.where(df, LogQuery(filters=(LogFilter("details.k", "in", list(range(10_000))),)))
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and plan.count("schema_of_variant") < 10

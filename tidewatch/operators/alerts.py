@@ -87,8 +87,9 @@ def health_alerts(rules: Sequence[HealthRule], results: DataFrame, summary: Data
     general = [r for r in rules if r.check_names is None]
     alerts = []
     if named:
-        pairs = results.select(F.col("name").alias("check"), "status", F.explode(rule_array(named)).alias("r"))
-        failing = (pairs.where(F.array_contains("r.check_names", F.col("check")) & (F.col("status") == F.col("r.target_status")))
+        # A result meets only the rules that it makes fire.
+        met = F.filter(rule_array(named), lambda r: F.array_contains(r["check_names"], F.col("name")) & (F.col("status") == r["target_status"]))
+        failing = (results.select(F.col("name").alias("check"), F.explode(met).alias("r"))
                    .groupBy("r.name", "r.severity", "r.target_status")
                    .agg(F.array_sort(F.collect_set("check")).alias("failing")))
         alerts.append(_alert(failing, F.concat(F.lit("Health checks failing: "), F.array_join("failing", ", ")), "health_status",

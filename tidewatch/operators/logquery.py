@@ -22,6 +22,10 @@ OPERATORS = ("eq", "ne", "contains", "not_contains", "starts_with", "ends_with",
 SEARCH_FIELDS = ("message", "user_id", "resource_id", "event_type")
 
 
+#: Values from which on a list is joined instead of compared in the plan.
+LONG_LIST = 200
+
+
 @dataclass(frozen=True)
 class LogFilter:
     field: str
@@ -203,10 +207,50 @@ def predicate(df: DataFrame, spec: LogFilter) -> Column:
     return test
 
 
+def _typed(f: _Field, values: Sequence[Any]) -> list[tuple[Column, Column, list[Any]]]:
+    """For each type that a nested value may have: whether it has it, its value, and the list's values of that type."""
+    kind = F.schema_of_variant(f.value)
+    return [(kind == "STRING", f.text, [v for v in values if isinstance(v, str)]),
+            (kind.rlike(_NUMERIC_SCHEMAS), F.try_variant_get(f.value, "$", "double"), [float(v) for v in values if _is_number(v)]),
+            (kind == "BOOLEAN", F.try_variant_get(f.value, "$", "boolean"), [v for v in values if isinstance(v, bool)])]
+
+
+def _is_number(value: Any) -> bool:
+    return isinstance(value, (int, float)) and not isinstance(value, bool)
+
+
+def _is_long_list(spec: LogFilter) -> bool:
+    return spec.op in ("in", "not_in") and isinstance(spec.value, (list, tuple, set)) and len(spec.value) > LONG_LIST
+
+
+def _where_listed(df: DataFrame, spec: LogFilter) -> DataFrame:
+    """Membership of a long list as a join with its values: semi for ``in``, anti for ``not_in``. Which join it becomes is the
+    planner's choice."""
+    f, values = resolve(df, spec.field), list(spec.value)
+    if f.variant:
+        # One text per type and value, so that a text never equals a number.
+        key = F.coalesce(*[F.when(own, F.concat(F.lit(f"{i}:"), value.cast("string"))) for i, (own, value, _) in enumerate(_typed(f, values))])
+        wanted = [f"{i}:{v if i == 0 else str(v).lower()}" for i, (_, _, found) in enumerate(_typed(f, values)) for v in found if i != 1]
+        listed = df.sparkSession.createDataFrame([(v,) for v in wanted], "_listed string")
+        numbers = [(float(v),) for v in values if _is_number(v)]
+        listed = listed.unionByName(df.sparkSession.createDataFrame(numbers, "_n double").select(F.concat(F.lit("1:"), F.col("_n").cast("string")).alias("_listed")))
+    else:
+        schema = {"number": "double", "boolean": "boolean", "text": "string"}[f.family]
+        whole = f.family == "number" and isinstance(df.select(f.value.alias("v")).schema["v"].dataType, T.IntegralType)
+        kept = [v for v in values if {"number": _is_number(v), "boolean": isinstance(v, bool), "text": isinstance(v, str)}[f.family]]
+        if whole:
+            schema, kept = "bigint", [int(v) for v in kept if v == v and abs(v) < 1 << 63 and int(v) == v]
+        elif f.family == "number":
+            kept = [float(v) for v in kept]
+        key, listed = f.value if whole or f.family != "number" else f.value.cast("double"), df.sparkSession.createDataFrame([(v,) for v in kept], f"_listed {schema}")
+    rows = df.where(f.text.isNotNull())
+    return rows.join(listed.distinct(), key == F.col("_listed"), "left_semi" if spec.op == "in" else "left_anti")
+
+
 def _member(f: _Field, values: list[Any]) -> Column:
     """List membership. Plain columns use IN, so that it can reach the scan; VARIANT compares by type."""
     if f.variant:
-        return reduce(lambda a, b: a | b, [_equals(f, v, False) for v in values], F.lit(False))
+        return reduce(lambda a, b: a | b, [own & key.isin(found) for own, key, found in _typed(f, values) if found], F.lit(False))
     wanted = {"number": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool),
               "boolean": lambda v: isinstance(v, bool),
               "text": lambda v: isinstance(v, str)}[f.family]
@@ -253,14 +297,15 @@ def in_days(day: str, start: datetime | None, end: datetime | None) -> Column |
 
 def where(df: DataFrame, query: LogQuery, ts: str = "ts", day: str = "event_date") -> DataFrame:
     """The matching rows, unordered. Every test sits in one conjunction so that Catalyst can push parts down; a table with
-    one folder per ``day`` opens only the days of the time range."""
-    tests = [predicate(df, f) for f in query.filters]
+    one folder per ``day`` opens only the days of the time range. Lists of more than ``LONG_LIST`` values are joined."""
+    tests = [predicate(df, f) for f in query.filters if not _is_long_list(f)]
     span = in_range(ts, query.start, query.end)
     if span is not None:
         tests.insert(0, span)
         if day in df.columns and isinstance(df.schema[day].dataType, T.DateType):
             tests.insert(0, in_days(day, query.start, query.end))
-    return df.where(reduce(lambda a, b: a & b, tests)) if tests else df
+    kept = df.where(reduce(lambda a, b: a & b, tests)) if tests else df
+    return reduce(_where_listed, filter(_is_long_list, query.filters), kept)
 
 
 def sort_columns(df: DataFrame, field_path: str, descending: bool, tie: Sequence[str]) -> list[Column]:

@@ -37,6 +37,11 @@ _filter("f09_gte", Fl("details.k", "gte", 90), "CAST(json_extract_string(details
 _filter("f10_lte", Fl("details.k", "lte", "9"), "CAST(json_extract_string(details, '$.k') AS BIGINT) <= 9")
 _filter("f11_in", Fl("level", "in", ["ERROR", "CRITICAL"]), "level IN ('ERROR', 'CRITICAL')")
 _filter("f12_not_in", Fl("resource_type", "not_in", ["topic"]), "resource_type IS NOT NULL AND resource_type NOT IN ('topic')")
+#: 10,000 values each, on a plain and on a nested field.
+_filter("f11_in_long_list", (Fl("user_id", "in", [f"user{i}" for i in range(0, 20_000, 2)]), Fl("details.k", "in", list(range(20, 10_020)))),
+        "CAST(substr(user_id, 5) AS BIGINT) % 2 = 0 AND CAST(json_extract_string(details, '$.k') AS BIGINT) BETWEEN 20 AND 10019")
+_filter("f12_not_in_long_list", (Fl("user_id", "not_in", [f"user{i}" for i in range(0, 20_000, 2)]), Fl("details.k", "not_in", list(range(50, 10_050)))),
+        "user_id IS NOT NULL AND CAST(substr(user_id, 5) AS BIGINT) % 2 <> 0 AND CAST(json_extract_string(details, '$.k') AS BIGINT) < 50")
 _filter("f13_regex", Fl("resource_id", "regex", r"^c[12]/topic\d$"), r"regexp_matches(resource_id, '^c[12]/topic\d$')")
 _filter("f14_nested", Fl("details.k", "eq", 42), "CAST(json_extract_string(details, '$.k') AS BIGINT) = 42")
 _filter("f15_ignore_case", (Fl("event_type", "contains", "TOPIC.", False), Fl("level", "eq", "warning", False)),
