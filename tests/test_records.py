@@ -150,8 +150,8 @@ def test_conflicts(spark):
             (5, "c2", "cluster_cleanup", 8, 9), (6, "c1", "topic_cleanup", 10, 11), (7, "c1", "metadata_cleanup", 10, 11)]
     runs = spark.createDataFrame([(i, c, t, NOW + timedelta(hours=a), NOW + timedelta(hours=b)) for i, c, t, a, b in data],
                                  "id INT, cluster_id STRING, run_type STRING, started_at TIMESTAMP_NTZ, ended_at TIMESTAMP_NTZ")
-    for segment in ("hour", "year"):
-        got = {r["id"]: r["conflicts_with"] for r in lc.conflicts(runs, ["id"], F.date_trunc(segment, "started_at")).collect()}
+    for parts in (0, 4):
+        got = {r["id"]: r["conflicts_with"] for r in lc.conflicts(runs, ["id"], parts=parts).collect()}
         assert got == {1: "", 2: "topic_cleanup", 3: "", 4: "topic_cleanup,metadata_cleanup", 5: "", 6: "", 7: "metadata_cleanup"}
 
 
@@ -164,7 +164,7 @@ def test_role_limits(spark):
 def test_due_and_statistics(spark):
     tasks = spark.createDataFrame([("a", True, False, 0, 3, NOW), ("b", False, False, 0, 3, NOW), ("c", True, False, 3, 3, NOW), ("d", True, True, 0, 3, NOW), ("e", True, False, 0, 3, NOW + timedelta(hours=1))],
                                   "task_id STRING, enabled BOOLEAN, running BOOLEAN, failure_count INT, max_failures INT, next_run TIMESTAMP_NTZ")
-    assert rows(lc.due(tasks, tasks.where("running"), NOW), "task_id") == [("a",)]
+    assert rows(lc.due(tasks, NOW), "task_id") == [("a",)]
     assert rows(lc.task_statistics(tasks)) == [(5, 4, 1, 1)]
     runs = spark.createDataFrame([("ondemand_topic_cleanup_c1_1", "completed"), ("ondemand_cluster_cleanup_c1_2", "failed"), ("odd", "completed")], "task_id STRING, status STRING")
     assert rows(lc.cleanup_statistics(runs)) == [("completed", 2), ("failed", 1), ("total", 3), ("type:cluster", 1), ("type:topic", 1)]
