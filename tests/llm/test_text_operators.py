@@ -41,8 +41,16 @@ def test_chunks_equal_the_library(bits, text):
     assert back.decode(np.array(want, int)) == WORD_LIBRARY.decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("bits", [1, 3, 8])
+@settings(max_examples=200, deadline=None)
+@given(st.lists(PIECES, max_size=4))
+def test_chunks_of_a_vocabulary_that_keeps_spaces(bits, texts):
+    got = bpe.ChunkEncoder(BYTE_ENCODER, bits).encode_block(texts)
+    assert [x.tolist() for x in got] == [BYTE_LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_shared_passages_are_encoded_once():
-    coder = bpe.ChunkEncoder(WORD_ENCODER)
+    coder = bpe.ChunkEncoder(WORD_ENCODER, 8)
     passage = " ".join(f"word{i} other{i * 7}" for i in range(600))
     coder.encode("one beginning " + passage)
     made = coder.made
@@ -50,6 +58,18 @@ def test_shared_passages_are_encoded_once():
     assert coder.made - made <= 4 and coder.reused >= made - 3
 
 
+def test_a_window_that_disagrees_grows():
+    coder = bpe.ChunkEncoder(WORD_ENCODER, 5)
+    text = " ".join(f"word{i} other{i * 7}" for i in range(60))
+    want = WORD_LIBRARY.encode(text, add_special_tokens=False).ids
+    assert coder.encode(text).tolist() == want and not coder.widened and coder.joins > 5
+    data = next(k for k, c in coder._store.items() if c.ids is not None)
+    wrong = np.frombuffer(coder._store[data].ids, coder.coder.dtype).copy()
+    wrong[0] += 1
+    coder._store[data] = coder._store[data]._replace(ids=wrong.tobytes(), first_ids=wrong[:1].tobytes())
+    assert coder.encode(text).tolist() == want and coder.widened == 1
+
+
 def test_bpe_rows(spark, odd_docs, no_docs):
     got = {(r["doc_id"], tuple(r["ids"]), r["decoded"]) for r in bpe.encode(wide(odd_docs), WORD, decoded=True).collect()}
     want = set()
@@ -148,7 +168,7 @@ def test_digests_of_the_query(spark):
     import __spark_entry__ as entry
     sf = "/root/testdata/sf0.001"
     got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in entry.queries()["op4_bpe"](spark, sf).collect()}
-    for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect():
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
         ids = WORD_LIBRARY.encode(r["text"] or "", add_special_tokens=False).ids
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         assert got[r["doc_id"]] == (len(ids), sha(" ".join(map(str, ids))), sha(WORD_LIBRARY.decode(ids, skip_special_tokens=False)))

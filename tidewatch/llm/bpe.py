@@ -1,10 +1,11 @@
 """BPE encoding and decoding that encodes shared passages once.
 
 A text is cut into chunks where a rolling hash of the last 32 bytes hits a pattern, so equal passages give equal
-chunks wherever they stand. A worker encodes a chunk the first time it meets it and keeps the ids. Only the words
-that a cut went through have to be mended: the vocabulary drops blanks and never joins across them, so the joint is
-widened to the blank on its left and on its right (over several chunks if one holds no blank) and encoded anew; from
-those blanks on, both sides agree with the ids of the chunks by construction.
+chunks wherever they stand. A worker encodes a chunk the first time it meets it and keeps the ids. Then the joins are
+repaired: the text around a join, from the second space before it to the second space after it, is encoded anew by the
+library. Its first and its last piece must get the very ids that the chunks on both sides have for them; where they do,
+the ids in between replace the chunks' ends. Where a side does not agree, the window has been too small and grows to the
+whole text, encoded by the library. The joins of a block of documents are encoded together, each distinct window once.
 
 The chunk store is a bounded part of the worker's memory, kept from task to task. Documents are never shuffled: a
 passage costs one encoding per worker that meets it, and no group of copies has to meet in one task.
@@ -15,7 +16,9 @@ like any other; texts of any length are taken whole; an empty table gives an emp
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +29,13 @@ from tidewatch.llm.common import row_blocks
 from tidewatch.llm.encoding import Encoder, encoder
 
 #: Mean chunk length is 2 ** CHUNK_BITS bytes; chunk text that a worker keeps.
-CHUNK_BITS, STORE_BYTES = 8, 48 << 20
+CHUNK_BITS, STORE_BYTES = 9, 48 << 20
+#: Windows around joins whose ids a worker keeps.
+WINDOWS = 100_000
 #: The rolling hash's value of each byte: any fixed spread of 32-bit numbers.
 _GEAR = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(29)).astype(np.uint32)
-_BLANKS = b" \n"
+#: Where a piece of a text begins: at a space before a visible character.
+_EDGE = re.compile(r" (?=[!-~])")
 
 
 def cut_points(data: bytes, bits: int = CHUNK_BITS) -> list[int]:
@@ -48,51 +54,103 @@ def cut_points(data: bytes, bits: int = CHUNK_BITS) -> list[int]:
     return [*ends[ends < len(raw)].tolist(), len(raw)] if len(raw) else []
 
 
-class ChunkEncoder:
-    """Encodes texts chunk by chunk; ``reused`` and ``made`` count chunks."""
+class Chunk(NamedTuple):
+    """A chunk between the ends that a join may change. ``first`` and ``last`` are the pieces next to them, which are
+    encoded again with the join; their ids open and close ``ids``. A chunk with fewer than two edges is all ``head``."""
+
+    head: str
+    first: str = ""
+    last: str = ""
+    tail: str = ""
+    ids: bytes | None = None
+    first_ids: bytes = b""
+    last_ids: bytes = b""
+
+
+class Join(NamedTuple):
+    """A window of text to encode anew, with the ids that both its sides have to agree with."""
+
+    window: str
+    before: bytes
+    after: bytes
 
-    def __init__(self, coder: Encoder, bits: int = CHUNK_BITS):
-        if not coder.words:
-            raise ValueError("joints are mended at blanks, which this vocabulary keeps")
-        self.coder, self.bits, self.reused, self.made = coder, bits, 0, 0
-        self._store: dict[bytes, tuple[str, bytes | None, str]] = {}
+
+class ChunkEncoder:
+    """Encodes texts chunk by chunk. ``reused`` and ``made`` count chunks and ``reused_bytes`` and ``made_bytes`` their text,
+    ``joins`` the windows encoded, ``widened`` the texts in which a window did not agree with its sides."""
+
+    def __init__(self, coder: Encoder, bits: int = CHUNK_BITS, store_bytes: int = STORE_BYTES):
+        self.coder, self.bits, self.store_bytes = coder, bits, store_bytes
+        self.reused = self.made = self.reused_bytes = self.made_bytes = self.joins = self.widened = 0
+        self._store: dict[bytes, Chunk] = {}
+        self._windows: dict[str, bytes] = {}
         self._held = 0
 
-    def _chunk(self, data: bytes) -> tuple[str, bytes | None, str]:
-        """What stands before the first blank, the ids between the first and the last, and what stands after it."""
+    def _chunk(self, data: bytes) -> Chunk:
         known = self._store.get(data)
         if known is not None:
             self.reused += 1
+            self.reused_bytes += len(data)
             return known
         self.made += 1
+        self.made_bytes += len(data)
         text = data.decode()
-        found = [text.find(" "), text.find("\n")]
-        first = min((x for x in found if x >= 0), default=-1)
-        if first < 0:
-            known = (text, None, "")
-        else:
-            last = max(text.rfind(" "), text.rfind("\n"))
-            known = (text[:first], self.coder.encode(text[first:last]), text[last + 1:])
-        if self._held > STORE_BYTES:
+        edges = [m.start() for m in _EDGE.finditer(text)]
+        known = Chunk(text)
+        if len(edges) > 1:
+            first, last = text[edges[0]:edges[1]], text[edges[-2]:edges[-1]]
+            known = Chunk(text[:edges[0]], first, last, text[edges[-1]:], self.coder.encode(text[edges[0]:edges[-1]]),
+                          self.coder.encode(first), self.coder.encode(last))
+        if self._held > self.store_bytes:
             self._store.clear()
             self._held = 0
         self._store[data] = known
         self._held += 3 * len(data)
         return known
 
-    def encode(self, text: str | None) -> np.ndarray:
-        data = (text or "").encode()
-        out, begin, joint = [], 0, ""
+    def _parts(self, text: str) -> list[bytes | Join]:
+        """The chunks' ids of a text with a join between each two of them, before the first and after the last."""
+        data = text.encode()
+        out, begin, join, before, before_ids = [], 0, "", "", b""
         for end in cut_points(data, self.bits):
-            head, ids, tail = self._chunk(data[begin:end])
+            chunk = self._chunk(data[begin:end])
             begin = end
-            joint += head
-            if ids is not None:
-                out.append(self.coder.encode(joint))
-                out.append(ids)
-                joint = tail
-        out.append(self.coder.encode(joint))
-        return np.frombuffer(b"".join(out), self.coder.dtype)
+            join += chunk.head
+            if chunk.ids is not None:
+                out += [Join(before + join + chunk.first, before_ids, chunk.first_ids), chunk.ids]
+                join, before, before_ids = chunk.tail, chunk.last, chunk.last_ids
+        return [*out, Join(before + join, before_ids, b"")]
+
+    def _encode_windows(self, windows: set[str]) -> None:
+        if len(self._windows) > WINDOWS:
+            self._windows.clear()
+        new = [x for x in windows if x not in self._windows]
+        self.joins += len(new)
+        coded = self.coder.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        self._windows.update((x, np.array(c.ids, self.coder.dtype).tobytes()) for x, c in zip(new, coded, strict=True))
+
+    def _repaired(self, text: str, parts: list[bytes | Join]) -> bytes:
+        out = []
+        for part in parts:
+            if isinstance(part, Join):
+                ids = self._windows[part.window]
+                inner = len(ids) - len(part.after)
+                if inner < len(part.before) or not (ids.startswith(part.before) and ids.endswith(part.after)):
+                    self.widened += 1
+                    return self.coder.full(text)
+                part = ids[len(part.before):inner]
+            out.append(part)
+        return b"".join(out)
+
+    def encode_block(self, texts: Sequence[str | None]) -> list[np.ndarray]:
+        """The ids of each text; null is empty."""
+        texts = [x or "" for x in texts]
+        parts = [self._parts(x) for x in texts]
+        self._encode_windows({p.window for found in parts for p in found if isinstance(p, Join)})
+        return [np.frombuffer(self._repaired(x, p), self.coder.dtype) for x, p in zip(texts, parts, strict=True)]
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return self.encode_block([text])[0]
 
 
 class Decoder:
@@ -129,7 +187,7 @@ def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, back = _worker(vocabulary)
         for block in row_blocks(batches):
-            found = [coder.encode(x) for x in block.column("text").to_pylist()]
+            found = coder.encode_block(block.column("text").to_pylist())
             columns = [block.column("key"), _lists(found)]
             if decoded:
                 columns.append(pa.array([back.decode(x) for x in found], pa.string()))
