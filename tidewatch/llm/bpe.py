@@ -54,6 +54,14 @@ def cut_points(data: bytes, bits: int = CHUNK_BITS) -> list[int]:
     return [*ends[ends < len(raw)].tolist(), len(raw)] if len(raw) else []
 
 
+def _last_edge(text: str, end: int) -> int:
+    """The last edge before ``end``, or -1."""
+    at = text.rfind(" ", 0, end)
+    while at >= 0 and not _EDGE.match(text, at):
+        at = text.rfind(" ", 0, at)
+    return at
+
+
 class Chunk(NamedTuple):
     """A chunk between the ends that a join may change. ``first`` and ``last`` are the pieces next to them, which are
     encoded again with the join; their ids open and close ``ids``. A chunk with fewer than two edges is all ``head``."""
@@ -95,12 +103,11 @@ class ChunkEncoder:
         self.made += 1
         self.made_bytes += len(data)
         text = data.decode()
-        edges = [m.start() for m in _EDGE.finditer(text)]
-        known = Chunk(text)
-        if len(edges) > 1:
-            first, last = text[edges[0]:edges[1]], text[edges[-2]:edges[-1]]
-            known = Chunk(text[:edges[0]], first, last, text[edges[-1]:], self.coder.encode(text[edges[0]:edges[-1]]),
-                          self.coder.encode(first), self.coder.encode(last))
+        known, opens, closes = Chunk(text), _EDGE.search(text), _last_edge(text, len(text))
+        if opens and opens.start() < closes:
+            opens = opens.start()
+            first, last = text[opens:_EDGE.search(text, opens + 1).start()], text[_last_edge(text, closes):closes]
+            known = Chunk(text[:opens], first, last, text[closes:], self.coder.encode(text[opens:closes]), self.coder.encode(first), self.coder.encode(last))
         if self._held > self.store_bytes:
             self._store.clear()
             self._held = 0
