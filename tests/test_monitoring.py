@@ -154,3 +154,16 @@ def test_alert_stream_equals_transitions(spark, tmp_path):
     assert rows(got, "round", "name", "state") == rows(al.transitions(grid(spark)), "round", "name", "state")
     closed = {(r["name"], r["ends_at"]): r["starts_at"] for r in got.where("state = 'resolved'").collect()}
     assert closed[("r", START + timedelta(hours=3))] == START + timedelta(hours=1)
+
+
+def test_alert_states_survive_a_restart(spark, tmp_path):
+    session, path, out = jobs.stream_session(spark), str(tmp_path / "events"), str(tmp_path / "out")
+    failing = {1: 1, 2: 1, 4: 1}  # hours in which the only event failed
+    for part in ([0, 1], [2, 3], [4, 5], [7]):  # the stream ends and starts again between two parts, within an episode too
+        rows_of = [(START + timedelta(hours=h, minutes=5), h in failing) for h in part]
+        spark.createDataFrame(rows_of, "ts TIMESTAMP, failed BOOLEAN").coalesce(1).write.mode("append").parquet(path)
+        stream = session.readStream.schema("ts TIMESTAMP, failed BOOLEAN").parquet(path)
+        rules = [al.ThresholdRule("broken", "critical", "rate", 0.5)]
+        jobs.run_to_table(stateful.alert_states(stream, F.col("failed"), rules, "1 hour", "10 minutes"), out)
+    got = [(r["round"].hour - START.hour, r["state"], r["starts_at"].hour - START.hour) for r in spark.read.parquet(f"{out}/table").orderBy("round").collect()]
+    assert got == [(1, "firing", 1), (3, "resolved", 1), (4, "firing", 4), (5, "resolved", 4)]

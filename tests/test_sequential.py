@@ -115,6 +115,17 @@ def test_replay_decides_as_time_passes(spark, tmp_path):
     assert replay.late(spark).count() == 0
 
 
+def test_answers_tell_whether_the_stream_was_running(spark, tmp_path):
+    data, _ = skewed(spark, 13, n=800)
+    stream = _one_file_at_a_time(spark, data, str(tmp_path / "events"), lambda rows: [rows[i:i + 200] for i in range(0, 800, 200)])
+    replay = jobs.admission(str(tmp_path / "a"), ["key"], "ts", ["id"], 3, 60, lateness=30)
+    replay.run(stream())
+    times = {d[0]: d[2] for d in data}
+    edge = max(times.values()) - timedelta(seconds=30)
+    found = {r["id"]: r["running"] for r in replay.outcomes(spark, running="running").collect()}
+    assert found == {i: t <= edge for i, t in times.items()}
+
+
 def test_late_rows_are_kept_apart(spark, tmp_path):
     data = [(i, "k", START + timedelta(hours=h), False, 0.0) for i, h in enumerate((0, 10, 5, 20))]
     stream = _one_file_at_a_time(spark, data, str(tmp_path / "events"), lambda rows: [[data[0]], [data[1]], [data[2]], [data[3]]])

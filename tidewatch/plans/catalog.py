@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import config_queries, inventory_queries, lifecycle_queries, log_queries, monitor_queries, sequential_queries, source_queries, stream_queries
+from tidewatch.plans import config_queries, inventory_queries, lifecycle_queries, live_queries, log_queries, monitor_queries, sequential_queries, source_queries, stream_queries
 from tidewatch.plans.registry import Query
 
-_MODULES = (log_queries, source_queries, monitor_queries, inventory_queries, lifecycle_queries, config_queries, sequential_queries, stream_queries)
+_MODULES = (log_queries, source_queries, monitor_queries, inventory_queries, lifecycle_queries, config_queries, sequential_queries, stream_queries, live_queries)
 
 
 def queries() -> dict[str, Query]:

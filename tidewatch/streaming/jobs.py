@@ -283,9 +283,13 @@ class Replay:
         self.finish(stream.sparkSession)
         return self.outcomes(stream.sparkSession)
 
-    def outcomes(self, spark: SparkSession) -> DataFrame:
-        found = [spark.read.parquet(f"{self.folder}/{part}") for part in ("outcomes", "closing") if exists(spark, f"{self.folder}/{part}")]
-        rows = [f.drop("epoch") for f in found]
+    def outcomes(self, spark: SparkSession, running: str | None = None) -> DataFrame:
+        """All answers so far. ``running`` names a column that is true for those given while the stream ran, not by ``finish``."""
+        rows = []
+        for part in ("outcomes", "closing"):
+            if exists(spark, f"{self.folder}/{part}"):
+                found = spark.read.parquet(f"{self.folder}/{part}").drop("epoch")
+                rows.append(found.withColumn(running, F.lit(part == "outcomes")) if running else found)
         return rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
 
     def late(self, spark: SparkSession) -> DataFrame | None:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tidewatch.operators.alerts import ThresholdRule, firing_grid
+
+
 class AlertProcessor(StatefulProcessor):
     """Emits a row when a rule starts or stops firing, with the episode's start and, once over, its end."""
 
@@ -33,3 +36,11 @@ def alert_stream(grid: DataFrame) -> DataFrame:
     changes = grid.groupBy("name").transformWithState(
         AlertProcessor(), "round TIMESTAMP, name STRING, severity STRING, state STRING, starts_at TIMESTAMP, ends_at TIMESTAMP", "append", "None")
     return changes.select(*[F.col(c).cast("timestamp_ntz").alias(c) for c in ("round", "starts_at", "ends_at")], "name", "severity", "state")
+
+
+def alert_states(events: DataFrame, failed: Column, rules: Sequence[ThresholdRule], every: str, lateness: str, ts: str = "ts") -> DataFrame:
+    """State changes of rules on the rows (``n``) and the failure rate (``rate``) of each round of a stream of events. A
+    round is judged once the watermark has passed its end; both operators keep their state in the checkpoint."""
+    counted = events.withWatermark(ts, lateness).groupBy(F.window(ts, every).alias("w")).agg(F.count("*").alias("n"), F.count_if(failed).alias("errors"))
+    rounds = counted.select(F.col("w.start").alias("round"), "n", (F.col("errors") / F.col("n")).alias("rate"))
+    return alert_stream(firing_grid(rounds, rules, ["n", "rate"]))
