@@ -131,47 +131,62 @@ def masked(key: Column, value: Column) -> Column:
     return F.when(is_sensitive(key), F.lit(MASK)).otherwise(value)
 
 
-#: Levels that are opened in one pass; documents that go deeper are taken up again where they were left.
-LEVELS = 4
+#: Levels that are opened without a write; only documents that are deeper than this are taken up again where they were left.
+LEVELS = 24
+
+
+def nesting(document: Column) -> Column:
+    """How deep the objects and lists of a JSON text are nested: 0 for a bare value. Only brackets outside strings count."""
+    bare = F.regexp_replace(F.regexp_replace(document, r"\\.", ""), '"[^"]*+"', "")
+    brackets = F.split(F.translate(F.regexp_replace(bare, r"[^\[\]{}]+", ""), "[]", "{}"), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
+
+    def step(depth: Column, bracket: Column) -> Column:
+        now = depth["now"] + F.when(bracket == "{", 1).when(bracket == "}", -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(depth["top"], now).alias("top"))
+
+    return F.aggregate(brackets, start, step, lambda depth: depth["top"])
 
 
 def flatten_masked(documents: DataFrame, key: Sequence[str], document: str) -> DataFrame:
     """JSON documents of any depth as (key, path, value) leaves with sensitive branches masked, through objects and lists.
 
-    A masked branch is one leaf at its own path and an empty branch is a leaf holding {} or []. A pass opens several
-    levels and is written; only branches that are still open go into the next, so leaves are never carried on.
+    A masked branch is one leaf at its own path and an empty branch is a leaf holding {} or []. One aggregate finds the deepest
+    nesting, and that many levels are opened in one go; only what is nested deeper than ``LEVELS`` is written in between, and
+    only branches that are still open go on. Whether a node is a branch is never asked: a node that does not open is a leaf.
     """
     spark, keep = documents.sparkSession, list(key)
 
-    def settled(path: Column, name: Column, node: Column) -> list[Column]:
-        hidden = F.coalesce(is_sensitive(name), F.lit(False))
-        schema = F.schema_of_variant(node)
-        branch = (schema.startswith("OBJECT") | schema.startswith("ARRAY")) & ~hidden
-        leaf = F.when(hidden, F.lit(MASK)).otherwise(F.try_variant_get(node, "$", "string"))
-        return [path.alias("_path"), F.when(branch, node).alias("_node"), F.when(~branch, leaf).alias("_leaf")]
-
     def opened(level: DataFrame) -> DataFrame:
         inner = level.lateralJoin(spark.tvf.variant_explode_outer(F.col("_node").outer()).toDF("_pos", "_name", "_child"))
         step = F.when(F.col("_name").isNull(), F.concat(F.lit("["), F.col("_pos").cast("string"), F.lit("]"))).otherwise(
             F.concat(F.when(F.col("_path") == "", "").otherwise("."), F.col("_name")))
-        path, node, leaf = settled(F.concat("_path", step), F.col("_name"), F.col("_child"))
         inside = F.col("_pos").isNotNull()
+        hidden = inside & F.coalesce(is_sensitive(F.col("_name")), F.lit(False))
         return inner.select(
-            *keep, F.when(inside, path).otherwise(F.col("_path")).alias("_path"), F.when(inside, node).alias("_node"),
-            F.when(inside, leaf).otherwise(F.coalesce(F.col("_leaf"), F.to_json("_node"))).alias("_leaf"))
+            *keep, F.when(inside, F.concat("_path", step)).otherwise(F.col("_path")).alias("_path"),
+            F.when(inside & ~hidden, F.col("_child")).alias("_node"),
+            F.when(hidden, F.lit(MASK)).when(~inside, F.coalesce("_leaf", text(F.col("_node")))).alias("_leaf"))
+
+    def text(node: Column) -> Column:
+        return F.try_variant_get(node, "$", "string")
+
+    def leaves(level: DataFrame) -> DataFrame:
+        return level.select(*keep, F.col("_path").alias("path"), F.coalesce("_leaf", text(F.col("_node"))).alias("value"))
 
-    level = documents.select(*keep, *settled(F.lit(""), F.lit(None).cast("string"), F.parse_json(document)))
+    depth = documents.agg(F.max(nesting(F.col(document)))).first()[0] or 0
+    level = documents.select(*keep, F.lit("").alias("_path"), F.parse_json(document).alias("_node"), F.lit(None).cast("string").alias("_leaf"))
     done: DataFrame | None = None
     while True:
-        for _ in range(LEVELS):
+        for _ in range(min(depth, LEVELS)):
             level = opened(level)
+        if depth <= LEVELS:
+            return leaves(level) if done is None else done.unionByName(leaves(level))
+        depth -= LEVELS
         stored = materialize(level.select(*keep, "_path", F.to_json("_node").alias("_open"), "_leaf"), "leaves")
-        leaves = stored.where("_open IS NULL").select(*keep, F.col("_path").alias("path"), F.col("_leaf").alias("value"))
-        done = leaves if done is None else done.unionByName(leaves)
-        left = stored.where("_open IS NOT NULL")
-        if left.isEmpty():
-            return done
-        level = left.select(*keep, "_path", F.parse_json("_open").alias("_node"), F.lit(None).cast("string").alias("_leaf"))
+        settled = stored.where("_open IS NULL").select(*keep, F.col("_path").alias("path"), F.col("_leaf").alias("value"))
+        done = settled if done is None else done.unionByName(settled)
+        level = stored.where("_open IS NOT NULL").select(*keep, "_path", F.parse_json("_open").alias("_node"), F.lit(None).cast("string").alias("_leaf"))
 
 
 def route_changes(changes: DataFrame) -> DataFrame:
