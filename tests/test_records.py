@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators.logquery import LogQuery, where
+from tidewatch.operators.logquery import LogFilter, LogQuery, where
 from tests.conftest import rows
 from tidewatch.functions import policy as po
 from tidewatch.functions import texttime as tt
@@ -145,6 +145,50 @@ def test_purge(spark):
     assert rows(lc.purge(sent, keep, "topic", "ts", NOW), "id") == [(2,), (3,), (4,)]
 
 
+def test_purge_of_a_stored_table_rewrites_only_the_days_that_lose(spark, tmp_path):
+    def at(days):
+        return NOW - timedelta(days=days)
+
+    sent = [(1, "a", at(9)), (2, "a", at(1)), (3, "b", at(9)), (4, None, at(9)), (5, "c", at(5)), (6, "c", at(3)), (7, "a", None), (8, "a", at(20)),
+            (9, "d", at(40)), (10, "z", at(5))]
+    keep = [("a", 2 * 86400000), ("b", -1), ("b", 1000), ("c", 86400000), ("c", 4 * 86400000), ("d", None)]
+    messages = spark.createDataFrame(sent, "id INT, topic STRING, ts TIMESTAMP_NTZ")
+    retention = spark.createDataFrame(keep, "topic STRING, retention_ms BIGINT")
+    path = str(tmp_path / "messages")
+    writers.append_audit(messages, path)
+    before = {d: set(os.listdir(f"{path}/{d}")) for d in os.listdir(path) if "=" in d}
+    lost = lc.purge_table(spark, path, retention, "topic", "ts", NOW, "event_date")
+    assert lost == sorted(at(d).date() for d in (20, 9, 5))
+    assert rows(spark.read.parquet(path), "id") == sorted([(2,), (3,), (4,), (6,), (7,), (9,), (10,)], key=lambda r: str(r[0]))
+    after = {d: set(os.listdir(f"{path}/{d}")) for d in os.listdir(path) if "=" in d}
+    assert f"event_date={at(20).date()}" not in after
+    assert {d for d in after if after[d] != before[d]} == {f"event_date={at(d).date()}" for d in (9, 5)}
+    assert lc.purge_table(spark, path, retention, "topic", "ts", NOW, "event_date") == []
+    assert lc.purge_table(spark, path, retention.where("retention_ms = -1"), "topic", "ts", NOW, "event_date") == []
+
+
+def test_stored_documents_are_read_by_path(spark, tmp_path):
+    texts = ['{"k": 1, "o": {"s": "x"}, "pad": "%s"}' % ("p" * 50), '{"k": "1"}', "no json {", None, '{"k": true}', "[1]"]
+    table = spark.createDataFrame([(i, NOW, t) for i, t in enumerate(texts)], "id INT, ts TIMESTAMP_NTZ, details STRING")
+    path = str(tmp_path / "audit")
+    writers.append_audit(table.repartition(1), path, nested=["details"])
+    stored = spark.read.parquet(path)
+    assert rows(stored.where("details IS NULL"), "id") == [(3,)]
+    assert [r[0] for r in stored.where("id = 2").selectExpr("CAST(details AS STRING)").collect()] == ["no json {"]
+    for value in (1, "1", True):
+        filters = LogQuery(filters=[LogFilter("details.k", "eq", value)])
+        assert rows(where(stored, filters), "id") == rows(where(table, filters), "id") != []
+    assert rows(where(stored, LogQuery(filters=[LogFilter("details.o.s", "starts_with", "x")])), "id") == [(0,)]
+    found = where(stored, LogQuery(filters=[LogFilter("details.k", "eq", 1)])).select("id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:int,details:struct<0:variant" in plan
+
+
+def test_big_database_tables_need_bounds(spark):
+    with pytest.raises(ValueError, match="lowerBound, upperBound, numPartitions"):
+        tables.read_table(spark, {"url": "jdbc:x", "dbtable": "t", "partitionColumn": "id"}, rows=tables.ONE_TASK_ROWS + 1)
+
+
 def test_conflicts(spark):
     data = [(1, "c1", "topic_cleanup", 0, 10), (2, "c1", "topic_cleanup", 5, 6), (3, "c1", "metadata_cleanup", 6, 20), (4, "c1", "cluster_cleanup", 8, 9),
             (5, "c2", "cluster_cleanup", 8, 9), (6, "c1", "topic_cleanup", 10, 11), (7, "c1", "metadata_cleanup", 10, 11)]

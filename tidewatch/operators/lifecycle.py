@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.texttime import MILLIS_PER_HOUR, epoch_in_name
 from tidewatch.operators.inventory import user_topics
 from tidewatch.operators.segments import running_max
+from tidewatch.sources.tables import keep_rows
 
 # Name prefixes of test topics, clean-up kinds.
 TEST_PREFIXES = ("test-", "temp-")
+YEAR_ONE = -62_135_596_800_000_000  # in microseconds, the earliest time a column holds
 CLEANUP_KINDS = ("topic_cleanup", "cluster_cleanup", "metadata_cleanup")
 
 
@@ -75,6 +77,28 @@ def purge(messages: DataFrame, retention: DataFrame, key: str, ts: str, as_of: d
     return joined.where(F.col("_keep").isNull() | (F.col("_keep") == -1) | (age <= F.col("_keep") * 1000)).drop("_keep")
 
 
+def purge_table(spark: SparkSession, path: str, retention: DataFrame, key: str, ts: str, as_of: datetime, partition: str) -> list:
+    """``purge`` applied to a stored table with one folder per day of ``ts``; returns the days that lost messages.
+
+    The shortest retention bounds the days that are read at all; of these only days that lose messages are rewritten.
+    Of several rows of a topic the longest retention counts; messages without a time stay.
+    """
+    longest = retention.groupBy(key).agg(F.when(F.bool_or(F.coalesce(F.col("retention_ms") == -1, F.lit(True))), -1)
+                                         .otherwise(F.max("retention_ms")).alias("retention_ms"))
+    shortest = longest.where("retention_ms <> -1").agg(F.min("retention_ms")).first()[0]
+    if shortest is None:
+        return []
+    # Days are whole: the one in which the shortest retention ends may hold both kinds of messages.
+    end = int(as_of.replace(tzinfo=timezone.utc).timestamp() * 1_000_000) - shortest * 1000
+    oldest = F.to_date(F.timestamp_micros(F.lit(max(end, YEAR_ONE))))
+
+    def staying(messages: DataFrame) -> DataFrame:
+        timeless = messages.where(F.col(ts).isNull())
+        return purge(messages.where(F.col(ts).isNotNull()), longest, key, ts, as_of).unionByName(timeless)
+
+    return keep_rows(spark, path, partition, staying, F.col(partition) <= oldest)
+
+
 def failed_instance_plan(instances: DataFrame, providers: DataFrame) -> DataFrame:
     """Every errored record is removed; its resources are released only where the provider is known."""
     known = providers.select("runtime_provider", F.lit(True).alias("_known")).distinct()

@@ -15,6 +15,8 @@ from tidewatch.operators.ranking import latest
 from tidewatch.operators.segments import streak
 from tidewatch.plans.registry import Registry
 from tidewatch.plans.views import check_sql, view
+from tidewatch.session import scratch_dir
+from tidewatch.sources import writers
 
 REG = Registry()
 OP_TIE = ("seq", "part_id", "supplier_id", "price")
@@ -64,12 +66,26 @@ def r06(spark, sf_dir):
 _KEY = "CAST(json_extract_string(details, '$.k') AS BIGINT)"
 
 
-@REG.query("r07_purge", check_sql("audit_log, topic", f"""
+_PURGED = f"""
     SELECT a.event_id, {_KEY} AS topic_id, ts FROM audit_log a LEFT JOIN topic t ON t.topic_id = {_KEY}
-    WHERE t.retention_ms IS NULL OR epoch_us(TIMESTAMP '2024-01-03 00:00:00') - epoch_us(ts) <= t.retention_ms * 1000"""))
+    WHERE t.retention_ms IS NULL OR epoch_us(TIMESTAMP '2024-01-03 00:00:00') - epoch_us(ts) <= t.retention_ms * 1000"""
+
+
+def _messages(spark, sf_dir):
+    return view(spark, sf_dir, "audit_log").select("event_id", F.get_json_object("details", "$.k").cast("bigint").alias("topic_id"), "ts")
+
+
+@REG.query("r07_purge", check_sql("audit_log, topic", _PURGED))
 def r07(spark, sf_dir):
-    messages = view(spark, sf_dir, "audit_log").select("event_id", F.get_json_object("details", "$.k").cast("bigint").alias("topic_id"), "ts")
-    return lc.purge(messages, view(spark, sf_dir, "topic"), "topic_id", "ts", datetime(2024, 1, 3))
+    return lc.purge(_messages(spark, sf_dir), view(spark, sf_dir, "topic"), "topic_id", "ts", datetime(2024, 1, 3))
+
+
+@REG.query("r07_purge_table", check_sql("audit_log, topic", _PURGED))
+def r07_table(spark, sf_dir):
+    folder = scratch_dir(spark, "messages")
+    writers.append_audit(_messages(spark, sf_dir), folder)
+    lc.purge_table(spark, folder, view(spark, sf_dir, "topic"), "topic_id", "ts", datetime(2024, 1, 3), "event_date")
+    return spark.read.parquet(folder).select("event_id", "topic_id", "ts")
 
 
 @REG.query("r09_failed_instance_plan", check_sql("service_instance", """

@@ -11,6 +11,8 @@ from tidewatch.operators.logquery import LogFilter as Fl
 from tidewatch.operators.logquery import LogQuery
 from tidewatch.plans.registry import Registry
 from tidewatch.plans.views import check_sql, view
+from tidewatch.session import scratch_dir
+from tidewatch.sources import writers
 
 REG = Registry()
 COLUMNS = ["event_id", "ts", "event_type", "level", "user_id", "resource_type", "resource_id", "duration_ms"]
@@ -44,6 +46,30 @@ _filter("f12_not_in_long_list", (Fl("user_id", "not_in", [f"user{i}" for i in ra
         "user_id IS NOT NULL AND CAST(substr(user_id, 5) AS BIGINT) % 2 <> 0 AND CAST(json_extract_string(details, '$.k') AS BIGINT) < 50")
 _filter("f13_regex", Fl("resource_id", "regex", r"^c[12]/topic\d$"), r"regexp_matches(resource_id, '^c[12]/topic\d$')")
 _filter("f14_nested", Fl("details.k", "eq", 42), "CAST(json_extract_string(details, '$.k') AS BIGINT) = 42")
+
+
+def _stored(spark, sf_dir):
+    """The audit log as ingest stores it: a folder per day, details as shredded VARIANT."""
+    folder = scratch_dir(spark, "audit")
+    writers.append_audit(view(spark, sf_dir, "audit_log"), folder, nested=["details"])
+    return spark.read.parquet(folder)
+
+
+@REG.query("f14_nested_stored", check_sql("audit_log", f"""SELECT {LIST} FROM audit_log
+    WHERE CAST(json_extract_string(details, '$.k') AS BIGINT) IN (7, 42) AND CAST(json_extract_string(details, '$.k') AS BIGINT) >= 9"""))
+def f14_stored(spark, sf_dir):
+    filters = (Fl("details.k", "in", [7, 42]), Fl("details.k", "gte", 9))
+    return lq.where(_stored(spark, sf_dir), LogQuery(filters=filters)).select(*COLUMNS)
+
+
+@REG.query("a01_count_by_stored_path", check_sql("audit_log", """
+    SELECT json_extract_string(details, '$.k') AS value, count(*) AS n FROM audit_log WHERE json_extract_string(details, '$.k') IS NOT NULL GROUP BY 1"""))
+def a01_stored(spark, sf_dir):
+    rows = _stored(spark, sf_dir)
+    value = lq.resolve(rows, "details.k").text
+    return rows.select(value.alias("value")).where("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("n"))
+
+
 _filter("f15_ignore_case", (Fl("event_type", "contains", "TOPIC.", False), Fl("level", "eq", "warning", False)),
         "contains(event_type, 'topic.') AND level = 'WARNING'")
 _filter("f16_and", (Fl("level", "eq", "INFO"), Fl("resource_type", "eq", "topic"), Fl("duration_ms", "gte", 20)),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,9 +22,21 @@ TOPIC_SCHEMA = T.StructType([
 ])
 
 
-def read_table(spark: SparkSession, source: str | dict) -> DataFrame:
-    """A metadata table: a parquet path, or JDBC options (filters and columns are pushed to the database)."""
+#: Rows up to which a database table may be read by one task.
+ONE_TASK_ROWS = 1_000_000
+
+
+def read_table(spark: SparkSession, source: str | dict, rows: int | None = None) -> DataFrame:
+    """A metadata table: a parquet path, or JDBC options (filters and columns are pushed to the database).
+
+    Without ``partitionColumn``, ``lowerBound``, ``upperBound`` and ``numPartitions`` one task reads a whole database table. State the
+    table's expected ``rows``: above ``ONE_TASK_ROWS`` the four are required.
+    """
     if isinstance(source, dict):
+        given = {k.lower() for k in source}
+        missing = [k for k in ("partitionColumn", "lowerBound", "upperBound", "numPartitions") if k.lower() not in given]
+        if rows is not None and rows > ONE_TASK_ROWS and missing:
+            raise ValueError(f"a table of {rows} rows needs {', '.join(missing)}")
         return spark.read.format("jdbc").options(**source).load()
     return spark.read.parquet(source)
 
@@ -74,6 +86,28 @@ def merge_partitions(spark: SparkSession, path: str, changes: DataFrame, keys: S
             remove(spark, f"{path}/{partition}={value}")
 
 
+def keep_rows(spark: SparkSession, path: str, partition: str, keep: Callable[[DataFrame], DataFrame], within: Column | None = None) -> list:
+    """Reduce a stored table to the rows that ``keep`` returns of it, and return the partitions that lost some.
+
+    Only partitions that satisfy ``within`` are read, and only those that lose rows are rewritten; one that loses all goes. What stays
+    is written aside first, so a failure leaves the table as it was. ``keep`` selects rows and changes none.
+    """
+    table = spark.read.parquet(path)
+    scope = table if within is None else table.where(within)
+    both = scope.select(partition, F.lit(1).alias("n")).unionByName(keep(scope).select(partition, F.lit(-1).alias("n")))
+    losing = [r[0] for r in both.groupBy(partition).agg(F.sum("n").alias("lost")).where("lost > 0").collect()]  # at most the partitions
+    if not losing:
+        return []
+    named = F.col(partition).isin([v for v in losing if v is not None])
+    rows = materialize(keep(scope.where((named | F.col(partition).isNull()) if None in losing else named)).select(*table.columns), "kept")
+    left = {r[0] for r in rows.select(partition).distinct().collect()}
+    rewrite_partitions(rows, path, partition)
+    for value in losing:
+        if value not in left:
+            remove(spark, f"{path}/{partition}={'__HIVE_DEFAULT_PARTITION__' if value is None else value}")
+    return sorted(losing, key=str)
+
+
 def unmatched(base: DataFrame, changes: DataFrame, keys: Sequence[str], op: str = "op") -> DataFrame:
     """Deletes whose key is not in the table."""
     return changes.where(F.col(op) == "delete").join(base.select(*keys), list(keys), "left_anti")

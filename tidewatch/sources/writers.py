@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.session import remove
 
 
-def append_audit(events: DataFrame, path: str, ts: str = "ts") -> None:
-    """Append audit events, one folder per day. Rows are gathered by day first, big days in several files."""
-    (events.withColumn("event_date", F.to_date(ts)).hint("rebalance", "event_date").write.mode("append")
+def as_variant(text: Column) -> Column:
+    """JSON text as VARIANT; text that is not JSON stays, as a VARIANT that is a string."""
+    return F.coalesce(F.try_parse_json(text), text.cast("variant"))
+
+
+def append_audit(events: DataFrame, path: str, ts: str = "ts", nested: Sequence[str] = ()) -> None:
+    """Append audit events, one folder per day. Rows are gathered by day first, big days in several files.
+
+    The columns named in ``nested`` hold JSON text and are stored as VARIANT. Spark shreds them when it writes, so a filter or
+    a projection of one path reads that path's column and neither the rest of the document nor its text.
+    """
+    stored = events.withColumns({c: as_variant(F.col(c)) for c in nested})
+    (stored.withColumn("event_date", F.to_date(ts)).hint("rebalance", "event_date").write.mode("append")
      .partitionBy("event_date").parquet(path))
 
 
