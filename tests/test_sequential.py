@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tidewatch.operators import sequential
-from tidewatch.operators.quantiles import exact_quantiles, load_report
+from tidewatch.operators import quantiles
+from tidewatch.operators.quantiles import exact_quantiles, load_periods, load_report
 from tidewatch.operators.ranking import latest, newest
 from tidewatch.operators.segments import PART, ordered_events, ordered_parts, running_max, sessions, streak, trailing_count
 from tidewatch.operators.sequential import BreakerConfig, admit, replay_breakers
@@ -213,6 +214,42 @@ def test_quantiles_equal_statistics(spark, margin):
             assert result[key][name] == (want if want is None else pytest.approx(want, abs=1e-9)), (key, name)
 
 
+def test_quantiles_of_ties_and_odd_numbers(spark, monkeypatch):
+    """Most values equal one, infinities and NaN; bounds that miss are widened until the ranks are exact."""
+    nan, inf = float("nan"), float("inf")
+    data = [("t", 5.0)] * 3000 + [("t", float(i)) for i in range(40)] + [("n", x) for x in [nan] * 30 + [inf, -inf] + [float(i % 7) for i in range(400)]]
+    values = spark.createDataFrame(data, "key STRING, value DOUBLE").repartition(5)
+    at = {"p50": (1, 2), "p95": (19, 20), "p99": (99, 100)}
+    plain = {}
+    for key, v in data:
+        plain.setdefault(key, []).append(v)
+
+    def check():
+        got = {r["key"]: r for r in exact_quantiles(values, ["key"], "value", at).collect()}
+        for key, v in plain.items():
+            v = sorted(v, key=lambda x: (x != x, x))
+            for name, (i, m) in at.items():
+                j = max(1, min(i * (len(v) + 1) // m, len(v) - 1))
+                d = i * (len(v) + 1) - j * m
+                want = (v[j - 1] * (m - d) + v[j] * d) / m
+                assert got[key][name] == pytest.approx(want, nan_ok=True), (key, name)
+
+    check()
+    monkeypatch.setattr(quantiles, "_bounds", lambda cut, fraction, cuts, margin: (
+        F.lit(-inf if margin >= 1 else 5.5), F.lit(inf if margin >= 1 else 5.6)))
+    check()
+
+
+def test_load_report_from_periods(spark):
+    data, df = skewed(spark, 26)
+    ok, at = F.col("value") > 1, F.col("ts")
+    whole = load_report(df, ["key"], ok, "value", at, at, {"p95": (19, 20)})
+    periods = load_periods(df, ["key"], F.date_trunc("day", at), ok, "value", at, at)
+    assert periods.count() > whole.count()
+    columns = ["key", "operations", "successes", F.round("mean", 9).alias("mean"), F.round("throughput", 9).alias("throughput"), "p95"]
+    assert rows(load_report(df, ["key"], ok, "value", at, at, {"p95": (19, 20)}, periods), *columns) == rows(whole, *columns)
+
+
 def test_load_report(spark):
     data = [("a", True, 1.0, 0), ("a", True, 3.0, 5), ("a", False, 99.0, 10), ("b", False, 2.0, 0)]
     df = spark.createDataFrame([(k, ok, d, START + timedelta(seconds=s)) for k, ok, d, s in data], "g STRING, ok BOOLEAN, d DOUBLE, ts TIMESTAMP_NTZ")

@@ -10,12 +10,13 @@ from tidewatch.operators import access as ac
 from tidewatch.operators import inventory as inv
 from tidewatch.operators import logquery as lq
 from tidewatch.operators import quality as ql
-from tidewatch.operators.quantiles import load_report
+from tidewatch.operators.quantiles import load_periods, load_report
 from tidewatch.operators.ranking import latest
 from tidewatch.operators.segments import trailing_count
 from tidewatch.plans.registry import Registry
 from tidewatch.plans.source_queries import topic_configs
 from tidewatch.plans.views import check_sql, view
+from tidewatch.session import materialize
 
 REG = Registry()
 AS_OF = datetime(2024, 1, 30, 12, 0, 0)
@@ -275,6 +276,13 @@ def a26(spark, sf_dir):
     return _load(load_report(rows, ["type"], F.col("state") != "failed", "duration_s", F.col("started_at"), F.col("started_at"), P95))
 
 
+@REG.query("a26_load_report_periods", check_sql("operation", _load_sql("operation", "type", "state <> 'failed'", "duration_s", "started_at", P95)))
+def a26_periods(spark, sf_dir):
+    rows, good, at = view(spark, sf_dir, "operation"), F.col("state") != "failed", F.col("started_at")
+    periods = materialize(load_periods(rows, ["type"], F.date_trunc("month", at), good, "duration_s", at, at), "load_periods")
+    return _load(load_report(rows, ["type"], good, "duration_s", at, at, P95, periods))
+
+
 @REG.query("a26_load_report_requests", check_sql("request_log", _load_sql("request_log", "role", "status_code < 400", "duration_ms", "ts", P95)))
 def a26_requests(spark, sf_dir):
     rows = view(spark, sf_dir, "request_log")
