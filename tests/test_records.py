@@ -138,6 +138,40 @@ def test_stale_and_aged(spark):
     assert rows(lc.aged_names(names, "aged-topic-", 200)) == [("aged-topic-100-0",)]
 
 
+def test_merge_of_a_bucketed_table_shuffles_only_the_changes(spark, tmp_path):
+    base = spark.createDataFrame([(i, f"v{i}", NOW) for i in range(500)], "id INT, v STRING, at TIMESTAMP_NTZ")
+    later = NOW + timedelta(hours=1)
+    changes = spark.createDataFrame([(i, "delete" if i % 3 == 0 else "upsert", f"w{i}", later) for i in range(400, 600)] + [(401, "upsert", "old", NOW)],
+                                    "id INT, op STRING, v STRING, version TIMESTAMP_NTZ")
+    tables.write_bucketed(base, "bucketed_old", str(tmp_path / "old"), ["id"], 8)
+    plain = tables.merge(base, changes, ["id"], "version", touch="at")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    for shuffled_to in ("3", "200"):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffled_to)
+        merged = tables.merge(spark.table("bucketed_old").hint("merge"), changes, ["id"], "version", touch="at", buckets=8)
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        old_side, new_side = plan[plan.index("SortMergeJoin"):].split("FileScan", 1)
+        assert "Exchange" not in old_side and "Bucketed: true" in new_side and "Exchange hashpartitioning(id" in new_side
+    tables.merge_bucketed(spark, "bucketed_old", "bucketed_new", str(tmp_path / "new"), 8, changes, ["id"], "version", touch="at")
+    assert rows(spark.table("bucketed_new"), "id", "v", "at") == rows(plain, "id", "v", "at")
+    assert len([f for f in os.listdir(tmp_path / "new") if f.endswith(".parquet")]) == 8
+
+
+def test_brokers_of_periods_are_counted_exactly(spark):
+    seen = [(t, (t * 40_000 + i) % 90_000, i % 5) for t in range(4) for i in range(0, 3000, 7)] + [(0, -1, 0), (9, 5, 1)]
+    partitions = spark.createDataFrame(seen, "topic_id INT, leader BIGINT, day INT")
+    topics = spark.createDataFrame([(t, f"c{t % 2}") for t in range(4)], "topic_id INT, cluster_id STRING")
+    periods = inv.broker_periods(partitions, topics, F.col("day"))
+    for days in ({0, 1, 2, 3, 4}, {1, 3}):
+        want = {}
+        for t, leader, day in seen:
+            if t < 4 and leader >= 0 and day in days:
+                want.setdefault(f"c{t % 2}", set()).add(leader)
+        got = inv.brokers_of(periods.where(F.col("period").isin(list(days))))
+        assert {r["cluster_id"]: r["broker_count"] for r in got.collect()} == {c: len(v) for c, v in want.items()}
+
+
 def test_purge(spark):
     sent = spark.createDataFrame([(1, "a", NOW - timedelta(seconds=5)), (2, "a", NOW - timedelta(seconds=1)), (3, "b", NOW - timedelta(days=9)), (4, "c", NOW - timedelta(days=9))],
                                  "id INT, topic STRING, ts TIMESTAMP_NTZ")

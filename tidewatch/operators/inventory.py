@@ -74,6 +74,20 @@ def cluster_totals(partitions: DataFrame, topics: DataFrame) -> DataFrame:
     return named.join(brokers, "cluster_id", "left").withColumn("broker_count", F.coalesce("broker_count", F.lit(0)))
 
 
+def broker_periods(partitions: DataFrame, topics: DataFrame, period: Column) -> DataFrame:
+    """The leaders seen per cluster and period, to be stored: one bitmap per 32,768 consecutive broker ids, of fixed size."""
+    led = partitions.where("leader >= 0").withColumn("period", period)
+    return (led.join(topics.select("topic_id", "cluster_id"), "topic_id")
+            .groupBy("cluster_id", "period", F.bitmap_bucket_number("leader").alias("block"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("leader")).alias("brokers")))
+
+
+def brokers_of(periods: DataFrame) -> DataFrame:
+    """Exact number of brokers per cluster over any choice of stored periods; the partitions are not read again."""
+    blocks = periods.groupBy("cluster_id", "block").agg(F.bitmap_count(F.bitmap_or_agg("brokers")).alias("n"))
+    return blocks.groupBy("cluster_id").agg(F.sum("n").alias("broker_count"))
+
+
 def first_wins(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     """Rows of both tables by key; where both have the key the first table's row is taken whole."""
     tagged = first.withColumn("_rank", F.lit(1)).unionByName(second.withColumn("_rank", F.lit(2)))

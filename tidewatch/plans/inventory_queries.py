@@ -239,6 +239,15 @@ def a23(spark, sf_dir):
     return inv.cluster_totals(view(spark, sf_dir, "partition_detail"), view(spark, sf_dir, "topic"))
 
 
+@REG.query("a23_brokers_of_periods", check_sql("topic, partition_detail", """
+    SELECT cluster_id, count(DISTINCT leader) AS broker_count FROM partition_detail p JOIN topic t ON t.topic_id = p.topic_id
+    WHERE leader >= 0 AND pkey % 24 >= 6 GROUP BY 1"""))
+def a23_periods(spark, sf_dir):
+    """Reports arrive in 24 periods, each stored as bitmaps; the count is over the last 18."""
+    found = inv.broker_periods(view(spark, sf_dir, "partition_detail"), view(spark, sf_dir, "topic"), F.col("pkey") % 24)
+    return inv.brokers_of(materialize(found, "broker_periods").where("period >= 6"))
+
+
 @REG.query("a24_topic_inventory", check_sql("partition_detail", """
     SELECT topic_id, count(*) AS partition_count, arg_min(replica_count, (partition_id, pkey, supplier_id, price)) AS replication
     FROM partition_detail GROUP BY 1"""))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -170,6 +172,15 @@ def s10_partitions(spark, sf_dir):
     return spark.read.parquet(path).drop("part")
 
 
+@REG.query("s10_merge_bucketed", _MERGED)
+def s10_bucketed(spark, sf_dir):
+    base = view(spark, sf_dir, "service_instance").select("instance_id", "plan_id", "status", "updated_at")
+    old, new = (f"instances_{uuid.uuid4().hex}" for _ in range(2))
+    tables.write_bucketed(base, old, scratch_dir(spark, "instances"), ["instance_id"], 16)
+    tables.merge_bucketed(spark, old, new, scratch_dir(spark, "instances"), 16, _changes(spark, sf_dir), ["instance_id"], "version", touch="updated_at", tie=_TIE)
+    return spark.table(new)
+
+
 @REG.query("s10_unmatched_deletes", check_sql("service_instance, operation", """
     SELECT instance_id, seq, price FROM operation o WHERE type = 'deprovision' AND NOT EXISTS
     (SELECT 1 FROM service_instance s WHERE s.instance_id = o.instance_id AND s.deleted_at IS NULL)"""))

@@ -47,15 +47,17 @@ def read_topic_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def merge(base: DataFrame, changes: DataFrame, keys: Sequence[str], version: str, op: str = "op",
-          touch: str | None = None, tie: Sequence[str] = (), null_keeps: bool = False) -> DataFrame:
+          touch: str | None = None, tie: Sequence[str] = (), null_keeps: bool = False, buckets: int = 0) -> DataFrame:
     """The table after a batch of ``upsert`` / ``delete`` changes; the latest change of each key wins.
 
     One shuffle join on the keys; ``tie`` orders changes of equal version. An upsert sets every column it carries, to
-    null as well, unless ``null_keeps``; ``touch`` names the column set to the change's version.
+    null as well, unless ``null_keeps``; ``touch`` names the column set to the change's version. A null key meets
+    a null key, but not where the base is stored in ``buckets`` of the keys and is joined where it lies: keys are then compared by
+    plain equality, and the latest changes go to that many parts, however many the session shuffles to.
     """
     last = latest(changes, keys, [version, *tie], keep=[c for c in changes.columns if c not in keys]).withColumn("_given", F.lit(True))
-    c, b = last.alias("c"), base.alias("b")
-    condition = [F.col(f"b.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
+    c, b = (last.repartition(buckets, *keys) if buckets else last).alias("c"), base.alias("b")
+    condition = [F.col(f"b.{k}") == F.col(f"c.{k}") if buckets else F.col(f"b.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
     joined = b.join(c, condition, "full_outer")
     joined = joined.where(F.col(f"c.{op}").isNull() | (F.col(f"c.{op}") != "delete"))
     columns = []
@@ -71,6 +73,25 @@ def merge(base: DataFrame, changes: DataFrame, keys: Sequence[str], version: str
     return joined.select(*columns)
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, keys: Sequence[str], buckets: int) -> None:
+    """A catalog table under ``path`` in ``buckets`` buckets of the keys, one file each."""
+    _save_bucketed(df.repartition(buckets, *keys), table, path, keys, buckets)
+
+
+def _save_bucketed(df: DataFrame, table: str, path: str, keys: Sequence[str], buckets: int) -> None:
+    df.write.mode("errorifexists").format("parquet").option("path", path).bucketBy(buckets, *keys).saveAsTable(table)
+
+
+def merge_bucketed(spark: SparkSession, table: str, into: str, path: str, buckets: int, changes: DataFrame, keys: Sequence[str], version: str,
+                   op: str = "op", touch: str | None = None, tie: Sequence[str] = ()) -> None:
+    """Merge changes into a table of ``write_bucketed``, as a new table of the same buckets under ``path``; the old one stays.
+
+    Only the changes are shuffled: they go to the buckets, and every task writes the bucket it has read. Keys are not null.
+    """
+    merged = merge(spark.table(table).hint("merge"), changes, keys, version, op, touch, tie, buckets=buckets)
+    _save_bucketed(merged, into, path, keys, buckets)
+
+
 def merge_partitions(spark: SparkSession, path: str, changes: DataFrame, keys: Sequence[str], partition: str, version: str,
                      op: str = "op", touch: str | None = None, tie: Sequence[str] = ()) -> None:
     """Merge changes into a stored table, reading and rewriting only the partitions that they name. ``changes`` carry the
