@@ -2,7 +2,7 @@
 
 import json
 import re
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tests.conftest import rows
 from tidewatch.operators import logquery as lq
 from tidewatch.operators.logquery import LogFilter, LogQuery
-from tidewatch.sources import logs
+from tidewatch.sources import logs, textindex, writers
 
 LINES = [
     '{"timestamp": "2024-01-01T10:00:00Z", "level": "INFO", "event_type": "topic.create", "user_id": "user1", "message": "Created topic a", "resource_type": "topic", "resource_id": "a", "details": {"n": 5, "s": "5", "ok": true, "deep": {"x": "y"}}}',
@@ -202,3 +202,43 @@ def test_long_lists_mean_the_same_as_short_ones(spark, monkeypatch):
     many = lq.where(df, LogQuery(filters=(LogFilter("details.k", "in", list(range(10_000))),)))
     plan = many._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan and plan.count("schema_of_variant") < 10
+
+
+# --- trigram index ------------------------------------------------------------------------------
+
+@pytest.mark.parametrize("pattern, want", [
+    ("topic", ["topic"]), ("^abc.*defg$", ["abc", "defg"]), ("abcd?e", ["abc"]), ("abcd+efg", ["abcd", "efg"]), ("abcd{2,3}x", ["abc"]), ("abc|def", []),
+    (r"key \d+ of", ["key ", " of"]), (r"key 1[0-4]$", ["key 1"]), ("(abc)def", []), ("abc[|(x]defg", []), ("abcd*?efg", ["abc", "efg"]), ("", []), ("[]a]xyz", ["xyz"]),
+])
+def test_literals_of_patterns(pattern, want):
+    assert textindex.literals(pattern) == want
+
+
+def test_index_opens_only_files_that_can_match(spark, tmp_path):
+    path, index = str(tmp_path / "log"), str(tmp_path / "index")
+    texts = ["orders RETRY 17", "payment failed", None, "", "ab", "\u212aelvin \u0130stanbul", "stra\u00dfe \U0001f600 ok", "broken pipe"]
+    day = datetime(2024, 1, 1)
+    log = spark.createDataFrame([(i, day + timedelta(days=i), t, "u%d" % i) for i, t in enumerate(texts)], "event_id INT, ts TIMESTAMP_NTZ, message STRING, user_id STRING")
+    writers.append_audit(log, path)
+    textindex.build(spark, path, ["message", "user_id"], index)
+    stored = spark.read.parquet(path)
+
+    def check(needle, files, fold=True, known=None):
+        less = textindex.narrowed(spark, path, known or index, {"message": [needle]}, fold)
+        test = F.lower("message").contains(needle.lower()) if fold else F.col("message").contains(needle)
+        assert rows(less.where(test), "event_id", "event_date") == rows(stored.where(test), "event_id", "event_date")
+        assert len(less.inputFiles()) == files, needle
+
+    check("retry 1", 1), check("failed", 1), check("kelvin", 1), check("istan", 1), check("nowhere", 0), check("ab", 8)
+    check("stra\u00df", 1, False), check("\U0001f600 ok", 1, False), check("\u00dfe \U0001f600", 8)
+    either = textindex.narrowed(spark, path, index, {"message": ["failed"], "user_id": ["failed"]}, every=False)
+    assert len(either.inputFiles()) == 1
+    pattern = "^bro.*pipe$"
+    assert len(textindex.narrowed(spark, path, index, {"message": textindex.literals(pattern)}).inputFiles()) == 1
+
+    # A day that is not indexed yet is read; building it again changes no other day.
+    writers.append_audit(spark.createDataFrame([(99, day + timedelta(days=1, hours=2), "late RETRY 1", "u")], log.schema), path)
+    stored = spark.read.parquet(path)
+    check("retry 1", 2), check("failed", 2)
+    textindex.build(spark, path, ["message", "user_id"], index, within=F.col("event_date") == (day + timedelta(days=1)).date())
+    check("retry 1", 2), check("failed", 1), check("broken", 1)

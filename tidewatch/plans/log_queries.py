@@ -12,7 +12,7 @@ from tidewatch.operators.logquery import LogQuery
 from tidewatch.plans.registry import Registry
 from tidewatch.plans.views import check_sql, view
 from tidewatch.session import scratch_dir
-from tidewatch.sources import writers
+from tidewatch.sources import textindex, writers
 
 REG = Registry()
 COLUMNS = ["event_id", "ts", "event_type", "level", "user_id", "resource_type", "resource_id", "duration_ms"]
@@ -107,6 +107,28 @@ def f22(spark, sf_dir):
     return lq.search(view(spark, sf_dir, "audit_log"), "KEY 7").select(*COLUMNS)
 
 
+def _indexed(spark, sf_dir, columns, texts, every=True):
+    """The stored audit log without the files that an index of the columns rules out for the texts."""
+    folder, index = scratch_dir(spark, "audit"), scratch_dir(spark, "index")
+    writers.append_audit(view(spark, sf_dir, "audit_log"), folder)
+    textindex.build(spark, folder, columns, index)
+    return textindex.narrowed(spark, folder, index, {c: texts for c in columns}, every=every)
+
+
+@REG.query("f03_contains_indexed", check_sql("audit_log", f"SELECT {LIST} FROM audit_log WHERE contains(resource_id, '/topic1')"))
+def f03_indexed(spark, sf_dir):
+    query = LogQuery(filters=[Fl("resource_id", "contains", "/topic1")])
+    return lq.where(_indexed(spark, sf_dir, ["resource_id"], ["/topic1"]), query).select(*COLUMNS)
+
+
+@REG.query("f22_search_indexed", check_sql("audit_log", f"""SELECT {LIST} FROM audit_log
+    WHERE contains(lower(message), 'key 7') OR contains(lower(user_id), 'key 7')
+       OR contains(lower(resource_id), 'key 7') OR contains(lower(event_type), 'key 7')
+    ORDER BY ts DESC, event_id LIMIT 100"""))
+def f22_indexed(spark, sf_dir):
+    return lq.search(_indexed(spark, sf_dir, lq.SEARCH_FIELDS, ["KEY 7"], every=False), "KEY 7").select(*COLUMNS)
+
+
 @REG.query("f22_search_regex", check_sql("audit_log", f"""SELECT {LIST} FROM audit_log
     WHERE coalesce(regexp_matches(message, 'key 1[0-4]$'), FALSE) OR coalesce(regexp_matches(resource_id, 'key 1[0-4]$'), FALSE)
     ORDER BY ts DESC, event_id LIMIT 50"""))
