@@ -65,3 +65,11 @@ def remove(spark: SparkSession, path: str) -> None:
 def exists(spark: SparkSession, path: str) -> bool:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def folder_values(spark: SparkSession, path: str, name: str) -> list[str]:
+    """The values of the folders ``name=value`` right under ``path``; only folder names are read."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)
+    names = [f.getPath().getName() for f in found if f.isDirectory()]
+    return [n.partition("=")[2] for n in names if n.startswith(f"{name}=")]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.session import remove
+from tidewatch.session import folder_values, remove
 
 
 def as_variant(text: Column) -> Column:
@@ -63,11 +63,7 @@ def write_lines(lines: DataFrame, path: str, order: Sequence[str], text: str = "
 def drop_partitions(spark: SparkSession, path: str, partition: str, before: str) -> list[str]:
     """Remove the folders ``partition=value`` right under ``path`` whose value is less than ``before``; days and period
     labels sort as text. Only folder names are read; rows without a value stay. Returns the values that went."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    found = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)
-    names = [f.getPath().getName() for f in found if f.isDirectory()]
-    values = [n.partition("=")[2] for n in names if n.startswith(f"{partition}=")]
-    old = sorted(v for v in values if v < before and v != "__HIVE_DEFAULT_PARTITION__")
+    old = sorted(v for v in folder_values(spark, path, partition) if v < before and v != "__HIVE_DEFAULT_PARTITION__")
     for value in old:
         remove(spark, f"{path.rstrip('/')}/{partition}={value}")
     return old

@@ -17,7 +17,7 @@ from tidewatch.operators.health import summary
 from tidewatch.operators.inventory import first_wins
 from tidewatch.operators.ranking import latest
 from tidewatch.operators.sequential import STATE_COLUMNS, BreakerConfig, admit, replay_breakers
-from tidewatch.session import exists, remove
+from tidewatch.session import exists, folder_values, remove
 from tidewatch.sources import logs
 
 #: Bounds what one micro-batch reads; results are the same for any value.
@@ -271,9 +271,11 @@ class Replay:
             if exists(spark, f"{self.folder}/held"):
                 held = spark.read.parquet(f"{self.folder}/held").drop("epoch")
         elif exists(spark, f"{self.folder}/state"):
-            last = spark.read.option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", False)
-            epochs = [int(p.split("epoch=")[1].split("/")[0]) for p in last.parquet(f"{self.folder}/state/epoch=*/upto").inputFiles()]
-            held, carried, _ = self._state(spark, max(epochs))
+            # A stream that was stopped within a batch leaves that batch's state unfinished.
+            epochs = [int(v) for v in folder_values(spark, f"{self.folder}/state", "epoch")]
+            whole = [e for e in epochs if exists(spark, f"{self.folder}/state/epoch={e}/upto/_SUCCESS")]
+            if whole:
+                held, carried, _ = self._state(spark, max(whole))
         if held is not None:
             self.decide(held, carried).write.mode("overwrite").parquet(f"{self.folder}/closing")
 
