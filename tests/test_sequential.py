@@ -13,7 +13,7 @@ from tidewatch.operators import sequential
 from tidewatch.operators import quantiles
 from tidewatch.operators.quantiles import exact_quantiles, load_periods, load_report
 from tidewatch.operators.ranking import latest, newest
-from tidewatch.operators.segments import PART, ordered_events, ordered_parts, running_max, sessions, streak, trailing_count
+from tidewatch.operators.segments import PART, last_streak, ordered_events, ordered_parts, running_max, sessions, streak, trailing_count
 from tidewatch.operators.sequential import BreakerConfig, admit, replay_breakers
 from tidewatch.streaming import jobs
 
@@ -168,6 +168,18 @@ def test_streak_equals_plain_window(spark):
     assert {r["id"]: r["streak"] for r in got.collect()} == want
 
 
+def test_last_streak_equals_the_end_of_the_streaks(spark):
+    _, df = skewed(spark, 27)
+    failed = F.col("value") > 1
+    want = latest(streak(df, ["key"], ["ts", "id"], failed), ["key"], ["ts", "id"], keep=["streak"])
+    assert rows(last_streak(df, ["key"], ["ts", "id"], failed), "key", "streak") == rows(want, "key", "streak")
+    odd = spark.createDataFrame([("a", 1, True), ("a", 2, True), ("b", 1, False), (None, 1, False), (None, 2, True), ("n", 1, None), ("u", 1, True), ("u", 2, None), ("u", 3, True)],
+                                "key STRING, at INT, failed BOOLEAN")
+    got = last_streak(odd, ["key"], ["at"], F.col("failed"))
+    assert {r["key"]: r["streak"] for r in got.collect()} == {"a": 2, "b": 0, None: 1, "n": 0, "u": 2}
+    assert last_streak(odd.limit(0), ["key"], ["at"], F.col("failed")).collect() == []
+
+
 @pytest.mark.parametrize("current", [True, False])
 def test_running_max_equals_plain_window(spark, current):
     _, df = skewed(spark, 22)

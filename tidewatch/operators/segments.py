@@ -63,6 +63,19 @@ def streak(df: DataFrame, keys: Sequence[str], order: Sequence[str], failed: Col
     return joined.withColumn(name, total).drop(PART, "_fail", "_count", "_base", "_carried")
 
 
+def last_streak(df: DataFrame, keys: Sequence[str], order: Sequence[str], failed: Column, name: str = "streak") -> DataFrame:
+    """One row per key with the number of failures after its last success; all of them without a success.
+
+    Two aggregates and no order over the rows: where only the streak at the end is wanted, ``streak`` would do too much. Failures
+    equal to the last success in all of ``order`` do not count; a row whose outcome is null is neither.
+    """
+    at = F.struct(*order)
+    since = df.groupBy(*keys).agg(F.max(F.when(~failed, at)).alias("_since"))
+    after = null_safe(df.where(failed), since, keys).where(F.col("_since").isNull() | (at > F.col("_since")))
+    counted = after.groupBy(*keys).agg(F.count("*").alias(name))
+    return null_safe(since.select(*keys), counted, keys, "left").withColumn(name, F.coalesce(name, F.lit(0).cast("bigint")))
+
+
 def trailing_count(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, name: str = "recent", parts: int = 0) -> DataFrame:
     """Adds the number of the key's rows in the ``seconds`` up to the row's own time, both ends included.
 

@@ -11,8 +11,7 @@ from tidewatch.operators import lifecycle as lc
 from tidewatch.operators import logquery as lq
 from tidewatch.operators import quality as ql
 from tidewatch.operators.config import resolve
-from tidewatch.operators.ranking import latest
-from tidewatch.operators.segments import streak
+from tidewatch.operators.segments import last_streak, streak
 from tidewatch.plans.registry import Registry
 from tidewatch.plans.views import check_sql, view
 from tidewatch.session import scratch_dir
@@ -167,7 +166,7 @@ _TASKS = _STREAK + """, last_streak AS (SELECT supplier_id, state, streak FROM s
 
 
 def _tasks(spark, sf_dir):
-    ends = latest(_streaks(spark, sf_dir), ["supplier_id"], _RUN_ORDER, keep=["streak"])
+    ends = last_streak(view(spark, sf_dir, "operation"), ["supplier_id"], _RUN_ORDER, F.col("state") == "failed")
     tasks = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr(
         "s_suppkey AS task_id", "s_nationkey % 4 <> 0 AS enabled", "s_nationkey % 7 = 1 AS running", "2 AS max_failures",
         """CASE s_suppkey % 5 WHEN 0 THEN '0 * * * *' WHEN 1 THEN '0 0 * * *' WHEN 2 THEN '*/15 * * * *' WHEN 3 THEN '*/5 * * * *' ELSE '0 2 * * *' END AS schedule""",
