@@ -67,6 +67,23 @@ def test_merge_and_cascade(spark):
     assert rows(left["parent"], "id") == [(1,), (3,)] and rows(left["audit"], "op") == [("x",), ("z",)]
 
 
+def test_cascade_joins_in_parts_that_are_not_merged(spark, monkeypatch):
+    base = spark.createDataFrame([(i, i % 11 == 0) for i in range(300)] + [(22, True), (None, True)], "id LONG, dead BOOLEAN")
+    audit = spark.createDataFrame([(i % 300, i) for i in range(1200)] + [(None, -1)], "iid LONG, n LONG")
+    monkeypatch.setattr(tables, "JOINED_ROWS", 100)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for stated, expected in ((None, parts), (1201, max(parts, 13)), (100 * parts + 500, parts + 5)):
+            left = tables.cascade_delete(base, {"audit": (audit, "iid")}, base.where("dead"), "id", stated)
+            assert left["audit"].rdd.getNumPartitions() == left["parent"].rdd.getNumPartitions() == expected
+            assert sorted(r["n"] for r in left["audit"].collect()) == [-1, *(i for i in range(1200) if i % 300 % 11)]
+            assert {r["id"] for r in left["parent"].collect()} == {None, *(i for i in range(300) if i % 11)} and left["parent"].count() == 273
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_merge_clears_columns(spark):
     base = spark.createDataFrame([(1, "a", "bad"), (2, "b", "bad")], "id INT, plan STRING, error STRING")
     changes = spark.createDataFrame([(1, "upsert", None, 5)], "id LONG, op STRING, error STRING, version INT")

@@ -195,8 +195,9 @@ def s10_unmatched(spark, sf_dir):
     WHERE NOT EXISTS (SELECT 1 FROM service_instance s WHERE s.instance_id = o.instance_id AND s.deleted_at IS NOT NULL) GROUP BY 2"""))
 def s11(spark, sf_dir):
     instances = view(spark, sf_dir, "service_instance")
-    left = tables.cascade_delete(instances, {"operation": (view(spark, sf_dir, "operation"), "instance_id")},
-                                 instances.where("deleted_at IS NOT NULL"), "instance_id")
+    operations = view(spark, sf_dir, "operation")
+    rows = max(instances.count(), operations.count())  # from the files' footers
+    left = tables.cascade_delete(instances, {"operation": (operations, "instance_id")}, instances.where("deleted_at IS NOT NULL"), "instance_id", rows)
     counts = [left[name].groupBy("instance_id").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "instance_id", "n")
               for name, kind in (("parent", "instance"), ("operation", "operation"))]
     return counts[0].unionByName(counts[1])

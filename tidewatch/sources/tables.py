@@ -24,6 +24,8 @@ TOPIC_SCHEMA = T.StructType([
 
 #: Rows up to which a database table may be read by one task.
 ONE_TASK_ROWS = 1_000_000
+#: Rows of a table that one task of a cascading delete joins, about.
+JOINED_ROWS = 1_000_000
 
 
 def read_table(spark: SparkSession, source: str | dict, rows: int | None = None) -> DataFrame:
@@ -134,10 +136,20 @@ def unmatched(base: DataFrame, changes: DataFrame, keys: Sequence[str], op: str
     return changes.where(F.col(op) == "delete").join(base.select(*keys), list(keys), "left_anti")
 
 
-def cascade_delete(parent: DataFrame, children: dict[str, tuple[DataFrame, str]], deleted: DataFrame,
-                   key: str) -> dict[str, DataFrame]:
-    """Parent and children without the deleted keys; children maps a name to (table, foreign key)."""
-    gone = deleted.select(F.col(key).alias("_gone")).distinct()
+def cascade_delete(parent: DataFrame, children: dict[str, tuple[DataFrame, str]], deleted: DataFrame, key: str,
+                   rows: int | None = None) -> dict[str, DataFrame]:
+    """Parent and children without the deleted keys; children maps a name to (table, foreign key).
+
+    Keys that are too many to be broadcast meet the tables in parts that the runtime does not merge, or a task would sort more
+    the larger the tables are: as many parts as the session shuffles to, or one per ``JOINED_ROWS`` if the largest table's ``rows``
+    are stated and that is more.
+    """
+    gone = deleted.select(F.col(key).alias("_gone")).where("_gone IS NOT NULL")
+    if rows is None or rows > JOINED_ROWS:
+        parts = max(int(deleted.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(rows or 0) // JOINED_ROWS))
+        gone = gone.repartition(parts, "_gone")  # a repeated key does no harm here, and telling them apart takes memory
+    else:
+        gone = gone.distinct()
     left = {"parent": parent.join(gone, F.col(key) == F.col("_gone"), "left_anti")}
     for name, (table, foreign) in children.items():
         left[name] = table.join(gone, F.col(foreign) == F.col("_gone"), "left_anti")
