@@ -177,3 +177,13 @@ def test_digests_of_the_query(spark):
 
 def test_fixture_texts_are_odd():
     assert len(odd_texts()) == 10
+
+
+def test_pieces_with_line_ends_are_encoded_together(monkeypatch):
+    coder = Encoder(BYTE)
+    found = ["tide\ngauge", "buoy.\n\n", "mole", "a<|endoftext|>b", "quay\tpier\n", "日\nx", "\nfirst", "ñu's\n!"]
+    wanted = [coder.tokenizer.encode(" " + x, add_special_tokens=False).ids for x in found]
+    alone, single = [], coder._piece
+    monkeypatch.setattr(coder, "_piece", lambda piece: alone.append(piece) or single(piece))
+    assert [np.frombuffer(ids, coder.dtype).tolist() for ids in coder.spaced_words(found)] == wanted
+    assert alone == [" a<|endoftext|>b", " 日\nx", " \nfirst"]
