@@ -109,6 +109,34 @@ def test_odd_rows(spark, odd_docs, no_docs, counted):
     assert alignment.align_documents(no_docs, BYTE, PIECE).count() == 0
 
 
+def test_rows_of_a_block_are_small(spark):
+    """A block is never one row, whatever it holds; a document in more than one row would lose links."""
+    texts = [" ".join(f"{a}{i % (7 + n)} {n}{a}" for i, a in enumerate(["shore", "river ", "x½", "calm,"] * 400)) for n in range(200)]
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate(texts + [None, ""] * 50)], "doc_id long, text string").coalesce(1)
+    blocks = alignment.write_blocks(docs, BYTE, PIECE).collect()
+    assert len({(r["part"], r["seq"]) for r in blocks}) == 1
+    held = [r for r in blocks if r["doc_ids"]]
+    # The numbers of a pair take 8 and 16 bytes; one more document may go beyond the bound.
+    most = max(k for r in held for k in r["kinds"])
+    assert len(held) > 1 and max(len(r["places"]) for r in held) <= (256 << 10) // 8 + most
+    assert max(len(r["pairs"]) for r in blocks) <= (256 << 10) // 16 + 1
+    pairs = sorted(p for r in blocks for p in r["pairs"])
+    holders = {p: n for r in blocks for p, n in zip(r["pairs"], r["holders"], strict=True)}
+    assert len(pairs) == len(holders) > 0 and sorted(i for r in held for i in r["doc_ids"]) == list(range(300))
+    seen = Counter(pairs[place] for r in held for place in r["places"])
+    assert seen == holders and all(sum(r["kinds"]) == len(r["places"]) == len(r["times"]) for r in held)
+
+
+def test_memos_stay_small():
+    """Texts whose words hardly come twice must not fill a worker: there are two of them in 3 GB with their JVM."""
+    side_a, side_b, _ = alignment.sides(BYTE, PIECE)
+    for n in range(0, 400_000, 20_000):
+        words = Words(pa.array([" ".join(f"w{i}" for i in range(n, n + 20_000))]), first_spaced=True)
+        for side in (side_a, side_b):
+            side.coder.encode(words)
+    assert sum(len(memo) for side in (side_a, side_b) for memo in (side.coder._young, side.coder._old)) <= 600_000
+
+
 def test_the_query_on_all_rows(spark):
     """Every row of the smallest table, as registered, against the loop."""
     sf_dir = "/root/testdata/sf0.001"

@@ -4,9 +4,10 @@ Both tokenize a space and the text, as pieces of the same bytes. Per batch, two
 give every token's start the other side's token that covers it; both directions together are all overlaps, and places
 where tokens of both sides end cut a document into groups.
 
-Work is done in blocks of documents, each written once as one row: what the operator knows of each document, and the
-block's distinct id pairs with the number of its documents that link them. Corpus-wide counts are summed over blocks,
-so a pair that is in every document travels once per block. Counts come back to the blocks that asked for them.
+Work is done in blocks of documents, each written once: what the operator knows of each document, and the block's
+distinct id pairs with the number of its documents that link them. Corpus-wide counts are summed over blocks, so a pair
+that is in every document travels once per block. Counts come back to the blocks that asked for them. A block is written
+as rows of bounded size, so that neither a worker nor Spark holds more than a few of them apart from the shuffle.
 
 Defined cases: a null or empty text, and one whose tokens' bytes differ from a space and the text on either side, has
 no tokens (zeros, and no groups); every row counts as a document, repeated rows and keys too; an empty table gives an
@@ -28,11 +29,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import materialize, row_blocks
+from tidewatch.llm.common import materialize, release_memory, row_blocks
 from tidewatch.llm.encoding import BlockEncoder, TextEncoder, Words, block_encoder, encoder
 
-#: Text bytes of the documents whose pairs are counted together. A block is one row of the written table.
+#: Text bytes of the documents whose pairs are counted together. They are a block.
 COUNTED_BYTES = 8 << 20
+#: Bytes of a row of the written table, if it holds more than one document, and the bytes a document has besides its pairs.
+ROW_BYTES, DOCUMENT_BYTES = 256 << 10, 128
+#: Text bytes that are aligned together; aligning takes about a hundred times as much memory.
+ALIGNED_BYTES = 512 << 10
+#: Entries of each generation of the memos. There are two tokenizers, and an executor has a worker for each of its cores.
+MEMO_ENTRIES = 120_000
+#: A reader decodes all lists of a row group at once. Rows are large, so their size is looked at from the first one on.
+_FILES = {"parquet.block.size": str(8 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 _SPACE = "▁"
 
 
@@ -57,7 +66,7 @@ def byte_level_side(path: str) -> _Side:
     letters = {ord(letter): byte for byte, letter in single._letters.items()}
     size = single.tokenizer.get_vocab_size(with_added_tokens=True)
     tokens = [single.tokenizer.id_to_token(i) or "" for i in range(size)]
-    return _Side(block_encoder(path, plain=True), [bytes(letters[ord(c)] for c in t) if all(ord(c) in letters for c in t) else t.encode() for t in tokens])
+    return _Side(block_encoder(path, plain=True, entries=MEMO_ENTRIES), [bytes(letters[ord(c)] for c in t) if all(ord(c) in letters for c in t) else t.encode() for t in tokens])
 
 
 def sentencepiece_side(path: str) -> _Side:
@@ -71,7 +80,7 @@ def sentencepiece_side(path: str) -> _Side:
     whole = lambda text: pack(model.encode(text[1:], num_threads=1))  # the model adds the first space itself
     words = lambda found: [pack(ids) for ids in model.encode(found, num_threads=1)]
     apart = not any(_SPACE in p.lstrip(_SPACE) for p in pieces)
-    return _Side(BlockEncoder(words, whole, dtype) if apart else TextEncoder(whole, dtype), tokens)
+    return _Side(BlockEncoder(words, whole, dtype, MEMO_ENTRIES) if apart else TextEncoder(whole, dtype), tokens)
 
 
 @dataclass
@@ -169,11 +178,18 @@ _BLOCK_SCHEMA = ("part int, seq int, doc_ids array<long>, n_a array<long>, n_b a
                  "kinds array<int>, places array<int>, times array<int>, pairs array<long>, holders array<long>")
 
 
+def _cuts(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of about ``ROW_BYTES`` (one entry at least), as where they begin and end."""
+    edges = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // ROW_BYTES)) + 1
+    bounds = [0, *edges.tolist(), len(sizes)]
+    return [(x, y) for x, y in zip(bounds, bounds[1:]) if y > x]
+
+
 class _Counted:
     """The documents whose pairs are counted together. A pair of ids is one number, ``a * size_b + b``."""
 
     def __init__(self, size_b: int):
-        self.size_b, self.bytes, self.documents, self.found = size_b, 0, [], []
+        self.size_b, self.bytes, self.documents, self.pairs, self.holders = size_b, 0, [], [], []
 
     def add(self, block: pa.RecordBatch, side_a: _Side, side_b: _Side, writer: _GroupText) -> None:
         texts, n = block.column("text"), block.num_rows
@@ -182,19 +198,37 @@ class _Counted:
         pair = found.ids_a[a].astype(np.int64) * self.size_b + found.ids_b[b]
         top = len(side_a.sizes) * self.size_b
         codes, times = np.unique(found.doc_a[a] * top + pair, return_counts=True)
+        pairs, places, holders = np.unique(codes % top, return_inverse=True, return_counts=True)
         hashes = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in writer.texts(found, n)]
         count = lambda doc, of=None: np.bincount(doc if of is None else doc[of], minlength=n)
-        self.documents.append((block.column("key"), count(found.doc_a), count(found.doc_b), count(found.doc_a, found.cut_a), count(found.doc_a[a]), hashes,
-                               count(codes // top)))
-        self.found.append((codes % top, times.astype(np.int32)))
+        # The keys are copied: a slice would keep the whole Arrow batch.
+        self.documents.append((block.column("key").take(pa.array(np.arange(n))), count(found.doc_a), count(found.doc_b), count(found.doc_a, found.cut_a),
+                               count(found.doc_a[a]), hashes, count(codes // top), places.astype(np.int32), times.astype(np.int32)))
+        self.pairs.append(pairs)
+        self.holders.append(holders)
         self.bytes += texts.nbytes
 
-    def row(self, part: int, seq: int) -> pa.RecordBatch:
-        pairs, places, holders = np.unique(np.concatenate([p for p, _ in self.found]), return_inverse=True, return_counts=True)
-        keys, *numbers, hashes, kinds = zip(*self.documents, strict=True)
-        columns = [part, seq, pa.concat_arrays(keys), *(np.concatenate(x) for x in numbers), sum(hashes, []), np.concatenate(kinds), places,
-                   np.concatenate([t for _, t in self.found]), pairs, holders]
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, (_, t) in zip(columns, _BLOCK_TYPES, strict=True)], [name for name, _ in _BLOCK_TYPES])
+    def rows(self, part: int, seq: int) -> Iterator[pa.RecordBatch]:
+        """Rows of documents, whose places are those among all pairs of the block in order, and rows of pairs."""
+        pairs, at = np.unique(np.concatenate(self.pairs), return_inverse=True)
+        holders = np.zeros(len(pairs), np.int64)
+        np.add.at(holders, at, np.concatenate(self.holders))
+        for x, y in _cuts(np.full(len(pairs), pairs.itemsize + holders.itemsize)):
+            yield _row(part, seq, pairs=pairs[x:y], holders=holders[x:y])
+        upto = np.cumsum([len(own) for own in self.pairs]).tolist()
+        for i, (keys, *numbers, hashes, kinds, places, times) in enumerate(self.documents):
+            self.documents[i] = None
+            places = at[upto[i] - len(self.pairs[i]):upto[i]].astype(np.int32)[places]
+            ends = np.append(0, np.cumsum(kinds))
+            for x, y in _cuts(kinds * (places.itemsize + times.itemsize) + DOCUMENT_BYTES):
+                own = slice(ends[x], ends[y])
+                of_each = dict(zip(("n_a", "n_b", "n_groups", "n_links"), (v[x:y] for v in numbers), strict=True))
+                yield _row(part, seq, doc_ids=keys[x:y], **of_each, groups=hashes[x:y], kinds=kinds[x:y], places=places[own], times=times[own])
+
+
+def _row(part: int, seq: int, **lists: object) -> pa.RecordBatch:
+    values = {"part": part, "seq": seq} | lists
+    return pa.RecordBatch.from_arrays([pa.array([values.get(name, [])], t) for name, t in _BLOCK_TYPES], [name for name, _ in _BLOCK_TYPES])
 
 
 def write_blocks(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text: str = "text", counted_bytes: int = COUNTED_BYTES) -> DataFrame:
@@ -202,16 +236,17 @@ def write_blocks(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side_a, side_b, writer = sides(path_a, path_b)
         part, seq, held = TaskContext.get().partitionId(), 0, _Counted(len(side_b.sizes))
-        for block in row_blocks(batches):
+        for block in row_blocks(batches, limit=ALIGNED_BYTES):
             held.add(block, side_a, side_b, writer)
             if held.bytes >= counted_bytes:
-                yield held.row(part, seq)
+                yield from held.rows(part, seq)
                 held, seq = _Counted(len(side_b.sizes)), seq + 1
+                release_memory()
         if held.documents:
-            yield held.row(part, seq)
+            yield from held.rows(part, seq)
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    return materialize(rows.mapInArrow(run, _BLOCK_SCHEMA), "aligned")
+    return materialize(rows.mapInArrow(run, _BLOCK_SCHEMA), "aligned", _FILES)
 
 
 def pair_counts(blocks: DataFrame, size_b: int) -> DataFrame:
@@ -233,7 +268,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_i
     size_b = sentencepiece.SentencePieceProcessor(model_file=path_b).get_piece_size()
     asked = blocks.select(F.col("part").alias("of_part"), F.col("seq").alias("of_seq"), F.explode("pairs").alias("pair"))
     counted = asked.join(pair_counts(blocks, size_b), "pair").select("of_part", "of_seq", "pair", "n", "best")
-    held = blocks.drop("pairs", "holders")
+    held = blocks.where(F.size("doc_ids") > 0).drop("pairs", "holders")  # rows of documents
     names = held.columns[2:]
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:

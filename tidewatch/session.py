@@ -45,14 +45,15 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, purpose: str) -> DataFrame:
+def materialize(df: DataFrame, purpose: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write a small intermediate result to the shared folder and read it back.
 
     This cuts the lineage in a way that survives lost executors, and the planner then knows the real
-    size: joins against it broadcast only below ``spark.sql.autoBroadcastJoinThreshold``.
+    size: joins against it broadcast only below ``spark.sql.autoBroadcastJoinThreshold``. ``options``
+    are the Parquet writer's.
     """
     path = scratch_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.options(**options or {}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
